@@ -4,13 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fotolake.llm import warc
 from fotolake.llm.common import table
+from fotolake.llm.embedding_near import embedding_components
+from fotolake.llm.packing import pack
+from fotolake.llm.secrets import scan
 from fotolake.llm.simhash import simhash_components
 
+#: The tokenizer file of the packing query; a parameter everywhere else.
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {"op3_simhash": op3_simhash}
-ORACLE: dict[str, str] = {}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
+    "op8_secrets": op8_secrets,
+    "op10_embedding_near": op10_embedding_near,
+}
+ORACLE: dict[str, str] = {"op6_warc": warc.ORACLE}
