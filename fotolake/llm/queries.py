@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fotolake.llm import warc
-from fotolake.llm.common import table
+from fotolake.llm import language, quality, toxicity, warc
+from fotolake.llm.common import fold, table
+from fotolake.llm.decontaminate import contaminated
 from fotolake.llm.embedding_near import embedding_components
+from fotolake.llm.html_text import html_text
 from fotolake.llm.packing import pack
 from fotolake.llm.secrets import scan
 from fotolake.llm.simhash import simhash_components
@@ -15,6 +18,14 @@ from fotolake.llm.simhash import simhash_components
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -25,23 +36,48 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights, bias = toxicity.train(docs, table(spark, sf_dir, "labels"), parts=4, held=2)
+    found = toxicity.score(docs, weights, bias)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.profiles(docs, parts=5, held=0))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field, share = quality.train(docs, table(spark, sf_dir, "labels"), parts=3, held=1)
+    found = quality.score(docs, field, share)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
     "op10_embedding_near": op10_embedding_near,
 }
 ORACLE: dict[str, str] = {"op6_warc": warc.ORACLE}
