@@ -162,7 +162,7 @@ def _export(batches: Iterable[pa.RecordBatch], to: str) -> Iterator[pa.RecordBat
     store, base = fs.FileSystem.from_uri(to)
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            with store.open_output_stream(f"{base}/{name}") as f:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(content.as_py())
         yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
 
