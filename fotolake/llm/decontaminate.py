@@ -36,9 +36,10 @@ BROADCAST_ROWS = 500_000
 def template(text: Column) -> tuple[Column, Column]:
     """(template words, values) of a text, of equal length."""
     clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
-    typed = F.regexp_replace(clean, r"(?<=[^\s.!?:]\s[\"'(]{0,1})\p{Lu}\p{Ll}+", NAME)
-    typed = F.regexp_replace(typed, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    typed = F.regexp_replace(typed, rf"(?<={NUMBER}[^\p{{L}}\p{{N}}\s]{{0,4}}\s?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
+    # Each pattern starts with what is rare, and looks behind only from there.
+    typed = F.regexp_replace(clean, r"\p{Lu}(?<=[^\s.!?:]\s[\"'(]{0,1}\p{Lu})\p{Ll}+", NAME)
+    typed = F.regexp_replace(typed, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*", NUMBER)
+    typed = F.regexp_replace(typed, rf"{NUMBER}([^\p{{L}}\p{{N}}\s]{{0,4}}\s?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
     words = lambda c, keep: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{keep}\s]+", "")), r"\s+", " ")), " ")
     return words(typed, NAME + NUMBER + UNIT), words(clean, "")
 
@@ -47,7 +48,9 @@ def windows(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     """(id, words, typed, values, at, h): a row for each template window."""
     src = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     typed, values = template(F.col("text"))
-    src = src.select("id", typed.alias("typed"), values.alias("values")).withColumn("words", F.size("typed")).where(F.col("words") >= window)
+    # Exploding an array of one keeps filters above it, so that a text is canonicalised once.
+    src = src.select("id", F.explode(F.array(F.struct(typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.typed", "s.values")
+    src = src.withColumn("words", F.size("typed")).where(F.col("words") >= window)
     out = src.select("id", "words", "typed", "values", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.col("words") - window)
     return out.withColumn("h", F.xxhash64(*(F.get("typed", F.col("at") + i) for i in range(window)))).drop("word")
 
