@@ -17,9 +17,9 @@ from fotolake.llm.queries import TOKENIZER
 from fotolake.llm.secrets import redact
 from fotolake.llm.simhash import simhash_components
 
-#: Near duplicates: word 5-shingles, four 64-bit words of fingerprint; 41 bits of 256 apart is a Jaccard similarity of about
-#: 0.8 by the fingerprints' angle, with a deviation of about 0.04 between estimate and truth.
-WORDS, WIDTH, RADIUS = 5, 4, 41
+#: Near duplicates: word 5-shingles of a Jaccard similarity of 0.8 or more. Candidates differ in at most 52 of 256 bits of their
+#: fingerprints: a pair at 0.8 differs in 39 on average, with a deviation of 6. Candidates are compared exactly.
+WORDS, WIDTH, RADIUS, SIMILARITY = 5, 4, 52, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null id belong to no group that could name them, and stay.
     """
-    named = simhash_components(docs, words=WORDS, radius=RADIUS, width=WIDTH)
+    named = simhash_components(docs, words=WORDS, radius=RADIUS, width=WIDTH, similarity=SIMILARITY)
     kept = written(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
     rest = [c for c in docs.columns if c != "doc_id"]
     repeated = docs.join(written(kept.where("__rows > 1"), "repeated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))

@@ -12,6 +12,10 @@ radius, and compares the rest by exclusive-or and bit counts. It returns a spann
 that a group of thousands of copies gives thousands of rows. The number of comparisons still grows with the square of
 the distinct fingerprints, as the method has it; see the README for figures.
 
+With a `similarity`, linked fingerprints are only candidates: within each candidate component, cut by hash into blocks, the
+texts' shingle sets are compared as incidence matrices, pair of blocks by pair of blocks, and pairs of that Jaccard
+similarity or more are the links. Texts of equal fingerprints count as equal.
+
 Nulls and ties: a null text counts as empty, and its fingerprint is zero, linked like any other. A row with a null id
 takes part, but a component is named by its smallest non-null id (null if it has none). Repeated rows are all returned.
 """
@@ -19,7 +23,7 @@ takes part, but a component is named by its smallest non-null id (null if it has
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,8 @@ SEED = 42
 #: A block holds a 32nd of the distinct fingerprints, within these bounds; two blocks of the upper one take 17 MB.
 BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 32, 1024, 1 << 19
 TILE = 512
+#: Texts of a candidate component in a block of exact comparison, and columns of an incidence matrix at a time.
+TEXTS, COLUMNS = 512, 8192
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -167,8 +173,62 @@ def _compare(pdf: pd.DataFrame, width: int, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": node[apart], "b": node[root[apart]]})
 
 
-def near(prints: DataFrame, width: int, radius: int) -> DataFrame:
-    """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ...)."""
+def _shingles(batches: Iterable[pa.RecordBatch], words: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, root, k, text, f0, ...) whose text has that fingerprint, with the sorted distinct hashes as bytes."""
+    names = ["node", "root", "k", "hashes"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = []
+            for node, root, k, text, *f in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if fingerprint(text or "", words, width) == f:
+                    rows.append((node, root, k, np.unique(shingle_hashes(text or "", words)).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+
+
+def _similar(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """A spanning forest of the pairs of similar texts, between two blocks or within one."""
+    pdf = pdf.drop_duplicates("node")
+    sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+    node, left = pdf["node"].to_numpy(), (pdf["b"] == pdf["lo"]).to_numpy()
+    sizes = np.array([len(x) for x in sets])
+    ids, column = np.unique(np.concatenate(sets), return_inverse=True) if sizes.sum() else (np.empty(0), np.empty(0, int))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(ids), COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, len(ids) - at)), np.float32)
+        part[owner[low:high], column[low:high] - at] = 1
+        both += part @ part.T
+    enough = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    if (pdf["lo"] != pdf["hi"]).any():
+        enough &= left[:, None] != left[None, :]
+    u, v = np.nonzero(np.triu(enough, 1))
+    forest = Forest(len(sets))
+    forest.join(u, v)
+    apart = np.flatnonzero(forest.root != np.arange(len(sets)))
+    return pd.DataFrame({"a": node[apart], "b": node[forest.root[apart]]})
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, found: DataFrame, words: int, width: int, similarity: float) -> DataFrame:
+    """Links of similar texts within candidate components (node, root)."""
+    f = [f"f{k}" for k in range(width)]
+    count = found.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"))
+    wanted = written(found.join(count, "root").join(reps, "node").where("first is not null").select(F.col("first").alias("id"), "node", "root", "k", *f), "simhash-candidates")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(wanted, "id").select("node", "root", "k", "text", *f)
+    sets = rows.mapInArrow(functools.partial(_shingles, words=words, width=width), "node long, root long, k int, hashes binary")
+    sets = sets.withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    sets = sets.select("node", "root", "hashes", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"))
+    return sets.groupBy("root", "lo", "hi").applyInPandas(functools.partial(_similar, similarity=similarity), "a long, b long")
+
+
+def near(prints: DataFrame, width: int, radius: int, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ...).
+
+    `verify`, given distinct fingerprints and candidate components (node, root), returns the links that hold.
+    """
     f = [f"f{k}" for k in range(width)]
     reps = written(prints.groupBy(*f).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
     ones = functools.reduce(lambda x, y: x + y, (F.bit_count(x) for x in f))
@@ -182,19 +242,23 @@ def near(prints: DataFrame, width: int, radius: int) -> DataFrame:
     pairs = pairs.withColumn("to", F.col("q") * (1 << 20) + F.col("s"))
     pairs = pairs.select(*f, "node", "block", F.least("block", "to").alias("ka"), F.greatest("block", "to").alias("kb"))
     links = pairs.groupBy("ka", "kb").applyInPandas(functools.partial(_compare, width=width, radius=radius), "a long, b long")
-    named = reps.join(components(links), "node", "left").select(*f, "first", F.coalesce("root", "node").alias("root"))
+    found = components(links)
+    if verify is not None:
+        found = components(verify(reps, found))
+    named = reps.join(found, "node", "left").select(*f, "first", F.coalesce("root", "node").alias("root"))
     named = written(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return named.join(least, "root").select(*f, "component_id")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, width: int = 1) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, width: int = 1, similarity: float | None = None) -> DataFrame:
     """(id_col, fingerprint, component_id) of each row; the fingerprint in 16 hex digits a 64-bit word.
 
     component_id is the smallest id that links reach. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col, words, width), "simhash-prints")
     f = [f"f{k}" for k in range(width)]
-    named = near(prints, width, radius)
+    verify = None if similarity is None else lambda reps, found: _verified(docs, id_col, text_col, reps, found, words, width, similarity)
+    named = near(prints, width, radius, verify)
     digits = F.concat(*(F.lower(F.lpad(F.hex(x), 16, "0")) for x in reversed(f)))
     return prints.join(named, f).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")

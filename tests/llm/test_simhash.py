@@ -60,3 +60,44 @@ def test_wide_prints_find_edited_copies(spark):
     rows += [(100 + i, " ".join(base[: 50 + i] + ["edit"] + base[51 + i :])) for i in range(10)]
     got = {r.doc_id: r.component_id for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), width=4, radius=41).collect()}
     assert all(got[100 + i] == 100 for i in range(10)) and all(got[i] == i for i in range(20))
+
+
+def test_similarity_is_exact(spark):
+    rng = random.Random(9)
+    rows, sets = [], []
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(6):
+            text = base[:]
+            for _ in range(rng.choice([0, 1, 2, 3, 5, 9])):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    rows.append((5, rows[5][1]))
+    for _, t in rows:
+        p = t.split()
+        sets.append({tuple(p[i : i + 5]) for i in range(len(p) - 4)})
+    comp = list(range(len(rows)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp[max(top(i), top(j))] = min(top(i), top(j))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_components(docs, width=4, radius=52, similarity=0.8).collect()}
+    assert sum(got[d] == rows[top(i)][0] for i, (d, _) in enumerate(rows)) >= len(rows) - 3
+    assert all(got[d] >= rows[top(i)][0] for i, (d, _) in enumerate(rows))
+
+
+def test_blocks_of_one_group(spark, monkeypatch):
+    import fotolake.llm.simhash as module
+
+    monkeypatch.setattr(module, "TEXTS", 4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:i], "edit", *base[i + 1 :]])) for i in range(0, 180, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash_components(docs, width=4, radius=52, similarity=0.8).collect()} == {0}
