@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions import color, text, vector
-from fotolake.operators import catalog, lens, people, planning, stacks, stats, views
+from fotolake.operators import catalog, lens, people, planning, sensor, session, stacks, stats, views
 from fotolake.operators.predicates import Filter, Rule, Rules, count_rules, kind_of, of_source
 from fotolake.plans.shapes import FACES_SQL, HISTORY_SQL, PHOTOS_SQL, faces, history, photos, table
 
@@ -579,3 +579,57 @@ def lens_matches(spark, sf):
     """The best lens by name tokens within a focal range; tests hold it against a plain loop."""
     df = table(spark, sf, "part").select("p_partkey", "p_size", F.expr("concat('EF', cast(10 + p_size as string), '-', cast(60 + p_size * 2 as string), 'mm f/2.80 ', p_name)").alias("n"))
     return lens.find(df.select(F.col("p_partkey").alias("shot"), F.col("n").alias("name"), F.lit(1.0).alias("crop")), df.where("p_partkey % 3 = 0").select(F.col("n").alias("lens"), F.lit(1.0).alias("crop")))
+
+
+# Session and sensor -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, max(ts) AS ts FROM events GROUP BY 1 ORDER BY ts DESC, user_id LIMIT 8")
+def recently_used(spark, sf):
+    return session.recent(table(spark, sf, "events").select("user_id", "ts"), "user_id", "ts")
+
+
+STAMPS = "SELECT user_id % 20 AS cat, concat(replace(replace(substr(CAST(ts AS STRING), 1, 19), ':', ''), '/', ''), CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '' END) AS name FROM events"
+
+
+@query(f"SELECT cat, name FROM (SELECT DISTINCT * FROM ({STAMPS}) WHERE name NOT LIKE '%x') QUALIFY row_number() OVER (PARTITION BY cat ORDER BY name DESC) > 5")
+def backups_pruned(spark, sf):
+    stamps = spark.sql(STAMPS.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events")).distinct()
+    return session.stale_backups(stamps, 5, "cat")
+
+
+@query(f"{H}, s AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY id) - 1 AS pos FROM h), c AS (SELECT photo_id, max(pos) AS pos FROM s GROUP BY 1) SELECT s.photo_id, s.id, s.label FROM s JOIN c ON s.photo_id = c.photo_id AND s.pos = c.pos - 1")
+def undo_step(spark, sf):
+    h = history(spark, sf)
+    now = h.groupBy("photo_id").agg((F.count("*") - 1).alias("pos"))
+    return session.at_step(h, now, -1).select("photo_id", "id", "label")
+
+
+@query("SELECT c_custkey AS id, c_custkey AS seq FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 3 = 0) + 1 + c_custkey FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 <> 0")
+def selection_toggled(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
+    return session.toggled(c.where("id % 3 = 0"), c.where("id % 5 = 0"))
+
+
+@query("SELECT c_mktsegment AS label, CASE c_mktsegment WHEN 'BUILDING' THEN 'BAU: ILD' ELSE c_mktsegment END AS text FROM customer")
+def labels_translated(spark, sf):
+    templates = spark.createDataFrame([("BU{}ING", "BAU: {}"), ("{}:{}", "{}-{}")], "source string, target string")
+    return session.translated(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("label")), templates)
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - b) / (w - b), 9) AS v FROM (SELECT *, [1.0, 2.0, 3.0, 4.0][CAST((l_linenumber % 2) * 2 + l_orderkey % 2 + 1 AS INT)] AS b, [50.0, 60.0, 70.0, 80.0][CAST((l_linenumber % 2) * 2 + l_orderkey % 2 + 1 AS INT)] AS w FROM lineitem)")
+def sensor_scaled(spark, sf):
+    v = sensor.scaled(F.col("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber"), [1.0, 2.0, 3.0, 4.0], [50.0, 60.0, 70.0, 80.0])
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(v, 9).alias("v"))
+
+
+@query("WITH s AS (SELECT p_partkey, CAST(p_size * 100 AS BIGINT) AS w, CAST(1000 + p_partkey % 900 AS BIGINT) AS h FROM part), c AS (SELECT *, CASE WHEN w / h > 1.5 THEN round(h * 1.5) ELSE w END AS cw, CASE WHEN w / h > 1.5 THEN h ELSE round(w / 1.5) END AS ch FROM s) SELECT p_partkey, CAST(floor((w - cw) / 2) AS BIGINT) AS x, CAST(floor((h - ch) / 2) AS BIGINT) AS y, CAST(cw AS BIGINT) AS w, CAST(ch AS BIGINT) AS h FROM c")
+def aspect_crops(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", sensor.aspect_crop((F.col("p_size") * 100).cast("double"), (1000 + F.col("p_partkey") % 900).cast("double"), F.lit(1.5)).alias("r"))
+    return p.select("p_partkey", "r.x", "r.y", "r.w", "r.h")
+
+
+@query("SELECT event_id, substr(props, 1, 0) || regexp_replace(props, '[^0-9]', '', 'g') AS digits, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def props_parsed(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.regexp_replace("props", "[^0-9]", "").alias("digits"), F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
