@@ -86,3 +86,23 @@ def apply_matrix(m: list[list[float]], r: Column, g: Column, b: Column) -> tuple
 def ev_of(exposure: Column, iso: Column, fnumber: Column) -> Column:
     """Light received, in stops; null if a value is missing or not positive."""
     return F.when((exposure > 0) & (iso > 0) & (fnumber > 0), F.log2(exposure) + F.log2(iso / 100.0) - 2 * F.log2(fnumber))
+
+
+def point_weight(hue: Column, sat: Column, lum: Column, at: tuple[float, float, float], ranges: tuple[float, float, float]) -> Column:
+    """Influence of a picked colour: a product of smooth windows of hue (degrees), saturation and lightness distance.
+
+    Ranges are half-widths. Near grey, hue says nothing: it does not count for a grey pick, and fades out for grey pixels.
+    """
+    apart = F.abs(F.pmod(hue - at[0] + 180.0, F.lit(360.0)) - 180.0)
+
+    def window(d: Column, r: float) -> Column:
+        t = F.least(F.abs(d) / r, F.lit(1.0))
+        return F.pow(1 - t * t, F.lit(2.0))
+
+    near = F.lit(1.0) if at[1] < 0.06 else window(apart, ranges[0]) * smoothstep(0.0, 0.05, sat)
+    return near * window(sat - at[1], ranges[1]) * window(lum - at[2], ranges[2])
+
+
+def stretched(v: Column, black: float, white: float) -> Column:
+    """A linear value with black and white points taken to 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - black) / (white - black)))

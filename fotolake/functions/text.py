@@ -131,3 +131,19 @@ def signed_number(v: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2)).otherwise(F.format_string("%.2f GB", n / 1024**3))
+
+
+def caption(kind: str) -> Column:
+    """A print caption: none, file, title (the file name if empty) or exif, from the photo's columns."""
+    title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(F.col("file_name"))
+    shutter = F.when(F.col("exposure") < 1, F.concat(F.lit("1/"), F.round(1 / F.col("exposure")).cast("int").cast("string"))).otherwise(F.round("exposure", 1).cast("string"))
+    exif = F.concat_ws("  ", F.col("model"), F.concat(F.round("focal", 0).cast("int").cast("string"), F.lit(" mm")), F.concat(F.lit("f/"), F.round("fnumber", 1).cast("string")), F.concat(shutter, F.lit(" s")), F.concat(F.lit("ISO "), F.col("iso").cast("string")))
+    return {"none": F.lit(""), "file": F.col("file_name"), "title": title, "exif": exif}[kind]
+
+
+def expand_tokens(template: str, values: dict[str, Column]) -> Column:
+    """A text with `{token}` replaced one after another, empty for missing values."""
+    out: Column = F.lit(template)
+    for token, value in values.items():
+        out = F.replace(out, F.lit("{" + token + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
