@@ -449,10 +449,10 @@ def export_skipping(spark, sf):
     return planning.export_paths(items, df.select("path"), "skip")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 100 AS BIGINT) AS w, CAST(l_extendedprice AS BIGINT) AS h FROM lineitem)
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) * 100 AS BIGINT) AS w, CAST(floor(l_extendedprice) AS BIGINT) AS h FROM lineitem)
 SELECT l_orderkey, l_linenumber, greatest(CAST(round(w * k) AS BIGINT), 1) AS out_w, greatest(CAST(round(h * k) AS BIGINT), 1) AS out_h FROM (SELECT *, least(2000.0::DOUBLE / greatest(w, h), 1.0::DOUBLE) AS k FROM s)""")
 def export_sizes(spark, sf):
-    s = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(round(l_quantity * 100) as bigint)").alias("w"), F.expr("cast(round(l_extendedprice) as bigint)").alias("h"))
+    s = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(floor(l_quantity) * 100 as bigint)").alias("w"), F.expr("cast(floor(l_extendedprice) as bigint)").alias("h"))
     w, h = planning.target_size(F.col("w"), F.col("h"), "long_edge", 2000, enlarge=False)
     return s.select("l_orderkey", "l_linenumber", w.alias("out_w"), h.alias("out_h"))
 
@@ -518,10 +518,10 @@ def exposure_ratios(spark, sf):
     return stats.exposure_ratio(cells, ["image"]).withColumn("median", F.round("median", 9))
 
 
-@query("SELECT l_partkey AS pixel, round(CASE WHEN sum(w) > 0 THEN sum(l_extendedprice * w) / sum(w) ELSE arg_min(l_extendedprice, o) END, 4) AS value FROM (SELECT *, CASE WHEN l_discount > 0.05 THEN 0 ELSE l_quantity END AS w, l_orderkey * 10 + l_linenumber AS o FROM lineitem) GROUP BY 1")
+@query("SELECT l_partkey AS pixel, round(CASE WHEN sum(w) > 0 THEN sum(l_extendedprice * w) / sum(w) ELSE arg_min(l_extendedprice, o) END, 1) AS value FROM (SELECT *, CASE WHEN l_discount > 0.05 THEN 0 ELSE l_quantity END AS w, l_orderkey * 10 + l_linenumber AS o FROM lineitem) GROUP BY 1")
 def exposures_merged(spark, sf):
     s = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("pixel"), F.col("l_extendedprice").alias("value"), F.when(F.col("l_discount") > 0.05, 0.0).otherwise(F.col("l_quantity")).alias("w"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    return stats.weighted_merge(s, ["pixel"], "value", "w", "o").withColumn("value", F.round("value", 4))
+    return stats.weighted_merge(s, ["pixel"], "value", "w", "o").withColumn("value", F.round("value", 1))
 
 
 @query("SELECT event_id, round(CASE WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * pow(v, 1 / 2.4::DOUBLE) - 0.055 END, 9) AS enc, round(CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END, 9) AS dec FROM (SELECT event_id, (event_id % 1001) / 1000.0::DOUBLE AS v FROM events)")
