@@ -80,3 +80,13 @@ def sigmoid(x):
     import numpy as np
 
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+#: At most so many ids, of 8 bytes or a short text, are broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """`df` less the rows of `ids` (id): by broadcast of up to BROADCAST_IDS, counted first, and by shuffle beyond."""
+    ids = written(ids.select(F.col("id").alias("__gone")).where("__gone is not null").distinct(), "gone")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, col(id_col) == F.col("__gone"), "left_anti")

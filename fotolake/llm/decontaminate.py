@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import col
+from fotolake.llm.common import col, without_ids
 
 #: Placeholders, of the private use area: name, number, unit. Such characters of a text itself are dropped.
 NAME, NUMBER, UNIT = "", "", ""
@@ -77,5 +77,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """`docs` less the rows whose id is reported for any item; rows with a null id are kept."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, col(id_col) == F.col("__bad"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("id")), id_col)
