@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from fotolake.llm.common import col, texts
 
-#: Remainder pieces packed together, and distinct words whose ids a worker keeps before it starts afresh.
-RUN, CACHE = 1024, 400_000
+#: Remainder pieces packed together; distinct parts and words whose ids a worker keeps, about 300 MB, before it starts afresh.
+RUN, CACHE, WORD_CACHE = 1024, 1_000_000, 500_000
 
 
 #: Fixed values of byte-level BPE files: how the library cuts a text into words, and the bytes that stand for themselves.
@@ -45,21 +45,34 @@ class Odd(Exception):  # noqa: N818
     """A part that cannot be encoded apart from its neighbours."""
 
 
-class Parts(dict):
-    """Ids of a space and a part, learnt when first asked for."""
+class Words(dict):
+    """Ids of a word as the pattern cuts it, learnt when first asked for."""
 
     def __init__(self, model) -> None:
         others = (b for b in range(256) if b not in PLAIN_BYTES)
-        self.model, self.words = model, regex.compile(WORDS)
+        self.tokenize = model.tokenize
         self.letters = {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(others)}
 
+    def __missing__(self, word: str) -> bytes:
+        found = [t.id for t in self.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[word] = out = struct.pack(f"<{len(found)}I", *found)
+        return out
+
+
+class Parts(dict):
+    """Ids of a space and a part, learnt when first asked for."""
+
+    def __init__(self, model) -> None:
+        self.words, self.cut = Words(model), regex.compile(WORDS).findall
+
     def __missing__(self, part: str) -> bytes:
         if not part or part[-1].isspace():
             raise Odd
-        found = [t.id for w in self.words.findall(" " + part) for t in self.model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
         if len(self) >= CACHE:
             self.clear()
-        self[part] = out = struct.pack(f"<{len(found)}I", *found)
+        self[part] = out = b"".join(map(self.words.__getitem__, self.cut(" " + part)))
         return out
 
 
@@ -146,7 +159,7 @@ def windows(sizes: list[int], capacity: int) -> list[int]:
         most = int(np.bincount(window, weights=sizes, minlength=k).max()) if sizes else 0
         if most <= capacity:
             return window
-        k += (most - capacity) * k // (4 * capacity)
+        k += max(k // 100, (most - capacity) * k // (4 * capacity))
 
 
 def _run(pieces: list[tuple], capacity: int, first: int) -> tuple[list[tuple], int]:
