@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotolake.llm import quality
-from fotolake.llm.common import table, written
+from fotolake.llm.common import table, without_ids, written
 from fotolake.llm.decontaminate import without_leaks
 from fotolake.llm.packing import pack
 from fotolake.llm.queries import TOKENIZER
@@ -33,12 +33,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null id belong to no group that could name them, and stay.
     """
-    named = simhash_components(docs, words=WORDS, radius=RADIUS, width=WIDTH, similarity=SIMILARITY)
-    kept = written(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    repeated = docs.join(written(kept.where("__rows > 1"), "repeated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
-    repeated = repeated.select(*(F.col(f"__row.{c}") if c != "doc_id" else F.col(c) for c in docs.columns))
-    return docs.join(kept.where("__rows = 1"), "doc_id", "left_semi").select(docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    named = written(simhash_components(docs, words=WORDS, radius=RADIUS, width=WIDTH, similarity=SIMILARITY), "named")
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    ids = named.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first"), F.count("*").alias("rows"))
+    ids = written(ids.where("not first or rows > 1"), "copies")
+    once = without_ids(docs, ids.select(F.col("doc_id").alias("id")), "doc_id")
+    repeated = docs.join(written(ids.where("first"), "repeated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("__row"))
+    return once.unionByName(repeated.select(*(F.col(f"__row.{c}") if c != "doc_id" else F.col(c) for c in docs.columns)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ A text is lower-cased in A-Z, cut into words at ASCII white space and into shing
 further 64-bit words from fixed mixes of that hash. A bit is 1 if it is set in over half the hashes. Fingerprints that
 differ in at most `radius` bits are linked.
 
-Comparison is exact. Distinct fingerprints are grouped by population count, large groups split by hash into blocks, and
+Comparison is exact. Distinct fingerprints are put into blocks by population count, counts with many of them split by hash, and
 each pair of blocks whose counts lie within the radius is one task, of bounded size. A task sorts both blocks by the
 population counts of four segments, cuts them into tiles, skips tile pairs whose counts must differ by more than the
 radius, and compares the rest by exclusive-or and bit counts. It returns a spanning forest of its links, not the links, so
@@ -37,11 +37,13 @@ from fotolake.llm.common import col, texts, written
 from fotolake.llm.components import components
 
 SEED = 42
-#: A block holds a 32nd of the distinct fingerprints, within these bounds; two blocks of the upper one take 17 MB.
-BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 32, 1024, 1 << 19
+#: A block holds a 24th of the distinct fingerprints, within these bounds; two blocks of the upper one take 17 MB a word.
+BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 24, 1024, 1 << 19
 TILE = 512
 #: Texts of a candidate component in a block of exact comparison, and columns of an incidence matrix at a time.
 TEXTS, COLUMNS = 512, 8192
+#: At most so many candidates, of about 64 bytes, are broadcast to the texts; more are joined by shuffle.
+BROADCAST_CANDIDATES = 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -217,13 +219,33 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, foun
     f = [f"f{k}" for k in range(width)]
     count = found.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"))
     wanted = written(found.join(count, "root").join(reps, "node").where("first is not null").select(F.col("first").alias("id"), "node", "root", "k", *f), "simhash-candidates")
-    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(wanted, "id").select("node", "root", "k", "text", *f)
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CANDIDATES else wanted
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(few, "id").select("node", "root", "k", "text", *f)
     sets = rows.mapInArrow(functools.partial(_shingles, words=words, width=width), "node long, root long, k int, hashes binary")
     sets = sets.withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     sets = sets.select("node", "root", "hashes", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"))
     return sets.groupBy("root", "lo", "hi").applyInPandas(functools.partial(_similar, similarity=similarity), "a long, b long")
 
 
+def blocks(sizes: dict[int, int], bits: int, radius: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """For each population count: its first block, its number of blocks, and the first and last block within the radius.
+
+    Consecutive counts share a block until it is full; a count with more fingerprints than a block has several.
+    """
+    block = min(BLOCK_MOST, max(BLOCK_LEAST, sum(sizes.values()) // BLOCK_SHARE))
+    first, splits, ranges, fill = [0] * (bits + 1), [1] * (bits + 1), [], 0
+    for p in range(bits + 1):
+        n = sizes.get(p, 0)
+        if not ranges or fill + n > block:
+            first[p], splits[p], fill = len(ranges), max(1, -(-n // block)), n if n <= block else block
+            ranges += [[p, p] for _ in range(splits[p])]
+        else:
+            first[p], fill = len(ranges) - 1, fill + n
+            ranges[-1][1] = p
+    near = [[i for i, (low, high) in enumerate(ranges) if low <= own[1] + radius and high >= own[0] - radius] for own in (ranges[first[p]] for p in range(bits + 1))]
+    return first, splits, [x[0] for x in near], [x[-1] for x in near]
+
+
 def near(prints: DataFrame, width: int, radius: int, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ...).
 
@@ -233,14 +255,10 @@ def near(prints: DataFrame, width: int, radius: int, verify: Callable[[DataFrame
     reps = written(prints.groupBy(*f).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
     ones = functools.reduce(lambda x, y: x + y, (F.bit_count(x) for x in f))
     sizes = {r["p"]: r["count"] for r in reps.groupBy(ones.alias("p")).count().collect()}  # at most 64 * width + 1 rows
-    block = min(BLOCK_MOST, max(BLOCK_LEAST, sum(sizes.values()) // BLOCK_SHARE))
-    splits = [-(-sizes.get(p, 0) // block) for p in range(64 * width + 1)]
-    counts = F.array(*map(F.lit, splits))
-    at = reps.withColumn("p", ones).withColumn("block", F.col("p") * (1 << 20) + F.pmod(F.xxhash64("node"), F.get(counts, F.col("p"))).cast("int"))
-    other = F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - radius), F.least(F.lit(64 * width), F.col("p") + radius)))
-    pairs = at.withColumn("q", other).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(max([1, *splits]) - 1)))).where(F.col("s") < F.get(counts, F.col("q")))
-    pairs = pairs.withColumn("to", F.col("q") * (1 << 20) + F.col("s"))
-    pairs = pairs.select(*f, "node", "block", F.least("block", "to").alias("ka"), F.greatest("block", "to").alias("kb"))
+    block_of, splits, first, last = blocks(sizes, 64 * width, radius)
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("p"))
+    at = reps.withColumn("p", ones).select(*f, "node", (of(block_of) + F.pmod(F.xxhash64("node"), of(splits))).cast("int").alias("block"), F.explode(F.sequence(of(first), of(last))).alias("to"))
+    pairs = at.select(*f, "node", "block", F.least("block", "to").alias("ka"), F.greatest("block", "to").alias("kb"))
     links = pairs.groupBy("ka", "kb").applyInPandas(functools.partial(_compare, width=width, radius=radius), "a long, b long")
     found = components(links)
     if verify is not None:

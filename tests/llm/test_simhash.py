@@ -101,3 +101,17 @@ def test_blocks_of_one_group(spark, monkeypatch):
     rows = [(i, " ".join([*base[:i], "edit", *base[i + 1 :]])) for i in range(0, 180, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component_id for r in simhash_components(docs, width=4, radius=52, similarity=0.8).collect()} == {0}
+
+
+def test_blocks_cover_the_radius():
+    from fotolake.llm.simhash import blocks
+
+    rng = random.Random(1)
+    for radius in (0, 4, 52):
+        sizes = {p: rng.randrange(4000) for p in range(100, 150) if rng.random() < 0.8}
+        first, splits, low, high = blocks(sizes, 256, radius)
+        for p in sizes:
+            for q in sizes:
+                if abs(p - q) <= radius:
+                    assert low[p] <= first[q] and first[q] + splits[q] - 1 <= high[p]
+        assert all(low[p] <= first[p] <= high[p] for p in range(257))
