@@ -12,7 +12,8 @@ radius, and compares the rest by exclusive-or and bit counts. It returns a spann
 that a group of thousands of copies gives thousands of rows. The number of comparisons still grows with the square of
 the distinct fingerprints, as the method has it; see the README for figures.
 
-With a `similarity`, linked fingerprints are only candidates: within each candidate component, cut by hash into blocks, the
+With a `similarity`, fingerprints count each distinct shingle once, as that similarity does, and a bit set in just half the
+hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates: within each candidate component, cut by hash into blocks, the
 texts' shingle sets are compared as incidence matrices, pair of blocks by pair of blocks, and pairs of that Jaccard
 similarity or more are the links. Texts of equal fingerprints count as equal.
 
@@ -68,9 +69,10 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str, words: int, width: int = 1) -> list[int]:
-    """`width` 64-bit words as signed integers."""
+def fingerprint(text: str, words: int, width: int = 1, distinct: bool = False) -> list[int]:
+    """`width` 64-bit words as signed integers; `distinct`: of each shingle once, ties as the hashes' sum has it."""
     h = shingle_hashes(text, words)
+    h = np.unique(h) if distinct else h
     if not len(h):
         return [0] * width
     out = []
@@ -79,24 +81,28 @@ def fingerprint(text: str, words: int, width: int = 1) -> list[int]:
         for at in range(0, len(h), 1 << 16):
             part = mixed(h[at : at + (1 << 16)], k)
             count += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if distinct:
+            count = count * 2 + np.unpackbits(mixed(h.sum(keepdims=True), k).view(np.uint8), bitorder="little")
+            out.append(int(np.packbits(count > len(h), bitorder="little").view(np.int64)[0]))
+            continue
         out.append(int(np.packbits(count * 2 > len(h), bitorder="little").view(np.int64)[0]))
     return out
 
 
-def _fingerprints(batches: Iterable[pa.RecordBatch], words: int, width: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterable[pa.RecordBatch], words: int, width: int, distinct: bool, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for ids, docs in texts(batches):
-        found = [fingerprint(t, words, width) for t in docs]
+        found = [fingerprint(t, words, width, distinct) for t in docs]
         yield pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array([f[k] for f in found], pa.int64()) for k in range(width))], ["id", *(f"f{k}" for k in range(width))])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, width: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, width: int = 1, distinct: bool = False) -> DataFrame:
     """(id, f0, ...): the fingerprint of each row, as signed 64-bit words."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     src = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *(T.StructField(f"f{k}", T.LongType()) for k in range(width))])
     kind = to_arrow_type(src.schema["id"].dataType)
-    return src.mapInArrow(functools.partial(_fingerprints, words=words, width=width, kind=kind), schema)
+    return src.mapInArrow(functools.partial(_fingerprints, words=words, width=width, distinct=distinct, kind=kind), schema)
 
 
 class Forest:
@@ -182,7 +188,7 @@ def _shingles(batches: Iterable[pa.RecordBatch], words: int, width: int) -> Iter
         for at in range(0, batch.num_rows, 256):
             rows = []
             for node, root, k, text, *f in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                if fingerprint(text or "", words, width) == f:
+                if fingerprint(text or "", words, width, distinct=True) == f:
                     rows.append((node, root, k, np.unique(shingle_hashes(text or "", words)).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
@@ -274,7 +280,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id that links reach. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, width), "simhash-prints")
+    prints = written(fingerprints(docs, id_col, text_col, words, width, similarity is not None), "simhash-prints")
     f = [f"f{k}" for k in range(width)]
     verify = None if similarity is None else lambda reps, found: _verified(docs, id_col, text_col, reps, found, words, width, similarity)
     named = near(prints, width, radius, verify)

@@ -115,3 +115,20 @@ def test_blocks_cover_the_radius():
                 if abs(p - q) <= radius:
                     assert low[p] <= first[q] and first[q] + splits[q] - 1 <= high[p]
         assert all(low[p] <= first[p] <= high[p] for p in range(257))
+
+
+def test_no_similar_pair_is_missed(spark):
+    """Short texts, repeated lines and edits under the pipeline's parameters: each pair, alone, is a component if and only if similar."""
+    import corpus_pipeline as c
+
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    edits = [lambda w: w[:-1], lambda w: [*w, *fresh(1)], lambda w: [*fresh(1), *w[1:]], lambda w: [*w[: len(w) // 2], *fresh(1), *w[len(w) // 2 + 1 :]]]
+    repeats = [lambda w, k=k: w + w[40:60] * k for k in (3, 5, 10)] + [lambda w, k=k: w[:-k] + fresh(k) for k in (11, 22)]
+    pairs = [(w, edit(w)) for _ in range(15) for sizes, kinds in (((5, 6, 8, 9, 12, 13, 30, 200), edits), ((204,), repeats)) for n in sizes for edit in kinds for w in [fresh(n)]]
+    grams = lambda p: {tuple(p[i : i + 5]) for i in range(len(p) - 4)} or {tuple(p)}
+    rows = [(2 * i + j, " ".join(t)) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), words=c.WORDS, radius=c.RADIUS, width=c.WIDTH, similarity=c.SIMILARITY).collect()}
+    for i, (a, b) in enumerate(pairs):
+        similar = len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+        assert got[2 * i + 1] == 2 * i + (not similar), (len(a), len(b))
