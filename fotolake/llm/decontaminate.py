@@ -1,21 +1,23 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Text is canonicalised to a template: numbers, units after numbers, and names (capitalised words after a
-word that ends no sentence) become
+Text is canonicalised to a template: numbers, units after numbers, and names (capitalised words, wherever they stand) become
 typed placeholders; other words are lower-cased and stripped of all but letters and digits, so that punctuation glued to
-words does not matter. Beside the template stands the sequence of values, word for word. Windows of `window` template
-words of the benchmark are hashed and joined to those of all documents; matches are gathered by document, item and offset.
+words does not matter. A second template has names as plain words, for texts in other case. Beside the templates stands the
+sequence of values, word for word. Runs of half a `window` of template words of the benchmark are hashed and joined to those
+of all documents; two runs that match at one offset and span `window` words are a matched window.
 
-Along an offset, each value of the item's slots must stand against one value of the document throughout, and the reverse:
-then the passage is a copy ("exact") or re-parameterised ("reparameterised"); where slots contradict each other it is not
-the same question. A document is reported for an item if consistent matches at one offset cover at least `coverage` of the
-item's windows.
+Matches of a document's text and an item are taken together by offset, and in overlapping bands of offsets, so that inserted
+and deleted words lose only what they touch. There, each value of the item's slots must stand against one value of the
+document; several may stand against the same. Windows whose slots contradict each other do not count. A document is reported
+for an item if matched windows are at least `coverage` of the item's windows, or if no number or unit is contradicted and
+matched runs hold at least `word_coverage` of the item's words and `window` words: as a copy ("exact") or re-parameterised
+("reparameterised").
 
 Plan: documents are scanned once, their windows exploded and probed against the benchmark's inside one stage if those are at
 most BROADCAST_ROWS rows (counted first), and joined by shuffle otherwise. Only matches are shuffled.
 
 Nulls and ties: null or empty texts, and texts under `window` words, have no windows and match nothing. Rows of one id are
-taken together; items or documents with a null id take part under the null id. Repeated items match alike. An empty table
+reported together, but different texts of theirs are matched apart; items or documents with a null id take part under the null id. Repeated items match alike. An empty table
 gives an empty result.
 """
 
@@ -44,35 +46,74 @@ def template(text: Column) -> tuple[Column, Column]:
     return words(typed, NAME + NUMBER + UNIT), words(clean, "")
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(id, words, typed, values, at, h): a row for each template window."""
+def windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> DataFrame:
+    """(id, text_hash, words, typed, plain, values, at, h): a row for each run of `seed` template words, or two if it has names.
+
+    `plain` is the template with names as lower-case words.
+    """
     src = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     typed, values = template(F.col("text"))
     # Exploding an array of one keeps filters above it, so that a text is canonicalised once.
-    src = src.select("id", F.explode(F.array(F.struct(typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.typed", "s.values")
+    src = src.select("id", F.explode(F.array(F.struct(F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.*")
     src = src.withColumn("words", F.size("typed")).where(F.col("words") >= window)
-    out = src.select("id", "words", "typed", "values", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.col("words") - window)
-    return out.withColumn("h", F.xxhash64(*(F.get("typed", F.col("at") + i) for i in range(window)))).drop("word")
+    src = src.select("*", F.col("typed").alias("plain"))
+    out = src.select("*", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.col("words") - seed).drop("word")
+    typed, plain = (F.xxhash64(*(F.get(c, F.col("at") + i) for i in range(seed))) for c in ("typed", "plain"))
+    return out.select("*", F.explode(F.when(typed == plain, F.array(typed)).otherwise(F.array(typed, plain))).alias("h"))
+
+
+def _slots(runs: Column, kinds: str) -> Column:
+    """The distinct (item value, document value) of the runs' slots of those kinds."""
+    slots = F.filter(F.flatten(F.transform(runs, lambda r: r["slots"])), lambda x: x["t"].rlike(f"[{kinds}]"))
+    return F.array_distinct(F.transform(slots, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+
+
+def _contradicted(slots: Column) -> Column:
+    """The item values that stand against several document values."""
+    return F.transform(F.filter(slots, lambda x: F.exists(slots, lambda y: (y["a"] == x["a"]) != (y["b"] == x["b"]))), lambda x: x["a"])
+
+
+def _without(runs: Column, values: Column) -> Column:
+    """The runs without slots of those item values; an unchanged name contradicts nothing."""
+    return F.filter(runs, lambda r: ~F.exists(r["slots"], lambda x: F.array_contains(values, x["a"]) & ~(x["t"].contains(NAME) & (x["a"] == x["b"]))))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, coverage: float = 0.3) -> DataFrame:
-    """(id_col, item_col, n_windows, n_matched, coverage, kind): the best consistent offset of each document and item."""
-    cut = lambda c, at: F.slice(c, at + 1, window)
-    items = windows(benchmark, item_col, item_text_col, window).select(F.col("id").alias("item"), (F.col("words") - window + 1).alias("n_windows"), F.col("at").alias("item_at"), "h", cut("typed", F.col("at")).alias("item_typed"), cut("values", F.col("at")).alias("item_values")).distinct()
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, coverage: float = 0.3, word_coverage: float = 0.6) -> DataFrame:
+    """(id_col, item_col, n_windows, n_matched, coverage, word_coverage, kind): the best match of each document and item."""
+    seed, slot = (window + 1) // 2, NAME + NUMBER + UNIT
+    cut = lambda c: F.slice(c, F.col("at") + 1, seed)
+    # A row of each template; where both have the same words, one goes.
+    items = windows(benchmark, item_col, item_text_col, window, seed).drop("h").select("*", F.explode(F.array(cut("typed"), cut("plain"))).alias("item_run"))
+    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), "item_run", cut("values").alias("item_values"), F.xxhash64(*(F.get("item_run", F.lit(i)) for i in range(seed))).alias("h")).distinct()
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    found = windows(docs, id_col, text_col, window).join(items, "h")
+    found = windows(docs, id_col, text_col, window, seed).join(items, "h")
     # The template words are compared too, so a hash is never trusted alone.
-    found = found.where(cut("typed", F.col("at")) == F.col("item_typed"))
-    slots = F.filter(F.transform(F.arrays_zip(F.col("item_typed").alias("t"), F.col("item_values").alias("a"), cut("values", F.col("at")).alias("b")), lambda x: F.when(x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]"), F.struct(x["a"].alias("a"), x["b"].alias("b")))), lambda x: x.isNotNull())
-    found = found.select("id", "item", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), slots.alias("slots"))
-    by = found.groupBy("id", "item", "n_windows", "offset").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    side = lambda k: F.size(F.array_distinct(F.transform("slots", lambda x: x[k])))
-    by = by.withColumn("n_matched", F.size("places")).where((side("a") == F.size("slots")) & (side("b") == F.size("slots")))
-    by = by.withColumn("exact", ~F.exists("slots", lambda x: x["a"] != x["b"])).where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
-    best = by.groupBy("id", "item", "n_windows").agg(F.max(F.struct("n_matched", "exact")).alias("best"))
+    found = found.where((cut("typed") == F.col("item_run")) | (cut("plain") == F.col("item_run")))
+    pairs = F.arrays_zip(F.col("item_run").alias("t"), F.col("item_values").alias("a"), cut("values").alias("b"))
+    slots = F.filter(pairs, lambda x: x["t"].rlike(f"[{slot}]"))
+    found = found.select("id", "text_hash", "item", "item_hash", "item_words", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", slots.alias("slots"))
+    # A run is taken with those of its own offset, and with those of two bands of offsets, each twice as wide as the item.
+    band = F.floor(F.col("offset") / F.col("item_words")).cast("int")
+    place = lambda wide, at: F.struct(F.lit(wide).alias("wide"), at.alias("at"))
+    found = found.withColumn("place", F.explode(F.array(place(0, F.col("offset")), place(1, band), place(1, band - 1))))
+    by = found.groupBy("id", "text_hash", "item", "item_hash", "item_words", "place").agg(F.collect_set(F.struct("item_at", "offset", "slots")).alias("runs"))
+    by = by.where(F.size("runs") * seed >= window)
+    # Whole windows are those whose two ends match at one offset; windows with a contradicted slot do not count.
+    ends = lambda r: F.filter("runs", lambda q: (q["offset"] == r["offset"]) & (q["item_at"] == r["item_at"] + (window - seed)))
+    whole = F.flatten(F.transform("runs", lambda r: F.transform(ends(r), lambda q: F.struct(r["item_at"].alias("item_at"), F.concat(r["slots"], q["slots"]).alias("slots")))))
+    by = by.select("*", F.explode(F.array(whole)).alias("whole"))
+    by = by.select("*", F.explode(F.array(F.struct(_contradicted(_slots(F.col("whole"), slot)).alias("whole"), _contradicted(_slots(F.col("runs"), NAME)).alias("names"), F.size(_contradicted(_slots(F.col("runs"), NUMBER + UNIT))).alias("numbers")))).alias("bad"))
+    by = by.select("*", F.explode(F.array(F.struct(_without(F.col("whole"), F.col("bad.whole")).alias("whole"), _without(F.col("runs"), F.col("bad.names")).alias("runs")))).alias("good"))
+    count = lambda runs, size: F.size(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["item_at"], r["item_at"] + (size - 1))))))
+    by = by.withColumn("n_windows", F.col("item_words") - window + 1).withColumn("n_matched", count("good.whole", 1)).withColumn("n_words", count("good.runs", seed))
+    by_windows = (F.size("bad.whole") == 0) & (F.col("n_matched") > 0) & (F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
+    by_words = (F.col("bad.numbers") == 0) & (F.col("n_words") >= F.greatest(F.lit(float(window)), F.lit(word_coverage) * F.col("item_words")))
+    exact = lambda runs: ~F.exists(runs, lambda r: F.exists(r["slots"], lambda x: x["a"] != x["b"]))
+    by = by.where(by_windows | by_words).withColumn("exact", F.when(by_windows, exact("good.whole")).otherwise(exact("good.runs")))
+    best = by.groupBy("id", "item", "n_windows").agg(F.max(F.struct("n_matched", "exact", (F.col("n_words") / F.col("item_words")).alias("words"))).alias("best"))
     kind = F.when(F.col("best.exact"), "exact").otherwise("reparameterised")
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("long").alias("n_windows"), F.col("best.n_matched").cast("long").alias("n_matched"), F.round(F.col("best.n_matched") / F.col("n_windows"), 6).alias("coverage"), kind.alias("kind"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("long").alias("n_windows"), F.col("best.n_matched").cast("long").alias("n_matched"), F.round(F.col("best.n_matched") / F.col("n_windows"), 6).alias("coverage"), F.round("best.words", 6).alias("word_coverage"), kind.alias("kind"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -52,3 +52,37 @@ def test_planted_and_brute_force(spark):
     left = {r.doc_id for r in without_leaks(df, bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in got if d is not None}
     assert contaminated(df.limit(0), bench).collect() == contaminated(df, bench.limit(0)).collect() == []
+
+
+def found(spark, docs, items):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+PLAIN = "a farmer brings some corn to the mill and asks how many bags of flour it will give him before winter"
+
+
+def test_lightly_edited_copies(spark):
+    """Inserted and substituted words; other texts and texts of the item's words in another order stay clear."""
+    rng = random.Random(8)
+    docs = []
+    for edits in (1, 2, 3):
+        for _ in range(10):
+            more, other = PLAIN.split(), PLAIN.split()
+            for at in sorted(rng.sample(range(1, 20), edits), reverse=True):
+                more.insert(at, "really")
+            for at in (rng.choice((0, 5, 6)), 10, 16)[:edits]:
+                other[at] = "rather"
+            docs += [(len(docs) + i, f"some words before {' '.join(w)} and some after it") for i, w in enumerate((more, other))]
+    shuffled = PLAIN.split()
+    rng.shuffle(shuffled)
+    docs += [(900, " ".join(shuffled)), (901, "the mill and asks how many people come to see it before noon or after dark in the long summer")]
+    got = found(spark, docs, [(0, PLAIN)])
+    # Three inserted words may leave too little of a text of 20.
+    assert [d for d, _ in docs[:40] if (d, 0) not in got] == [] and sum((d, 0) not in got for d, _ in docs[40:60]) <= 6
+    assert (900, 0) not in got and (901, 0) not in got
+
+
+def test_longer_names(spark):
+    got = found(spark, [(1, ITEM.replace("Anna", "Berta Maria")), (2, ITEM.replace("Anna", "Anna Maria").replace("40", "70"))], [(0, ITEM)])
+    assert got.keys() == {(1, 0), (2, 0)} and got[2, 0].kind == "reparameterised"
