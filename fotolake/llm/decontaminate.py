@@ -39,7 +39,7 @@ def template(text: Column) -> tuple[Column, Column]:
     """(template words, values) of a text, of equal length."""
     clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
     # Each pattern starts with what is rare, and looks behind only from there.
-    typed = F.regexp_replace(clean, r"\p{Lu}(?<=[^\s.!?:]\s[\"'(]{0,1}\p{Lu})\p{Ll}+", NAME)
+    typed = F.regexp_replace(clean, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+", NAME)
     typed = F.regexp_replace(typed, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*", NUMBER)
     typed = F.regexp_replace(typed, rf"{NUMBER}([^\p{{L}}\p{{N}}\s]{{0,4}}\s?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
     words = lambda c, keep: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{keep}\s]+", "")), r"\s+", " ")), " ")
@@ -56,7 +56,8 @@ def windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -
     # Exploding an array of one keeps filters above it, so that a text is canonicalised once.
     src = src.select("id", F.explode(F.array(F.struct(F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.*")
     src = src.withColumn("words", F.size("typed")).where(F.col("words") >= window)
-    src = src.select("*", F.col("typed").alias("plain"))
+    plain = F.zip_with("typed", "values", lambda t, v: F.when(t.contains(NAME), v).otherwise(t))
+    src = src.select("*", F.explode(F.array(plain)).alias("plain"))
     out = src.select("*", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.col("words") - seed).drop("word")
     typed, plain = (F.xxhash64(*(F.get(c, F.col("at") + i) for i in range(seed))) for c in ("typed", "plain"))
     return out.select("*", F.explode(F.when(typed == plain, F.array(typed)).otherwise(F.array(typed, plain))).alias("h"))

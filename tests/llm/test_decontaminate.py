@@ -86,3 +86,13 @@ def test_lightly_edited_copies(spark):
 def test_longer_names(spark):
     got = found(spark, [(1, ITEM.replace("Anna", "Berta Maria")), (2, ITEM.replace("Anna", "Anna Maria").replace("40", "70"))], [(0, ITEM)])
     assert got.keys() == {(1, 0), (2, 0)} and got[2, 0].kind == "reparameterised"
+
+
+SENTENCES = "The mill is old. Seven men work there by day. Their wives bake bread at home. None of them owns a horse. They walk to town. Nobody rides."
+
+
+def test_names_do_not_hang_on_signs(spark):
+    docs = [SENTENCES.replace(".", ""), SENTENCES.replace(".", ","), SENTENCES.replace(".", ".***"), SENTENCES.lower(), SENTENCES.upper(), SENTENCES.replace("mill", "Mill")]
+    got = found(spark, list(enumerate(docs)), [(0, SENTENCES)])
+    assert {k: r.kind for k, r in got.items()} == {(i, 0): "exact" for i in range(len(docs))}
+    assert all(got[i, 0].coverage == 1 for i in range(5))
