@@ -71,7 +71,7 @@ def _slots(runs: Column, kinds: str) -> Column:
 
 def _contradicted(slots: Column) -> Column:
     """The item values that stand against several document values."""
-    return F.transform(F.filter(slots, lambda x: F.exists(slots, lambda y: (y["a"] == x["a"]) != (y["b"] == x["b"]))), lambda x: x["a"])
+    return F.transform(F.filter(slots, lambda x: F.exists(slots, lambda y: (y["a"] == x["a"]) & (y["b"] != x["b"]))), lambda x: x["a"])
 
 
 def _without(runs: Column, values: Column) -> Column:
@@ -108,7 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by = by.select("*", F.explode(F.array(F.struct(_without(F.col("whole"), F.col("bad.whole")).alias("whole"), _without(F.col("runs"), F.col("bad.names")).alias("runs")))).alias("good"))
     count = lambda runs, size: F.size(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["item_at"], r["item_at"] + (size - 1))))))
     by = by.withColumn("n_windows", F.col("item_words") - window + 1).withColumn("n_matched", count("good.whole", 1)).withColumn("n_words", count("good.runs", seed))
-    by_windows = (F.size("bad.whole") == 0) & (F.col("n_matched") > 0) & (F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
+    by_windows = (F.col("n_matched") > 0) & (F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
     by_words = (F.col("bad.numbers") == 0) & (F.col("n_words") >= F.greatest(F.lit(float(window)), F.lit(word_coverage) * F.col("item_words")))
     exact = lambda runs: ~F.exists(runs, lambda r: F.exists(r["slots"], lambda x: x["a"] != x["b"]))
     by = by.where(by_windows | by_words).withColumn("exact", F.when(by_windows, exact("good.whole")).otherwise(exact("good.runs")))

@@ -96,3 +96,13 @@ def test_names_do_not_hang_on_signs(spark):
     got = found(spark, list(enumerate(docs)), [(0, SENTENCES)])
     assert {k: r.kind for k, r in got.items()} == {(i, 0): "exact" for i in range(len(docs))}
     assert all(got[i, 0].coverage == 1 for i in range(5))
+
+
+def test_one_value_for_two_and_contradictions(spark):
+    item = "Take 3 apples and 5 pears out of the bowl beside the stove and say how much of the fruit is left"
+    long = item + " when 3 more guests come along the road from the far end of the valley with empty bags and large hopes"
+    docs = [(1, item.replace("3", "4").replace("5", "4")), (2, long.replace("3", "8", 1)), (3, item.replace("3", "8")), (3, item.replace("3", "9")), (4, "x " + item.replace("3", "8")), (4, "y " + item)]
+    got = found(spark, docs, [(0, item), (1, long)])
+    assert {d for d, i in got if i == 0} == {1, 2, 3, 4} and got[1, 0].kind == got[3, 0].kind == "reparameterised" and got[1, 0].coverage == 1
+    # Windows with the contradicted value do not count.
+    assert (2, 1) in got and 0.3 <= got[2, 1].coverage < 1
