@@ -7,7 +7,8 @@ The battery looks at the remaining tokens of 20 or more characters of `[A-Za-z0-
 from its characters (hex, base32, base62, base64, base64url). Its null hypothesis is written language in that
 alphabet, whose letter frequencies are a fixed table. Three statistics are taken, each with its mean and variance under the
 null or under randomness: chi-squared uniformity over the alphabet, runs of character classes, and serial correlation of
-character values. A token counts as random if language is rejected after false-discovery control by Benjamini and Hochberg
+character values. Of letters alone, where classes say nothing, language is tested by the letters' likelihood under the table.
+Parts of 20 or more between joiners and slashes are tested beside the whole. A token counts as random if language is rejected after false-discovery control by Benjamini and Hochberg
 over the text's candidates, weighted by their lengths, and randomness itself is not. Such a token is a span of kind
 `random`, unless it overlaps a base span.
 
@@ -41,6 +42,8 @@ HINTS = ("passw", "secret", "token", "api_key", "apikey")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Relative frequencies of letters in written language, in percent.
 LETTERS = {"e": 12.7, "t": 9.1, "a": 8.2, "o": 7.5, "i": 7.0, "n": 6.7, "s": 6.3, "h": 6.1, "r": 6.0, "d": 4.3, "l": 4.0, "c": 2.8, "u": 2.8, "m": 2.4, "w": 2.4, "f": 2.2, "g": 2.0, "y": 2.0, "p": 1.9, "b": 1.5, "v": 1.0, "k": 0.8, "j": 0.15, "x": 0.15, "q": 0.1, "z": 0.07}
+#: Least frequency at which a letter counts, in percent, for languages that use rare letters more.
+RARE = 0.5
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -112,11 +115,41 @@ def battery(token: str) -> tuple[float, float]:
     return math.exp(-x) * (1 + x), min(1.0, 3 * min(uniform_random, runs_random, serial_random))
 
 
-def tested(token: str) -> tuple[float, float]:
-    """The battery of a token, or of its longest part of 20 or more between joiners if only that can be random."""
-    whole = battery(token)
-    part = max(re.split(r"[_-]", token.rstrip("=")), key=len)
-    return max(whole, battery(part), key=lambda x: x[1]) if 20 <= len(part) < len(token) else whole
+@functools.cache
+def _written() -> tuple[dict[str, float], float, float]:
+    """Of each letter, the log of its frequency in language over that at random (rare letters as RARE), its mean and variance in language."""
+    total = sum(max(w, RARE) for w in LETTERS.values())
+    p = {c: max(w, RARE) / total for c, w in LETTERS.items()}
+    score = {c: math.log(26 * x) for c, x in p.items()}
+    mean = sum(p[c] * score[c] for c in p)
+    return score, mean, sum(p[c] * (score[c] - mean) ** 2 for c in p)
+
+
+def letters(body: str) -> tuple[float, float]:
+    """(p of language, p of randomness) of letters alone, whose case and class say little: language is told by letter frequencies."""
+    low, n = body.lower(), len(body)
+    score, mean, variance = _written()
+    language = _tail((n * mean - sum(score[c] for c in low)) / math.sqrt(n * variance))
+    squares, pairs, k = sum(c * c for c in Counter(low).values()), n * (n - 1), 1 / 26
+    uniform = _tail((squares - n - pairs * k) / math.sqrt(2 * pairs * (k - k * k)))
+    runs = 1.0
+    if not (body.islower() or body.isupper()):
+        changes = sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:]))
+        runs = min(1.0, 2 * _tail((abs(changes - (n - 1) / 2) - 0.5) / math.sqrt((n - 1) / 4)))
+    return language, min(1.0, 2 * min(uniform, runs))
+
+
+def tested(token: str, fit: float = 0.001) -> tuple[float, float]:
+    """The battery of a token, or of a part of 20 or more between joiners or slashes that is random and less like language.
+
+    The p of language is taken times the number of candidates. Letters alone are tested by `letters`.
+    """
+    body = token.rstrip("=")
+    parts = {token, *(x for joiners in ("[_-]", "/", "[_/-]") for x in re.split(joiners, body) if 20 <= len(x) < len(body))}
+    found = [letters(x.rstrip("=")) if x.rstrip("=").isalpha() else battery(x) for x in sorted(parts)]
+    random = [x for x in found if x[1] >= fit]
+    language, best = min(random) if random else max(found, key=lambda x: x[1])
+    return min(1.0, language * len(found)), best
 
 
 def discoveries(p: list[float], lengths: list[int], rate: float) -> list[bool]:
@@ -147,9 +180,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str, rate: float = 0.001, fit: float = 0.001) -> list[tuple[int, int, int]]:
     """Base spans and random tokens, by start, then kind. `rate`: false discoveries; `fit`: least p of randomness."""
     found = base_spans(text)
-    tokens = [m for m in TOKEN.finditer(text) if not m.group().isalpha() and not any(m.start() < e and s < m.end() for s, _, e in found)]
+    tokens = [m for m in TOKEN.finditer(text) if not any(m.start() < e and s < m.end() for s, _, e in found)]
     if tokens:
-        scores = [tested(m.group()) for m in tokens]
+        scores = [tested(m.group(), fit) for m in tokens]
         picked = discoveries([p for p, _ in scores], [len(m.group()) for m in tokens], rate)
         found += [(m.start(), 3, m.end()) for m, keep, (_, random) in zip(tokens, picked, scores, strict=True) if keep and random >= fit]
     return sorted(found)

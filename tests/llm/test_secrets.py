@@ -58,3 +58,16 @@ def test_rows_and_redaction(spark):
     clean = {r.doc_id: r for r in redact(df, length_col="n_chars").collect()}
     assert clean[1].text == 'é [ASSIGN]" and [ACCESS] end' and clean[1].n_chars == len(clean[1].text) and clean[None].n_chars == 54000 and clean[2].text is None
     assert scan(df.limit(0)).collect() == redact(df.limit(0)).collect() == []
+
+
+def test_letters_alone_and_paths():
+    rng = random.Random(12)
+    written = "the of and to in you that it he was for on are as with his they at be this have from or one had by word but what all were we when your can said there use each which she how".split()
+    for alphabet in (string.ascii_letters, string.ascii_uppercase, string.ascii_lowercase):
+        assert sum(bool(spans(f"x {''.join(rng.choices(alphabet, k=32))} y")) for _ in range(200)) > 180
+    glue = ["".join, "/".join, "-".join, lambda w: "".join(map(str.capitalize, w)), lambda w: "".join(w).upper()]
+    assert not any(spans(f"x {f(rng.choices(written, k=8))} y") for f in glue for _ in range(200))
+    for _ in range(100):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+        token = "/".join([*rng.choices(written, k=12), key])
+        assert [k for _, k, _ in spans(f"x {token} y")] == [3], token
