@@ -5,11 +5,13 @@ that may be left open are closed by what follows (paragraphs, list items, defini
 cells outside a row and rows outside a body get their parents; end tags close up to their element within its scope, and the
 misnested ends of formatting elements close only those.
 
-Visibility: head, script, style, template, noscript and other elements without a box are left out, and so are elements with
+Visibility: head, script, style, template, noscript and other elements without a box are left out (of SVG and MathML: titles,
+descriptions, definitions and annotations), and so are elements with
 `hidden` or `display: none`, closed details but for their summary, and texts under `visibility: hidden` unless a
 descendant is made visible again.
 
-Layout: white space collapses except in preformatted text; blocks start lines, and paragraphs, headings, lists, tables
+Layout: white space collapses except in preformatted text and textareas; options and labels of
+SVG are lines; blocks start lines, and paragraphs, headings, lists, tables
 and the like are set off by one blank line; list items get `-` or their number and are indented by depth; table cells are
 padded to their columns' widths and joined by ` | `, with column and row spans, and nested tables laid out in their cells.
 
@@ -34,7 +36,7 @@ from fotolake.llm.common import col, texts
 #: Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas svg math datalist select textarea input map area".split())
+UNSEEN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas datalist input area defs desc metadata symbol clippath lineargradient radialgradient annotation annotation-xml".split())
 IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 FORMAT = frozenset("a b big code em font i nobr s small span strike strong tt u mark sub sup abbr cite q label".split())
@@ -58,7 +60,7 @@ IMPLIED = {
     "button": (frozenset(["button"]), SCOPE),
 }
 #: Blank lines around blocks: 1 for those set off, 0 for those that only start a line.
-MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure hr fieldset ul ol menu dir".split(), 1) | dict.fromkeys("address article aside body center dd details dialog div dt figcaption footer form header hgroup html legend li main nav option optgroup search section summary tr caption".split(), 0)
+MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure hr fieldset ul ol menu dir".split(), 1) | dict.fromkeys("address article aside body center dd details dialog div dt figcaption footer form header hgroup html legend li main nav option optgroup search select text textarea section summary tr caption".split(), 0)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -244,7 +246,7 @@ class Page:
             shown = False
         if m := SEEN.search(style):
             visible = m[1].lower() == "visible"
-        pre = pre or tag in ("pre", "listing", "xmp") or "white-space:pre" in style.replace(" ", "").lower()
+        pre = pre or tag in ("pre", "listing", "xmp", "textarea") or "white-space:pre" in style.replace(" ", "").lower()
         payload = None
         flow = self.flows[-1]
         if shown:
@@ -281,7 +283,8 @@ class Page:
                 payload = "open" in got
             elif tag == "q":
                 flow.text('"', False)
-        if tag not in VOID:
+        closed = attributes.endswith("/") and any(x[0] in ("svg", "math") for x in self.open)
+        if tag not in VOID and not closed:
             self.open.append((tag, shown, visible, pre, payload))
 
     def end_head(self) -> None:
@@ -321,7 +324,7 @@ class Page:
             return
         tag, shown, visible, pre, _ = self.open[-1]
         if shown and visible and not (tag == "details" and not self.open[-1][4]):
-            if tag == "pre" and s[:1] == "\n" and not self.flows[-1].line:
+            if tag in ("pre", "textarea") and s[:1] == "\n" and not self.flows[-1].line:
                 s = s[1:]
             if s:
                 self.flows[-1].text(s, pre)

@@ -45,3 +45,13 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "<p>a"), (None, None), (1, "<p>a"), (2, "")], "page_id long, html string").selectExpr("*", "'x' as text", "1 as id")
     assert sorted(map(repr, (tuple(r) for r in html_text(df).collect()))) == sorted(map(repr, [(1, "a"), (None, ""), (1, "a"), (2, "")]))
     assert html_text(df.limit(0)).collect() == []
+
+
+def test_forms_formulas_and_labels():
+    from fotolake.llm.html_text import render
+
+    assert render("<p>a</p><textarea>\n x  y\n  z</textarea><p>b") == "a\n\n x  y\n  z\n\nb"
+    assert render("a<select><optgroup><option>one<option>two</optgroup></select>b<datalist><option>no</datalist>") == "a\none\ntwo\nb"
+    assert render("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds") == "so x=2 holds"
+    assert render("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><linearGradient id=g /><text>label</text><text>other</text></svg> end") == "label\nother\nend"
+    assert render("<map name=m>see <a href=x>here</a><area></map>") == "see here"
