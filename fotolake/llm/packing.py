@@ -37,7 +37,7 @@ RUN, CACHE, WORD_CACHE = 1024, 1_000_000, 500_000
 
 
 #: Fixed values of byte-level BPE files: how the library cuts a text into words, and the bytes that stand for themselves.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -68,11 +68,15 @@ class Parts(dict):
         self.words, self.cut = Words(model), regex.compile(WORDS).findall
 
     def __missing__(self, part: str) -> bytes:
-        if not part or part[-1].isspace():
+        if part.isalpha():
+            out = self.words[" " + part]
+        elif not part or part[-1].isspace():
             raise Odd
+        else:
+            out = b"".join(map(self.words.__getitem__, self.cut(" " + part)))
         if len(self) >= CACHE:
             self.clear()
-        self[part] = out = b"".join(map(self.words.__getitem__, self.cut(" " + part)))
+        self[part] = out
         return out
 
 
@@ -80,7 +84,8 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, by a tokenizer file of the tokenizers library.
 
     A byte-level file starts a word at each space that no white space precedes, so a text can be cut there and the parts
-    encoded apart by the file's model. Parts repeat, so their ids are kept. Other texts and files are encoded whole.
+    encoded apart by the file's model. Parts repeat, so their ids are kept. Other files, and texts that hold one of the file's
+    added tokens (such as an end mark), are encoded whole by the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,17 +93,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         form = json.loads(self.tokenizer.to_str())
         pre = form["pre_tokenizer"] or {}
         self.apart = form["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.added = [t["content"] for t in form["added_tokens"]]
         self.parts = Parts(self.tokenizer.model)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.apart or " " not in text:
+        if not self.apart or " " not in text or any(t in text for t in self.added):
             return self.whole(text)
         first, *middle, last = text.split(" ")
         if first[-1:].isspace():

@@ -20,7 +20,6 @@ ODD = ["", " ", "  a", "a  b", "a\n b", "a \nb\n", "it's 's x'S", "a \x1c b", "<
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -31,6 +30,19 @@ def test_ids(plain):
         assert np.frombuffer(encode(text), "<u4").tolist() == plain(text), repr(text)
 
 
+def test_added_tokens(plain):
+    """An added token anywhere in a text has its own id, as the library's plain call has it."""
+    encode, mark = Encoder(PATH), "<|endoftext|>"
+    assert plain("a <|endoftext|> b")[2] == plain(mark)[0] and len(plain(mark)) == 1
+    words = ["one", "two ", " three", "four\n"]
+    for at in range(len(words) + 1):
+        for glue in ("", " ", "  ", "\n"):
+            text = glue.join([*words[:at], mark, *words[at:]])
+            assert np.frombuffer(encode(text), "<u4").tolist() == plain(text), repr(text)
+            half = text.replace("|>", "| >")
+            assert np.frombuffer(encode(half), "<u4").tolist() == plain(half), repr(half)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_windows_hold(sizes):
