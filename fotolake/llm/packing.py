@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from fotolake.llm.common import col, texts
 
-#: Remainder pieces packed together; distinct parts and words whose ids a worker keeps, about 300 MB, before it starts afresh.
-RUN, CACHE, WORD_CACHE = 1024, 1_000_000, 500_000
+#: Remainder pieces packed together; distinct parts and words whose ids a worker keeps, about 120 MB, before it starts afresh.
+RUN, CACHE, WORD_CACHE = 1024, 200_000, 400_000
 
 
 #: Fixed values of byte-level BPE files: how the library cuts a text into words, and the bytes that stand for themselves.
