@@ -82,11 +82,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-#: At most so many ids, of 8 bytes or a short text, are broadcast.
-BROADCAST_IDS = 2_000_000
+#: At most so many keys, of some 16 bytes, are broadcast.
+BROADCAST_KEYS = 500_000
 
 
-def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """`df` less the rows of `ids` (id): by broadcast of up to BROADCAST_IDS, counted first, and by shuffle beyond."""
-    ids = written(ids.select(F.col("id").alias("__gone")).where("__gone is not null").distinct(), "gone")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, col(id_col) == F.col("__gone"), "left_anti")
+def without_keys(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """`df` less the rows whose `key` is in `keys` (key): by broadcast of up to BROADCAST_KEYS, counted first, else by shuffle.
+
+    Null keys are in nothing; rows with one stay.
+    """
+    keys = written(keys.select(F.col("key").alias("__gone")).where("__gone is not null").distinct(), "gone")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key == F.col("__gone"), "left_anti")

@@ -4,21 +4,25 @@ Text is canonicalised to a template: numbers, units after numbers, and names (ca
 typed placeholders; other words are lower-cased and stripped of all but letters and digits, so that punctuation glued to
 words does not matter. A second template has names as plain words, for texts in other case. Beside the templates stands the
 sequence of values, word for word. Runs of half a `window` of template words of the benchmark are hashed and joined to those
-of all documents; two runs that match at one offset and span `window` words are a matched window.
+of all documents; two runs that match at one offset and span `window` words are a matched window. A run of placeholders alone
+has no template, so its values are compared. A document's run that repeats one of the few before it, values included, adds
+nothing and is left out: a text that only repeats within half a window is found in no item.
 
 Matches of a document's text and an item are taken together by offset, and in overlapping bands of offsets, so that inserted
 and deleted words lose only what they touch. There, each value of the item's slots must stand against one value of the
 document; several may stand against the same. Windows whose slots contradict each other do not count. A document is reported
 for an item if matched windows are at least `coverage` of the item's windows, or if no number or unit is contradicted and
 matched runs hold at least `word_coverage` of the item's words and `window` words: as a copy ("exact") or re-parameterised
-("reparameterised").
+("reparameterised"). An item shorter than `window` is one window, of all its words; one shorter than half a window matches
+only texts of just its words.
 
-Plan: documents are scanned once, their windows exploded and probed against the benchmark's inside one stage if those are at
-most BROADCAST_ROWS rows (counted first), and joined by shuffle otherwise. Only matches are shuffled.
+Plan: documents are scanned once, their runs exploded and probed against the benchmark's inside one stage if those are at
+most BROADCAST_ROWS rows (counted first); otherwise runs of a few words each are joined by shuffle. Only matches are shuffled
+further, each with the slots of its run; groups are as large as a band of one text against one item.
 
-Nulls and ties: null or empty texts, and texts under `window` words, have no windows and match nothing. Rows of one id are
-reported together, but different texts of theirs are matched apart; items or documents with a null id take part under the null id. Repeated items match alike. An empty table
-gives an empty result.
+Nulls and ties: null or empty texts have no windows and match nothing. Rows of one id are
+reported together, but different texts of theirs are matched apart; items or documents with a null id take part under the null id. Repeated items match alike. Very long
+texts give a narrow row for each match. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,90 +30,128 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import col, without_ids
+from fotolake.llm.common import col, without_keys
 
 #: Placeholders, of the private use area: name, number, unit. Such characters of a text itself are dropped.
 NAME, NUMBER, UNIT = "", "", ""
+SLOT = NAME + NUMBER + UNIT
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|in|yd|l|ml|litre|litres|liter|liters|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|secs|second|seconds|ms|day|days|week|weeks|month|months|year|years|mph|kmh|kph|w|kw|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb|j|kj|cal|kcal|n|pa|kpa|usd|eur|gbp|dollar|dollars|euro|euros|cent|cents|percent|degrees"
 #: At most so many benchmark windows, of about 200 bytes, are broadcast.
 BROADCAST_ROWS = 500_000
 
 
 def template(text: Column) -> tuple[Column, Column]:
-    """(template words, values) of a text, of equal length."""
+    """(template words, values) of a text, each joined by single spaces and equally many."""
     clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
     # Each pattern starts with what is rare, and looks behind only from there.
     typed = F.regexp_replace(clean, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+", NAME)
     typed = F.regexp_replace(typed, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*", NUMBER)
     typed = F.regexp_replace(typed, rf"{NUMBER}([^\p{{L}}\p{{N}}\s]{{0,4}}\s?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
-    words = lambda c, keep: F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{keep}\s]+", "")), r"\s+", " ")), " ")
-    return words(typed, NAME + NUMBER + UNIT), words(clean, "")
+    words = lambda c, keep: F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{keep}\s]+", "")), r"\s+", " "))
+    return words(typed, SLOT), words(clean, "")
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> DataFrame:
-    """(id, text_hash, words, typed, plain, values, at, h): a row for each run of `seed` template words, or two if it has names.
+def windows(df: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """(id, text_hash, words, typed, plain, values, bare, at, h): a row for each run of `seed` template words, or two if it has names.
 
-    `plain` is the template with names as lower-case words.
+    A text of fewer words is one run. `plain` is the template with names as lower-case words; `bare`, null for most texts,
+    tells which words are placeholders.
     """
     src = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     typed, values = template(F.col("text"))
     # Exploding an array of one keeps filters above it, so that a text is canonicalised once.
-    src = src.select("id", F.explode(F.array(F.struct(F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.*")
-    src = src.withColumn("words", F.size("typed")).where(F.col("words") >= window)
+    src = src.select("id", F.explode(F.array(F.struct(F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.*").where("typed <> ''")
+    stretch = F.col("typed").rlike(rf"(?:^| )[{SLOT}]+(?: [{SLOT}]+){{{seed - 1}}}(?: |$)|^(?:[{SLOT}]+ ?){{1,{seed}}}$")
+    src = src.select("id", "text_hash", F.explode(F.array(F.struct(F.split("typed", " ").alias("typed"), F.split("values", " ").alias("values"), stretch.alias("stretch")))).alias("s")).select("id", "text_hash", "s.*")
     plain = F.zip_with("typed", "values", lambda t, v: F.when(t.contains(NAME), v).otherwise(t))
-    src = src.select("*", F.explode(F.array(plain)).alias("plain"))
-    out = src.select("*", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.col("words") - seed).drop("word")
-    typed, plain = (F.xxhash64(*(F.get(c, F.col("at") + i) for i in range(seed))) for c in ("typed", "plain"))
-    return out.select("*", F.explode(F.when(typed == plain, F.array(typed)).otherwise(F.array(typed, plain))).alias("h"))
+    bare = F.when(F.col("stretch"), F.transform("typed", lambda t: F.length(F.translate(t, SLOT, "")) == 0))
+    src = src.select("*", F.size("typed").alias("words"), F.explode(F.array(F.struct(plain.alias("plain"), bare.alias("bare")))).alias("s")).select("*", "s.*").drop("s", "stretch")
+    out = src.select("*", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.greatest(F.col("words") - seed, F.lit(0))).drop("word")
+    gets = lambda c: [F.get(c, F.col("at") + i) for i in range(seed)]
+    hashed = lambda c: F.when(_bare(seed), F.xxhash64(F.lit("="), *gets("values"))).otherwise(F.xxhash64(*gets(c)))
+    typed, plain = hashed("typed"), hashed("plain")
+    ways = lambda *h: F.array(*(F.struct(x.alias("h"), F.lit(named).alias("names")) for x, named in zip(h, (True, False))))
+    return out.select("*", F.explode(F.when(typed == plain, ways(typed)).otherwise(ways(typed, plain))).alias("way")).select("*", "way.*").drop("way")
 
 
-def _slots(runs: Column, kinds: str) -> Column:
-    """The distinct (item value, document value) of the runs' slots of those kinds."""
-    slots = F.filter(F.flatten(F.transform(runs, lambda r: r["slots"])), lambda x: x["t"].rlike(f"[{kinds}]"))
-    return F.array_distinct(F.transform(slots, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+def _bound(df: DataFrame, name: str, *fields: Column) -> DataFrame:
+    """`df` with a struct of those columns, computed once."""
+    return df.select("*", F.explode(F.array(F.struct(*fields))).alias(name))
+
+
+def _bare(seed: int) -> Column:
+    """Whether a run has placeholders alone."""
+    all_of = F.lit(True)
+    for i in range(seed):
+        all_of = all_of & F.coalesce(F.get("bare", F.col("at") + i), F.lit(True))
+    return F.col("bare").isNotNull() & all_of
+
 
+def _runs(df: DataFrame, seed: int) -> DataFrame:
+    """Rows of `windows` with their own run (as compared, as a template, as values) in place of the whole text's words.
 
-def _contradicted(slots: Column) -> Column:
-    """The item values that stand against several document values."""
-    return F.transform(F.filter(slots, lambda x: F.exists(slots, lambda y: (y["a"] == x["a"]) & (y["b"] != x["b"]))), lambda x: x["a"])
+    `again` tells that the run's values repeat those of one of the `seed` runs before it.
+    """
+    cut = lambda c, back=0: F.slice(c, F.col("at") + (1 - back), seed)
+    again = F.lit(False)
+    for back in range(1, seed + 1):
+        again = again | F.when(F.col("at") >= back, cut("values") == cut("values", back)).otherwise(False)
+    own = F.when(F.col("names"), cut("typed")).otherwise(cut("plain"))
+    # As an exploded struct, so that none of it is computed before the rows are there, such as those of a join.
+    found = _bound(df, "s", F.when(_bare(seed), cut("values")).otherwise(own).alias("run"), own.alias("template"), cut("values").alias("value_run"), again.alias("again"))
+    return found.select("*", "s.*").drop("s", "typed", "plain", "values", "bare", "names")
+
+
+def _contradicted(runs: Column, kinds: str) -> Column:
+    """The item values of those kinds of slots that stand against several document values: by a sort of the distinct pairs."""
+    slots = F.filter(F.flatten(F.transform(runs, lambda r: r["slots"])), lambda x: x["t"].rlike(f"[{kinds}]"))
+    pairs = F.array_distinct(F.transform(slots, lambda x: F.concat_ws(" ", x["a"], x["b"])))
+    ordered = F.array_sort(F.transform(pairs, lambda x: F.substring_index(x, " ", 1)))
+    return F.array_distinct(F.array_compact(F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))), lambda x, y: F.when(x == y, x))))
 
 
 def _without(runs: Column, values: Column) -> Column:
     """The runs without slots of those item values; an unchanged name contradicts nothing."""
-    return F.filter(runs, lambda r: ~F.exists(r["slots"], lambda x: F.array_contains(values, x["a"]) & ~(x["t"].contains(NAME) & (x["a"] == x["b"]))))
+    kept = F.filter(runs, lambda r: ~F.exists(r["slots"], lambda x: F.array_contains(values, x["a"]) & ~(x["t"].contains(NAME) & (x["a"] == x["b"]))))
+    return F.when(F.size(values) == 0, runs).otherwise(kept)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, coverage: float = 0.3, word_coverage: float = 0.6) -> DataFrame:
     """(id_col, item_col, n_windows, n_matched, coverage, word_coverage, kind): the best match of each document and item."""
-    seed, slot = (window + 1) // 2, NAME + NUMBER + UNIT
-    cut = lambda c: F.slice(c, F.col("at") + 1, seed)
-    # A row of each template; where both have the same words, one goes.
-    items = windows(benchmark, item_col, item_text_col, window, seed).drop("h").select("*", F.explode(F.array(cut("typed"), cut("plain"))).alias("item_run"))
-    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), "item_run", cut("values").alias("item_values"), F.xxhash64(*(F.get("item_run", F.lit(i)) for i in range(seed))).alias("h")).distinct()
+    seed = (window + 1) // 2
+    items = _runs(windows(benchmark, item_col, item_text_col, seed), seed)
+    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), F.col("run").alias("item_run"), F.col("template").alias("item_template"), F.col("value_run").alias("item_values"), "h").distinct()
+    found = windows(docs, id_col, text_col, seed)
     if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    found = windows(docs, id_col, text_col, window, seed).join(items, "h")
-    # The template words are compared too, so a hash is never trusted alone.
-    found = found.where((cut("typed") == F.col("item_run")) | (cut("plain") == F.col("item_run")))
-    pairs = F.arrays_zip(F.col("item_run").alias("t"), F.col("item_values").alias("a"), cut("values").alias("b"))
-    slots = F.filter(pairs, lambda x: x["t"].rlike(f"[{slot}]"))
-    found = found.select("id", "text_hash", "item", "item_hash", "item_words", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", slots.alias("slots"))
-    # A run is taken with those of its own offset, and with those of two bands of offsets, each twice as wide as the item.
+        found = _runs(found.join(F.broadcast(items), "h"), seed)
+    else:
+        found = _runs(found, seed).join(items, "h")
+    # The words are compared too, so a hash is never trusted alone. A short item is matched whole, in a text as short.
+    found = found.where((F.col("run") == F.col("item_run")) & ~F.col("again") & ((F.col("item_words") >= seed) | (F.col("words") == F.col("item_words"))))
+    pairs = F.arrays_zip(F.col("item_template").alias("t"), F.col("item_values").alias("a"), F.col("value_run").alias("b"))
+    slots = F.filter(pairs, lambda x: x["t"].rlike(f"[{SLOT}]"))
+    key = ["id", "text_hash", "item", "item_hash", "item_words"]
+    found = found.select(*key, (F.col("at") - F.col("item_at")).alias("offset"), "item_at", slots.alias("slots")).select(*key, "offset", F.struct("item_at", "slots").alias("run"))
+    # Runs at one offset, at most two for each place of the item: whole windows are those whose two ends match there.
+    size, short = F.least(F.lit(window), F.col("item_words")), F.least(F.lit(seed), F.col("item_words"))
+    by = found.groupBy(*key, "offset").agg(F.collect_set("run").alias("runs"))
+    ends = lambda r: F.filter("runs", lambda q: q["item_at"] == r["item_at"] + (size - short))
+    whole = F.flatten(F.transform("runs", lambda r: F.transform(ends(r), lambda q: F.named_struct(F.lit("item_at"), r["item_at"], F.lit("slots"), F.concat(r["slots"], q["slots"])))))
+    placed = F.transform("runs", lambda r: F.named_struct(F.lit("item_at"), r["item_at"], F.lit("at"), r["item_at"] + F.col("offset"), F.lit("slots"), r["slots"]))
+    # They are taken alone, and with those of two bands of offsets, each twice as wide as the item.
     band = F.floor(F.col("offset") / F.col("item_words")).cast("int")
     place = lambda wide, at: F.struct(F.lit(wide).alias("wide"), at.alias("at"))
-    found = found.withColumn("place", F.explode(F.array(place(0, F.col("offset")), place(1, band), place(1, band - 1))))
-    by = found.groupBy("id", "text_hash", "item", "item_hash", "item_words", "place").agg(F.collect_set(F.struct("item_at", "offset", "slots")).alias("runs"))
-    by = by.where(F.size("runs") * seed >= window)
-    # Whole windows are those whose two ends match at one offset; windows with a contradicted slot do not count.
-    ends = lambda r: F.filter("runs", lambda q: (q["offset"] == r["offset"]) & (q["item_at"] == r["item_at"] + (window - seed)))
-    whole = F.flatten(F.transform("runs", lambda r: F.transform(ends(r), lambda q: F.struct(r["item_at"].alias("item_at"), F.concat(r["slots"], q["slots"]).alias("slots")))))
-    by = by.select("*", F.explode(F.array(whole)).alias("whole"))
-    by = by.select("*", F.explode(F.array(F.struct(_contradicted(_slots(F.col("whole"), slot)).alias("whole"), _contradicted(_slots(F.col("runs"), NAME)).alias("names"), F.size(_contradicted(_slots(F.col("runs"), NUMBER + UNIT))).alias("numbers")))).alias("bad"))
-    by = by.select("*", F.explode(F.array(F.struct(_without(F.col("whole"), F.col("bad.whole")).alias("whole"), _without(F.col("runs"), F.col("bad.names")).alias("runs")))).alias("good"))
-    count = lambda runs, size: F.size(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["item_at"], r["item_at"] + (size - 1))))))
-    by = by.withColumn("n_windows", F.col("item_words") - window + 1).withColumn("n_matched", count("good.whole", 1)).withColumn("n_words", count("good.runs", seed))
+    by = by.select(*key, placed.alias("runs"), whole.alias("whole"), F.explode(F.array(place(0, F.col("offset")), place(1, band), place(1, band - 1))).alias("place"))
+    by = by.groupBy(*key, "place").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("whole")).alias("whole"))
+    # Windows with a contradicted slot do not count.
+    by = by.where(F.size("runs") * short >= size)
+    by = _bound(by, "bad", _contradicted(F.col("whole"), SLOT).alias("whole"), _contradicted(F.col("runs"), NAME).alias("names"), F.size(_contradicted(F.col("runs"), NUMBER + UNIT)).alias("numbers"))
+    by = _bound(by, "good", _without(F.col("whole"), F.col("bad.whole")).alias("whole"), _without(F.col("runs"), F.col("bad.names")).alias("runs"))
+    words = lambda at: F.size(F.array_distinct(F.flatten(F.transform("good.runs", lambda r: F.sequence(r[at], r[at] + (short - 1))))))
+    matched = F.size(F.array_distinct(F.transform("good.whole", lambda r: r["item_at"])))
+    by = by.withColumn("n_windows", F.col("item_words") - size + 1).withColumn("n_matched", matched).withColumn("n_words", F.least(words("item_at"), words("at")))
     by_windows = (F.col("n_matched") > 0) & (F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
-    by_words = (F.col("bad.numbers") == 0) & (F.col("n_words") >= F.greatest(F.lit(float(window)), F.lit(word_coverage) * F.col("item_words")))
+    by_words = (F.col("bad.numbers") == 0) & (F.col("n_words") >= F.greatest(size.cast("double"), F.lit(word_coverage) * F.col("item_words")))
     exact = lambda runs: ~F.exists(runs, lambda r: F.exists(r["slots"], lambda x: x["a"] != x["b"]))
     by = by.where(by_windows | by_words).withColumn("exact", F.when(by_windows, exact("good.whole")).otherwise(exact("good.runs")))
     best = by.groupBy("id", "item", "n_windows").agg(F.max(F.struct("n_matched", "exact", (F.col("n_words") / F.col("item_words")).alias("words"))).alias("best"))
@@ -117,6 +159,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("long").alias("n_windows"), F.col("best.n_matched").cast("long").alias("n_matched"), F.round(F.col("best.n_matched") / F.col("n_windows"), 6).alias("coverage"), F.round("best.words", 6).alias("word_coverage"), kind.alias("kind"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """`docs` less the rows whose id is reported for any item; rows with a null id are kept."""
-    return without_ids(docs, contaminated(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("id")), id_col)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """`docs` less the rows whose text is reported for any item.
+
+    Texts are told apart by their MD5, so ids may be null or repeat: a row goes if and only if its own text is reported.
+    """
+    key = F.unhex(F.md5(col(text_col).cast("string").cast("binary")))
+    leaks = contaminated(docs.select(key.alias("key"), col(text_col).alias("text")).where("key is not null"), benchmark, id_col="key", text_col="text", **how)
+    return without_keys(docs, leaks.select("key"), key)
