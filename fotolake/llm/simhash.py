@@ -13,7 +13,8 @@ that a group of thousands of copies gives thousands of rows. The number of compa
 the distinct fingerprints, as the method has it; see the README for figures.
 
 With a `similarity`, fingerprints count each distinct shingle once, as that similarity does, and a bit set in just half the
-hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates: within each candidate component, cut by hash into blocks, the
+hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates: within each candidate component, cut by hash into blocks of
+bounded number and size, the
 texts' shingle sets are compared as incidence matrices, pair of blocks by pair of blocks, and pairs of that Jaccard
 similarity or more are the links. Texts of equal fingerprints count as equal.
 
@@ -34,15 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolake.llm.common import col, texts, written
+from fotolake.llm.common import col, texts, without_keys, written
 from fotolake.llm.components import components
 
 SEED = 42
 #: A block holds a 24th of the distinct fingerprints, within these bounds; two blocks of the upper one take 17 MB a word.
 BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 24, 1024, 1 << 19
 TILE = 512
-#: Texts of a candidate component in a block of exact comparison, and columns of an incidence matrix at a time.
-TEXTS, COLUMNS = 512, 8192
+#: Texts and shingles of a candidate component in a block of exact comparison, on average, and columns of an incidence matrix at a time.
+TEXTS, SHINGLES, COLUMNS = 512, 500_000, 8192
 #: At most so many candidates, of about 64 bytes, are broadcast to the texts; more are joined by shuffle.
 BROADCAST_CANDIDATES = 500_000
 
@@ -72,7 +73,11 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(text: str, words: int, width: int = 1, distinct: bool = False) -> list[int]:
     """`width` 64-bit words as signed integers; `distinct`: of each shingle once, ties as the hashes' sum has it."""
     h = shingle_hashes(text, words)
-    h = np.unique(h) if distinct else h
+    return bits(np.unique(h) if distinct else h, width, distinct)
+
+
+def bits(h: np.ndarray, width: int, distinct: bool) -> list[int]:
+    """The fingerprint of shingle hashes."""
     if not len(h):
         return [0] * width
     out = []
@@ -91,16 +96,21 @@ def fingerprint(text: str, words: int, width: int = 1, distinct: bool = False) -
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], words: int, width: int, distinct: bool, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for ids, docs in texts(batches):
-        found = [fingerprint(t, words, width, distinct) for t in docs]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array([f[k] for f in found], pa.int64()) for k in range(width))], ["id", *(f"f{k}" for k in range(width))])
+        found, sizes = [], []
+        for t in docs:
+            h = shingle_hashes(t, words)
+            h = np.unique(h) if distinct else h
+            found.append(bits(h, width, distinct))
+            sizes.append(len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array([f[k] for f in found], pa.int64()) for k in range(width)), pa.array(sizes, pa.int64())], ["id", *(f"f{k}" for k in range(width)), "size"])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, width: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, f0, ...): the fingerprint of each row, as signed 64-bit words."""
+    """(id, f0, ..., size): the fingerprint of each row, as signed 64-bit words, and its number of shingles."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     src = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *(T.StructField(f"f{k}", T.LongType()) for k in range(width))])
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *(T.StructField(f"f{k}", T.LongType()) for k in range(width)), T.StructField("size", T.LongType())])
     kind = to_arrow_type(src.schema["id"].dataType)
     return src.mapInArrow(functools.partial(_fingerprints, words=words, width=width, distinct=distinct, kind=kind), schema)
 
@@ -223,8 +233,9 @@ def _similar(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def _verified(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, found: DataFrame, words: int, width: int, similarity: float) -> DataFrame:
     """Links of similar texts within candidate components (node, root)."""
     f = [f"f{k}" for k in range(width)]
-    count = found.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"))
-    wanted = written(found.join(count, "root").join(reps, "node").where("first is not null").select(F.col("first").alias("id"), "node", "root", "k", *f), "simhash-candidates")
+    found = found.join(reps, "node")
+    count = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("size") / SHINGLES), F.lit(1)).cast("int").alias("k"))
+    wanted = written(found.join(count, "root").where("first is not null").select(F.col("first").alias("id"), "node", "root", "k", *f), "simhash-candidates")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CANDIDATES else wanted
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(few, "id").select("node", "root", "k", "text", *f)
     sets = rows.mapInArrow(functools.partial(_shingles, words=words, width=width), "node long, root long, k int, hashes binary")
@@ -253,12 +264,12 @@ def blocks(sizes: dict[int, int], bits: int, radius: int) -> tuple[list[int], li
 
 
 def near(prints: DataFrame, width: int, radius: int, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ...).
+    """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ..., size).
 
     `verify`, given distinct fingerprints and candidate components (node, root), returns the links that hold.
     """
     f = [f"f{k}" for k in range(width)]
-    reps = written(prints.groupBy(*f).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
+    reps = written(prints.groupBy(*f).agg(F.min("id").alias("first"), F.max("size").alias("size")).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
     ones = functools.reduce(lambda x, y: x + y, (F.bit_count(x) for x in f))
     sizes = {r["p"]: r["count"] for r in reps.groupBy(ones.alias("p")).count().collect()}  # at most 64 * width + 1 rows
     block_of, splits, first, last = blocks(sizes, 64 * width, radius)
@@ -286,3 +297,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = near(prints, width, radius, verify)
     digits = F.concat(*(F.lower(F.lpad(F.hex(x), 16, "0")) for x in reversed(f)))
     return prints.join(named, f).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int, radius: int, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, all columns kept: that with the smallest id, then by its text's MD5.
+
+    Rows are told apart by id and text, so a text that shares its id with a copy is judged on its own, and rows with a null
+    id (after all others) are dropped as copies like any. Of rows equal in both, one stays, by a hash of all its columns.
+    """
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    key = F.struct(col(id_col).isNull().alias("last"), col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("text"))
+    named = simhash_components(docs.select(key.alias("key"), col(text_col).alias("text")), "key", "text", words, radius, width, similarity)
+    rows = named.groupBy("key").agg(F.max(F.col("key") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    rows = written(rows.where("not first or rows > 1"), "near-copies")
+    again = written(rows.where("first").select(F.col("key").alias("__again")), "near-repeats")
+    whole = F.struct(*map(col, docs.columns))
+    once = docs.join(again, key == F.col("__again")).groupBy("__again").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("__row"))
+    return without_keys(docs, rows, key).unionByName(once.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns)))
