@@ -7,15 +7,14 @@ Parquet in the shared folder and reads it again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fotolake.llm import quality
-from fotolake.llm.common import table, without_ids, written
+from fotolake.llm.common import table, written
 from fotolake.llm.decontaminate import without_leaks
 from fotolake.llm.packing import pack
 from fotolake.llm.queries import TOKENIZER
 from fotolake.llm.secrets import redact
-from fotolake.llm.simhash import simhash_components
+from fotolake.llm.simhash import without_near_copies
 
 #: Near duplicates: word 5-shingles of a Jaccard similarity of 0.8 or more. Candidates differ in at most 80 of 256 bits of their
 #: fingerprints: a pair at 0.8 differs in 39 to 40 on average (48 if 4 of 5 shingles are shared), with a deviation of 6, unrelated
@@ -30,17 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; of rows that share it, the least by their columns.
-
-    Rows with a null id belong to no group that could name them, and stay.
-    """
-    named = written(simhash_components(docs, words=WORDS, radius=RADIUS, width=WIDTH, similarity=SIMILARITY), "named")
-    first = F.max(F.col("doc_id") == F.col("component_id"))
-    ids = named.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first"), F.count("*").alias("rows"))
-    ids = written(ids.where("not first or rows > 1"), "copies")
-    once = without_ids(docs, ids.select(F.col("doc_id").alias("id")), "doc_id")
-    repeated = docs.join(written(ids.where("first"), "repeated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("__row"))
-    return once.unionByName(repeated.select(*(F.col(f"__row.{c}") if c != "doc_id" else F.col(c) for c in docs.columns)))
+    """One document of each group stays, that with the smallest id; rows are judged by id and text, so null and repeated ids do no harm."""
+    return without_near_copies(docs, words=WORDS, radius=RADIUS, width=WIDTH, similarity=SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
