@@ -3,14 +3,16 @@
 Base spans, leftmost and non-overlapping per kind, over the whole text in code points: assign, access, hex. Patterns are
 matched first; matches that are too short are then dropped. Spans are those of whole matches.
 
-The battery looks at the remaining tokens of 20 or more characters of `[A-Za-z0-9+/_=-]`. A token's encoding is inferred
-from its characters (hex, base32, base62, base64, base64url). Its null hypothesis is written language in that
-alphabet, whose letter frequencies are a fixed table. Three statistics are taken, each with its mean and variance under the
-null or under randomness: chi-squared uniformity over the alphabet, runs of character classes, and serial correlation of
-character values. Of letters alone, where classes say nothing, language is tested by the letters' likelihood under the table.
-Parts of 20 or more between joiners and slashes are tested beside the whole. A token counts as random if language is rejected after false-discovery control by Benjamini and Hochberg
-over the text's candidates, weighted by their lengths, and randomness itself is not. Such a token is a span of kind
-`random`, unless it overlaps a base span.
+The battery looks at the remaining tokens of 16 or more characters of `[A-Za-z0-9+/_=-]` (20 or more of digits alone). A
+token's encoding is inferred from its characters (hex, base32, base36, base62, base64, base64url). Its null hypothesis is written
+language in that alphabet, whose letter frequencies, changes of class and alternation of vowels are fixed values. Three tests
+are taken against it and joined by Fisher's rule: chi-squared uniformity over the alphabet, runs of character classes, and
+serial correlation (of vowels; not for hex, which has few letters). The same three are taken against randomness, serial correlation there of
+character values. Where the letters are of one case their likelihood under the table takes the place of uniformity, and of letters
+alone, where classes say nothing, that of runs too. Parts of 16 or more between joiners and slashes are tested beside the whole. A token counts as random if
+language is rejected after false-discovery control by Benjamini and Hochberg over the text's candidates, weighted by their
+lengths, and randomness itself is not. Control is within each text, so that its spans do not hang on other texts. Such a token is
+a span of kind `random`, unless it overlaps a base span.
 
 Nulls and ties: a null text counts as empty; a row always gives a row, repeated rows repeat. Spans are ordered by start, then
 kind as listed. An empty table gives an empty result.
@@ -39,14 +41,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Words of ASSIGN in lower case; a text without any has no match.
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Least characters of a token, and of one of digits alone, such as a number of a card.
+LEAST, LEAST_DIGITS = 16, 20
+TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 #: Relative frequencies of letters in written language, in percent.
 LETTERS = {"e": 12.7, "t": 9.1, "a": 8.2, "o": 7.5, "i": 7.0, "n": 6.7, "s": 6.3, "h": 6.1, "r": 6.0, "d": 4.3, "l": 4.0, "c": 2.8, "u": 2.8, "m": 2.4, "w": 2.4, "f": 2.2, "g": 2.0, "y": 2.0, "p": 1.9, "b": 1.5, "v": 1.0, "k": 0.8, "j": 0.15, "x": 0.15, "q": 0.1, "z": 0.07}
 #: Least frequency at which a letter counts, in percent, for languages that use rare letters more.
 RARE = 0.5
+#: Of written language: changes of class a character, and serial correlation of vowels with its deviation times the root of the length.
+CHANGES, ALTERNATION, ALTERNATION_SD = 0.08, -0.15, 0.9
+VOWELS = frozenset("aeiouyAEIOUY")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -58,7 +66,11 @@ def encoding(token: str) -> str:
     body = token.rstrip("=")
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return "hex"
-    for name in ("base32", "base62", "base64"):
+    if set(body) <= set(ALPHABETS["base32"]):
+        return "base32"
+    if body in (body.lower(), body.upper()) and set(body.lower()) <= set(ALPHABETS["base36"]):
+        return "base36"
+    for name in ("base62", "base64"):
         if set(body) <= set(ALPHABETS[name]):
             return name
     return "base64url"
@@ -69,6 +81,29 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _fisher(*p: float) -> float:
+    """Fisher's combination of independent p-values."""
+    x = -sum(math.log(max(q, 1e-300)) for q in p)
+    term, total = 1.0, 1.0
+    for i in range(1, len(p)):
+        term *= x / i
+        total += term
+    return min(1.0, math.exp(-x) * total)
+
+
+def _serial(values: list[float]) -> float | None:
+    """Lag-one serial correlation, None of a constant."""
+    mid = sum(values) / len(values)
+    around = sum((v - mid) ** 2 for v in values)
+    return sum((a - mid) * (b - mid) for a, b in zip(values, values[1:])) / around if around else None
+
+
+def _alternation(body: str) -> list[float]:
+    """The p of language of the serial correlation of vowels; none where there are none, or nothing else."""
+    serial = _serial([float(c in VOWELS) for c in body])
+    return [] if serial is None else [_tail((serial - ALTERNATION) * math.sqrt(len(body)) / ALTERNATION_SD)]
+
+
 @functools.cache
 def _language(name: str) -> tuple[float, float]:
     """Sums of squares and cubes of the alphabet's character probabilities in language."""
@@ -81,7 +116,7 @@ def battery(token: str) -> tuple[float, float]:
     """(p of language, p of randomness) of a token."""
     name = encoding(token)
     body = token.rstrip("=")
-    body = body.lower() if name == "hex" else body
+    body = body.lower() if name in ("hex", "base36") else body
     alphabet, n = ALPHABETS[name], len(body)
     k = len(alphabet)
     # Uniformity: the sum of squared counts, whose mean and variance are known for any character probabilities.
@@ -96,23 +131,22 @@ def battery(token: str) -> tuple[float, float]:
     mean, sd = moments(*_language(name))
     flat_mean, flat_sd = moments(1 / k, 1 / (k * k))
     uniform_language, uniform_random = _tail((mean - squares) / sd), _tail((squares - flat_mean) / flat_sd)
+    own = "".join(c for c in body if c.isalpha())
+    if name != "hex" and len(own) >= LEAST // 2 and (own.islower() or own.isupper()):
+        uniform_language = _likelihood(own.lower())
     # Runs of classes (upper, lower, digit, other): language keeps to a class, randomness changes as its shares say.
     kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in body]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
     share = Counter("u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in alphabet)
     q = 1 - sum((v / k) ** 2 for v in share.values())
     spread = lambda p: math.sqrt(max((n - 1) * p * (1 - p), 1e-9))
-    runs_language = _tail((changes - 0.5 - (n - 1) * 0.08) / spread(0.08))
+    runs_language = _tail((changes - 0.5 - (n - 1) * CHANGES) / spread(CHANGES))
     runs_random = min(1.0, 2 * _tail((abs(changes - (n - 1) * q) - 0.5) / spread(q))) if q else 1.0
     # Serial correlation of character values: about normal with variance 1/n for random characters.
-    values = [alphabet.find(c) for c in body]
-    mid = sum(values) / n
-    around = sum((v - mid) ** 2 for v in values)
-    serial = sum((a - mid) * (b - mid) for a, b in zip(values, values[1:])) / around if around else 1.0
-    serial_random = min(1.0, 2 * _tail(abs(serial + 1 / n) * math.sqrt(n)))
-    # Fisher's combination of the two tests of language (four degrees of freedom); the worst of three tests of randomness.
-    x = -math.log(max(uniform_language, 1e-300)) - math.log(max(runs_language, 1e-300))
-    return math.exp(-x) * (1 + x), min(1.0, 3 * min(uniform_random, runs_random, serial_random))
+    serial = _serial([alphabet.find(c) for c in body])
+    serial_random = min(1.0, 2 * _tail(abs((1.0 if serial is None else serial) + 1 / n) * math.sqrt(n)))
+    language = _fisher(uniform_language, runs_language, *([] if name == "hex" else _alternation(body)))
+    return language, min(1.0, 3 * min(uniform_random, runs_random, serial_random))
 
 
 @functools.cache
@@ -125,27 +159,34 @@ def _written() -> tuple[dict[str, float], float, float]:
     return score, mean, sum(p[c] * (score[c] - mean) ** 2 for c in p)
 
 
+def _likelihood(low: str) -> float:
+    """The p of language of letters by their likelihood under the table."""
+    score, mean, variance = _written()
+    return _tail((len(low) * mean - sum(score[c] for c in low)) / math.sqrt(len(low) * variance))
+
+
 def letters(body: str) -> tuple[float, float]:
     """(p of language, p of randomness) of letters alone, whose case and class say little: language is told by letter frequencies."""
     low, n = body.lower(), len(body)
-    score, mean, variance = _written()
-    language = _tail((n * mean - sum(score[c] for c in low)) / math.sqrt(n * variance))
+    language = _likelihood(low)
     squares, pairs, k = sum(c * c for c in Counter(low).values()), n * (n - 1), 1 / 26
     uniform = _tail((squares - n - pairs * k) / math.sqrt(2 * pairs * (k - k * k)))
     runs = 1.0
     if not (body.islower() or body.isupper()):
         changes = sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:]))
         runs = min(1.0, 2 * _tail((abs(changes - (n - 1) / 2) - 0.5) / math.sqrt((n - 1) / 4)))
-    return language, min(1.0, 2 * min(uniform, runs))
+    serial = _serial([ord(c) - 97 for c in low])
+    serial_random = min(1.0, 2 * _tail(abs((1.0 if serial is None else serial) + 1 / n) * math.sqrt(n)))
+    return _fisher(language, *_alternation(low)), min(1.0, 3 * min(uniform, runs, serial_random))
 
 
 def tested(token: str, fit: float = 0.001) -> tuple[float, float]:
-    """The battery of a token, or of a part of 20 or more between joiners or slashes that is random and less like language.
+    """The battery of a token, or of a part of LEAST or more between joiners or slashes that is random and less like language.
 
     The p of language is taken times the number of candidates. Letters alone are tested by `letters`.
     """
     body = token.rstrip("=")
-    parts = {token, *(x for joiners in ("[_-]", "/", "[_/-]") for x in re.split(joiners, body) if 20 <= len(x) < len(body))}
+    parts = {token, *(x for joiners in ("[_-]", "/", "[_/-]") for x in re.split(joiners, body) if LEAST <= len(x) < len(body))}
     found = [letters(x.rstrip("=")) if x.rstrip("=").isalpha() else battery(x) for x in sorted(parts)]
     random = [x for x in found if x[1] >= fit]
     language, best = min(random) if random else max(found, key=lambda x: x[1])
@@ -180,7 +221,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str, rate: float = 0.001, fit: float = 0.001) -> list[tuple[int, int, int]]:
     """Base spans and random tokens, by start, then kind. `rate`: false discoveries; `fit`: least p of randomness."""
     found = base_spans(text)
-    tokens = [m for m in TOKEN.finditer(text) if not any(m.start() < e and s < m.end() for s, _, e in found)]
+    tokens = [m for m in TOKEN.finditer(text) if (len(m.group()) >= LEAST_DIGITS or not m.group().isdigit()) and not any(m.start() < e and s < m.end() for s, _, e in found)]
     if tokens:
         scores = [tested(m.group(), fit) for m in tokens]
         picked = discoveries([p for p, _ in scores], [len(m.group()) for m in tokens], rate)

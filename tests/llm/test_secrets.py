@@ -71,3 +71,38 @@ def test_letters_alone_and_paths():
         key = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
         token = "/".join([*rng.choices(written, k=12), key])
         assert [k for _, k, _ in spans(f"x {token} y")] == [3], token
+
+
+def test_short_and_single_case_keys():
+    """Shares of random keys found, by alphabet and length; numbers and written words of such lengths stay."""
+    rng = random.Random(15)
+    base32 = string.ascii_uppercase + "234567"
+    for alphabet, least in ((string.ascii_letters + string.digits, 0.9), (base32, 0.7), (string.ascii_lowercase + string.digits, 0.7), (string.ascii_letters, 0.65)):
+        for size in (16, 24):
+            assert sum(bool(spans(f"x {''.join(rng.choices(alphabet, k=size))} y")) for _ in range(200)) > 200 * least
+    assert not any(spans(f"card {rng.randrange(10**15, 10**16)} or {rng.randrange(10**18, 10**19)}") for _ in range(200))
+    assert not any(spans(w) for w in ("internationalization", "Donaudampfschifffahrt", "anticonstitutionnellement", "uncharacteristically", "https://example/very/long/path/of-words", "snake_case_identifier_name"))
+
+
+def test_battery_against_plain_statistics():
+    """Uniformity, runs and serial correlation of random tokens against their simulated distributions, and the rule that joins them."""
+    rng = random.Random(16)
+    alphabet = secrets.ALPHABETS["base62"]
+    fit = [secrets.battery("".join(rng.choices(alphabet, k=40)))[1] for _ in range(2000)]
+    for level in (0.01, 0.05, 0.2):
+        assert sum(p <= level for p in fit) <= 2000 * level * 1.6 + 10
+    even = [secrets._fisher(rng.random(), rng.random(), rng.random()) for _ in range(4000)]
+    for level in (0.01, 0.1, 0.5):
+        assert abs(sum(p <= level for p in even) / 4000 - level) < 4 * (level * (1 - level) / 4000) ** 0.5
+    x = [rng.gauss(0, 1) for _ in range(50)]
+    mid = sum(x) / 50
+    assert abs(secrets._serial(x) - sum((x[i] - mid) * (x[i + 1] - mid) for i in range(49)) / sum((v - mid) ** 2 for v in x)) < 1e-12
+    # A token of evenly used characters in order is no random one: serial correlation alone tells.
+    assert secrets.battery("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")[1] < 1e-6
+
+
+def test_serial_correlation_takes_part():
+    """Of letters alike in frequency, those that alternate like words are less random than those that cluster."""
+    assert secrets.letters("qxjzwvkbfypgaeiouyaeiou")[0] > 0
+    words, lumps = "xaqezijowuvakebif", "xqzjwvkbfaeiouaei"
+    assert secrets.letters(words)[0] > 10 * secrets.letters(lumps)[0]
