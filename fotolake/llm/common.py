@@ -64,16 +64,18 @@ def texts(batches: Iterable[pa.RecordBatch], rows: int = 512, chars: int = 4_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int, most: int, id_col: str = "doc_id", text_col: str = "text", value: int | None = None) -> DataFrame:
-    """(id, text, label) of at most `most` labelled ids, outside fold `held` of `parts`, the first in a hashed order.
+    """(id, text, label) of at most `most` labelled ids, outside fold `held` of `parts`, the first in a hashed order; a row an id.
 
-    Null ids and labels are left out; the largest label of an id counts. The ids are few, so they go to the documents.
+    Null ids and labels are left out; the largest label of an id counts, and of rows that share an id the least text. The ids
+    are few, so they go to the documents.
     """
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).where("id is not null and label is not null").where(fold(F.col("id"), parts) != held)
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     if value is not None:
         known = known.where(F.col("label") == value)
     some = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    return docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
 def sigmoid(x):

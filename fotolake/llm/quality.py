@@ -2,8 +2,9 @@
 
 Each line has shares of character classes, word statistics and repetition, cut into bins at the training lines' quantiles; a
 line's features are its own bins and those of the lines before and after. The field has two labels, bad and good, weights
-for the features and a 2 x 2 table of transitions. Training lines take their document's label; at most `most` labelled
-documents, chosen by a hash of the id outside the held-out fold, are used, their chains cut every SEGMENT lines. A document's
+for the features and a 2 x 2 table of transitions. Training lines take their document's label, and a document is one chain.
+The sample is bounded: at most `most` labelled documents outside the held-out fold, of at most `longest` lines each and
+`most_lines` together, the first by a hash of the id. A document's
 score is the mean of its lines' marginals of good, by forward and backward passes over the whole document, weighted by the
 lines' lengths.
 
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolake.llm.common import col, labelled_sample, sigmoid, texts
+from fotolake.llm.common import col, labelled_sample, sigmoid, texts, written
 
-SEGMENT, STEPS, RATE, DECAY = 32, 200, 0.05, 1e-3
+STEPS, RATE, DECAY = 200, 0.05, 1e-3
 BINS = 6
 #: Classes of characters: other signs, lower case, upper case, digits, white space, sentence marks, bars, exclamation.
 CLASSES, MARKS = 8, ".,;:?'\"-()’“”"
@@ -166,17 +167,21 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], ["label", "raw"])
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 5000) -> tuple[Field | None, float]:
+def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 5000, most_lines: int = 200_000, longest: int = 2000) -> tuple[Field | None, float]:
     """The field (None without labels of both kinds), and the share of good documents."""
     sample = labelled_sample(docs, labels, label_col, parts, held, most, id_col, text_col)
+    sample = written(sample.select(F.xxhash64("id").alias("h"), "label", "text", F.size(F.split("text", "\n")).alias("lines")).where(F.col("lines") <= longest), "quality")
+    sizes = sorted(map(tuple, sample.select("h", "lines").collect()))  # at most `most` pairs
+    total = np.cumsum([n for _, n in sizes])
+    fits = int(np.searchsorted(total, most_lines, "right"))
+    sample = sample.where(F.col("h") <= sizes[fits - 1][0]) if 0 < fits < len(sizes) else sample
     rows = sorted((r["label"], r["raw"]) for r in sample.select("label", "text").mapInArrow(_measure, "label int, raw array<float>").collect())
     good = np.array([int(label > 0) for label, _ in rows])
     if not len(good) or good.min() == good.max():
         return None, float(good.mean()) if len(good) else 1.0
     wide = measures([""]).shape[1]
     raws = [np.array(r, np.float64).reshape(-1, wide) for _, r in rows]
-    parts_of = [(min(SEGMENT, len(r) - at), g) for r, g in zip(raws, good, strict=True) for at in range(0, len(r), SEGMENT)]
-    return fit(np.concatenate(raws), np.array([n for n, _ in parts_of]), np.array([g for _, g in parts_of])), float(good.mean())
+    return fit(np.concatenate(raws), np.array([len(r) for r in raws]), good), float(good.mean())
 
 
 def _score(batches: Iterable[pa.RecordBatch], field: Field | None, share: float, threshold: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:

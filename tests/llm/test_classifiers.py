@@ -1,5 +1,7 @@
 """Language, toxicity and quality: held-out accuracy on the small tables, and edge cases."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,36 @@ def test_non_negative_risk_prefers_positive_words():
     unlabelled = [[0, *background()] if rng.random() < 0.1 else background() for _ in range(800)]
     w, b = toxicity.fit(positive, unlabelled, 30, 0.1)
     assert w[0] + b > 0 > w[1:].max() + b
+
+
+def test_quality_against_enumeration():
+    """A document's score by enumerating all labellings of its lines, and the loss's gradient at the end of training."""
+    rng = random.Random(5)
+    good = ["\n".join(f"This is a whole sentence about subject {rng.randrange(99)}, and it ends." for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    bad = ["\n".join("BUY | NOW | !!! | " + str(rng.randrange(10**6)) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    chains = [quality.lines_of(t) for t in good + bad]
+    field = quality.fit(quality.measures([x for c in chains for x in c]), np.array([len(c) for c in chains]), np.array([1] * 40 + [0] * 40))
+    text = good[0].split("\n")[0] + "\n\n" + bad[0].split("\n")[0] + "\nmore | 1\n" + good[1].split("\n")[0]
+    lines = quality.lines_of(text)
+    n = len(lines)
+    unary = field.unary(field.bins(quality.measures(lines)), np.arange(n) == 0, np.arange(n) == n - 1)
+    total, sure = 0.0, np.zeros(n)
+    for bits in np.ndindex(*[2] * n):
+        w = np.exp(sum(unary[i] * b for i, b in enumerate(bits)) + sum(field.moves[a, b] for a, b in zip(bits, bits[1:])))
+        total, sure = total + w, sure + w * np.array(bits)
+    weight = np.array([len(x) for x in lines])
+    assert abs(quality.score_texts(field, [text], 0.5)[0] - (sure / total * weight).sum() / weight.sum()) < 1e-6
+    scores = quality.score_texts(field, good + bad, 0.5)
+    assert scores[:40].min() > 0.5 > scores[40:].max()
+
+
+def test_quality_bounds(spark, monkeypatch):
+    """Chains are whole, and documents beyond the bounds of the sample are left out, not cut."""
+    docs = spark.createDataFrame([(i, "\n".join([f"line {i} of some length."] * (5 + 40 * i))) for i in range(30)] + [(3, "zz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda raw, lengths, good: seen.append((raw, lengths)) or quality.Field(np.zeros((13, 5)), np.zeros(0), np.zeros((2, 2)), 0.5))
+    quality.train(docs, labels, 10**6, -1)
+    assert sorted(seen[0][1].tolist()) == [5 + 40 * i for i in range(30)] and len(seen[0][0]) == seen[0][1].sum()
+    quality.train(docs, labels, 10**6, -1, longest=500, most_lines=1500)
+    assert seen[1][1].max() <= 500 and seen[1][1].sum() <= 1500 and set(seen[1][1].tolist()) <= {5 + 40 * i for i in range(30)}
