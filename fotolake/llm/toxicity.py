@@ -1,13 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; other texts, whatever they are, are the unlabelled. Both samples are bounded
-(`most_positive`, `most_unlabelled`) and taken by a hash of the id outside the held-out fold. The class prior is the toxic
+Confirmed toxic texts are the positives, at most `most_positive` labelled ids outside the held-out fold, the first by a hash of
+the id; all texts outside that fold, whatever they are, are the unlabelled. The class prior is the toxic
 share of the labelled ids there. A text's features are the distinct words it holds; the vocabulary is the at most
-`size` words whose document frequencies differ most between the samples, by APART deviations at least, counted on the executors. A linear model is
+`size` words whose document frequencies differ most between positives and unlabelled, by APART deviations at least. Candidates
+are the words of two or more positives; their frequencies are counted over all unlabelled texts.
+
+A linear model is
 trained in numpy by the logistic loss under the non-negative risk: prior * positive risk + max(0, unlabelled negative risk
-- prior * positives' negative risk); where the bracket is negative, the step goes against it. Its sigmoid is the score.
+- prior * positives' negative risk); where the bracket is negative, the step goes against it. It starts from a fit to about
+`start` unlabelled texts, drawn by a hash of id and text, and then takes PASSES steps whose risk and gradient are summed over all
+unlabelled texts on the executors; only sums of `size` numbers come to the driver. Its sigmoid is the score.
 
-Nulls and ties: a null text counts as empty and scores as a text without known words; rows repeat as they come. Without
+Nulls and ties: a null text counts as empty and scores as a text without known words; rows repeat as they come, and of
+labelled rows that share an id the least text is taken. Very long texts are read whole, columns other than those named are
+not read, an empty table gives an empty result. Without
 positives or unlabelled texts the score is the prior (0 without labels). Ties in the vocabulary are broken by the word.
 """
 
@@ -16,7 +23,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +34,7 @@ from pyspark.sql import types as T
 from fotolake.llm.common import col, fold, labelled_sample, sigmoid, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
-STEPS, RATE, DECAY, SLACK, AGAINST = 300, 0.05, 1e-4, 0.0, 1.0
+STEPS, PASSES, RATE, DECAY, SLACK, AGAINST = 300, 12, 0.05, 1e-4, 0.0, 1.0
 #: A word is taken only from so many deviations on, about 5 % of false ones among 10,000 words.
 APART = 4.5
 
@@ -36,71 +43,110 @@ def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for classes, docs in texts(batches):
-        held: dict[str, list[int]] = {}
-        for c, t in zip(classes, docs, strict=True):
-            for w in words(t):
-                held.setdefault(w, [0, 0])[c] += 1
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x[1] for x in held.values()], pa.int64()), pa.array([x[0] for x in held.values()], pa.int64())], ["word", "p", "u"])
+def _frequencies(batches: Iterable[pa.RecordBatch], among: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of words, or of those of `among`, in parts of bounded size."""
+    held: dict[str, int] = {}
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    for _, docs in texts(batches):
+        for t in docs:
+            for w in words(t) if among is None else words(t) & among:
+                held[w] = held.get(w, 0) + 1
+        if len(held) > 500_000:
+            yield part()
+            held = {}
+    if held:
+        yield part()
 
 
 def _vectors(batches: Iterable[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for classes, docs in texts(batches):
-        rows = [sorted(vocabulary[w] for w in words(t) if w in vocabulary) for t in docs]
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["positive", "at"])
+        rows = [sorted(vocabulary[w] for w in words(t) & vocabulary.keys()) for t in docs]
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["drawn", "at"])
+
+
+def sums(lengths: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of log(1 + exp(f)) over texts of so many features each: its gradient by weights and bias, its sum, and the number of texts."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    f = np.bincount(owner, weights=w[at], minlength=len(lengths)) + w[-1]
+    s = sigmoid(f)
+    return np.concatenate([np.bincount(at, weights=s[owner], minlength=len(w) - 1), [s.sum(), np.logaddexp(0, f).sum(), len(lengths)]])
+
+
+def _sums(batches: Iterable[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(w) + 2)
+    for batch in batches:
+        lists = batch.column(0)
+        total += sums(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(np.int64), w)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["i", "x"])
+
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(r) for r in rows], np.int64), np.array([x for r in rows for x in r], np.int64)
+
+
+def risk_step(positive: np.ndarray, seen: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
+    """The direction of a step down the non-negative risk, from the two classes' `sums`; `seen` counts the positives' features."""
+    n, m = positive[-1], unlabelled[-1]
+    bracket = unlabelled[-2] / m - prior * positive[-2] / n
+    toward = unlabelled[:-2] / m - prior * positive[:-2] / n  # of the bracket
+    g = -AGAINST * toward if bracket < -SLACK else toward + prior * (positive[:-2] - seen) / n
+    g[:-1] += DECAY * w[:-1]
+    return g
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias under the non-negative risk, by full-batch Adam."""
-    rows = positive + unlabelled
-    lengths = np.array([len(r) for r in rows])
-    at = np.concatenate([np.array(r, np.int64) for r in rows]) if lengths.sum() else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    n, m = len(positive), len(unlabelled)
+def fit(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior: float, over_all: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias under the non-negative risk, by Adam; `over_all`, if given, yields the unlabelled sums of the last PASSES steps."""
+    p, u = _flat(positive), _flat(unlabelled)
+    seen = np.append(np.bincount(p[1], minlength=size), float(len(positive)))
     w = np.zeros(size + 1)
     w[-1] = math.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        f = np.bincount(owner, weights=w[at], minlength=len(rows)) + w[-1]
-        s = sigmoid(f)
-        bracket = np.logaddexp(0, f[n:]).mean() - prior * np.logaddexp(0, f[:n]).mean()
-        toward = np.concatenate([-prior * s[:n] / n, s[n:] / m])  # of the bracket
-        g = -AGAINST * toward if bracket < -SLACK else toward + np.concatenate([prior * (s[:n] - 1) / n, np.zeros(m)])
-        grad = np.append(np.bincount(at, weights=g[owner], minlength=size), g.sum())
-        grad[:-1] += DECAY * w[:-1]
+    for step in range(1, STEPS + 1 + (PASSES if over_all else 0)):
+        grad = risk_step(sums(*p, w), seen, sums(*u, w) if step <= STEPS else over_all(w), w, prior)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_positive: int = 4000, most_unlabelled: int = 8000, size: int = 1000) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_positive: int = 4000, start: int = 8000, size: int = 1000) -> tuple[dict[str, float], float]:
     """Words' weights, and the bias."""
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("double").alias("y")).where(fold(F.col("id"), parts) != held)
     share = known.agg(F.avg("y")).first()[0]
     if share is None:
         return {}, -40.0
     prior = min(0.9, max(1e-3, share))
-    toxic = labelled_sample(docs, labels, label_col, parts, held, most_positive, id_col, text_col, value=1)
+    toxic = written(labelled_sample(docs, labels, label_col, parts, held, most_positive, id_col, text_col, value=1).select(F.lit(1).alias("drawn"), "text"), "toxicity")
     src = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).where(fold(F.col("id"), parts) != held)
-    count = src.count()
-    draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
-    rest = src.where(draw < min(1.0, most_unlabelled / max(count, 1)))
-    sample = written(toxic.select(F.lit(1).alias("positive"), "text").unionByName(rest.select(F.lit(0).alias("positive"), "text")), "toxicity")
-    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    n, m = sizes.get(1, 0), sizes.get(0, 0)
+    n, m = toxic.count(), src.count()
     if not n or not m:
         return {}, math.log(prior / (1 - prior))
-    seen = sample.mapInArrow(_frequencies, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
-    p, u = F.col("p") / n, F.col("u") / m
-    pooled = (F.col("p") + F.col("u")) / (n + m)
-    z = F.abs(p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
-    vocabulary = [r["word"] for r in seen.where(z >= APART).orderBy(F.desc(z), "word").limit(size).collect()]
+    counted = lambda df, among: df.select(F.lit(0), "text").mapInArrow(functools.partial(_frequencies, among=among), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    in_positive = {r["word"]: r["n"] for r in counted(toxic, None).where("n >= 2").collect()}
+    in_all = {r["word"]: r["n"] for r in counted(src, frozenset(in_positive)).collect()}
+    apart = {}
+    for word, k in in_positive.items():
+        both = k + in_all.get(word, 0)
+        pooled = both / (n + m)
+        z = abs(k / n - in_all.get(word, 0) / m) / math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
+        if z >= APART and both >= 5:
+            apart[word] = z
+    vocabulary = sorted(apart, key=lambda x: (-apart[x], x))[:size]
     at = {w: i for i, w in enumerate(vocabulary)}
-    rows = sample.mapInArrow(functools.partial(_vectors, vocabulary=at), "positive int, at array<int>").collect()
-    rows = sorted((r["positive"], tuple(r["at"])) for r in rows)
-    w, b = fit([list(x) for c, x in rows if c], [list(x) for c, x in rows if not c], len(vocabulary), prior)
+    vectors = functools.partial(_vectors, vocabulary=at)
+    positive = sorted(tuple(r["at"]) for r in toxic.mapInArrow(vectors, "drawn int, at array<int>").collect())
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0 < min(1.0, start / m)
+    unlabelled = written(src.select(F.when(draw, F.abs(F.hash("id", "text")) + 1).otherwise(0).alias("drawn"), "text").mapInArrow(vectors, "drawn int, at array<int>"), "toxicity")
+    # Rows alike are drawn alike, so each counts once: the draw stays near `start`.
+    drawn = sorted(tuple(r["at"]) for r in unlabelled.where("drawn > 0").distinct().collect())
+
+    def over_all(w: np.ndarray) -> np.ndarray:
+        total = unlabelled.select("at").mapInArrow(functools.partial(_sums, w=w), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        return np.array([r["x"] for r in total])
+
+    w, b = fit([list(x) for x in positive], [list(x) for x in drawn] or [[]], len(vocabulary), prior, over_all)
     return dict(zip(vocabulary, w.tolist(), strict=True)), b
 
 

@@ -114,3 +114,41 @@ def test_quality_bounds(spark, monkeypatch):
     assert sorted(seen[0][1].tolist()) == [5 + 40 * i for i in range(30)] and len(seen[0][0]) == seen[0][1].sum()
     quality.train(docs, labels, 10**6, -1, longest=500, most_lines=1500)
     assert seen[1][1].max() <= 500 and seen[1][1].sum() <= 1500 and set(seen[1][1].tolist()) <= {5 + 40 * i for i in range(30)}
+
+
+def test_risk_against_finite_differences():
+    """The step's direction is the gradient of the corrected risk, or of the bracket's opposite where that is negative."""
+    rng = np.random.default_rng(4)
+    rows = lambda n: [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(n)]
+    positive, unlabelled, prior = rows(9), rows(25), 0.3
+
+    def risk(w):
+        f = lambda r: w[r].sum() + w[-1]
+        neg = lambda some: np.mean([np.log1p(np.exp(f(r))) for r in some])
+        bracket = neg(unlabelled) - prior * neg(positive)
+        plain = bracket + prior * np.mean([np.log1p(np.exp(-f(r))) for r in positive]) if bracket >= 0 else -bracket
+        return plain + toxicity.DECAY / 2 * (w[:-1] ** 2).sum()
+
+    p, u = toxicity._flat(positive), toxicity._flat(unlabelled)
+    seen = np.append(np.bincount(p[1], minlength=6), 9.0)
+    sides = set()
+    for scale in (0.5, 1.0, 6.0):
+        w = rng.normal(size=7) * scale
+        if scale == 6:
+            w = np.where(np.bincount(p[1], minlength=6) / 9 > np.bincount(u[1], minlength=6) / 25, 6.0, -6.0)
+            w = np.append(w, 4.0)
+            prior = 0.9
+        got = toxicity.risk_step(toxicity.sums(*p, w), seen, toxicity.sums(*u, w), w, prior)
+        want = [(risk(w + e) - risk(w - e)) / 2e-6 for e in np.eye(7) * 1e-6]
+        assert np.allclose(got, want, atol=1e-5)
+        sides.add(bool(toxicity.sums(*u, w)[-2] / 25 < prior * toxicity.sums(*p, w)[-2] / 9))
+    assert False in sides
+
+
+def test_unlabelled_sums_cover_all_rows(spark):
+    docs = spark.createDataFrame([(i, ("vile words here " if i % 10 == 0 else "mild words there ") + f"filler{i % 7}") for i in range(900)] + [(5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 400, 5)], "doc_id long, toxic int")
+    weights, bias = toxicity.train(docs, labels, 4, 2, start=50)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, weights, bias).collect()}
+    assert min(found[i] for i in range(0, 900, 10)) > max(found[i] for i in range(1, 900) if i % 10)
+    assert "vile" in weights and weights["vile"] > 0
