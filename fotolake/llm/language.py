@@ -1,16 +1,18 @@
 """Language identification by rank-order profiles of character n-grams.
 
-Letters are lower-cased and numbered by a hash; everything else is a boundary, runs of which count once. One- to three-grams
-of a whole text, boundaries included, are counted and ranked (ties by number). A language's profile holds its most frequent
+Letters are lower-cased; everything else is a boundary, runs of which count once. One- to three-grams
+of a whole text, boundaries included, are counted and ranked (ties by code points). A language's profile holds its most frequent
 n-grams of the training texts; a text's distance to it sums how far each of its most frequent n-grams is out of place, absent
 ones by the profile's length. The nearest language is predicted (ties: the first by name); the score compares the nearest
 distance with the second: 0.5 if equal, 1 if the nearest is 0.
 
-Profiles are learned from at most `most` texts of each language, chosen by a hash of the id, so no shuffle of texts is needed;
-n-grams are counted on the executors and only profiles come to the driver, `size` entries a language.
+Profiles are learned from about `most` texts of each language, chosen by a hash of id and text, so no shuffle of texts is needed;
+n-grams are counted on the executors and only profiles come to the driver, `size` numbers a language (languages are few: a
+thousand make 3 MB).
 
 Nulls and ties: texts that are null or without letters are `und`, with score 0, as are all if there is nothing to learn from.
-Rows with a null language are not learned from. Repeated rows repeat; an empty table gives an empty result.
+Rows with a null language are not learned from. Very long texts are read whole. Repeated rows repeat; columns other than those
+named are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,31 +28,26 @@ from pyspark.sql import types as T
 
 from fotolake.llm.common import col, fold, texts
 
-NUMBERS = 1021  # letters are numbered 1 to this; a prime
-PLANE = 0x30000  # beyond it nothing is taken as a letter of a language
+BITS, EDGE = 21, 0x110000  # bits of a code point, three of which make an n-gram's number, and what stands for a boundary
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """The number of each code point, 0 for what is no letter."""
-    out = np.zeros(PLANE + 1, np.int32)
-    for c in range(PLANE):
-        if chr(c).isalpha():
-            out[c] = 1 + c * 2_654_435_761 % 2**32 % NUMBERS
-    return out
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text and their counts, most frequent first."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    n = _letters()[np.minimum(points, PLANE)]
-    n = np.concatenate([np.zeros(1, np.int32), n, np.zeros(1, np.int32)])
-    n = n[np.concatenate([[True], (n[1:] != 0) | (n[:-1] != 0)])]
+    """Distinct n-grams of a text and their counts, most frequent first; an n-gram is its code points, EDGE at boundaries, in one number."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    n = np.where(_letters()[points], points, EDGE)
+    n = np.concatenate([[EDGE], n, [EDGE]])
+    n = n[np.concatenate([[True], (n[1:] != EDGE) | (n[:-1] != EDGE)])]
     if len(n) < 3:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    pairs = n[:-1] * 1024 + n[1:]
-    triples = n[:-2] * (1 << 20) + pairs[1:]
-    codes = np.concatenate([n[n > 0], pairs, triples[n[1:-1] > 0]])
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    pairs = (n[:-1] << BITS) + n[1:]
+    triples = (n[:-2] << (2 * BITS)) + pairs[1:]
+    codes = np.concatenate([n[n != EDGE], pairs, triples[n[1:-1] != EDGE]])
     codes, counts = np.unique(codes, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     return codes[order], counts[order]
@@ -66,7 +63,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [(lang, g, c) for lang, into in held.items() for g, c in into.items()]
     for at in range(0, len(rows), 50_000):
         part = list(zip(*rows[at : at + 50_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64())], ["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())], ["lang", "gram", "n"])
 
 
 def profiles(docs: DataFrame, parts: int, held: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400, most: int = 4000) -> dict[str, list[int]]:
@@ -74,9 +71,9 @@ def profiles(docs: DataFrame, parts: int, held: int, id_col: str = "doc_id", tex
     src = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
     src = src.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold(F.col("id"), parts) != held)
     share = src.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(most)) / F.col("count"))).select("lang", "share")
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_003)) / 1_000_003.0
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1_000_003)) / 1_000_003.0
     some = src.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
-    counts = some.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counts.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect()
     out: dict[str, list[int]] = {}
@@ -88,7 +85,7 @@ def profiles(docs: DataFrame, parts: int, held: int, id_col: str = "doc_id", tex
 class Model:
     def __init__(self, known: dict[str, list[int]], size: int) -> None:
         self.names, self.size = sorted(known), size
-        self.codes = np.unique(np.concatenate([np.array(known[n], np.int32) for n in self.names])) if known else np.empty(0, np.int32)
+        self.codes = np.unique(np.concatenate([np.array(known[n], np.int64) for n in self.names])) if known else np.empty(0, np.int64)
         self.ranks = np.full((len(self.names), len(self.codes) + 1), -1, np.int32)
         for row, n in zip(self.ranks, self.names, strict=True):
             row[np.searchsorted(self.codes, known[n])] = np.arange(len(known[n]))

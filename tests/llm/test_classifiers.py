@@ -1,6 +1,7 @@
 """Language, toxicity and quality: held-out accuracy on the small tables, and edge cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -152,3 +153,46 @@ def test_unlabelled_sums_cover_all_rows(spark):
     found = {r.doc_id: r.score for r in toxicity.score(docs, weights, bias).collect()}
     assert min(found[i] for i in range(0, 900, 10)) > max(found[i] for i in range(1, 900) if i % 10)
     assert "vile" in weights and weights["vile"] > 0
+
+
+def plain_grams(text, size):
+    """The most frequent n-grams of a text by counting strings."""
+    runs = "".join(c if c.isalpha() else " " for c in text.lower())
+    line = " " + " ".join(runs.split()) + " "
+    found = {}
+    for k in (1, 2, 3):
+        for i in range(len(line) - k + 1):
+            g = line[i : i + k]
+            if g.strip() and not (k == 3 and g[1] == " "):
+                found[g] = found.get(g, 0) + 1
+    place = lambda g: [0] * (3 - len(g)) + [0x110000 if c == " " else ord(c) for c in g]
+    return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], place(x[0])))][:size]
+
+
+def test_language_against_plain_distances(spark):
+    rng = random.Random(8)
+    rare = "".join(map(chr, (0x30001, 0x31000, 0x20000)))
+    bits = {"a": "the and of in to was that", "b": "der die und das nicht ein zu", "c": rare, "d": "και το της ΣΑΣ ὀδός"}
+    made = [(lang, " ".join(rng.choices(list(words) if lang == "c" else words.split(), k=30))) for lang, words in bits.items() for _ in range(8)]
+    rows = [(i, lang, text) for i, (lang, text) in enumerate(made)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    known = language.profiles(docs, 5, 0, size=60)
+    learned = {}
+    for lang in bits:
+        all_of = [t for i, x, t in rows if x == lang and zlib.crc32(str(i).encode()) % 5]
+        counts = {}
+        for t in all_of:
+            for g in plain_grams(t, 10**9):
+                line = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+                counts[g] = counts.get(g, 0) + sum(line.startswith(g, i) for i in range(len(line)))
+        place = lambda g: [0] * (3 - len(g)) + [0x110000 if c == " " else ord(c) for c in g]
+        learned[lang] = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], place(x[0])))][:60]
+    number = lambda g: sum((0x110000 if c == " " else ord(c)) << (21 * k) for k, c in enumerate(reversed(g)))
+    assert {k: [number(g) for g in v] for k, v in learned.items()} == known
+    tests = [t for _, _, t in rows] + [rare * 7, "the die και", "x", "", "\U00030001" * 20, "12 ٣ !"]
+    found = language.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), known, size=60).collect()
+    for r in found:
+        own = plain_grams(tests[r.doc_id], 60)
+        far = {k: sum(abs(v.index(g) - i) if g in v else 60 for i, g in enumerate(own)) for k, v in learned.items()}
+        assert r.lang_pred == (min(sorted(far), key=far.get) if own else "und"), tests[r.doc_id]
+    assert found[-2].lang_pred == "c" and found[-1].lang_pred == "und"
