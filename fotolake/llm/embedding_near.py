@@ -6,12 +6,13 @@ deviation d. The first two directions cut a label into slabs wide enough that a
 adjacent slabs but for a stated share; slab cells are cut by hash into blocks of at most BLOCK nodes, and each pair of
 blocks of adjacent cells is a task. A task sorts one block by each direction, takes around each vector of the other block a
 window of fixed half-width, counts for each pair the windows it falls in, and verifies by cosine in double precision the
-pairs whose count reaches a threshold set from the binomial law for the wanted recall. It returns sums of links and a
+pairs whose count reaches a threshold set from the binomial law for the wanted recall. After the first DENSE directions only
+pairs that can still reach it are counted further. It returns sums of links and a
 spanning forest, never the pairs themselves.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
 with nothing and are their own component. Vectors of different lengths do not link. Ids may repeat; a null id takes part, and
-a component is named by its smallest non-null id. An empty table gives an empty result.
+a component is named by its smallest non-null id; rows that repeat an id are rows of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from fotolake.llm.simhash import Forest
 SEED, BLOCK = 20_240, 2048
 #: Directions, and the windows' half-width and the slabs' width as multiples of the chord at the threshold.
 DIRECTIONS, HALF_WIDTH, SLAB = 32, 1.5, 2.5
+#: Directions counted for all pairs of a task, before only those that can still reach the threshold are.
+DENSE = 14
+#: At most so many slab cells, of about 150 bytes, are broadcast; more are joined by shuffle, each to SALT parts of its vectors.
+BROADCAST_CELLS, SALT = 200_000, 16
 
 
 def directions(dim: int) -> np.ndarray:
@@ -53,18 +58,26 @@ def threshold(recall: float) -> int:
     return 0
 
 
-def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
-    """For each pair of rows of projections, the number of directions in whose window around a's row b's row falls."""
-    counts = np.zeros((len(a), len(b)), np.uint8)
-    for j in range(a.shape[1]):
+def collisions(a: np.ndarray, b: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of projections with b's row in the window around a's row in `least` directions or more."""
+    n, d = a.shape
+    low, size, rank = np.empty((d, n), np.uint16), np.empty((d, n), np.uint16), np.empty((d, len(b)), np.uint16)
+    for j in range(d):
         order = np.argsort(b[:, j])
         line = b[order, j]
-        low = np.searchsorted(line, a[:, j] - half, "left").astype(np.uint16)
-        size = np.searchsorted(line, a[:, j] + half, "right").astype(np.uint16) - low
-        rank = np.empty(len(b), np.uint16)
-        rank[order] = np.arange(len(b), dtype=np.uint16)
-        counts += (rank[None, :] - low[:, None]) < size[:, None]
-    return counts
+        low[j] = np.searchsorted(line, a[:, j] - half, "left")
+        size[j] = np.searchsorted(line, a[:, j] + half, "right") - low[j]
+        rank[j, order] = np.arange(len(b), dtype=np.uint16)
+    counts = np.zeros((n, len(b)), np.uint8)
+    for j in range(min(DENSE, d)):
+        counts += (rank[j][None, :] - low[j][:, None]) < size[j][:, None]
+    u, v = np.divmod(np.flatnonzero(counts >= max(0, least - max(0, d - DENSE))), len(b))
+    count = counts[u, v]
+    for j in range(DENSE, d):
+        count += (rank[j][v] - low[j][u]) < size[j][u]
+        able = count >= max(0, least - (d - 1 - j))
+        u, v, count = u[able], v[able], count[able]
+    return u, v
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -85,7 +98,7 @@ def _compare(pdf: pd.DataFrame, cosine: float, least: int) -> pd.DataFrame:
         half = HALF_WIDTH * chord(cosine)
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            u, v = np.nonzero(collisions(line[rows], line[right], half) >= least)
+            u, v = collisions(line[rows], line[right], half, least)
             u, v = rows[u], right[v]
             if same:
                 u, v = u[u < v], v[u < v]
@@ -123,7 +136,13 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     around = sizes.withColumn("s", steps).select("label", "dim", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), F.struct((-F.col("s.dx")).alias("dx"), (-F.col("s.dy")).alias("dy"), "k").alias("near"))
     around = around.groupBy(*cell).agg(F.collect_list("near").alias("near"))  # at most nine
     name = lambda x, y, k: F.struct(x.alias("x"), y.alias("y"), k.alias("k"))
-    own = at.join(sizes, cell).join(around, cell).withColumn("block", name(F.col("x"), F.col("y"), F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+    cells = written(sizes.join(around, cell), "cells")
+    if cells.count() <= BROADCAST_CELLS:
+        own = at.join(F.broadcast(cells), cell)
+    else:  # a dense cell is dealt over SALT tasks
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+        own = at.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(cells.select("*", parts), [*cell, "salt"])
+    own = own.withColumn("block", name(F.col("x"), F.col("y"), F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
     out = own.select("label", "dim", "node", "n", "vec", "block", "x", "y", F.explode("near").alias("near"))
     out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("near.k") - 1)).alias("j"))
     out = out.withColumn("to", name(F.col("x") + F.col("near.dx"), F.col("y") + F.col("near.dy"), F.col("j")))

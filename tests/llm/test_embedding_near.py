@@ -55,3 +55,43 @@ def test_copies_and_empty(spark):
 
 def test_threshold_falls_with_recall():
     assert 0 < threshold(0.999) <= threshold(0.9) < 32
+
+
+def test_collisions_against_plain_counts():
+    from fotolake.llm.embedding_near import DIRECTIONS, collisions
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(40, DIRECTIONS)), rng.normal(size=(70, DIRECTIONS))
+    b[:20] = a[:20] + rng.normal(size=(20, DIRECTIONS)) * 0.2
+    counts = (np.abs(a[:, None] - b[None]) <= 0.4).sum(axis=2)
+    for least in (0, 3, 9, 20, 32):
+        assert set(zip(*collisions(a, b, 0.4, least), strict=True)) == set(zip(*np.nonzero(counts >= least), strict=True))
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs at cosines from 0.98 to 0.999, the most of them at the threshold itself."""
+    rng = np.random.default_rng(6)
+    rows, dim, n = [], 64, 1500
+    for i in range(n):
+        u = rng.standard_normal(dim)
+        u /= np.linalg.norm(u)
+        w = rng.standard_normal(dim)
+        w -= (w @ u) * u
+        c = 0.9802 if i % 3 else rng.uniform(0.98, 0.999)
+        v = c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+        rows += [(2 * i, i % 2, u.tolist()), (2 * i + 1, i % 2, v.tolist())]
+    got = embedding_components(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sum(r.n_links for r in got) >= 0.98 * 2 * n
+    assert all(r.component_id in (r.vec_id, r.vec_id - 1) and r.n_links <= 1 for r in got)
+
+
+def test_repeated_and_null_ids_beyond_the_bound(spark, monkeypatch):
+    from fotolake.llm import embedding_near
+
+    v, w = np.eye(8)[0].tolist(), np.eye(8)[1].tolist()
+    rows = [(5, 1, v), (5, 1, v), (None, 1, v), (3, 1, [2 * x for x in v]), (None, 1, w), (7, 1, w), (7, 2, w), (None, 2, [0.0] * 8)]
+    want = sorted(map(repr, [(5, 3, 3, False), (5, 3, 3, False), (None, 3, 3, False), (3, 3, 3, True), (None, 1, 7, False), (7, 1, 7, True), (7, 0, 7, True), (None, 0, None, True)]))
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    for bound in (embedding_near.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(embedding_near, "BROADCAST_CELLS", bound)
+        assert sorted(repr(tuple(r)) for r in embedding_components(df).collect()) == want
