@@ -5,10 +5,11 @@ that may be left open are closed by what follows (paragraphs, list items, defini
 cells outside a row and rows outside a body get their parents; end tags close up to their element within its scope, and the
 misnested ends of formatting elements close only those.
 
-Visibility: head, script, style, template, noscript and other elements without a box are left out (of SVG and MathML: titles,
+Visibility: head, script, style, template and other elements without a box are left out (of SVG and MathML: titles,
 descriptions, definitions and annotations), and so are elements with
-`hidden` or `display: none`, closed details but for their summary, and texts under `visibility: hidden` unless a
-descendant is made visible again.
+`hidden` or `display: none`, closed details but for their summary, closed dialogs, and texts under `visibility: hidden` unless a
+descendant is made visible again. Scripts are not run and objects not loaded, so `noscript` and what stands in for an object are
+seen. Rules of style sheets are not applied, only `style` attributes.
 
 Layout: white space collapses except in preformatted text and textareas; options and labels of
 SVG are lines; blocks start lines, and paragraphs, headings, lists, tables
@@ -35,8 +36,8 @@ from fotolake.llm.common import col, texts
 
 #: Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas datalist input area defs desc metadata symbol clippath lineargradient radialgradient annotation annotation-xml".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+UNSEEN = frozenset("head script style template title noembed noframes iframe audio video canvas datalist input area defs desc metadata symbol clippath lineargradient radialgradient annotation annotation-xml".split())
 IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 FORMAT = frozenset("a b big code em font i nobr s small span strike strong tt u mark sub sup abbr cite q label".split())
@@ -64,6 +65,8 @@ MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure hr fi
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Levels of lists and quotations that are indented.
+INDENTS = 40
 GONE, SEEN = re.compile(r"display\s*:\s*none", re.I), re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
@@ -97,7 +100,7 @@ class Flow:
         self.line, self.space = [], False
         if not (line or keep):
             return
-        lead = "".join(self.indents)
+        lead = "".join(self.indents[:INDENTS])
         if line and self.marker:
             lead, self.marker = lead[: max(0, len(lead) - len(self.marker))] + self.marker, ""
         if self.gap and self.lines and self.lines[-1]:
@@ -163,23 +166,40 @@ class Page:
     """Builds the tree as its open elements and renders them as they come."""
 
     def __init__(self) -> None:
-        self.open: list[tuple] = []  # (tag, shown, visible, pre, payload)
+        self.open: list[tuple | None] = []  # (tag, shown, visible, pre, payload); None where one was closed amid others
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
         self.flows, self.tables, self.head_over = [Flow()], [], False
 
     def shown(self) -> bool:
         return not self.open or self.open[-1][1]
 
+    def last(self, tags: frozenset[str] | set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def find(self, tags: frozenset[str] | set[str], scope: frozenset[str]) -> int:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                return i
-            if self.open[i][0] in scope:
-                return -1
-        return -1
+        """The place of the innermost open element of `tags`, -1 if there is none or one of `scope` lies within it."""
+        i = self.last(tags)
+        return i if i >= 0 and i >= self.last(scope) else -1
+
+    def push(self, element: tuple) -> None:
+        self.places.setdefault(element[0], []).append(len(self.open))
+        self.open.append(element)
 
     def close_to(self, i: int) -> None:
         while len(self.open) > i:
-            self.leave(self.open.pop())
+            element = self.open.pop()
+            if element:
+                self.places[element[0]].pop()
+                self.leave(element)
+        while self.open and not self.open[-1]:
+            self.open.pop()
+
+    def close_amid(self, i: int) -> None:
+        """Closes the innermost element of its tag, but not those within it."""
+        element, self.open[i] = self.open[i], None
+        self.places[element[0]].pop()
+        self.leave(element)
+        self.close_to(len(self.open))
 
     def leave(self, element: tuple) -> None:
         tag, shown, _, _, payload = element
@@ -212,7 +232,7 @@ class Page:
 
     def margin(self, tag: str) -> int:
         if tag in ("ul", "ol", "menu", "dir"):
-            return 0 if any(x[0] == "li" for x in self.open) else 1
+            return 0 if self.places.get("li") else 1
         return MARGIN[tag]
 
     def start(self, tag: str, attributes: str) -> None:
@@ -221,7 +241,7 @@ class Page:
                 self.end_head()
                 if tag == "head":
                     return
-            if any(x[0] == tag for x in self.open):
+            if self.places.get(tag):
                 return
         elif tag not in IN_HEAD:
             self.end_head()
@@ -234,9 +254,7 @@ class Page:
             while (i := self.find(tags, scope)) >= 0:
                 self.close_to(i)
         if tag in ("td", "th", "tr") and self.tables:
-            i = self.find({"table"}, frozenset())
-            inner = {x[0] for x in self.open[i:]}
-            if tag != "tr" and "tr" not in inner:
+            if tag != "tr" and self.last({"tr"}) < self.last({"table"}):
                 self.start("tr", "")
         got = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
         style = got.get("style", "")
@@ -246,6 +264,8 @@ class Page:
             shown = False
         if m := SEEN.search(style):
             visible = m[1].lower() == "visible"
+        if tag == "dialog" and "open" not in got:
+            shown = False
         pre = pre or tag in ("pre", "listing", "xmp", "textarea") or "white-space:pre" in style.replace(" ", "").lower()
         payload = None
         flow = self.flows[-1]
@@ -283,9 +303,9 @@ class Page:
                 payload = "open" in got
             elif tag == "q":
                 flow.text('"', False)
-        closed = attributes.endswith("/") and any(x[0] in ("svg", "math") for x in self.open)
+        closed = attributes.endswith("/") and bool(self.places.get("svg") or self.places.get("math"))
         if tag not in VOID and not closed:
-            self.open.append((tag, shown, visible, pre, payload))
+            self.push((tag, shown, visible, pre, payload))
 
     def end_head(self) -> None:
         if not self.head_over:
@@ -310,7 +330,7 @@ class Page:
                 self.flows[-1].block(1)
             return
         if tag in FORMAT:
-            self.leave(self.open.pop(i))
+            self.close_amid(i)
         else:
             self.close_to(i)
 

@@ -1,7 +1,8 @@
 """WARC archives: one gzip member a record, written from pages and read back sequentially.
 
 Of records with equal payloads of at least `least_bytes` bytes, the one with the largest page id is the response and the
-others revisit it; the duplicates are found by grouping SHA-1 digests, so only digests that repeat are joined to the pages.
+others revisit it; the duplicates are found by grouping SHA-1 digests, and only digests that repeat are joined to the pages: by
+broadcast of up to BROADCAST_DIGESTS (counted first), so that payloads are not shuffled, and by shuffle beyond.
 Archives are rows of a table in the shared folder, each a run of whole members of about `segment` bytes, so that any store
 that Spark writes can hold them; `export` writes them as .warc.gz files.
 
@@ -10,7 +11,8 @@ Content-Length, and verifies block and payload digests. A truncated or altered a
 
 Nulls and ties: null html is an empty payload. Rows that repeat the responding page id with the same payload are all
 responses; rows with a null page id respond only if no row of their payload has an id. A null url is written as an empty
-target. An empty table gives an empty result.
+target. Ids may be numbers or texts. Payloads may be of any length that a task's memory holds; other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +36,8 @@ from fotolake.llm.common import col, written
 VERSION, PROFILE = b"WARC/1.1", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"1970-01-01T00:00:00Z"
 CHUNK = 1 << 16
+#: At most so many repeated digests, of some 100 bytes with their ids, are broadcast.
+BROADCAST_DIGESTS = 500_000
 
 
 def digest(data: bytes) -> str:
@@ -43,14 +48,19 @@ def _one_line(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
 
 
+def _urn(page_id) -> bytes:
+    """The name of a record: a null id has one of its own, others are quoted."""
+    return b"<urn:page>" if page_id is None else b"<urn:page:%s>" % quote(str(page_id), safe="").encode()
+
+
 def record(page_id, url: str, payload: bytes, refers_to, record_type: str) -> bytes:
     """A record as one gzip member; a revisit carries the headers and digest of its payload, not the payload."""
     body = b"" if record_type == "revisit" else payload
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + body
-    head = [VERSION, b"WARC-Type: " + record_type.encode(), b"WARC-Record-ID: <urn:page:%s>" % str(page_id).encode(), b"WARC-Date: " + DATE, b"WARC-Target-URI: " + _one_line(url), b"WARC-Payload-Digest: sha1:" + digest(payload).encode(), b"WARC-Block-Digest: sha1:" + digest(block).encode()]
+    head = [VERSION, b"WARC-Type: " + record_type.encode(), b"WARC-Record-ID: " + _urn(page_id), b"WARC-Date: " + DATE, b"WARC-Target-URI: " + _one_line(url), b"WARC-Payload-Digest: sha1:" + digest(payload).encode(), b"WARC-Block-Digest: sha1:" + digest(block).encode()]
     if record_type == "revisit":
-        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: <urn:page:%s>" % str(refers_to).encode()]
+        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + _urn(refers_to)]
     head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -89,7 +99,7 @@ def parse(member: bytes) -> dict:
     size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     if fields["warc-type"] != "revisit" and ("sha1:" + digest(payload) != fields["warc-payload-digest"] or len(payload) != size):
         raise ValueError("payload digest or length differs")
-    page = lambda x: fields[x].removeprefix("<urn:page:").removesuffix(">") if x in fields else None
+    page = lambda x: unquote(fields[x][len("<urn:page:") : -1]) if fields.get(x, "").startswith("<urn:page:") else None
     return {"page_id": page("warc-record-id"), "url": fields["warc-target-uri"], "payload": payload, "payload_bytes": size, "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"), "record_type": fields["warc-type"], "refers_to": page("warc-refers-to")}
 
 
@@ -114,10 +124,11 @@ def _write(batches: Iterable[pa.RecordBatch], segment: int) -> Iterator[pa.Recor
 def classified(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to, record_type) of each row."""
     url = col(url_col).cast("string") if url_col else F.lit("")
-    src = pages.select(col(id_col).alias("page_id"), url.alias("url"), F.coalesce(col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
+    src = pages.select(col(id_col).alias("page_id"), url.alias("url"), F.coalesce(col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     same = src.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha1", "last")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    out = src.join(same, "sha1", "left")
+    same = written(same, "digests")
+    out = src.join(F.broadcast(same) if same.count() <= BROADCAST_DIGESTS else same, "sha1", "left")
     return out.select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, "revisit").otherwise("response").alias("record_type"))
 
 
@@ -143,7 +154,7 @@ def _read(batches: Iterable[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBa
 
 
 def read_archives(archives: DataFrame, content_col: str = "content", keep_payload: bool = True) -> DataFrame:
-    """The records of archives, one row each; page ids as text ("None" for a null id)."""
+    """The records of archives, one row each; page ids as text."""
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * keep_payload
     return archives.select(col(content_col)).mapInArrow(functools.partial(_read, keep=keep_payload), schema)
 
@@ -151,7 +162,7 @@ def read_archives(archives: DataFrame, content_col: str = "content", keep_payloa
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), each row read back from the archives."""
     kind: T.DataType = pages.schema["page_id"].dataType
-    number = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind).alias(c)
+    number = lambda c: F.col(c).cast(kind).alias(c)
     read = read_archives(write_archives(pages, least_bytes=least_bytes), keep_payload=False)
     return read.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 

@@ -41,3 +41,14 @@ def test_damage_is_found():
     for bad in (text.replace(b"payloadpayload", b"payloadpayl0ad", 1), text[:-5], text.replace(b"WARC/", b"WARX/")):
         with pytest.raises(ValueError):
             parse(bad)
+
+
+def test_text_ids_and_digests_beyond_the_bound(spark, monkeypatch):
+    from fotolake.llm import warc
+
+    rows = [("None", "<p>a"), (None, "<p>b"), ("x> \r\n%41é", "<p>a"), ("z", "<p>c"), ("", "<p>c")]
+    df = spark.createDataFrame(rows, "page_id string, html string").selectExpr("*", "'u' as url")
+    want = sorted(map(repr, [("None", "revisit", "x> \r\n%41é"), (None, "response", None), ("x> \r\n%41é", "response", None), ("z", "response", None), ("", "revisit", "z")]))
+    for bound in (warc.BROADCAST_DIGESTS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
+        assert sorted(repr((r.page_id, r.record_type, r.refers_to)) for r in warc_round_trip(df).collect()) == want
