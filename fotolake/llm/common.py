@@ -19,21 +19,34 @@ def col(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the session's own, or a local one where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: the session's own, or a local one where none is set and all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    named = named or LOCAL_CHECKPOINTS
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a table in the shared folder, read again: it cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what `written` left in the shared folder for this application, once its results are saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pointed(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)

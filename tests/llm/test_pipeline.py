@@ -1,5 +1,6 @@
 """The pipeline's stages on planted documents and on the small tables."""
 
+import os
 import random
 
 import corpus_pipeline as c
@@ -65,3 +66,10 @@ def test_empty_stages(spark):
     for _, stage in c.STAGES:
         out = stage(spark, docs, SF)
         assert out.collect() == []
+
+
+def test_tables_are_cleared(spark):
+    table = written(spark.range(3), "some")
+    assert table.count() == 3 and "/tables-" in table.inputFiles()[0]
+    common.clear(spark)
+    assert not os.path.exists(table.inputFiles()[0].removeprefix("file://"))
