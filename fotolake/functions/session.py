@@ -12,5 +12,8 @@ def settled(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the folder that driver and executors share; its partitions stay as they are."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or LOCAL_CHECKPOINTS)
     return df.checkpoint(eager=True)

@@ -77,8 +77,8 @@ def name_focal(name: Column) -> Column:
 
 
 def canon_spaced(name: Column) -> Column:
-    """A space after mount prefixes that stand against the focal length."""
-    return F.regexp_replace(name, r"^(EF-S|EF-M|RF-S|EF|RF|TS-E|MP-E)(?=\d)", "$1 ")
+    """The maker before, and a space after, mount prefixes that stand against the focal length."""
+    return F.regexp_replace(F.trim(name), r"^(EF-S|EF-M|RF-S|EF|RF)(?=\d)", "Canon $1 ")
 
 
 def history_name(s: Column) -> Column:

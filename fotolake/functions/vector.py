@@ -14,6 +14,10 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
+
+
 def interp(x: Column, knots: Column, values: Column) -> Column:
     """Piecewise-linear look-up in ascending knots, clamped at the ends."""
     n = F.size(knots)

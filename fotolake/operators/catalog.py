@@ -6,9 +6,17 @@ a key, by a ranked window over the new rows alone.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotolake.functions.session import settled
+from fotolake.operators.views import numbered
+
+#: At most so many words of one change ride along as an array; more are joined by number.
+WORDS_AT_ONCE = 10_000
+
 
 def set_where(df: DataFrame, ids: DataFrame, key: str = "id", **values) -> DataFrame:
     """`df` with columns set for the rows of `ids`; values may be columns of `df`."""
@@ -53,9 +61,11 @@ def add_keywords(links: DataFrame, ids: DataFrame, words: DataFrame) -> DataFram
     spelled = links.groupBy(low(F.col("keyword")).alias("k")).agg(F.min("keyword").alias("old"))
     clean = clean.join(spelled, "k", "left").select("k", F.coalesce("old", "new").alias("keyword"))
     have = links.select("photo_id", low(F.col("keyword")).alias("k"))
-    # The words given to a change are few: they ride along as one array, no join of all with all.
-    wanted = clean.agg(F.collect_list(F.struct("k", "keyword")).alias("words"))
-    added = ids.select("photo_id").distinct().join(F.broadcast(wanted)).select("photo_id", F.inline("words"))
+    # The words of a change ride along in arrays of a bounded size, no join of all with all: one array for most changes.
+    parts = max(1, -(-clean.count() // WORDS_AT_ONCE))
+    wanted = clean.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("k", "keyword")).alias("words"))
+    each = ids.select("photo_id").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    added = each.join(F.broadcast(wanted) if parts == 1 else wanted, "part").select("photo_id", F.inline("words"))
     return links.unionByName(added.join(have, ["photo_id", "k"], "left_anti").select("photo_id", "keyword"))
 
 
@@ -118,8 +128,8 @@ def virtual_copies(photos: DataFrame, ids: DataFrame) -> DataFrame:
     top = photos.agg(F.max("id").alias("top"))
     n = F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("m").orderBy("id"))
     out = src.join(have, "m", "left").withColumn("copy_name", F.concat(F.lit("Copy "), n.cast("string")))
-    out = out.withColumn("new_id", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top))
-    out = out.withColumns({"source": F.col("id"), "id": F.col("top") + F.col("new_id"), "master": F.col("m"), "stack_id": F.lit(0).cast("long"), "stack_pos": F.lit(0), "title": F.lit(""), "caption": F.lit("")})
+    out = numbered(out, [F.col("id")], "new_id").join(F.broadcast(top))  # a row
+    out = out.withColumns({"source": F.col("id"), "id": F.col("top") + 1 + F.col("new_id"), "master": F.col("m"), "stack_id": F.lit(0).cast("long"), "stack_pos": F.lit(0), "title": F.lit(""), "caption": F.lit("")})
     return out.select(*photos.columns, "source")
 
 
@@ -139,10 +149,17 @@ def known_paths(photos: DataFrame) -> DataFrame:
     return photos.where("master is null").select(F.lower("path").alias("path")).distinct()
 
 
-def hierarchy(spark, nodes: DataFrame, depth: int = 33) -> DataFrame:
-    """(id, name, path, depth) of nodes (id, name, parent), by recursion from the roots down to `depth`."""
-    sql = f"""WITH RECURSIVE t(id, name, path, depth) AS (
-      SELECT id, name, name, 1 FROM {{nodes}} WHERE parent IS NULL
-      UNION ALL SELECT n.id, n.name, concat(t.path, '/', n.name), t.depth + 1 FROM {{nodes}} n JOIN t ON n.parent = t.id WHERE t.depth < {depth})
-      SELECT * FROM t"""
-    return spark.sql(sql, nodes=nodes)
+def hierarchy(spark, nodes: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id, name, path, depth) of nodes (id, name, parent), by a join for each level below the roots.
+
+    Levels are checkpointed, so plans do not grow. It raises beyond `most` levels; nodes that no root reaches are left out.
+    """
+    level = settled(nodes.where("parent is null").select("id", "name", F.col("name").alias("path"), F.lit(1).alias("depth")))
+    levels = [level]
+    while not level.isEmpty():
+        if len(levels) > most:
+            raise ValueError(f"hierarchy: more than {most} levels")
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("__above"), (F.col("depth") + 1).alias("depth"))
+        level = settled(nodes.join(above, "parent").select("id", "name", F.concat("__above", F.lit("/"), "name").alias("path"), "depth"))
+        levels.append(level)
+    return functools.reduce(DataFrame.unionByName, levels)

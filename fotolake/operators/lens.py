@@ -12,24 +12,39 @@ from fotolake.functions.text import canon_spaced, lens_words, name_focal
 from fotolake.functions.vector import hermite
 
 
-def find(shots: DataFrame, lenses: DataFrame) -> DataFrame:
+#: Fixed rules of the choice: tolerance of focal lengths in mm, least ratio of crop factors, least score, weight of the cover.
+FOCAL, CIRCLE, SCORE, COVER = 0.05, 0.96, 0.7, 0.5
+
+
+def find(shots: DataFrame, lenses: DataFrame, order: str = "lens") -> DataFrame:
     """(shot, lens, score): the lens of equal focal range, large enough image circle, and most shared name tokens.
 
-    The focal range, in twentieths of a millimetre, is the join key with its neighbours, so names meet only within a range.
+    Ties go to the first by `order`, a column of `lenses`. A name of figures alone takes the only lens of its range.
+
+    Each distinct name is compared once. A score above SCORE needs more than SCORE / (1 + COVER) of the name's tokens, so one of
+    its rarest tokens must be shared: only those are looked up, by range and token, and the pairs found are scored.
     """
-    prepared = lambda df, name, *keep: df.select(*keep, F.col(name), name_focal(canon_spaced(F.col(name))).alias("f"), lens_words(canon_spaced(F.col(name))).alias("w")).where("f is not null")
+    prepared = lambda df, name, *keep: df.select(*keep, F.col(name).alias("name"), name_focal(F.col("__name")).alias("f"), lens_words(F.col("__name")).alias("w")).where("f is not null")
     cell = lambda x: F.floor(x * 20 + 0.5)
-    left = prepared(shots, "name", "shot", "crop").select("shot", "crop", "f", "w", cell(F.col("f.low")).alias("lo"), cell(F.col("f.high")).alias("hi"))
+    left = prepared(shots.select("name", "crop").distinct().withColumn("__name", canon_spaced(F.col("name"))), "name", "crop")
+    left = left.select("name", "crop", "f", "w", cell(F.col("f.low")).alias("lo"), cell(F.col("f.high")).alias("hi"), (~F.exists("w", lambda x: ~x.rlike(r"^[0-9.]+$"))).alias("bare"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    right = prepared(lenses, "lens", "crop").select("lens", F.col("crop").alias("lens_crop"), F.col("f").alias("lf"), F.col("w").alias("lw"), around.alias("s"))
-    right = right.select("lens", "lens_crop", "lf", "lw", (cell(F.col("lf.low")) + F.col("s.i")).alias("lo"), (cell(F.col("lf.high")) + F.col("s.j")).alias("hi"))
-    met = left.join(right, ["lo", "hi"]).where((F.abs(F.col("f.low") - F.col("lf.low")) <= 0.05) & (F.abs(F.col("f.high") - F.col("lf.high")) <= 0.05) & (F.col("crop") / F.col("lens_crop") >= 0.96))
+    right = prepared(lenses.select("lens", "crop", F.col(order).alias("at"), F.col("lens").alias("__name")), "lens", "crop", "at").select(F.col("name").alias("lens"), "at", F.col("crop").alias("lens_crop"), F.col("f").alias("lf"), F.col("w").alias("lw"))
+    cells = lambda df: df.withColumn("s", around).withColumns({"lo": cell(F.col("lf.low")) + F.col("s.i"), "hi": cell(F.col("lf.high")) + F.col("s.j")}).drop("s")
+    met = lambda df: df.where((F.abs(F.col("f.low") - F.col("lf.low")) <= FOCAL) & (F.abs(F.col("f.high") - F.col("lf.high")) <= FOCAL) & (F.col("crop") / F.col("lens_crop") >= CIRCLE))
+    # The rarest tokens of each name, as many as leave too few others for the score.
+    often = right.select(F.explode(F.array_distinct("lw")).alias("x")).groupBy("x").count()
+    tokens = left.where("not bare").select("name", "crop", F.explode(F.array_distinct("w")).alias("x")).join(often, "x", "left")
+    ranked = tokens.groupBy("name", "crop").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "x"))).alias("ranked"))
+    short = F.size("ranked") - F.ceil(F.size("ranked") * (SCORE / (1 + COVER))).cast("int") + 1
+    named = left.where("not bare").join(ranked, ["name", "crop"]).withColumn("x", F.explode(F.slice(F.col("ranked.x"), F.lit(1), short))).select("name", "crop", "f", "w", "lo", "hi", "x")
+    pairs = met(named.join(cells(right).withColumn("x", F.explode(F.array_distinct("lw"))), ["lo", "hi", "x"]))
+    pairs = pairs.groupBy("name", "crop", "lens", "at").agg(F.first("w").alias("w"), F.first("lw").alias("lw"))
     both = F.size(F.array_intersect("w", "lw"))
-    met = met.withColumn("score", both / F.greatest(F.size(F.array_union("w", "lw")), F.lit(1)) + 0.5 * both / F.greatest(F.size("w"), F.lit(1)))
-    bare = ~F.exists("w", lambda x: ~x.rlike(r"^[0-9.]+$"))
-    named = met.where(~bare & (F.col("score") > 0.7)).groupBy("shot").agg(F.max_by(F.struct("lens", "score"), F.struct("score", "lens")).alias("b")).select("shot", "b.lens", "b.score")
-    only = met.where(bare).groupBy("shot").agg(F.count_distinct("lens").alias("n"), F.min("lens").alias("lens")).where("n = 1").select("shot", "lens", F.lit(1.0).alias("score"))
-    return named.unionByName(only)
+    pairs = pairs.withColumn("score", both / F.greatest(F.size("w") + F.size("lw") - both, F.lit(1)) + COVER * both / F.greatest(F.size("w"), F.lit(1))).where(F.col("score") > SCORE)
+    best = pairs.groupBy("name", "crop").agg(F.min_by(F.struct("lens", "score"), F.struct(-F.col("score"), "at")).alias("b")).select("name", "crop", "b.lens", "b.score")
+    only = met(left.where("bare").join(cells(right), ["lo", "hi"])).groupBy("name", "crop").agg(F.count("*").alias("n"), F.min("lens").alias("lens")).where("n = 1").select("name", "crop", "lens", F.lit(1.0).alias("score"))
+    return shots.join(best.unionByName(only), ["name", "crop"]).select("shot", "lens", "score")
 
 
 def camera_crop(shots: DataFrame, cameras: DataFrame) -> DataFrame:

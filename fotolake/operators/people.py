@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions.vector import dot, norm
+from fotolake.operators.views import numbered
 
 NEW_BASE = 1 << 40  # temporary ids of new people start here
 BLOCK = 2000  # centroids in one array
@@ -59,22 +60,20 @@ def _lead(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["face_id", "person"]).astype("int64")
 
 
-def lead_groups(faces: DataFrame, threshold: float, within: str | None = None) -> DataFrame:
+def lead_groups(faces: DataFrame, threshold: float, within: str) -> DataFrame:
     """(face_id, person) of new groups among `faces`: leaders in descending score, groups of two or more.
 
-    The rule depends on order, so a group is one task: `within` bounds it (an event, a folder); None takes all faces.
+    The rule depends on order, so the faces of one value of `within` (an event, a folder) are one task, whose memory they must
+    fit. Temporary person ids count from NEW_BASE on in each.
     """
-    key = F.col(within) if within else F.lit(0)
-    return faces.select(key.alias("g"), "face_id", "score", "emb").groupBy("g").applyInPandas(lambda pdf: _lead(pdf, threshold), "face_id long, person long")
+    return faces.select(F.col(within).alias("g"), "face_id", "score", "emb").groupBy("g").applyInPandas(lambda pdf: _lead(pdf, threshold), "face_id long, person long")
 
 
 def apply_groups(faces: DataFrame, persons: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Faces and persons after changes (face_id, person); temporary ids become new persons, empty persons go."""
-    from pyspark.sql import Window
-
     new = changes.where(F.col("person") >= NEW_BASE).select("person").distinct()
     top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ids = new.withColumn("k", F.row_number().over(Window.orderBy("person"))).join(F.broadcast(top)).select("person", (F.col("top") + F.col("k")).alias("new_id"))
+    ids = numbered(new, [F.col("person")], "k").join(F.broadcast(top)).select("person", (F.col("top") + 1 + F.col("k")).alias("new_id"))  # top is a row
     mapped = changes.join(ids, "person", "left").select("face_id", F.coalesce("new_id", "person").alias("__p"))
     faces = faces.join(mapped, "face_id", "left").withColumn("person", F.coalesce("__p", "person")).drop("__p")
     people = persons.unionByName(ids.select(F.col("new_id").alias("id"), F.lit("").alias("name")))
@@ -92,6 +91,7 @@ def covers(faces: DataFrame) -> DataFrame:
 
 
 def people_list(faces: DataFrame) -> DataFrame:
+    """(person, photos, faces) of each known person."""
     return faces.where("person > 0").groupBy("person").agg(F.countDistinct("photo_id").alias("photos"), F.count("*").alias("faces"))
 
 

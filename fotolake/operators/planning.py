@@ -32,9 +32,11 @@ def relink(photos: DataFrame, files: DataFrame) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     found = files.select(F.lower(name).alias("n"), F.col("path").alias("new_path"), F.col("size"))
     lost = photos.where("missing and master is null").select("id", "path", F.lower("file_name").alias("n"), "file_size")
-    same = ((F.col("file_size") == 0) | (F.col("file_size") == F.col("size"))).cast("int")
-    best = lost.join(found, "n").groupBy("id", "path").agg(F.min(F.struct((1 - same).alias("off"), "new_path")).alias("b"))
-    return best.select("id", "path", F.col("b.new_path").alias("new_path"))
+    # One row for each name and size, and one for each name: common names do not multiply.
+    exact = found.groupBy("n", "size").agg(F.min("new_path").alias("exact"))
+    first = exact.groupBy("n").agg(F.min("exact").alias("first"))
+    met = lost.join(first, "n").join(exact.withColumnRenamed("size", "file_size"), ["n", "file_size"], "left")
+    return met.select("id", "path", F.when(F.col("file_size") == 0, F.col("first")).otherwise(F.coalesce("exact", "first")).alias("new_path"))
 
 
 def relocate(photos: DataFrame, files: DataFrame, old: str, new: str) -> DataFrame:
@@ -75,8 +77,8 @@ def dest_dir(folder: Column | None = None, fixed: str | None = None, subfolder:
 def export_paths(items: DataFrame, files: DataFrame, policy: str = "unique") -> DataFrame:
     """(id, out_path) of items (id, dir, stem, ext, seq) against files (path): unique, overwrite or skip.
 
-    Unique: the n-th free name in the order of `seq`, counting from the plain name, then `-2`, `-3`. The taken numbers of a
-    stem are gathered from the listing, bounded by its own repeats; numbered names that items of the
+    Unique: the n-th free name in the order of `seq`, counting from the plain name, then `-2`, `-3`. Items and taken numbers of a
+    name are ranked by one window; numbered names that items of the
     job take plainly count as taken too.
     """
     first = F.concat("dir", F.lit("/"), "stem", F.lit("."), "ext")
@@ -91,12 +93,16 @@ def export_paths(items: DataFrame, files: DataFrame, policy: str = "unique") ->
     plain = items.select(F.col("first").alias("path")).unionByName(files.select("path")).distinct()
     split = plain.select("path", F.regexp_extract("path", r"^(.*)-(\d+)\.([^./]*)$", 1).alias("a"), F.regexp_extract("path", r"^(.*)-(\d+)\.([^./]*)$", 2).alias("n"), F.regexp_extract("path", r"^(.*)-(\d+)\.([^./]*)$", 3).alias("e")).where("n <> '' and not startswith(n, '0') and length(n) < 10 and n <> '1'")
     numbered = split.select(F.concat("a", F.lit("."), "e").alias("first"), F.col("n").cast("int").alias("n"))
-    numbered = numbered.unionByName(taken.select("first", F.lit(1).alias("n"))).groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("used"))
-    items = items.withColumn("rn", F.row_number().over(order)).join(numbered, "first", "left")
-    # The rn-th positive number outside `used`: shift past each used number that is not above it.
-    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("rn"), lambda k, u: F.when(u <= k, k + 1).otherwise(k))
-    suffix = F.when(free > 1, F.concat(F.lit("-"), free.cast("string"))).otherwise("")
-    return items.select("id", F.concat("dir", F.lit("/"), "stem", suffix, F.lit("."), "ext").alias("out_path"))
+    used = numbered.unionByName(taken.select("first", F.lit(1).alias("n"))).distinct()
+    # The i-th used number u stands before the items from the (u - i + 1)-th on, each of which it shifts by one.
+    at = Window.partitionBy("first").orderBy("n")
+    shifts = used.select("first", (F.col("n") - F.row_number().over(at) + 1).alias("rn"), F.lit(1).alias("used"))
+    ranked = items.withColumns({"rn": F.row_number().over(order), "used": F.lit(0)})
+    both = ranked.unionByName(shifts, allowMissingColumns=True)
+    free = F.col("rn") + F.sum("used").over(Window.partitionBy("first").orderBy("rn", F.desc("used"), "seq", "id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("free", free).where("used = 0")
+    suffix = F.when(F.col("free") > 1, F.concat(F.lit("-"), F.col("free").cast("string"))).otherwise("")
+    return placed.select("id", F.concat("dir", F.lit("/"), "stem", suffix, F.lit("."), "ext").alias("out_path"))
 
 
 def pages(items: DataFrame, rows: int, columns: int) -> DataFrame:

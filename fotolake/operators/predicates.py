@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RAW_EXTENSIONS = ("3FR", "ARW", "CR2", "CR3", "CRW", "DCR", "DNG", "ERF", "IIQ", "KDC", "MEF", "MOS", "MRW", "NEF", "NRW", "ORF", "PEF", "RAF", "RW2", "RWL", "SR2", "SRW")
+#: Extensions of the kinds; the last raw one is that of merged exposures.
+RAW_EXTENSIONS = ("3FR", "ARW", "CR2", "CR3", "CRW", "DCR", "DNG", "ERF", "IIQ", "KDC", "MOS", "MRW", "NEF", "NRW", "ORF", "PEF", "RAF", "RW2", "SR2", "SRF", "SRW", "DRHDR")
 RASTER_EXTENSIONS = ("JPG", "JPEG", "PNG", "TIF", "TIFF")
 HEIF_EXTENSIONS = ("HEIC", "HEIF", "HIF")
 

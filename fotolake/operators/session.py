@@ -57,22 +57,21 @@ def stepped(view: DataFrame, current: DataFrame, delta: int) -> DataFrame:
     return at.join(view, "rank").select("session", "id")
 
 
-def translated(labels: DataFrame, templates: DataFrame) -> DataFrame:
-    """(label, text): labels that fit a template (source, target, with {} for values), values carried over; the template with
+def translated(labels: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """`labels` with `text`: labels that fit a template, values carried over; the template with
     the longest literal part wins, ties to the smaller source. Values are never empty; other labels stay as they are.
 
-    Templates are a fixed table of the program; each is one pattern, compiled into a column.
+    Templates, of the program, map a source with {} for values to a target with {} or {0}, {1}; each is compiled into a column.
     """
-    rows = sorted(templates.collect(), key=lambda r: (-len(r.source.replace("{}", "")), r.source))
     out: Column = F.col("label")
-    for r in reversed(rows):
-        pattern = "(?s)^" + "(.+?)".join(re.escape(p) for p in r.source.split("{}")) + "$"
-        pieces = r.target.split("{}")
+    for source, target in sorted(templates.items(), key=lambda r: (-len(r[0].replace("{}", "")), r[0]), reverse=True):
+        pattern = "(?s)^" + "(.+?)".join(re.escape(p) for p in source.split("{}")) + "$"
+        pieces = re.split(r"\{(\d*)\}", target)
         parts = [F.lit(pieces[0])]
-        for i, p in enumerate(pieces[1:], 1):
-            parts += [F.regexp_extract("label", pattern, i), F.lit(p)]
+        for i, (number, literal) in enumerate(zip(pieces[1::2], pieces[2::2], strict=True)):
+            parts += [F.regexp_extract("label", pattern, (int(number) if number else i) + 1), F.lit(literal)]
         out = F.when(F.col("label").rlike(pattern), F.concat(*parts)).otherwise(out)
-    return labels.select("label", out.alias("text"))
+    return labels.withColumn("text", out)
 
 
 def slider(label: Column, names: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotolake.functions.session import settled
 from fotolake.functions.text import capture_secs
 
 
@@ -20,21 +21,39 @@ def _written(df: DataFrame, group: str, *order) -> DataFrame:
     return df.select("id", F.first("id").over(w).alias("stack_id"), (F.row_number().over(w) - 1).alias("stack_pos"))
 
 
-def auto_stack(photos: DataFrame, gap: float, within: str | None = "folder") -> DataFrame:
+def auto_stack(photos: DataFrame, gap: float, within: str | None = None) -> DataFrame:
     """Runs of two or more loose originals whose capture times follow each other within `gap` seconds.
 
-    `within` bounds runs and makes the window parallel; None takes all rows as one sequence, in one task.
+    Without `within` all rows are one sequence: sorted by ranges of time, each range against the last row before it, so no task
+    holds the sequence. `within` (a folder, say) bounds runs.
     """
     df = photos.where("stack_id = 0 and master is null").select("id", F.col(within).alias("g") if within else F.lit(0).alias("g"), capture_secs(F.col("capture_time")).alias("t")).where("t is not null")
-    w = Window.partitionBy("g").orderBy("t", "id")
-    df = df.withColumn("cut", F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(1)))
-    df = df.withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if within:
+        w = Window.partitionBy("g").orderBy("t", "id")
+        df = df.withColumn("cut", F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(1)))
+        df = df.withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        df = _runs(df.drop("g"), gap).withColumn("g", F.lit(0))
     by = Window.partitionBy("g", "run")
     df = df.withColumn("n", F.count("*").over(by)).where("n > 1")
     o = by.orderBy("t", "id")
     return df.select("id", F.first("id").over(o).alias("stack_id"), (F.row_number().over(o) - 1).alias("stack_pos"))
 
 
+def _runs(df: DataFrame, gap: float) -> DataFrame:
+    """`df` (id, t) with the number of its run in the order of t and id."""
+    parts = settled(df.repartitionByRange("t", "id").sortWithinPartitions("t", "id")).withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy("part").orderBy("t", "id")
+    ends = parts.groupBy("part").agg(F.max("t").alias("last"))  # a row a partition
+    ends = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    before = F.coalesce(F.lag("t").over(w), F.col("before"))
+    cuts = parts.join(F.broadcast(ends), "part").withColumn("cut", F.coalesce((F.col("t") - before > gap).cast("int"), F.lit(1)))
+    offsets = cuts.groupBy("part").agg(F.sum("cut").alias("n"))
+    offsets = offsets.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    run = F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("offset")
+    return cuts.join(F.broadcast(offsets), "part").withColumn("run", run).select("id", "t", "run")
+
+
 def stack(photos: DataFrame, selection: DataFrame) -> DataFrame:
     """One stack for each `group` of `selection` (group, id, seq): its first row on top, members of old stacks brought along."""
     chosen = selection.join(photos.select("id", F.col("stack_id").alias("old")), "id")

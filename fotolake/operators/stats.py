@@ -39,19 +39,24 @@ def percentiles(hist: DataFrame, key: list[str], shares: dict[str, float]) -> Da
     return run.groupBy(*key).agg(*(F.when(F.max(target(p)) == 0, F.lit(0.0)).otherwise(F.min(F.when(F.col("acc") >= target(p), F.col("bin"))) / 255.0).alias(name) for name, p in shares.items()))
 
 
-def auto_tone(hist: DataFrame, key: list[str]) -> DataFrame:
-    """Exposure, highlights, shadows, whites, blacks and contrast from luma percentiles."""
+def auto_tone(hist: DataFrame, key: list[str], present: DataFrame | None = None) -> DataFrame:
+    """Exposure, highlights, shadows, whites, blacks, contrast and vibrance from luma percentiles, by fixed constants.
+
+    `present` (key, exposure, vibrance) are the settings so far (0 where there are none): exposure is added to, vibrance is raised to 10.
+    """
     p = percentiles(hist, key, {"lo": 0.005, "mid": 0.5, "hi": 0.995})
     c = F.col
+    p = p.withColumns({"was": F.lit(0.0), "vivid": F.lit(0.0)}) if present is None else p.join(present.select(*key, F.col("exposure").alias("was"), F.col("vibrance").alias("vivid")), key, "left").fillna(0.0, ["was", "vivid"])
     ev = clamp(F.log2(F.pow(0.46 / F.greatest(c("mid"), F.lit(0.02)), F.lit(2.2))), -2.5, 2.5) * 0.7
     return p.select(
         *key,
-        clamp(F.round(ev, 2), -5.0, 5.0).alias("exposure"),
+        clamp(F.round(c("was") + ev, 2), -5.0, 5.0).alias("exposure"),
         F.round(F.when(c("hi") > 0.97, -clamp((c("hi") - 0.9) * 600, 0.0, 60.0)).otherwise(0.0)).alias("highlights"),
         F.round(F.when(c("lo") < 0.05, clamp((0.08 - c("lo")) * 500, 0.0, 45.0)).otherwise(0.0)).alias("shadows"),
         F.round(clamp((0.98 - c("hi")) * 150, -30.0, 40.0)).alias("whites"),
         F.round(clamp((0.02 - c("lo")) * -150, -30.0, 20.0)).alias("blacks"),
         F.round(clamp((0.85 - (c("hi") - c("lo"))) * 60, -20.0, 30.0)).alias("contrast"),
+        F.greatest(c("vivid"), F.lit(10.0)).alias("vibrance"),
     )
 
 

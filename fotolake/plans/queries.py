@@ -161,23 +161,32 @@ def capture_seconds(spark, sf):
     return photos(spark, sf).where("capture_time is not null").select("id", text.capture_secs(F.col("capture_time")).alias("secs"))
 
 
+@query(f"""{P}, t AS (SELECT id, folder, {SECS} AS t FROM p WHERE stack_id = 0 AND master IS NULL AND capture_time IS NOT NULL),
+c AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, id) <= 200 THEN 0 ELSE 1 END AS cut FROM t),
+r AS (SELECT *, sum(cut) OVER (ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM r)
+SELECT id, first_value(id) OVER (PARTITION BY run ORDER BY t, id) AS stack_id, row_number() OVER (PARTITION BY run ORDER BY t, id) - 1 AS stack_pos FROM n WHERE n > 1""")
+def stacks_by_time(spark, sf):
+    return stacks.auto_stack(photos(spark, sf), 200)
+
+
 @query(f"""{P}, t AS (SELECT id, folder, {SECS} AS t FROM p WHERE stack_id = 0 AND master IS NULL AND capture_time IS NOT NULL),
 c AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY folder ORDER BY t, id) <= 3600 THEN 0 ELSE 1 END AS cut FROM t),
 r AS (SELECT *, sum(cut) OVER (PARTITION BY folder ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM c),
 n AS (SELECT *, count(*) OVER (PARTITION BY folder, run) AS n FROM r)
 SELECT id, first_value(id) OVER (PARTITION BY folder, run ORDER BY t, id) AS stack_id, row_number() OVER (PARTITION BY folder, run ORDER BY t, id) - 1 AS stack_pos FROM n WHERE n > 1""")
-def stacks_by_time(spark, sf):
-    return stacks.auto_stack(photos(spark, sf), 3600)
+def stacks_by_time_in_folders(spark, sf):
+    return stacks.auto_stack(photos(spark, sf), 3600, within="folder")
 
 
-@query(f"""{P}, s AS (SELECT id % 7 AS grp, id, id AS seq, stack_id AS old FROM p WHERE id % 10 IN (1, 5) AND id < 200),
+@query(f"""{P}, s AS (SELECT CAST(floor(id / 30.0) AS BIGINT) AS grp, id, id AS seq, stack_id AS old FROM p WHERE id % 10 IN (1, 5)),
 b AS (SELECT s.grp, m.id, min(s.seq) AS seq, min(m.stack_pos) AS pos FROM s JOIN p m ON s.old <> 0 AND m.stack_id = s.old GROUP BY ALL),
 r AS (SELECT grp, id, min((seq, pos)) AS place FROM (SELECT * FROM b UNION ALL SELECT grp, id, seq, 0 FROM s WHERE old = 0) GROUP BY grp, id),
 t AS (SELECT grp, arg_min(id, seq) AS top, count(*) AS n FROM s GROUP BY grp)
 SELECT r.id, t.top AS stack_id, row_number() OVER (PARTITION BY r.grp ORDER BY r.id <> t.top, r.place, r.id) - 1 AS stack_pos FROM r JOIN t USING (grp) WHERE t.n > 1""")
 def stacks_merged(spark, sf):
     df = photos(spark, sf)
-    chosen = df.where("id % 10 in (1, 5) and id < 200").select((F.col("id") % 7).alias("group"), "id", F.col("id").alias("seq"))
+    chosen = df.where("id % 10 in (1, 5)").select(F.floor(F.col("id") / 30).alias("group"), "id", F.col("id").alias("seq"))
     return stacks.stack(df, chosen)
 
 
@@ -312,7 +321,7 @@ def latest_by_key(spark, sf):
     return catalog.latest(table(spark, sf, "events").select(F.col("event_type").alias("key"), "event_id", "user_id", F.col("event_id").alias("seq")), ["key"], "seq").select("key", "event_id", "user_id")
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, -o_orderkey FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) WHERE false")
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
 def rows_deleted(spark, sf):
     df = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     return catalog.without(df, df.where("o_orderkey % 2 <> 0").select("o_orderkey"), "o_orderkey")
@@ -373,14 +382,15 @@ def people_merged(spark, sf):
 @query()
 def face_groups(spark, sf):
     """Leader grouping depends on order, so SQL does not express it; tests hold it against a plain loop."""
-    return people.lead_groups(faces(spark, sf).where("person <= 1"), 0.3)
+    return people.lead_groups(faces(spark, sf).withColumn("event", F.floor(F.col("photo_id") / 64)), 0.3, "event")
 
 
-@query("WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 200) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query(f"{FC}, n AS (SELECT face_id AS a, emb, lead(face_id) OVER w AS b, lead(emb) OVER w AS other FROM f WINDOW w AS (PARTITION BY person ORDER BY face_id)) SELECT a, b, round(list_dot_product(CAST(emb AS DOUBLE[]), CAST(other AS DOUBLE[])) / greatest(sqrt(list_dot_product(CAST(emb AS DOUBLE[]), CAST(emb AS DOUBLE[]))) * sqrt(list_dot_product(CAST(other AS DOUBLE[]), CAST(other AS DOUBLE[]))), 1e-12), 6) AS s FROM n WHERE b IS NOT NULL")
 def face_similarity(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 200")
-    a, b = (e.select("label", F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}")) for n in "ab")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(vector.dot(F.col("va"), F.col("vb")), 6).alias("s"))
+    """Each face beside the next of its person."""
+    w = Window.partitionBy("person").orderBy("face_id")
+    pairs = faces(spark, sf).select(F.col("face_id").alias("a"), "emb", F.lead("face_id").over(w).alias("b"), F.lead("emb").over(w).alias("other"))
+    return pairs.where("b is not null").select("a", "b", F.round(vector.cosine(F.col("emb"), F.col("other")), 6).alias("s"))
 
 
 # Planning -----------------------------------------------------------------------------------------------------------------
@@ -417,13 +427,13 @@ STEM = "regexp_replace(file_name, '\\.[^.]*$', '')"
 DATE = "CASE WHEN capture_time IS NULL THEN '' ELSE replace(substr(capture_time, 1, 10), '-', '') END"
 
 
-@query(f"""{P}, s AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS seq FROM p WHERE id < 400),
+@query(f"""{P}, s AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS seq FROM p),
 n AS (SELECT id, path, seq, concat(folder, '/', {DATE}, '_', lpad(CAST(1 + seq % 20 AS STRING), 3, '0'), '_', rating, '.', string_split(file_name, '.')[-1]) AS new_path FROM s),
 a AS (SELECT *, row_number() OVER (PARTITION BY lower(new_path) ORDER BY seq) > 1 AS again FROM n)
 SELECT id, path, new_path, again OR (new_path <> path AND new_path IN (SELECT path FROM p) AND new_path NOT IN (SELECT path FROM a)) AS conflict FROM a""")
 def rename_plan(spark, sf):
     df = photos(spark, sf)
-    chosen = df.where("id < 400").withColumn("seq", F.row_number().over(Window.orderBy("id")) - 1)
+    chosen = views.numbered(df, [F.col("id")], "seq")
     numbered = chosen.withColumn("order", F.col("seq")).withColumn("seq", F.col("seq") % 20)
     stem = text.file_stem("{date}_{seq:3}_{rating}", F.col("seq") + 1)
     plan = planning.rename_plan(numbered.withColumn("file_name", F.concat(stem, F.lit("."), F.substring_index("file_name", ".", -1))).drop("seq").withColumnRenamed("order", "seq").withColumn("master", F.lit(None).cast("long")), df.select("path"), "{name}")
@@ -494,11 +504,12 @@ def histograms(spark, sf):
 
 @query(f"""WITH h AS ({HIST}), c AS (SELECT image, bin, sum(n) OVER (PARTITION BY image ORDER BY bin) AS acc, sum(n) OVER (PARTITION BY image) AS total FROM h WHERE channel = 'l'),
 p AS (SELECT image, min(bin) FILTER (acc >= floor(total * 0.005::DOUBLE)) / 255.0::DOUBLE AS lo, min(bin) FILTER (acc >= floor(total * 0.5::DOUBLE)) / 255.0::DOUBLE AS mid, min(bin) FILTER (acc >= floor(total * 0.995::DOUBLE)) / 255.0::DOUBLE AS hi FROM c GROUP BY 1)
-SELECT image, greatest(-5.0, least(5.0, round(greatest(-2.5, least(2.5, log2(pow(0.46 / greatest(mid, 0.02), 2.2)))) * 0.7, 2))) AS exposure,
+SELECT image, greatest(-5.0, least(5.0, round(image / 10.0::DOUBLE + greatest(-2.5, least(2.5, log2(pow(0.46 / greatest(mid, 0.02), 2.2)))) * 0.7, 2))) AS exposure,
 round(CASE WHEN hi > 0.97 THEN -greatest(0.0, least(60.0, (hi - 0.9) * 600)) ELSE 0.0 END) AS highlights, round(CASE WHEN lo < 0.05 THEN greatest(0.0, least(45.0, (0.08 - lo) * 500)) ELSE 0.0 END) AS shadows,
-round(greatest(-30.0, least(40.0, (0.98 - hi) * 150))) AS whites, round(greatest(-30.0, least(20.0, (0.02 - lo) * -150))) AS blacks, round(greatest(-20.0, least(30.0, (0.85 - (hi - lo)) * 60))) AS contrast FROM p""")
+round(greatest(-30.0, least(40.0, (0.98 - hi) * 150))) AS whites, round(greatest(-30.0, least(20.0, (0.02 - lo) * -150))) AS blacks, round(greatest(-20.0, least(30.0, (0.85 - (hi - lo)) * 60))) AS contrast, greatest(image * 2.0, 10.0) AS vibrance FROM p""")
 def auto_tone(spark, sf):
-    return stats.auto_tone(stats.histogram(pixels(spark, sf), ["image"]).where("channel = 'l'"), ["image"])
+    hist = stats.histogram(pixels(spark, sf), ["image"]).where("channel = 'l'")
+    return stats.auto_tone(hist, ["image"], hist.select("image", (F.col("image") / 10.0).alias("exposure"), (F.col("image") * 2.0).alias("vibrance")).distinct())
 
 
 LIGHT = "CASE WHEN exposure > 0 AND iso > 0 AND fnumber > 0 THEN log2(exposure) + log2(iso / 100.0::DOUBLE) - 2 * log2(fnumber) END"
@@ -611,10 +622,14 @@ def selection_toggled(spark, sf):
     return session.toggled(c.where("id % 3 = 0"), c.where("id % 5 = 0"))
 
 
-@query("SELECT c_mktsegment AS label, CASE c_mktsegment WHEN 'BUILDING' THEN 'BAU: ILD' ELSE c_mktsegment END AS text FROM customer")
+@query("""SELECT c_custkey, label, CASE WHEN regexp_full_match(label, 'Exposure .+ of .+') THEN regexp_replace(label, '^Exposure (.+?) of (.+)$', '\\2: Belichtung \\1')
+WHEN regexp_full_match(label, 'Crop .+') THEN regexp_replace(label, '^Crop (.+)$', 'Zuschnitt (\\1)') ELSE label END AS text
+FROM (SELECT c_custkey, concat(CASE c_custkey % 3 WHEN 0 THEN 'Exposure ' WHEN 1 THEN 'Crop ' ELSE 'Other ' END, CAST(c_custkey % 17 AS STRING), CASE WHEN c_custkey % 2 = 0 THEN concat(' of ', c_mktsegment) ELSE '' END) AS label FROM customer)""")
 def labels_translated(spark, sf):
-    templates = spark.createDataFrame([("BU{}ING", "BAU: {}"), ("{}:{}", "{}-{}")], "source string, target string")
-    return session.translated(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("label")), templates)
+    templates = {"Exposure {} of {}": "{1}: Belichtung {0}", "Crop {}": "Zuschnitt ({})"}
+    kind = F.when(F.col("c_custkey") % 3 == 0, "Exposure ").when(F.col("c_custkey") % 3 == 1, "Crop ").otherwise("Other ")
+    label = F.concat(kind, (F.col("c_custkey") % 17).cast("string"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" of "), "c_mktsegment")).otherwise(""))
+    return session.translated(table(spark, sf, "customer").select("c_custkey", label.alias("label")), templates)
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity - b) / (w - b), 9) AS v FROM (SELECT *, [1.0, 2.0, 3.0, 4.0][CAST((l_linenumber % 2) * 2 + l_orderkey % 2 + 1 AS INT)] AS b, [50.0, 60.0, 70.0, 80.0][CAST((l_linenumber % 2) * 2 + l_orderkey % 2 + 1 AS INT)] AS w FROM lineitem)")
@@ -629,7 +644,7 @@ def aspect_crops(spark, sf):
     return p.select("p_partkey", "r.x", "r.y", "r.w", "r.h")
 
 
-@query("SELECT event_id, substr(props, 1, 0) || regexp_replace(props, '[^0-9]', '', 'g') AS digits, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, regexp_replace(props, '[^0-9]', '', 'g') AS digits, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def props_parsed(spark, sf):
     e = table(spark, sf, "events")
     return e.select("event_id", F.regexp_replace("props", "[^0-9]", "").alias("digits"), F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))

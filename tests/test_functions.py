@@ -34,7 +34,7 @@ def test_names(spark):
 
 def test_lens_names(spark):
     r = one(spark, text.name_focal(F.lit("EF 24-105mm f/4L")), text.name_focal(F.lit("Lens 50 mm")), text.name_focal(F.lit("none")), text.lens_words(F.lit("EF24-105mm f/2.80 L II")), text.canon_spaced(F.lit("RF70-200mm")))
-    assert tuple(r[0]) == (24.0, 105.0) and tuple(r[1]) == (50.0, 50.0) and r[2] is None and r[3] == ["105", "2.8", "24", "ef", "ii", "l"] and r[4] == "RF 70-200mm"
+    assert tuple(r[0]) == (24.0, 105.0) and tuple(r[1]) == (50.0, 50.0) and r[2] is None and r[3] == ["105", "2.8", "24", "ef", "ii", "l"] and r[4] == "Canon RF 70-200mm"
 
 
 def test_settings_patch(spark):
@@ -88,7 +88,7 @@ def test_people(spark):
     faces = spark.createDataFrame(rows, "face_id long, emb array<double>, person long, score double")
     assert [(r.face_id, r.person) for r in people.assign_known(faces, 0.45).collect()] == [(2, 5)]
     rest = faces.where("person = 0 and face_id <> 2")
-    groups = people.lead_groups(rest, 0.45)
+    groups = people.lead_groups(rest.withColumn("event", F.lit(1)), 0.45, "event")
     assert sorted((r.face_id, r.person) for r in groups.collect()) == [(3, people.NEW_BASE), (4, people.NEW_BASE)]
     persons = spark.createDataFrame([(5, "Ann"), (6, "Empty")], "id long, name string")
     after, left = people.apply_groups(faces, persons, groups)

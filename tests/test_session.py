@@ -36,7 +36,7 @@ def test_selection(spark):
 
 def test_templates(spark):
     labels = spark.createDataFrame([("Copy 3 of a",), ("Copy  of a",), ("other",), ("Name +0.65",)], "label string")
-    templates = spark.createDataFrame([("Copy {} of {}", "{}. Kopie von {}"), ("Copy {}", "K {}")], "source string, target string")
+    templates = {"Copy {} of {}": "{}. Kopie von {}", "Copy {}": "K {}"}
     got = {r.label: r.text for r in session.translated(labels, templates).collect()}
     assert got["Copy 3 of a"] == "3. Kopie von a" and got["Copy  of a"] == "K  of a" and got["other"] == "other"
     assert labels.select(session.slider(F.col("label"), F.create_map(F.lit("Name"), F.lit("Nom")))).collect()[3][0] == "Nom +0.65"
