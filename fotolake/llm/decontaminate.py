@@ -2,10 +2,10 @@
 
 Text is canonicalised to a template: numbers, units after numbers, and names (capitalised words, wherever they stand) become
 typed placeholders; other words are lower-cased and stripped of all but letters and digits, so that punctuation glued to
-words does not matter. A second template has names as plain words, for texts in other case. Beside the templates stands the
+words does not matter. Half a `window` of placeholders or more in a row, such as figures of a table, has no template: they stand for their values.
+A second template has names as plain words, for texts in other case. Beside the templates stands the
 sequence of values, word for word. Runs of half a `window` of template words of the benchmark are hashed and joined to those
-of all documents; two runs that match at one offset and span `window` words are a matched window. A run of placeholders alone
-has no template, so its values are compared. A document's run that repeats one of the few before it, values included, adds
+of all documents; two runs that match at one offset and span `window` words are a matched window. A document's run that repeats one of the few before it, values included, adds
 nothing and is left out: a text that only repeats within half a window is found in no item.
 
 Matches of a document's text and an item are taken together by offset, and in overlapping bands of offsets, so that inserted
@@ -27,6 +27,8 @@ texts give a narrow row for each match. Other columns are not read. An empty tab
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,44 +53,39 @@ def template(text: Column) -> tuple[Column, Column]:
     return words(typed, SLOT), words(clean, "")
 
 
+def _bound(df: DataFrame, name: str, *fields: Column) -> DataFrame:
+    """`df` with a struct of those columns, computed once: an exploded array of one, which keeps filters above it."""
+    return df.select("*", F.explode(F.array(F.struct(*fields))).alias(name))
+
+
+def _stretches(seed: int) -> Column:
+    """`typed` with the values in place of `seed` or more placeholders in a row, or of all in a text of fewer words."""
+    bare = lambda i: F.coalesce(F.length(F.translate(F.get("typed", i), SLOT, "")) == 0, F.lit(False))
+    within = lambda i: functools.reduce(Column.__or__, (functools.reduce(Column.__and__, (bare(i + (k - back)) for k in range(seed))) for back in range(seed)))
+    short = (F.size("typed") < seed) & F.forall("typed", lambda t: F.length(F.translate(t, SLOT, "")) == 0)
+    return F.transform("typed", lambda t, i: F.when(short | within(i), F.get("values", i)).otherwise(t))
+
+
 def windows(df: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """(id, text_hash, words, typed, plain, values, bare, at, h): a row for each run of `seed` template words, or two if it has names.
+    """(id, text_hash, words, typed, plain, values, at, h): a row for each run of `seed` template words, or two if it has names.
 
-    A text of fewer words is one run. `plain` is the template with names as lower-case words; `bare`, null for most texts,
-    tells which words are placeholders.
+    A text of fewer words is one run. `plain` is the template with names as lower-case words.
     """
     src = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     typed, values = template(F.col("text"))
-    # Exploding an array of one keeps filters above it, so that a text is canonicalised once.
-    src = src.select("id", F.explode(F.array(F.struct(F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")))).alias("s")).select("id", "s.*").where("typed <> ''")
-    stretch = F.col("typed").rlike(rf"(?:^| )[{SLOT}]+(?: [{SLOT}]+){{{seed - 1}}}(?: |$)|^(?:[{SLOT}]+ ?){{1,{seed}}}$")
-    src = src.select("id", "text_hash", F.explode(F.array(F.struct(F.split("typed", " ").alias("typed"), F.split("values", " ").alias("values"), stretch.alias("stretch")))).alias("s")).select("id", "text_hash", "s.*")
+    src = _bound(src, "s", F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")).select("id", "s.*").where("typed <> ''")
+    row = F.col("typed").rlike(rf"[{SLOT}](?: [{SLOT}]+){{{seed - 1}}}") | (F.length("typed") < 40)
+    src = _bound(src, "s", F.split("typed", " ").alias("typed"), F.split("values", " ").alias("values"), row.alias("row")).select("id", "text_hash", "s.*")
+    src = _bound(src, "s", F.when(F.col("row"), _stretches(seed)).otherwise(F.col("typed")).alias("typed")).select("id", "text_hash", "values", "s.*")
     plain = F.zip_with("typed", "values", lambda t, v: F.when(t.contains(NAME), v).otherwise(t))
-    bare = F.when(F.col("stretch"), F.transform("typed", lambda t: F.length(F.translate(t, SLOT, "")) == 0))
-    src = src.select("*", F.size("typed").alias("words"), F.explode(F.array(F.struct(plain.alias("plain"), bare.alias("bare")))).alias("s")).select("*", "s.*").drop("s", "stretch")
+    src = _bound(src.withColumn("words", F.size("typed")), "s", plain.alias("plain")).select("*", "s.plain").drop("s")
     out = src.select("*", F.posexplode("typed").alias("at", "word")).where(F.col("at") <= F.greatest(F.col("words") - seed, F.lit(0))).drop("word")
-    gets = lambda c: [F.get(c, F.col("at") + i) for i in range(seed)]
-    hashed = lambda c: F.when(_bare(seed), F.xxhash64(F.lit("="), *gets("values"))).otherwise(F.xxhash64(*gets(c)))
-    typed, plain = hashed("typed"), hashed("plain")
-    ways = lambda *h: F.array(*(F.struct(x.alias("h"), F.lit(named).alias("names")) for x, named in zip(h, (True, False))))
-    return out.select("*", F.explode(F.when(typed == plain, ways(typed)).otherwise(ways(typed, plain))).alias("way")).select("*", "way.*").drop("way")
-
-
-def _bound(df: DataFrame, name: str, *fields: Column) -> DataFrame:
-    """`df` with a struct of those columns, computed once."""
-    return df.select("*", F.explode(F.array(F.struct(*fields))).alias(name))
-
-
-def _bare(seed: int) -> Column:
-    """Whether a run has placeholders alone."""
-    all_of = F.lit(True)
-    for i in range(seed):
-        all_of = all_of & F.coalesce(F.get("bare", F.col("at") + i), F.lit(True))
-    return F.col("bare").isNotNull() & all_of
+    typed, plain = (F.xxhash64(*(F.get(c, F.col("at") + i) for i in range(seed))) for c in ("typed", "plain"))
+    return out.select("*", F.explode(F.when(typed == plain, F.array(typed)).otherwise(F.array(typed, plain))).alias("h"))
 
 
 def _runs(df: DataFrame, seed: int) -> DataFrame:
-    """Rows of `windows` with their own run (as compared, as a template, as values) in place of the whole text's words.
+    """Rows of `windows` with their own run (words of both templates, values) in place of the whole text's words.
 
     `again` tells that the run's values repeat those of one of the `seed` runs before it.
     """
@@ -96,10 +93,9 @@ def _runs(df: DataFrame, seed: int) -> DataFrame:
     again = F.lit(False)
     for back in range(1, seed + 1):
         again = again | F.when(F.col("at") >= back, cut("values") == cut("values", back)).otherwise(False)
-    own = F.when(F.col("names"), cut("typed")).otherwise(cut("plain"))
-    # As an exploded struct, so that none of it is computed before the rows are there, such as those of a join.
-    found = _bound(df, "s", F.when(_bare(seed), cut("values")).otherwise(own).alias("run"), own.alias("template"), cut("values").alias("value_run"), again.alias("again"))
-    return found.select("*", "s.*").drop("s", "typed", "plain", "values", "bare", "names")
+    # Bound, so that none of it is computed before the rows are there, such as those of a join.
+    found = _bound(df, "s", cut("typed").alias("typed_run"), cut("plain").alias("plain_run"), cut("values").alias("value_run"), again.alias("again"))
+    return found.select("*", "s.*").drop("s", "typed", "plain", "values")
 
 
 def _contradicted(runs: Column, kinds: str) -> Column:
@@ -119,16 +115,17 @@ def _without(runs: Column, values: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, coverage: float = 0.3, word_coverage: float = 0.6) -> DataFrame:
     """(id_col, item_col, n_windows, n_matched, coverage, word_coverage, kind): the best match of each document and item."""
     seed = (window + 1) // 2
-    items = _runs(windows(benchmark, item_col, item_text_col, seed), seed)
-    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), F.col("run").alias("item_run"), F.col("template").alias("item_template"), F.col("value_run").alias("item_values"), "h").distinct()
+    # A row of each template; where both have the same words, one goes.
+    items = _runs(windows(benchmark, item_col, item_text_col, seed).drop("h"), seed).select("*", F.explode(F.array("typed_run", "plain_run")).alias("item_run"))
+    items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), "item_run", F.col("value_run").alias("item_values"), F.xxhash64(*(F.get("item_run", F.lit(i)) for i in range(seed))).alias("h")).distinct()
     found = windows(docs, id_col, text_col, seed)
     if items.count() <= BROADCAST_ROWS:
         found = _runs(found.join(F.broadcast(items), "h"), seed)
     else:
         found = _runs(found, seed).join(items, "h")
     # The words are compared too, so a hash is never trusted alone. A short item is matched whole, in a text as short.
-    found = found.where((F.col("run") == F.col("item_run")) & ~F.col("again") & ((F.col("item_words") >= seed) | (F.col("words") == F.col("item_words"))))
-    pairs = F.arrays_zip(F.col("item_template").alias("t"), F.col("item_values").alias("a"), F.col("value_run").alias("b"))
+    found = found.where(((F.col("typed_run") == F.col("item_run")) | (F.col("plain_run") == F.col("item_run"))) & ~F.col("again") & ((F.col("item_words") >= seed) | (F.col("words") == F.col("item_words"))))
+    pairs = F.arrays_zip(F.col("item_run").alias("t"), F.col("item_values").alias("a"), F.col("value_run").alias("b"))
     slots = F.filter(pairs, lambda x: x["t"].rlike(f"[{SLOT}]"))
     key = ["id", "text_hash", "item", "item_hash", "item_words"]
     found = found.select(*key, (F.col("at") - F.col("item_at")).alias("offset"), "item_at", slots.alias("slots")).select(*key, "offset", F.struct("item_at", "slots").alias("run"))

@@ -11,12 +11,14 @@ def template(text):
     typed = re.sub(r"(?<![^\W_])[0-9]+(?:[.,:/][0-9]+)*", NUMBER, typed)
     typed = re.sub(rf"({NUMBER}(?:[^\w\s]|_){{0,4}}\s?)(?:{UNITS})(?![^\W_])", rf"\1{UNIT}", typed)
     clean = lambda s: re.sub(rf"[^\w\s{NAME}{NUMBER}{UNIT}]|_", "", s).lower().split()
-    return clean(typed), clean(text or "")
+    t, v = clean(typed), clean(text or "")
+    bare = [set(w) <= set(NAME + NUMBER + UNIT) for w in t]
+    rows = {i + k for i in range(len(t) - 3) if all(bare[i : i + 4]) for k in range(4)} if len(t) >= 4 else set(range(len(t))) if all(bare) else set()
+    return [v[i] if i in rows else w for i, w in enumerate(t)], v
 
 
 def brute(docs, items, window=8, coverage=0.3):
-    out, seed, slot = {}, window // 2, set(NAME + NUMBER + UNIT)
-    bare = lambda t: all(set(w) <= slot for w in t)
+    out, seed = {}, window // 2
     for item, source in items:
         t, v = template(source)
         if not t:
@@ -26,7 +28,7 @@ def brute(docs, items, window=8, coverage=0.3):
         for doc, text in docs:
             dt, dv = template(text)
             again = {i for i in range(len(dt)) for back in range(1, seed + 1) if i >= back and dv[i : i + seed] == dv[i - back : i - back + seed]}
-            run = lambda i, j: dt[i : i + seed] == t[j : j + seed] and (not bare(t[j : j + seed]) or dv[i : i + seed] == v[j : j + seed]) and i not in again
+            run = lambda i, j: dt[i : i + seed] == t[j : j + seed] and i not in again
             hits = {}
             for i in range(len(dt) - size + 1):
                 for j in range(n):
