@@ -6,10 +6,12 @@ order given, by a ranked sort that no task holds whole. Time is a parameter. Eve
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.functions.session import settled
+from fotolake.functions.settings import GROUPS, SECTIONS, copy_groups
 from fotolake.operators.catalog import keep_newest, removal_closure, set_where, upsert, without
 from fotolake.operators.people import drop_empty
 from fotolake.operators.views import numbered
@@ -79,14 +81,10 @@ def embedding(raw: Column) -> Column:
 
 
 def people(persons: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, name, faces) of persons that have faces."""
-    n = faces.where("person_id > 0").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("faces"))
-    return persons.join(n, "id").select("id", "name", "faces")
-
-
-def people_order(listed: DataFrame) -> DataFrame:
-    """(id, name, faces, place): named ones first, then those of more faces, then by id."""
-    return numbered(listed, [(F.col("name") == "").cast("int"), F.desc("faces"), F.col("id")], "place")
+    """(id, name, photos, place) of persons, by the photos they are in: named ones first, then those of more photos, then by name and id."""
+    n = faces.where("person_id > 0").groupBy(F.col("person_id").alias("id")).agg(F.count_distinct("photo_id").alias("photos"))
+    listed = persons.join(n, "id", "left").select("id", "name", F.coalesce("photos", F.lit(0)).alias("photos"))
+    return numbered(listed, [(F.col("name") == "").cast("int"), F.desc("photos"), F.col("name"), F.col("id")], "place")
 
 
 def history(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,16 +131,12 @@ def set_text(photos: DataFrame, ids: DataFrame, title: str | None = None, captio
     return set_where(photos, ids, **{k: v for k, v in (("title", title), ("caption", caption)) if v is not None})
 
 
-def set_develop(photos: DataFrame, new: DataFrame, now: int) -> DataFrame:
-    """Settings (id, develop) of photos: the picture's version rises and the time of the edit is kept, but for those that are unchanged."""
+def set_develop(photos: DataFrame, new: DataFrame, now: int, quiet: bool = False) -> DataFrame:
+    """Settings (id, develop) put in with the time of the edit; the picture's version rises unless `quiet`."""
     put = photos.join(new.select("id", F.col("develop").alias("__new"), F.lit(True).alias("__hit")), "id", "left")
-    changed = F.coalesce(F.col("__hit"), F.lit(False)) & ~F.col("__new").eqNullSafe(F.col("develop"))
-    return put.withColumns({"develop": F.when(changed, F.col("__new")).otherwise(F.col("develop")), "thumb_ver": F.col("thumb_ver") + changed.cast("int"), "edited_at": F.when(changed, F.lit(now)).otherwise(F.col("edited_at"))}).select(photos.columns)
-
-
-def save_develop_quiet(photos: DataFrame, new: DataFrame) -> DataFrame:
-    """Settings (id, develop) put in without a new version or time."""
-    return photos.join(new.select("id", F.col("develop").alias("__new"), F.lit(True).alias("__hit")), "id", "left").withColumn("develop", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("develop"))).select(photos.columns)
+    hit = F.coalesce(F.col("__hit"), F.lit(False))
+    rise = F.lit(0) if quiet else hit.cast("int")
+    return put.withColumns({"develop": F.when(hit, F.col("__new")).otherwise(F.col("develop")), "thumb_ver": F.col("thumb_ver") + rise, "edited_at": F.when(hit, F.lit(now)).otherwise(F.col("edited_at"))}).select(photos.columns)
 
 
 def mark_exported(photos: DataFrame, ids: DataFrame, now: int) -> DataFrame:
@@ -165,12 +159,8 @@ def update_smart(table: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def delete_collection(table: DataFrame, members: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Collections and members without the given ones (id) and all that lie under them."""
-    gone, more = ids.select("id").distinct(), ids.select("id").distinct()
-    while not more.isEmpty():  # once for each level
-        more = settled(table.join(more.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").join(gone, "id", "left_anti"))
-        gone = gone.unionByName(more)
-    return without(table, gone), without(members, gone.select(F.col("id").alias("collection_id")), "collection_id")
+    """Collections and members without the given ones (id)."""
+    return without(table, ids), without(members, ids.select(F.col("id").alias("collection_id")), "collection_id")
 
 
 def remove_from_collection(members: DataFrame, gone: DataFrame) -> DataFrame:
@@ -233,16 +223,100 @@ def remove(photos: DataFrame, ids: DataFrame, **tables: DataFrame) -> dict[str,
 # Reports ------------------------------------------------------------------------------------------------------------------
 
 
-def summary(rules: list[tuple[str, object]], match_all: bool = True) -> str:
-    """A rule set in words."""
-    names = [f"{kind.replace('_', ' ')} {value}" for kind, value in rules]
-    return (" and " if match_all else " or ").join(names) if names else "everything"
+#: Fields of a settings document outside plain adjustments: its geometry, and what is painted or placed.
+GEOMETRY, PLACED = "geometry", ("masks", "privacy", "spots", "red_eye")
+
+
+def edit_flags(photos: DataFrame, default: str) -> DataFrame:
+    """(id, crop, adjust, masks) of settings documents (develop, JSON objects of one level of fields) against a default document.
+
+    Crop: the geometry differs, its aspect apart; masks: something is placed; adjust: any other field differs. A field that is
+    missing is at its default; photos without settings have no flags.
+    """
+    fields = lambda doc: F.from_json(doc, "map<string,string>")
+    df = photos.select("id", fields(F.coalesce("develop", F.lit("{}"))).alias("m"), fields(F.lit(default)).alias("d"))
+    shape = lambda c: F.map_filter(F.from_json(F.coalesce(F.try_element_at(c, F.lit(GEOMETRY)), F.lit("{}")), "map<string,string>"), lambda k, v: k != "aspect")
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    crop = F.exists(F.map_keys(shape(F.col("m"))), lambda k: ~F.try_element_at(shape(F.col("m")), k).eqNullSafe(F.try_element_at(shape(F.col("d")), k)))
+    placed = [~F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("[]")).isin("[]", "") for k in PLACED]
+    other = F.exists(F.map_keys("m"), lambda k: ~k.isin(GEOMETRY, *PLACED) & ~F.try_element_at("m", k).eqNullSafe(F.try_element_at("d", k)))
+    return df.select("id", crop.alias("crop"), other.alias("adjust"), functools.reduce(Column.__or__, placed).alias("masks"))
+
+
+def reset_sections(settings: Column, default: Column, fields: list[str], sections: list[str]) -> Column:
+    """Struct settings with the named sections at their defaults."""
+    return copy_groups(settings, default, fields, [g for s in sections for g in SECTIONS[s]])
+
+
+def section_modified(settings: Column, default: Column, section: str) -> Column:
+    """Whether a section's fields differ from the defaults."""
+    names = [f for g in SECTIONS[section] for f in GROUPS[g]]
+    return functools.reduce(Column.__or__, (~settings[f].eqNullSafe(default[f]) for f in names))
+
+
+def spot_signature(x: Column, y: Column, radius: Column, path: Column) -> Column:
+    """A fingerprint of a spot's shape: place, painted path and size."""
+    return F.xxhash64(x, y, F.to_json(path), radius)
 
 
 def edited_count(photos: DataFrame) -> DataFrame:
     return photos.agg(F.count(F.when(F.col("edited"), 1)).alias("n"))
 
 
+def edited_settings(photos: DataFrame) -> DataFrame:
+    """The number of photos with settings of their own."""
+    return photos.agg(F.count("develop").alias("n"))
+
+
+def new_presets(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Presets with those of `new` (grp, name, data) whose group and name are not there, the first of each."""
+    once = new.groupBy("grp", "name").agg(F.min("data").alias("data"))
+    return inserted(table, once.join(table.select("grp", "name"), ["grp", "name"], "left_anti"), "grp", "name")
+
+
+def put_metadata(photos: DataFrame, new: DataFrame) -> DataFrame:
+    """Foreign metadata (id, rating, flag, label, title, caption, touched): values always, texts if either is not empty, the time of the edit if there is one."""
+    put = photos.join(new.select("id", *(F.col(c).alias(f"__{c}") for c in ("rating", "flag", "label", "title", "caption", "touched")), F.lit(True).alias("__hit")), "id", "left")
+    hit = F.coalesce(F.col("__hit"), F.lit(False))
+    texts = hit & ((F.col("__title") != "") | (F.col("__caption") != ""))
+    cols = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("rating", "flag", "label")} | {c: F.when(texts, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("title", "caption")}
+    return put.withColumns(cols | {"edited_at": F.when(hit & (F.col("__touched") > 0), F.col("__touched")).otherwise(F.col("edited_at"))}).select(photos.columns)
+
+
+def session_document(view: DataFrame, selected: DataFrame, most_selected: int = 5000, most_views: int = 500) -> DataFrame:
+    """(session, value): per session its first selected ids (session, id, seq) and view places (session, photo_id, zoom, x, y) as JSON."""
+    first = lambda df, order, n: df.withColumn("__rn", F.row_number().over(Window.partitionBy("session").orderBy(order))).where(F.col("__rn") <= n)
+    chosen = first(selected, "seq", most_selected).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "id"))), lambda x: x["id"]).alias("selected"))
+    places = first(view, "photo_id", most_views).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("photo_id", "zoom", "x", "y"))).alias("views"))
+    return chosen.join(places, "session", "full").select("session", F.to_json(F.struct("selected", "views")).alias("value"))
+
+
+def targets(selection: DataFrame, current: DataFrame, single: bool) -> DataFrame:
+    """(session, id): the selection (session, id), or the current photo in single views and where nothing is selected."""
+    if single:
+        return current.select("session", "id")
+    return selection.select("session", "id").unionByName(current.join(selection, "session", "left_anti").select("session", "id"))
+
+
+def best_image(photos: DataFrame, *kinds: DataFrame) -> DataFrame:
+    """(id, kind, key) of the first image at hand, in the order of the kinds (id, version, kind, key) given; of the photo's own version."""
+    ranked = functools.reduce(DataFrame.unionByName, (k.withColumn("__at", F.lit(i)) for i, k in enumerate(kinds)))
+    met = ranked.join(photos.select("id", F.col("thumb_ver").alias("version")), ["id", "version"])
+    return met.groupBy("id").agg(F.min_by(F.struct("kind", "key"), "__at").alias("b")).select("id", "b.kind", "b.key")
+
+
+def stale_images(images: DataFrame, photos: DataFrame, back: int = 4) -> DataFrame:
+    """The images (id, version) of the `back` versions before a photo's own."""
+    now = photos.select("id", F.col("thumb_ver").alias("__now"))
+    return images.join(now, "id").where((F.col("version") < F.col("__now")) & (F.col("version") >= F.col("__now") - back)).select(images.columns)
+
+
+def overridden(own: DataFrame, bundled: DataFrame, name: str = "file") -> DataFrame:
+    """The caller's own files and those bundled files whose name, in lower case, none of them has."""
+    low = own.select(F.lower(name).alias("__low"))
+    return own.unionByName(bundled.withColumn("__low", F.lower(name)).join(low, "__low", "left_anti").select(own.columns))
+
+
 def sizes_by_import(photos: DataFrame) -> DataFrame:
     """(import_id, photos, bytes) of each import, of originals."""
     return photos.where("master is null").groupBy("import_id").agg(F.count("*").alias("photos"), F.sum("file_size").alias("bytes"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fotolake.plans.queries import ORACLE, QUERIES
+from fotolake.plans.all import ORACLE, QUERIES
 from tests.oracle import duck, same
 
 SF = "/root/testdata/sf0.001"
