@@ -15,17 +15,18 @@ PHOTOS = """SELECT o_orderkey AS id, concat('/p/d', CAST(o_custkey % 40 AS STRIN
   CAST(floor(o_orderkey / 500.0) AS BIGINT) AS import_id, CAST(o_orderkey % 11 AS BIGINT) AS thumb_ver, CAST(0 AS BIGINT) AS exported_at, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 1700000000 + o_orderkey ELSE 0 END AS BIGINT) AS edited_at, o_orderkey % 31 = 0 AS missing FROM orders"""
 COLLECTIONS = "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN c_custkey - 1 END AS parent_id, CASE WHEN c_custkey % 3 = 0 THEN '{}' END AS smart FROM customer"
 MEMBERS = "SELECT o_custkey AS collection_id, o_orderkey AS photo_id, o_orderkey * 7 % 1009 AS position FROM orders"
-STEPS = "SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS photo_id, l_shipmode AS label, CASE WHEN l_linenumber = 5 THEN 'broken' ELSE concat('{\"a\":', CAST(l_linenumber AS STRING), '}') END AS settings, l_partkey AS ts FROM lineitem"
+STEPS = "SELECT event_id AS id, user_id AS photo_id, event_type AS label, CASE WHEN event_id % 7 = 4 THEN 'broken' ELSE concat('{\"a\":', CAST(event_id AS STRING), '}') END AS settings, event_id * 7 % 1009 AS ts FROM events"
 PRESETS = "SELECT p_partkey AS id, p_brand AS grp, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN '{' WHEN p_partkey % 5 = 0 THEN '{\"settings\":{}}' ELSE concat('{\"settings\":{\"a\":', CAST(p_size AS STRING), '},\"groups\":{\"b\":true}}') END AS data FROM part"
 FACES = "SELECT vec_id AS id, CAST(floor(vec_id / 3.0) AS BIGINT) AS photo_id, CAST(CASE WHEN label IS NULL THEN 0 ELSE label END AS BIGINT) AS person_id, CAST(vec_id % 7 AS DOUBLE) AS x, CAST(vec_id % 11 AS DOUBLE) AS y, CAST(vec_id % 101 AS DOUBLE) / 101 AS score FROM embeddings"
 PERSONS = "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS name FROM nation"
 W = {"p": PHOTOS, "c": COLLECTIONS, "m": MEMBERS, "s": STEPS, "r": PRESETS, "f": FACES, "n": PERSONS}
-SOURCE = {"p": "orders", "c": "customer", "m": "orders", "s": "lineitem", "r": "part", "f": "embeddings", "n": "nation"}
+SOURCE = {"p": "orders", "c": "customer", "m": "orders", "s": "events", "r": "part", "f": "embeddings", "n": "nation"}
 
 
 def of(spark, sf, key):
     name = SOURCE[key]
-    return spark.sql(W[key].replace(f"FROM {name}", "FROM {" + name + "}"), **{name: table(spark, sf, name)})
+    text = W[key].replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", "FROM {" + name + "}")
+    return spark.sql(text, **{name: table(spark, sf, name)})
 
 
 def sql(keys: str, text: str) -> str:
@@ -92,10 +93,10 @@ def presets_loaded(spark, sf):
     return store.presets(of(spark, sf, "r"))
 
 
-@query("SELECT c_phone AS value FROM customer WHERE c_name = 'Customer#000000007' OR c_custkey = 7")
+@query("SELECT c_mktsegment AS value FROM customer WHERE c_custkey = 7")
 def value_looked_up(spark, sf):
     c = table(spark, sf, "customer")
-    kv = c.select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_phone").alias("value"))
+    kv = c.select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_mktsegment").alias("value"))
     return store.value_of(kv, "k7")
 
 
@@ -161,9 +162,9 @@ def members_removed(spark, sf):
     return store.remove_from_collection(m, m.where("collection_id % 2 = 0 and photo_id % 3 = 0"))
 
 
-@query(sql("s", "SELECT id, photo_id, label FROM (SELECT id, photo_id, label FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY o_orderkey), o_orderkey, 'new' FROM orders) QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY id DESC) <= 3"))
+@query(sql("s", "SELECT id, photo_id, label FROM (SELECT id, photo_id, label FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY c_custkey), c_custkey, 'new' FROM customer) QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY id DESC) <= 3"))
 def history_pushed(spark, sf):
-    new = table(spark, sf, "orders").select(F.col("o_orderkey").alias("photo_id"), F.lit("new").alias("label"), F.lit("{}").alias("settings"), F.lit(0).cast("long").alias("ts"), F.col("o_orderkey").alias("seq"))
+    new = table(spark, sf, "customer").select(F.col("c_custkey").alias("photo_id"), F.lit("new").alias("label"), F.lit("{}").alias("settings"), F.lit(0).cast("long").alias("ts"), F.col("c_custkey").alias("seq"))
     return store.push_history(of(spark, sf, "s"), new, 3).select("id", "photo_id", "label")
 
 
@@ -191,11 +192,11 @@ def photos_unscanned(spark, sf):
     return store.unscanned(of(spark, sf, "p").withColumnRenamed("master_id", "master"), of(spark, sf, "f").select("photo_id"))
 
 
-@query("SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_phone FROM customer WHERE c_custkey % 2 <> 0")
+@query("SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 <> 0")
 def masks_kept_once(spark, sf):
     c = table(spark, sf, "customer")
     have = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    return store.put_if_absent(have, c.select(F.col("c_custkey").alias("key"), F.col("c_phone").alias("value")))
+    return store.put_if_absent(have, c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")))
 
 
 @query(sql("pfn", """, g AS (SELECT id FROM p WHERE id % 5 = 0 UNION SELECT id FROM p WHERE master_id IN (SELECT id FROM p WHERE id % 5 = 0)), k AS (SELECT * FROM f WHERE photo_id NOT IN (SELECT id FROM g))
@@ -302,9 +303,8 @@ def session_restored(spark, sf):
     return session.restored(c.where("id % 2 = 0"), c.where("id % 4 = 0").select("id"), 50)
 
 
-@query("SELECT CASE WHEN c_custkey % 4 = 0 THEN 'prefs' ELSE concat('k', CAST(c_custkey AS STRING)) END AS key, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_name END AS value FROM customer WHERE c_custkey <= 7 AND (c_custkey % 4 <> 0)"
-       " UNION ALL SELECT 'prefs', 'new'")
+@query("SELECT concat('k', CAST(c_custkey AS STRING)) AS key, c_name AS value FROM customer WHERE c_custkey <> 4 UNION ALL SELECT 'prefs', 'new'")
 def settings_carried(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey <= 7")
+    c = table(spark, sf, "customer")
     kv = c.select(F.when(F.col("c_custkey") == 4, "prefs").otherwise(F.concat(F.lit("k"), F.col("c_custkey").cast("string"))).alias("key"), F.col("c_name").alias("value"))
     return session.carried(kv, spark.createDataFrame([("prefs", "new"), ("session", "s"), ("other", "x")], "key string, value string"), ["prefs", "session"])

@@ -19,7 +19,11 @@ LOCAL = {
     "temp": (("LocalTemperature",), 100.0),
     "tint": (("LocalTint",), 100.0),
     "hue": (("LocalHue",), 180.0),
+    "texture": (("LocalTexture",), 100.0),
+    "noise": (("LocalLuminanceNoise",), 100.0),
 }
+#: What each shape needs; without it a component is left out.
+NEEDED = {"linear": ("ZeroX", "ZeroY", "FullX", "FullY"), "radial": ("Top", "Left", "Bottom", "Right")}
 
 
 def _number(v) -> float | None:
@@ -41,16 +45,50 @@ def adjustments(c: dict) -> dict[str, float]:
     return out
 
 
+def _numbers(text) -> list[float]:
+    return [n for x in str(text).split() if (n := _number(x)) is not None]
+
+
+def _brush(m: dict) -> dict | None:
+    """A stroke: its points (`d x y`), size, feather, flow and whether it erases; None without points."""
+    dabs = m.get("Dabs") or []
+    points = [tuple(v[:2]) for d in (dabs.values() if isinstance(dabs, dict) else dabs) if len(v := _numbers(str(d).partition(" ")[2])) >= 2]
+    if not points:
+        return None
+    inside = lambda v: min(1.0, max(0.0, v))
+    given = lambda k, default: default if (v := _number(m.get(k))) is None else v
+    return {"points": points, "size": given("Radius", 0.05), "feather": inside(1 - given("CenterWeight", 0.5)), "flow": inside(given("Flow", 1.0)), "erase": given("MaskValue", 1.0) <= 0}
+
+
+def _luminance(m: dict) -> dict | None:
+    """A range of luminance: the middles of its outer and inner ends, and its softness; None for other ranges."""
+    r = m.get("CorrectionRangeMask")
+    if not isinstance(r, dict) or int(_number(r.get("Type")) or 0) != 2:
+        return None
+    v = _numbers(r.get("LumRange", ""))
+    low, high = ((v[0] + v[1]) / 2, (v[2] + v[3]) / 2) if len(v) >= 4 else (0.0, 1.0)
+    return {"low": low, "high": high, "smooth": 0.5 if (f := _number(r.get("LumFeather"))) is None else f}
+
+
 def component(m: dict) -> dict | None:
-    """Kind, how it joins the mask, inversion and shape; None for kinds that need a model."""
+    """Kind, how it joins the mask, inversion and shape; None for kinds that need a model, and shapes that lack a part."""
     kind = KINDS.get(str(m.get("What", "")))
     if kind is None:
         return None
-    inverted = bool(m.get("MaskInverted")) != bool(m.get("Flipped"))
+    inverted = bool(m.get("MaskInverted"))
     blend = _number(m.get("MaskBlendMode")) or 0
     how = ("subtract" if inverted else "intersect") if blend == 1 else "add"
-    shape = {k: n for k in ("ZeroX", "ZeroY", "FullX", "FullY", "Top", "Left", "Bottom", "Right", "Angle", "Feather", "Radius", "Flow") if (n := _number(m.get(k))) is not None}
-    return {"kind": kind, "how": how, "inverted": inverted and how != "subtract", "amount": 1.0 if (v := _number(m.get("MaskValue"))) is None else v, "shape": shape}
+    if kind == "brush":
+        shape = _brush(m)
+    elif kind == "range":
+        shape = _luminance(m)
+    else:
+        shape = {k: n for k in ("ZeroX", "ZeroY", "FullX", "FullY", "Top", "Left", "Bottom", "Right", "Angle", "Feather", "Radius", "Flow") if (n := _number(m.get(k))) is not None}
+        shape = shape if all(k in shape for k in NEEDED.get(kind, ())) else None
+    if shape is None:
+        return None
+    turned = (inverted and how != "subtract") != (kind == "radial" and bool(m.get("Flipped")))
+    return {"kind": kind, "how": how, "inverted": turned, "amount": 1.0 if (v := _number(m.get("MaskValue"))) is None else v, "shape": shape}
 
 
 def masks(settings: dict) -> tuple[list[dict], list[str]]:

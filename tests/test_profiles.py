@@ -42,9 +42,22 @@ def test_points_and_captions(spark):
 
 
 def test_corrections():
-    source = """s = { MaskGroupBasedCorrections = { { CorrectionActive = true, CorrectionName = "A", LocalExposure2012 = 0.25, LocalHue = 0.5, CorrectionMasks = { { What = "Mask/Gradient", ZeroX = 0.1, MaskInverted = true }, { What = "Mask/CircularGradient", MaskBlendMode = 1, MaskInverted = true }, { What = "Mask/Paint", MaskBlendMode = 1 }, { What = "Mask/Image" } } }, { CorrectionActive = false, CorrectionMasks = { { What = "Mask/Paint" } } }, { CorrectionMasks = { } } },
+    source = """s = { MaskGroupBasedCorrections = { { CorrectionActive = true, CorrectionName = "A", LocalExposure2012 = 0.25, LocalHue = 0.5, CorrectionMasks = { { What = "Mask/Gradient", ZeroX = 0.1, ZeroY = 0, FullX = 0.5, FullY = 0, MaskInverted = true }, { What = "Mask/CircularGradient", Top = 0, Left = 0, Bottom = 1, Right = 1, MaskBlendMode = 1, MaskInverted = true }, { What = "Mask/Paint", MaskBlendMode = 1, Dabs = { "d 0.1 0.2" } }, { What = "Mask/Image" } } }, { CorrectionActive = false, CorrectionMasks = { { What = "Mask/Paint" } } }, { CorrectionMasks = { } } },
       RetouchInfo = { "centerX = 0.5, centerY = 0.25, radius = 0.01, sourceX = 0.6, sourceY = 0.3, spotType = clone" } }"""
     found, warnings = corrections.masks(lua.plain(lua.parse(source)))
     assert len(found) == 1 and warnings == ["1 mask components are not supported"]
     assert found[0]["local"] == {"exposure": 1.0, "hue": 90.0} and [(p["kind"], p["how"], p["inverted"]) for p in found[0]["parts"]] == [("linear", "add", True), ("radial", "subtract", False), ("brush", "intersect", False)]
     assert corrections.spots(lua.plain(lua.parse(source))) == [{"x": 0.5, "y": 0.25, "source": (0.6, 0.3), "radius": 0.01, "heal": False}]
+
+
+def test_brushes_and_ranges():
+    part = corrections.component
+    got = part({"What": "Mask/Paint", "Radius": 0.1, "CenterWeight": 0.2, "Flow": 2, "MaskValue": 0, "Dabs": ["d 0.5 0.25", "d 0.6 0.3 1", "r 0.1", "junk"]})
+    assert got["shape"] == {"points": [(0.5, 0.25), (0.6, 0.3)], "size": 0.1, "feather": 0.8, "flow": 1.0, "erase": True}
+    assert part({"What": "Mask/Paint", "Dabs": []}) is None and part({"What": "Mask/Gradient", "ZeroX": 0, "ZeroY": 0, "FullX": 1}) is None
+    assert part({"What": "Mask/RangeMask", "CorrectionRangeMask": {"Type": 2, "LumRange": "0.1 0.3 0.7 0.9", "LumFeather": 0.2}})["shape"] == {"low": 0.2, "high": 0.8, "smooth": 0.2}
+    assert part({"What": "Mask/RangeMask", "CorrectionRangeMask": {"Type": 1}}) is None
+    edges = {"What": "Mask/CircularGradient", "Top": 0, "Left": 0, "Bottom": 1, "Right": 1}
+    turned = {(a, b, c): part(edges | {"Flipped": a, "MaskInverted": b, "MaskBlendMode": c}) for a in (False, True) for b in (False, True) for c in (0, 1)}
+    assert {k: (v["how"], v["inverted"]) for k, v in turned.items()} == {(a, b, c): ("add" if not c else "subtract" if b else "intersect", (b and not (c and b)) != a) for a, b, c in turned}
+    assert corrections.adjustments({"LocalTexture": 0.1, "LocalLuminanceNoise": -0.2}) == {"texture": 10.0, "noise": -20.0}
