@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotolake.functions.session import settled
 from fotolake.functions.text import canon_spaced, lens_words, name_focal
 from fotolake.functions.vector import hermite
 
@@ -28,8 +29,11 @@ def find(shots: DataFrame, lenses: DataFrame, order: str = "lens") -> DataFrame:
     cell = lambda x: F.floor(x * 20 + 0.5)
     left = prepared(shots.select("name", "crop").distinct().withColumn("__name", canon_spaced(F.col("name"))), "name", "crop")
     left = left.select("name", "crop", "f", "w", cell(F.col("f.low")).alias("lo"), cell(F.col("f.high")).alias("hi"), (~F.exists("w", lambda x: ~x.rlike(r"^[0-9.]+$"))).alias("bare"))
+    left = settled(left)  # names are taken apart once
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    right = prepared(lenses.select("lens", "crop", F.col(order).alias("at"), F.col("lens").alias("__name")), "lens", "crop", "at").select(F.col("name").alias("lens"), "at", F.col("crop").alias("lens_crop"), F.col("f").alias("lf"), F.col("w").alias("lw"))
+    right = lenses.groupBy("lens", "crop").agg(F.min(order).alias("at"), F.count("*").alias("times")).withColumn("__name", F.col("lens"))
+    right = prepared(right, "lens", "crop", "at", "times").select(F.col("name").alias("lens"), "at", "times", F.col("crop").alias("lens_crop"), F.col("f").alias("lf"), F.col("w").alias("lw"))
+    right = settled(right)
     cells = lambda df: df.withColumn("s", around).withColumns({"lo": cell(F.col("lf.low")) + F.col("s.i"), "hi": cell(F.col("lf.high")) + F.col("s.j")}).drop("s")
     met = lambda df: df.where((F.abs(F.col("f.low") - F.col("lf.low")) <= FOCAL) & (F.abs(F.col("f.high") - F.col("lf.high")) <= FOCAL) & (F.col("crop") / F.col("lens_crop") >= CIRCLE))
     # The rarest tokens of each name, as many as leave too few others for the score.
@@ -43,7 +47,7 @@ def find(shots: DataFrame, lenses: DataFrame, order: str = "lens") -> DataFrame:
     both = F.size(F.array_intersect("w", "lw"))
     pairs = pairs.withColumn("score", both / F.greatest(F.size("w") + F.size("lw") - both, F.lit(1)) + COVER * both / F.greatest(F.size("w"), F.lit(1))).where(F.col("score") > SCORE)
     best = pairs.groupBy("name", "crop").agg(F.min_by(F.struct("lens", "score"), F.struct(-F.col("score"), "at")).alias("b")).select("name", "crop", "b.lens", "b.score")
-    only = met(left.where("bare").join(cells(right), ["lo", "hi"])).groupBy("name", "crop").agg(F.count("*").alias("n"), F.min("lens").alias("lens")).where("n = 1").select("name", "crop", "lens", F.lit(1.0).alias("score"))
+    only = met(left.where("bare").join(cells(right), ["lo", "hi"])).groupBy("name", "crop").agg(F.sum("times").alias("n"), F.min("lens").alias("lens")).where("n = 1").select("name", "crop", "lens", F.lit(1.0).alias("score"))
     return shots.join(best.unionByName(only), ["name", "crop"]).select("shot", "lens", "score")
 
 

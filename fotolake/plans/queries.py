@@ -585,11 +585,15 @@ def distortion_interpolated(spark, sf):
     return out.select("shot", F.round(lens.dist_ratio("ptlens", F.col("t"), F.lit(0.7)), 9).alias("ratio"))
 
 
-@query()
+@query("""WITH n AS (SELECT p_partkey, p_size, concat('EF', 10 + p_size, '-', 60 + p_size * 2, 'mm f/2.80 ', p_name) AS n,
+list_distinct(list_concat(['ef', CAST(10 + p_size AS STRING), CAST(60 + p_size * 2 AS STRING), '2.8'], list_filter(regexp_extract_all(lower(p_name), '[a-z]+|[0-9][0-9.]*'), lambda x: x NOT IN ('mm', 'f')))) AS w FROM part),
+m AS (SELECT a.p_partkey AS shot, b.n AS lens, len(list_intersect(a.w, b.w)) AS i, len(a.w) + 1 AS nw, len(b.w) AS nl FROM n a JOIN n b ON a.p_size = b.p_size AND b.p_partkey % 3 = 0),
+s AS (SELECT shot, lens, CAST(i AS DOUBLE) / (nw + nl - i) + 0.5::DOUBLE * i / nw AS score FROM m)
+SELECT shot, arg_min(lens, (-score, lens)) AS lens, round(max(score), 9) AS score FROM s WHERE score > 0.7 GROUP BY 1""")
 def lens_matches(spark, sf):
-    """The best lens by name tokens within a focal range; tests hold it against a plain loop."""
+    """The best lens by name tokens within a focal range."""
     df = table(spark, sf, "part").select("p_partkey", "p_size", F.expr("concat('EF', cast(10 + p_size as string), '-', cast(60 + p_size * 2 as string), 'mm f/2.80 ', p_name)").alias("n"))
-    return lens.find(df.select(F.col("p_partkey").alias("shot"), F.col("n").alias("name"), F.lit(1.0).alias("crop")), df.where("p_partkey % 3 = 0").select(F.col("n").alias("lens"), F.lit(1.0).alias("crop")))
+    return lens.find(df.select(F.col("p_partkey").alias("shot"), F.col("n").alias("name"), F.lit(1.0).alias("crop")), df.where("p_partkey % 3 = 0").select(F.col("n").alias("lens"), F.lit(1.0).alias("crop"))).withColumn("score", F.round("score", 9))
 
 
 # Session and sensor -----------------------------------------------------------------------------------------------------------

@@ -5,10 +5,14 @@ Table and column names are the foreign format's own.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fotolake.functions.text import exif_steps, history_name, orientation_steps, xmp_title
 from fotolake.operators.catalog import keep_newest
@@ -34,18 +38,17 @@ class Foreign:
     stacks: DataFrame | None = None
 
 
-def composed(s: Column) -> Column:
-    """Decomposed Hangul composed, everything else as it is."""
+JAMO = re.compile("[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?")
+
 
-    @F.pandas_udf("string")
-    def run(values):
-        import re
-        import unicodedata
+@F.pandas_udf(StringType())
+def compose_hangul(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else JAMO.sub(lambda m: unicodedata.normalize("NFC", m[0]), v))
 
-        jamo = re.compile("[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?")
-        return values.map(lambda v: None if v is None else jamo.sub(lambda m: unicodedata.normalize("NFC", m[0]), v))
 
-    return run(s)
+def composed(s: Column) -> Column:
+    """Decomposed Hangul composed, everything else as it is."""
+    return compose_hangul(s)
 
 
 def label_of(s: Column) -> Column:

@@ -24,12 +24,15 @@ def import_stream(files: DataFrame, known: Callable[[], DataFrame], write: Calla
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_wins(requests: DataFrame, slot: str, order: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """The last request of each slot in a micro-batch; stale ones are dropped before any work."""
+def latest_wins(requests: DataFrame, slot: str, order: str, write: Callable[[DataFrame, int], None], checkpoint: str, known: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """The last request of each slot; stale ones are dropped before any work: those of a micro-batch, and those no later than what `known` (slot, order) says is written."""
 
     def step(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c != slot]
         last = batch.groupBy(slot).agg(F.max_by(F.struct(*rest), order).alias("r")).select(slot, "r.*")
+        if known is not None:
+            done = known().groupBy(slot).agg(F.max(order).alias("__done"))
+            last = last.join(done, slot, "left").where(F.col("__done").isNull() | (F.col(order) > F.col("__done")))
         write(last.select(batch.columns), number)
 
     return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

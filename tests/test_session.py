@@ -14,6 +14,8 @@ def one(spark, *columns):
 
 def test_registered(spark):
     assert "cosine" in register(spark)
+    r = spark.sql("SELECT lens_words('EF24-105mm f/2.80 L II') AS w, name_focal('EF 24-105mm f/4L') AS f, name_focal('none') AS n, compose_hangul('\u1112\u1161\u11ab x') AS h").first()
+    assert r.w == ["105", "2.8", "24", "ef", "ii", "l"] and tuple(r.f) == (24.0, 105.0) and r.n is None and r.h == "\ud55c x"
     r = spark.sql("SELECT cosine(array(1D, 2D), array(3D, 4D)) AS a, capture_secs('2024-02-01 00:00:03.5') AS b, capture_secs('no') AS c, srgb_decode(srgb_encode(0.3D)) AS d, json_patch('{\"a\": 1}', '{\"a\": 1}', '{\"a\": 5}') AS e, lua_to_json('x = { 1 }') AS f").first()
     assert r.a == 11 and r.b == ((((2024 * 372 + 2 * 31 + 1) * 24) * 60) * 60) + 3.5 and r.c is None and abs(r.d - 0.3) < 1e-12 and r.e == '{"a": 5}' and r.f == "[1]"
 

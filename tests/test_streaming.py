@@ -27,6 +27,10 @@ def test_latest_wins(spark, tmp_path):
     stream = spark.readStream.schema("slot string, seq long").parquet(str(tmp_path / "in"))
     streams.latest_wins(stream, "slot", "seq", lambda df, n: out.extend(tuple(r) for r in df.collect()), str(tmp_path / "c")).awaitTermination(120)
     assert sorted(out) == [("a", 3), ("b", 2)]
+    again = []
+    known = lambda: spark.createDataFrame([("a", 3), ("b", 1)], "slot string, seq long")
+    streams.latest_wins(stream, "slot", "seq", lambda df, n: again.extend(tuple(r) for r in df.collect()), str(tmp_path / "d"), known).awaitTermination(120)
+    assert again == [("b", 2)]
 
 
 def test_coalesced_edits_and_sessions(spark, tmp_path):
