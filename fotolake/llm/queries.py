@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.llm import divergence, language, quality, toxicity, warc
+from fotolake.llm import divergence, language, prefix_trie, quality, toxicity, warc
 from fotolake.llm.common import fold, table
 from fotolake.llm.decontaminate import contaminated
 from fotolake.llm.embedding_near import embedding_components
@@ -68,6 +68,10 @@ def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_embedding_near": op10_embedding_near,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
-ORACLE: dict[str, str] = {"op6_warc": warc.ORACLE, "op13_divergence": divergence.ORACLE}
+ORACLE: dict[str, str] = {"op6_warc": warc.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_divergence": divergence.ORACLE}
