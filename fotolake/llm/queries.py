@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.llm import divergence, language, prefix_trie, quality, toxicity, warc
+from fotolake.llm import divergence, language, perplexity, prefix_trie, quality, toxicity, warc
 from fotolake.llm.common import fold, table
 from fotolake.llm.decontaminate import contaminated
 from fotolake.llm.embedding_near import embedding_components
@@ -68,6 +68,10 @@ def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_embedding_near": op10_embedding_near,
+    "op11_quality_rules": op11_quality_rules,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
