@@ -17,8 +17,8 @@ from fotolake.functions.vector import hermite
 FOCAL, CIRCLE, SCORE, COVER = 0.05, 0.96, 0.7, 0.5
 
 
-def find(shots: DataFrame, lenses: DataFrame, order: str = "lens") -> DataFrame:
-    """(shot, lens, score): the lens of equal focal range, large enough image circle, and most shared name tokens.
+def find(shots: DataFrame, lenses: DataFrame, order: str = "lens", keep_order: bool = False) -> DataFrame:
+    """(shot, lens, score): the lens of equal focal range, large enough image circle, and most shared name tokens; with `keep_order`, `at` too.
 
     Ties go to the first by `order`, a column of `lenses`. A name of figures alone takes the only lens of its range.
 
@@ -46,9 +46,9 @@ def find(shots: DataFrame, lenses: DataFrame, order: str = "lens") -> DataFrame:
     pairs = pairs.groupBy("name", "crop", "lens", "at").agg(F.first("w").alias("w"), F.first("lw").alias("lw"))
     both = F.size(F.array_intersect("w", "lw"))
     pairs = pairs.withColumn("score", both / F.greatest(F.size("w") + F.size("lw") - both, F.lit(1)) + COVER * both / F.greatest(F.size("w"), F.lit(1))).where(F.col("score") > SCORE)
-    best = pairs.groupBy("name", "crop").agg(F.min_by(F.struct("lens", "score"), F.struct(-F.col("score"), "at")).alias("b")).select("name", "crop", "b.lens", "b.score")
-    only = met(left.where("bare").join(cells(right), ["lo", "hi"])).groupBy("name", "crop").agg(F.sum("times").alias("n"), F.min("lens").alias("lens")).where("n = 1").select("name", "crop", "lens", F.lit(1.0).alias("score"))
-    return shots.join(best.unionByName(only), ["name", "crop"]).select("shot", "lens", "score")
+    best = pairs.groupBy("name", "crop").agg(F.min_by(F.struct("lens", "score", "at"), F.struct(-F.col("score"), "at")).alias("b")).select("name", "crop", "b.lens", "b.score", "b.at")
+    only = met(left.where("bare").join(cells(right), ["lo", "hi"])).groupBy("name", "crop").agg(F.sum("times").alias("n"), F.min("lens").alias("lens"), F.min("at").alias("at")).where("n = 1").select("name", "crop", "lens", F.lit(1.0).alias("score"), "at")
+    return shots.join(best.unionByName(only), ["name", "crop"]).select("shot", "lens", "score", *["at"] * keep_order)
 
 
 def camera_crop(shots: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -66,11 +66,16 @@ def interpolated(shots: DataFrame, points: DataFrame, scaled: list[bool]) -> Dat
     An exact point wins; between points, a Hermite spline through two neighbours on each side, on terms times focal length
     where `scaled`; outside, the nearest point. A lens has few points, so they are gathered into one sorted array.
     """
-    table = points.groupBy("lens").agg(F.array_sort(F.collect_list(F.struct("focal", "t"))).alias("p"))
-    f = F.col("focal")
-    met = shots.join(table, "lens").withColumns({"below": F.filter("p", lambda x: x["focal"] < f), "above": F.filter("p", lambda x: x["focal"] > f), "exact": F.filter("p", lambda x: F.abs(x["focal"] - f) < 1e-9)})
-    p1, p2 = F.element_at("below", -1), F.get("above", F.lit(0))
-    p0, p3 = F.try_element_at("below", F.lit(-2)), F.get("above", F.lit(1))
+    table = points.groupBy("lens").agg(F.collect_list(F.struct("focal", "t")).alias("p"))
+    return shots.join(table, "lens").select("shot", at_focal(F.col("p"), F.col("focal"), scaled).alias("t"))
+
+
+def at_focal(points: Column, f: Column, scaled: list[bool]) -> Column:
+    """The terms of `points` (array of focal, t) at the focal length f, as `interpolated` has them; null without points."""
+    p = F.array_sort(F.transform(points, lambda x: F.struct(x["focal"].alias("focal"), x["t"].alias("t"))))
+    below, above, exact = F.filter(p, lambda x: x["focal"] < f), F.filter(p, lambda x: x["focal"] > f), F.filter(p, lambda x: F.abs(x["focal"] - f) < 1e-9)
+    p1, p2 = F.try_element_at(below, F.lit(-1)), F.get(above, F.lit(0))
+    p0, p3 = F.try_element_at(below, F.lit(-2)), F.get(above, F.lit(1))
     u = (f - p1["focal"]) / (p2["focal"] - p1["focal"])
 
     def term(i: int) -> Column:
@@ -78,10 +83,9 @@ def interpolated(shots: DataFrame, points: DataFrame, scaled: list[bool]) -> Dat
         value = hermite(at(p0), at(p1), at(p2), at(p3), u)
         return value / f if scaled[i] else value
 
-    nearest = F.array_min(F.transform("p", lambda x: F.struct(F.abs(x["focal"] - f).alias("d"), x["focal"].alias("focal"), x["t"].alias("t"))))["t"]
-    inside = (F.size("below") > 0) & (F.size("above") > 0)
-    t = F.when(F.size("exact") > 0, F.get("exact", F.lit(0))["t"]).when(inside, F.array(*map(term, range(len(scaled))))).otherwise(nearest)
-    return met.select("shot", t.alias("t"))
+    nearest = F.array_min(F.transform(p, lambda x: F.struct(F.abs(x["focal"] - f).alias("d"), x["focal"].alias("focal"), x["t"].alias("t"))))["t"]
+    inside = (F.size(below) > 0) & (F.size(above) > 0)
+    return F.when(F.size(exact) > 0, F.get(exact, F.lit(0))["t"]).when(inside, F.array(*map(term, range(len(scaled))))).otherwise(nearest)
 
 
 def vignetting(shots: DataFrame, points: DataFrame) -> DataFrame:
@@ -99,6 +103,96 @@ def vignetting(shots: DataFrame, points: DataFrame) -> DataFrame:
     return out.where("least <= 1").select("shot", F.when(F.col("least") < 1e-4, F.col("hit")).otherwise(F.col("mean")).alias("k"))
 
 
+#: Fixed rules of vignetting: power of the distance, farthest and exact distance; diagonal of full frame in mm; crops tried if none is known.
+POWER, FARTHEST, EXACT, DIAGONAL, TRIED = 3.5, 1.0, 1e-4, (36.0**2 + 24.0**2) ** 0.5, (1.0, 1.6, 100.0)
+
+
+def vig_at(points: Column, low: Column, high: Column, focal: Column, aperture: Column, distance: Column) -> Column:
+    """The k of `vignetting` from an array of points (focal, aperture, distance, t), in one pass; null without a near one."""
+    span = F.when(high != low, high - low).otherwise(1.0)
+    square = lambda x: x * x
+    far = lambda x: F.sqrt(square((x["focal"] - focal) / span) + square(4 / x["aperture"] - 4 / aperture) + square(0.1 / x["distance"] - 0.1 / distance))
+    near = F.filter(F.transform(points, lambda x: F.struct(far(x).alias("d"), x["t"].alias("t"))), lambda x: x["d"].isNotNull())
+    hit = F.get(F.filter(near, lambda x: x["d"] < EXACT), F.lit(0))["t"]
+    start = F.struct(F.lit(0.0).alias("w"), F.array(*[F.lit(0.0)] * 3).alias("k"))
+    weight = lambda x: F.pow(F.greatest(x["d"], F.lit(1e-9)), F.lit(-POWER))
+    sums = F.aggregate(near, start, lambda s, x: F.struct((s["w"] + weight(x)).alias("w"), F.zip_with(s["k"], x["t"], lambda a, b: a + weight(x) * b).alias("k")))
+    mean = F.transform(sums["k"], lambda v: v / sums["w"])
+    return F.when(aperture > 0, F.coalesce(hit, F.when(F.array_min(F.transform(near, lambda x: x["d"])) <= FARTHEST, mean)))
+
+
+def chosen(shots: DataFrame, lenses: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(shot, at, lens, used): the lens of each shot and the crop factor it is used with; `at` orders and names `lenses`.
+
+    shots: shot, make, model, name, crop (from the 35 mm equivalent, or null), manual (a lens name, or null); lenses: at, lens, crop.
+    The crop is the camera's, else the shot's own. A manual lens is taken by name, at that crop or its own. Without a crop the name is
+    looked up at each of TRIED in turn; the last accepts any lens, at its own crop. All look-ups are one pass over (shot, crop)
+    rows, of which the first that finds a lens stands.
+    """
+    known = camera_crop(shots, cameras).withColumnRenamed("crop", "listed")
+    shots = settled(shots.select("shot", "name", "manual", "crop", "make", "model").join(known, "shot", "left").select("shot", "name", "manual", F.coalesce("listed", "crop").alias("known")))
+    by_name = lenses.groupBy("lens").agg(F.min_by(F.struct("at", "crop"), "at").alias("l")).select(F.col("lens").alias("manual"), "l.at", F.col("l.crop").alias("own"))
+    manual = shots.where("manual is not null").join(by_name, "manual").select("shot", "at", F.col("manual").alias("lens"), F.coalesce("known", "own").alias("used"))
+    tries = F.when(F.col("known").isNotNull(), F.array("known")).otherwise(F.array(*map(F.lit, TRIED)))
+    asked = shots.where("manual is null").select("shot", "name", F.col("known").isNull().alias("open"), F.posexplode(tries).alias("turn", "crop"))
+    asked = asked.select(F.struct("shot", "turn", "open", F.col("crop").alias("tried")).alias("shot"), "name", "crop")
+    found = find(asked, lenses, "at", keep_order=True)
+    found = found.groupBy("shot.shot").agg(F.min_by(F.struct("at", "lens", "shot.open", "shot.tried"), "shot.turn").alias("b"))
+    own = lenses.select("at", F.col("crop").alias("own"))
+    found = found.select("shot", "b.*").join(own, "at").select("shot", "at", "lens", F.when(F.col("open") & (F.col("tried") == TRIED[-1]), F.col("own")).otherwise(F.col("tried")).alias("used"))
+    return manual.unionByName(found)
+
+
+def models(shots: DataFrame, lenses: DataFrame, cameras: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """The lens model of each shot: (shot, lens, used, dist_model, dist, tca_model, tca, vig, hugin_px, vig_px).
+
+    shots as in `chosen`, with focal, aperture, width, height in sensor orientation; lenses with aspect, low, high and the arrays distortion,
+    tca and vignetting. Points count if they are of their lens's first model. hugin_px are pixels a unit of distortion and
+    TCA (half the short side of the calibration's sensor), vig_px those of vignetting (half its diagonal).
+    own: vignetting at full frame by lens name in any case (name, focal, aperture, t); where it reaches, it replaces the lens's.
+    """
+    picked = chosen(shots, lenses.select("at", "lens", "crop"), cameras)
+    met = shots.select("shot", "name", "focal", "aperture", "width", "height").join(picked, "shot").join(lenses.drop("lens", "file"), "at")
+    first = lambda kind: F.get(kind, F.lit(0))["model"]
+    same = lambda kind: F.filter(kind, lambda x: x["model"] == first(kind))
+    diagonal = F.sqrt(F.col("width") * F.col("width") + F.col("height") * F.col("height"))
+    a_mm = diagonal / (F.lit(DIAGONAL) / F.greatest("used", F.lit(0.1)))
+    vig = vig_at(F.col("vignetting"), F.col("low"), F.col("high"), F.col("focal"), F.col("aperture"), F.lit(1000.0))
+    if own is not None:
+        key = F.lower(F.trim("name")).alias("key")
+        points = F.collect_list(F.struct("focal", "aperture", F.lit(1000.0).alias("distance"), "t"))
+        table = own.groupBy(key).agg(points.alias("own"), F.min("focal").alias("own_low"), F.max("focal").alias("own_high"))
+        met = met.withColumn("key", key).join(table, "key", "left")
+        k = vig_at(F.col("own"), F.col("own_low"), F.col("own_high"), F.col("focal"), F.col("aperture"), F.lit(1000.0))
+        vig = F.coalesce(F.transform(k, lambda v, i: v / F.pow(F.col("crop"), 2 * (i + 1))), vig)
+    return met.select(
+        "shot", "lens", "used",
+        first("distortion").alias("dist_model"), at_focal(same("distortion"), F.col("focal"), [True] * 3).alias("dist"),
+        first("tca").alias("tca_model"), at_focal(same("tca"), F.col("focal"), [False] * 2 + [True] * 4).alias("tca"),
+        vig.alias("vig"),
+        (F.lit(DIAGONAL) / F.col("crop") / F.sqrt(F.col("aspect") * F.col("aspect") + 1) / 2 * a_mm).alias("hugin_px"),
+        (F.lit(DIAGONAL) / F.col("crop") / 2 * a_mm).alias("vig_px"),
+    )
+
+
+def of_model(model: Column, t: Column, r: Column) -> Column:
+    """dist_ratio by a column that names the model; 1 without one."""
+    return F.coalesce(*(F.when(model == m, dist_ratio(m, t, r)) for m in ("ptlens", "poly3", "poly5")), F.lit(1.0))
+
+
+def decided(found: DataFrame, enabled: Column, embedded: Column, always: Column) -> DataFrame:
+    """`found` with `source`, where a shot's correction comes from: `lens`, `embedded`, or null for none.
+
+    With the profile on, lens data win over what the camera embedded; with it off, only parts that always apply count: the lens's
+    vignetting where `always` has `vignetting_of_lens`, else the embedded ones if any of its parts is set (struct of booleans dist, vig, ca,
+    vignetting_of_lens).
+    """
+    on = F.when(F.col("lens").isNotNull(), "lens").when(embedded, "embedded")
+    any_part = always["dist"] | always["vig"] | always["ca"]
+    off = F.when(always["vignetting_of_lens"] & F.col("vig").isNotNull(), "lens").when(embedded & any_part, "embedded")
+    return found.withColumn("source", F.when(enabled, on).otherwise(off))
+
+
 def dist_ratio(model: str, t: Column, r: Column) -> Column:
     """Source radius over corrected radius by ptlens, poly3 or poly5."""
     a, b, c = (F.get(t, F.lit(i)) for i in range(3))
