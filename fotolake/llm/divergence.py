@@ -47,16 +47,14 @@ HELD, BLOCK, PAIRS = 300_000, 200_000, 1_000_000
 FIRST_REACH, FURTHER = 64, 8
 
 
-def terms(text: str | None) -> Counter:
-    """Occurrences of each term of a text, terms in UTF-8."""
-    data, found, at = (text or "").encode("utf-8", "surrogatepass").translate(_TERMS), Counter(), 0
+def terms(text: str | None) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, a list for each piece of it."""
+    data, at = (text or "").encode("utf-8", "surrogatepass").translate(_TERMS), 0
     while at < len(data):
         end = data.find(b" ", at + PIECE)
         end = len(data) if end < 0 else end
-        found.update(data[at:end].split(b" ") if end - at < 64 else data[at:end].split())
+        yield data[at:end].split()
         at = end + 1
-    found.pop(b"", None)
-    return found
 
 
 def _count(batches: Iterable[pa.RecordBatch], by_doc: bool) -> Iterator[pa.RecordBatch]:
@@ -75,8 +73,12 @@ def _count(batches: Iterable[pa.RecordBatch], by_doc: bool) -> Iterator[pa.Recor
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
             into = held.setdefault((lang.as_py(), "" if by_doc else source.as_py()), Counter())
-            found, before = terms(text.as_py()), len(into)
-            into.update(found.keys() if by_doc else found)
+            before = len(into)
+            if by_doc:
+                into.update(set().union(*terms(text.as_py())))
+            else:
+                for some in terms(text.as_py()):
+                    into.update(some)
             size += len(into) - before
             if size >= HELD:
                 yield from rows()

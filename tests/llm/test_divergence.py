@@ -81,8 +81,8 @@ def test_empty_table_and_no_terms(spark):
 
 
 def test_terms_are_runs_of_letters():
-    assert terms("Ab-c_d É9é\x00" + "x" * 3) == {b"ab": 1, b"c": 1, b"d": 1, "É".encode(): 1, "é".encode(): 1, b"xxx": 1}
-    assert terms(None) == {} == terms(" 12 ")
+    assert [*terms("Ab-c_d É9é\x00" + "x" * 3)] == [[b"ab", b"c", b"d", "É".encode(), "é".encode(), b"xxx"]]
+    assert sum(terms(None), []) == [] == sum(terms(" 12 "), [])
 
 
 def test_exact_beyond_64_bits(spark):
