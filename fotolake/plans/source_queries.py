@@ -8,7 +8,7 @@ from fotolake.functions.session import new_path
 from fotolake.operators import export, lens
 from fotolake.plans.queries import query
 from fotolake.plans.shapes import table
-from fotolake.sources import lens_xml
+from fotolake.sources import lens_xml, masks, presets, xmp
 
 #: Lenses from parts: unique focal ranges, three points of distortion, one of TCA, two of vignetting; expressions that both engines read.
 LENSES = """SELECT p_partkey AS nr, concat('Q', CAST(p_partkey AS STRING), 'x ', CAST(10 + p_partkey AS STRING), '-', CAST(30 + 2 * p_partkey AS STRING), 'mm f/2.8 & <', p_brand, '>') AS lens,
@@ -154,3 +154,77 @@ CASE c_custkey % 3 WHEN 0 THEN 'long_edge' WHEN 1 THEN 'none' END AS resize, CAS
 def export_settings_by_name(spark, sf):
     items = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(70).alias("quality"), F.lit(500).alias("size"), F.lit("p3").alias("space"), F.get(F.array(F.lit("Instagram"), F.lit("Print"), F.lit("?")), (F.col("c_custkey") % 3).cast("int")).alias("name"))
     return export.quick(items, F.col("name")).select("id", "quality", "size", "space", "resize", "remove_location", "ppi")
+
+
+# Sidecars -----------------------------------------------------------------------------------------------------------------
+
+#: Settings that are one number of one name, with the factor from the document's scale to the format's.
+NAMED = {names[0][0]: 0.01 if field.startswith("curve_split") else 1 for field, (_, names) in sorted(presets.NUMBERS.items())}
+_values = ", ".join(f"({i}, '{name}')" for i, name in enumerate(NAMED))
+
+
+def _sidecars(spark, sf):
+    """Packets of all numbers, two curves and a mask, from parts."""
+    at = F.col("p_partkey")
+    entries = F.map_from_entries(F.array(*(F.struct(F.lit(name), (5 + (at * (i + 3)) % 90).cast("string")) for i, name in enumerate(NAMED))))
+    points = lambda k: F.array(*(F.struct((F.lit(x) / 255).alias("x"), ((at * k + x) % 256 / 255).alias("y")) for x in (0, 100, 255)))
+    none = F.array().cast("array<struct<x: double, y: double>>")
+    df = table(spark, sf, "part").select(at.alias("photo"), F.concat(F.lit("<T> & "), "p_name").alias("title"), F.lit("").alias("caption"), F.array("p_brand", "p_type").alias("keywords"), (at % 6).cast("int").alias("rating"), entries.alias("m"), F.array(points(1), none, points(3), none).alias("curves"))
+    return df.withColumn("settings", presets.settings(F.col("m"))).drop("m").join(_masks(spark, sf), "photo").withColumn("xmp", xmp.packet(F.col("curves"), F.col("masks")))
+
+
+def _masks(spark, sf):
+    at = F.col("p_partkey")
+    v = lambda i: ((at * i) % 97) / 100
+    text, pairs = F.lit(None).cast("string"), F.lit(None).cast("array<array<double>>")
+    op = F.get(F.array(F.lit("add"), F.lit("subtract"), F.lit("intersect")), (at % 3).cast("int"))
+    part = lambda kind, values, points=pairs, subject=text: F.struct(op.alias("op"), ((at % 2 == 0) & (op != "subtract")).alias("inverted"), F.struct(F.lit(kind).alias("kind"), F.create_map(*(x for k, y in values.items() for x in (F.lit(k), y.cast("double")))).alias("values"), points.alias("points"), subject.alias("subject")).alias("shape"))
+    parts = [
+        part("linear", {k: v(i + 1) for i, k in enumerate(("ZeroX", "ZeroY", "FullX", "FullY"))}),
+        part("radial", {k: v(i + 5) for i, k in enumerate(("Top", "Left", "Bottom", "Right", "Angle", "Feather"))}),
+        part("brush", {"Radius": v(11), "Flow": v(12), "Feather": v(13), "Erase": at % 2}, F.array(F.array(v(14), v(15)), F.array(v(16), v(17)))),
+        part("luminance", {"Low": F.lit(0.25), "High": F.lit(0.625), "Smooth": v(2) / 4}),
+        part("ai", {"x": F.lit(0.0)}, pairs, F.lit("sky")),
+    ]
+    mask = F.struct(F.concat(F.lit("<M> "), "p_name").alias("name"), v(3).alias("amount"), F.create_map(F.lit("exposure"), v(4) * 4, F.lit("hue"), -v(5) * 180).alias("local"), F.array(*parts).alias("components"))
+    return table(spark, sf, "part").select(at.alias("photo"), F.array(mask).alias("masks"))
+
+
+@query(f"WITH n AS (SELECT * FROM (VALUES {_values}) t(i, key)) SELECT p_partkey AS photo, key, CAST(5 + (p_partkey * (i + 3)) % 90 AS DOUBLE) AS value FROM part, n")
+def sidecars_written_and_read(spark, sf):
+    """All numbers of a settings document through a packet and back, by the one table of names."""
+    read = xmp.settings(_sidecars(spark, sf).select("photo", "xmp"))
+    rows = read.select("photo", F.explode(presets.written(F.col("settings"))).alias("key", "value"))
+    return rows.where(F.col("key").isin(list(NAMED))).select("photo", "key", F.col("value").cast("double").alias("value"))
+
+
+@query("""WITH x AS (SELECT unnest([0, 100, 255]) AS x) SELECT p_partkey AS photo, c.curve, round(x / 255.0, 6) AS x, round((p_partkey * c.k + x) % 256 / 255.0, 6) AS y FROM part, x, (VALUES ('ToneCurvePV2012', 1), ('ToneCurvePV2012Green', 3)) c(curve, k)""")
+def curves_written_and_read(spark, sf):
+    read = xmp.settings(_sidecars(spark, sf).select("photo", "xmp"))
+    named = F.explode(F.arrays_zip(F.array(*map(F.lit, xmp.CURVES)).alias("curve"), F.col("curves").alias("points"))).alias("c")
+    rows = read.select("photo", named).select("photo", "c.curve", F.explode("c.points").alias("p"))
+    return rows.select("photo", "curve", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS photo, p_partkey AS a FROM part), n AS (SELECT * FROM (VALUES (0, 'linear', 'ZeroX', 1), (0, 'linear', 'ZeroY', 2), (0, 'linear', 'FullX', 3), (0, 'linear', 'FullY', 4),
+(1, 'radial', 'Top', 5), (1, 'radial', 'Left', 6), (1, 'radial', 'Bottom', 7), (1, 'radial', 'Right', 8), (1, 'radial', 'Angle', 9), (1, 'radial', 'Feather', 10),
+(2, 'brush', 'Radius', 11), (2, 'brush', 'Flow', 12), (2, 'brush', 'Feather', 13), (2, 'brush', 'Erase', 0), (2, 'brush', 'x0', 14), (2, 'brush', 'y0', 15), (2, 'brush', 'x1', 16), (2, 'brush', 'y1', 17),
+(3, 'luminance', 'Low', -1), (3, 'luminance', 'High', -2), (3, 'luminance', 'Smooth', -3)) t(component, kind, key, i))
+SELECT photo, component, kind, CASE WHEN a % 3 = 0 THEN 'add' WHEN a % 3 = 1 OR a % 2 = 0 THEN 'subtract' ELSE 'intersect' END AS op, a % 2 = 0 AND a % 3 = 0 AS inverted, key,
+round(CASE i WHEN 0 THEN a % 2 WHEN -1 THEN 0.25 WHEN -2 THEN 0.625 WHEN -3 THEN ((a * 2) % 97) / 100.0 / 4 ELSE ((a * i) % 97) / 100.0 END, 5) AS value FROM p, n""")
+def masks_written_and_read(spark, sf):
+    """Masks of four kinds through a packet's XML and back, flattened to a row for each number."""
+    head, tail = ('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/">', "</rdf:Description></rdf:RDF></x:xmpmeta>")
+    packets = _masks(spark, sf).select("photo", F.concat(F.lit(head), masks.xml(F.col("masks")), F.lit(tail)).alias("xmp"))
+    rows = masks.components(masks.masks(packets))
+    return rows.select("photo", "component", "kind", "op", "inverted", "key", F.round("value", 5).alias("value"))
+
+
+@query("""SELECT p_partkey AS photo, concat('<M> ', p_name) AS name, round(((p_partkey * 3) % 97) / 100.0, 6) AS amount, CASE WHEN (p_partkey * 4) % 97 <> 0 THEN round(((p_partkey * 4) % 97) / 100.0 * 4, 5) END AS exposure,
+CASE WHEN (p_partkey * 5) % 97 <> 0 THEN round(-((p_partkey * 5) % 97) / 100.0 * 180, 4) END AS hue, 0 AS left_out, true AS has_group FROM part""")
+def mask_adjustments_read(spark, sf):
+    """A mask's name, amount and adjustments, and the group they make of a packet's settings."""
+    read = xmp.settings(_sidecars(spark, sf).select("photo", "xmp"), photo_col="photo")
+    m = F.get("masks", F.lit(0))
+    local = lambda k: F.try_element_at(m["local"], F.lit(k))
+    return read.select("photo", m["name"].alias("name"), F.round(m["amount"], 6).alias("amount"), F.round(local("exposure"), 5).alias("exposure"), F.round(local("hue"), 4).alias("hue"), F.col("left").cast("int").alias("left_out"), F.array_contains("groups", "masks").alias("has_group"))

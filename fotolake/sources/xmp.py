@@ -5,40 +5,19 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import MapType, StringType
 
-from fotolake.functions.text import escape, signed_number
+from fotolake.functions.text import escape
+from fotolake.sources import masks as local
+from fotolake.sources import presets
 
-#: Namespaces of the formats, and settings' names there with the factor to our scale.
+#: Namespaces of the formats, and names of curves.
 RDF, CRS = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://ns.adobe.com/camera-raw-settings/1.0/}"
-FIELDS = {
-    "Temperature": ("temp_k", 1),
-    "Tint": ("tint_k", 1),
-    "Exposure2012": ("exposure", 1),
-    "Contrast2012": ("contrast", 1),
-    "Highlights2012": ("highlights", 1),
-    "Shadows2012": ("shadows", 1),
-    "Whites2012": ("whites", 1),
-    "Blacks2012": ("blacks", 1),
-    "Texture": ("texture", 1),
-    "Clarity2012": ("clarity", 1),
-    "Dehaze": ("dehaze", 1),
-    "Vibrance": ("vibrance", 1),
-    "Saturation": ("saturation", 1),
-    "Sharpness": ("sharpness", 1),
-    "LuminanceSmoothing": ("noise", 1),
-    "ColorNoiseReduction": ("colour_noise", 1),
-    "PostCropVignetteAmount": ("vignette", 1),
-    "GrainAmount": ("grain", 1),
-    "CropTop": ("crop_top", 1),
-    "CropLeft": ("crop_left", 1),
-    "CropBottom": ("crop_bottom", 1),
-    "CropRight": ("crop_right", 1),
-    "CropAngle": ("angle", 1),
-}
 CURVES = ("ToneCurvePV2012", "ToneCurvePV2012Red", "ToneCurvePV2012Green", "ToneCurvePV2012Blue")
-GROUP_OF = {"temp_k": "white_balance", "tint_k": "white_balance"} | dict.fromkeys(("exposure", "contrast", "highlights", "shadows", "whites", "blacks"), "basic_tone") | dict.fromkeys(("texture", "clarity", "dehaze", "vibrance", "saturation"), "presence") | dict.fromkeys(("sharpness", "noise", "colour_noise"), "detail") | dict.fromkeys(("vignette", "grain"), "effects") | dict.fromkeys(("crop_top", "crop_left", "crop_bottom", "crop_right", "angle"), "crop")
 
 
 def parse(packet: str | None) -> dict[str, str] | None:
@@ -64,23 +43,32 @@ def parse(packet: str | None) -> dict[str, str] | None:
     return out
 
 
+@pandas_udf(MapType(StringType(), StringType()))
+def _parsed(packets: pd.Series) -> pd.Series:
+    return packets.map(lambda p: parse(p if isinstance(p, str) else None))
+
+
 def crs_map(packet: Column) -> Column:
-    return F.udf(parse, "map<string,string>")(packet)
+    """Scalar settings of a packet by name, parsed in Arrow batches; null for what is no XML."""
+    return _parsed(packet)
+
 
+def settings(packets: DataFrame, packet_col: str = "xmp", photo_col: str | None = None) -> DataFrame:
+    """`packets` with a struct of all settings (`presets.settings`), the groups present, and the curves; with an id, masks too.
 
-def settings(packets: DataFrame, packet_col: str = "xmp") -> DataFrame:
-    """`packets` with a struct of settings, the groups present, and the curves, from the parsed map."""
+    A packet with masks also has the group `masks`; masks are an array as `masks.masks` has them.
+    """
     m = F.col("__m")
-    df = packets.withColumn("__m", crs_map(F.col(packet_col)))
-    number = lambda k: F.try_element_at(m, F.lit(k)).try_cast("double")
-    fields = [(number(k) * factor).alias(name) for k, (name, factor) in FIELDS.items()]
-    groups: dict[str, Column] = {}
-    for k, (name, _) in FIELDS.items():
-        g = GROUP_OF[name]
-        groups[g] = groups.get(g, F.lit(False)) | F.coalesce(F.array_contains(F.map_keys(m), k), F.lit(False))
-    pair = lambda p: F.transform(F.split(p, ","), lambda x: x.try_cast("double") / 255)
-    curves = F.array(*(F.transform(F.split(F.try_element_at(m, F.lit(c)), ";"), pair) for c in CURVES))
-    return df.withColumns({"settings": F.struct(*fields), "groups": F.array_compact(F.array(*(F.when(c, g) for g, c in groups.items()))), "curves": curves}).drop("__m")
+    df = packets.withColumn("__m", crs_map(F.col(packet_col))).withColumn("settings", presets.settings(m))
+    curves = F.array(*(presets.curve(F.try_element_at(m, F.lit(c))) for c in CURVES))
+    df = df.withColumns({"groups": F.when(m.isNotNull(), presets.groups(F.col("settings"), m)), "curves": curves}).drop("__m")
+    if photo_col is None:
+        return df
+    found = local.masks(packets, photo_col, packet_col)
+    found = found.groupBy("photo").agg(F.collect_list(F.struct("mask", "name", "amount", "local", "components")).alias("masks"), F.sum("left").alias("left"))
+    ordered = F.array_sort("masks", lambda a, b: a["mask"] - b["mask"])
+    df = df.join(found.withColumn("masks", ordered).withColumnRenamed("photo", photo_col), photo_col, "left")
+    return df.withColumn("groups", F.when(F.col("masks").isNotNull(), F.array_sort(F.array_union(F.coalesce("groups", F.array()), F.array(F.lit("masks"))))).otherwise(F.col("groups")))
 
 
 def rating(packet: Column) -> Column:
@@ -89,10 +77,20 @@ def rating(packet: Column) -> Column:
     return F.when(found.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(5), found)))
 
 
-def packet() -> Column:
-    """An XMP packet of title, caption, keywords, rating and settings (columns of those names; settings a struct)."""
+def curve_xml(name: str, points: Column) -> Column:
+    """A curve of points in 0 to 1 as an element of the packet; empty without points."""
+    whole = lambda v: F.round(v * 255).cast("int").cast("string")
+    items = F.array_join(F.transform(points, lambda p: F.concat(F.lit("<rdf:li>"), whole(p["x"]), F.lit(", "), whole(p["y"]), F.lit("</rdf:li>"))), "")
+    return F.when(F.size(points) > 0, F.concat(F.lit(f"<crs:{name}><rdf:Seq>"), items, F.lit(f"</rdf:Seq></crs:{name}>"))).otherwise("")
+
+
+def packet(curves: Column | None = None, masks: Column | None = None) -> Column:
+    """An XMP packet of title, caption, keywords, rating and settings (columns of those names; settings as `presets.settings` has them),
+    and of curves and masks as `settings` gives them."""
     alt = lambda tag, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"<dc:{tag}><rdf:Alt><rdf:li xml:lang=\"x-default\">"), escape(F.col(c)), F.lit(f"</rdf:li></rdf:Alt></dc:{tag}>"))).otherwise("")
     words = F.when(F.size("keywords") > 0, F.concat(F.lit("<dc:subject><rdf:Bag>"), F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("<rdf:li>"), escape(k), F.lit("</rdf:li>"))), ""), F.lit("</rdf:Bag></dc:subject>"))).otherwise("")
-    crs = [F.when(F.col(f"settings.{n}").isNotNull(), F.concat(F.lit(f' crs:{k}="'), signed_number(F.col(f"settings.{n}") / factor), F.lit('"'))).otherwise("") for k, (n, factor) in FIELDS.items()]
+    crs = F.array_join(F.transform(F.array_sort(F.map_entries(presets.written(F.col("settings")))), lambda e: F.concat(F.lit(" crs:"), e["key"], F.lit('="'), escape(e["value"]), F.lit('"'))), "")
+    lines = F.concat(*(curve_xml(name, F.get(curves, F.lit(i))) for i, name in enumerate(CURVES))) if curves is not None else F.lit("")
+    parts = local.xml(masks) if masks is not None else F.lit("")
     head = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/" xmp:Rating="'
-    return F.concat(F.lit(head), F.col("rating").cast("string"), F.lit('"'), *crs, F.lit(">"), alt("title", "title"), alt("description", "caption"), words, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"))
+    return F.concat(F.lit(head), F.col("rating").cast("string"), F.lit('"'), crs, F.lit(">"), alt("title", "title"), alt("description", "caption"), words, F.coalesce(lines, F.lit("")), F.coalesce(parts, F.lit("")), F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fotolake.operators.predicates import Rule
-from fotolake.sources import images, lua, migration, sqlite, xmp
+from fotolake.sources import images, lua, migration, presets, sqlite, xmp
 
 DEVELOP = 's = { Exposure2012 = 0.5, Contrast2012 = 10, -- a comment\n Masks = { { Active = true, "x" }, [2] = [[long\nstring]] }, Name = "a \\"b\\"", n = nil }'
 
@@ -93,13 +93,13 @@ def test_lua_rules():
 
 def test_xmp_round_trip(spark):
     df = spark.createDataFrame([("A & b", "", ["x<y", "z"], 4), ("", "c", [], 0)], "title string, caption string, keywords array<string>, rating int")
-    fields = [F.lit(1.25).alias(n) if n == "exposure" else F.lit(-20.0).alias(n) if n == "shadows" else F.lit(None).cast("double").alias(n) for n, _ in xmp.FIELDS.values()]
-    packets = df.withColumn("settings", F.struct(*fields)).select("title", xmp.packet().alias("xmp"))
+    names = F.create_map(F.lit("Exposure2012"), F.lit("1.25"), F.lit("Shadows2012"), F.lit("-20"))
+    packets = df.withColumn("settings", presets.settings(names)).select("title", xmp.packet().alias("xmp"))
     out = xmp.settings(packets).withColumn("rating", xmp.rating(F.col("xmp"))).collect()
     assert [(r.settings.exposure, r.settings.shadows, r.settings.contrast, r.groups, r.rating) for r in out] == [(1.25, -20.0, None, ["basic_tone"], 4), (1.25, -20.0, None, ["basic_tone"], 0)]
     curve = '<x xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/"><rdf:RDF><rdf:Description crs:Dehaze="+7"><crs:Vibrance>5</crs:Vibrance><crs:ToneCurvePV2012><rdf:Seq><rdf:li>0, 0</rdf:li><rdf:li>255, 51</rdf:li></rdf:Seq></crs:ToneCurvePV2012></rdf:Description></rdf:RDF></x>'
     (r,) = xmp.settings(spark.createDataFrame([(curve,)], "xmp string")).collect()
-    assert (r.settings.dehaze, r.settings.vibrance, r.curves[0]) == (7.0, 5.0, [[0.0, 0.0], [1.0, 0.2]])
+    assert (r.settings.dehaze, r.settings.vibrance, r.curves[0]) == (7.0, 5.0, [(0.0, 0.0), (1.0, 0.2)])
     assert xmp.settings(spark.createDataFrame([("<broken",), (None,)], "xmp string")).where("settings.exposure is null").count() == 2
 
 
