@@ -12,33 +12,45 @@ def template(text):
     typed = re.sub(rf"({NUMBER}(?:[^\w\s]|_){{0,4}}\s?)(?:{UNITS})(?![^\W_])", rf"\1{UNIT}", typed)
     clean = lambda s: re.sub(rf"[^\w\s{NAME}{NUMBER}{UNIT}]|_", "", s).lower().split()
     t, v = clean(typed), clean(text or "")
-    bare = [set(w) <= set(NAME + NUMBER + UNIT) for w in t]
-    rows = {i + k for i in range(len(t) - 3) if all(bare[i : i + 4]) for k in range(4)} if len(t) >= 4 else set(range(len(t))) if all(bare) else set()
-    return [v[i] if i in rows else w for i, w in enumerate(t)], v
+    slot = set(NAME + NUMBER + UNIT)
+    by_value, placed, i = list(t), list(t), 0
+    while i < len(t):
+        j = i
+        while j < len(t) and set(t[j]) <= slot:
+            j += 1
+        if j - i >= 4 or (j - i == len(t) and j > i):
+            by_value[i:j] = v[i:j]
+        if j - i >= 4:
+            placed[i:j] = [f"{w}{k}/{j - i}" for k, w in enumerate(t[i:j])]
+        i = max(j, i + 1)
+    plain = [x if NAME in w else w for w, x in zip(by_value, v, strict=True)]
+    return t, v, [by_value, plain, placed]
 
 
 def brute(docs, items, window=8, coverage=0.3):
+    """All windows of all templates, all places: no repeats left out, no table of runs."""
     out, seed = {}, window // 2
     for item, source in items:
-        t, v = template(source)
+        t, v, forms = template(source)
         if not t:
             continue
         size = min(window, len(t))
         n = len(t) - size + 1
+        slots = {i for i, w in enumerate(t) if set(w) & set(NAME + NUMBER + UNIT)}
         for doc, text in docs:
-            dt, dv = template(text)
-            again = {i for i in range(len(dt)) for back in range(1, seed + 1) if i >= back and dv[i : i + seed] == dv[i - back : i - back + seed]}
-            run = lambda i, j: dt[i : i + seed] == t[j : j + seed] and i not in again
+            dt, dv, other = template(text)
+            short = min(seed, len(t))
+            run = lambda i, j, w: any(d[i : i + w] == f[j : j + w] for d in other for f in forms)
             hits = {}
             for i in range(len(dt) - size + 1):
                 for j in range(n):
-                    if run(i, j) and run(i + size - seed, j + size - seed):
+                    if run(i, j, short) and run(i + size - short, j + size - short, short):
                         hits.setdefault(i - j, set()).add(j)
             for offset, places in hits.items():
-                pairs = {(v[j + k], dv[offset + j + k]) for j in places for k in range(size) if any(c in t[j + k] for c in NAME + NUMBER + UNIT)}
-                good = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
-                if good and len(places) >= coverage * n:
-                    new = (len(places), all(a == b for a, b in pairs))
+                pairs = {(v[j + k], dv[offset + j + k]) for j in places for k in range(size) if (j + k) in slots}
+                if len({a for a, _ in pairs}) == len(pairs) and len(places) >= coverage * n:
+                    whole = slots <= {j + k for j in places for k in range(size)}
+                    new = (len(places), whole and all(a == b for a, b in pairs))
                     out[doc, item] = max(out.get((doc, item), new), new)
     return {k: (n, "exact" if e else "reparameterised") for k, (n, e) in out.items()}
 
@@ -124,7 +136,8 @@ def test_tables_of_figures_and_repeats(spark):
     item = " ".join(figures[7000:7200])
     docs = [(1, " ".join(figures)), (2, " ".join(str(rng.randrange(10**6)) for _ in range(20_000))), (3, "7 " * 20_000), (4, "7 8 " * 10_000), (5, item.replace(" ", ", "))]
     got = found(spark, docs, [(0, item), (1, "7 " * 200), (2, " ".join(f"row {i}" for i in range(100)))])
-    assert {k: r.kind for k, r in got.items()} == {(1, 0): "exact", (5, 0): "exact"}
+    # Repetitions of more than sixteen periods count as that long.
+    assert {k: r.kind for k, r in got.items()} == {(1, 0): "exact", (5, 0): "exact", (3, 1): "exact"}
     rows = [(1, " ".join(f"row {i}" for i in range(3000)))]
     assert found(spark, rows, [(2, " ".join(f"row {i}" for i in range(50, 80)))])[1, 2].kind == "exact"
 
@@ -132,7 +145,23 @@ def test_tables_of_figures_and_repeats(spark):
 def test_short_items(spark):
     items = [(0, "How far is old Utrecht"), (1, "Utrecht"), (2, "only 3 words")]
     docs = [(1, "He asks: how far is old Leiden, then? " + PLAIN), (2, "how far is it to old Utrecht " + PLAIN), (3, "Utrecht!"), (4, "utrecht and more"), (5, "only 4 words"), (6, "there are only 3 words here")]
-    assert {k: r.kind for k, r in found(spark, docs, items).items()} == {(1, 0): "reparameterised", (3, 1): "exact"} | {(5, 2): "reparameterised"}
+    assert {k: r.kind for k, r in found(spark, docs, items).items()} == {(1, 0): "reparameterised", (2, 1): "exact", (3, 1): "exact", (4, 1): "exact", (5, 2): "reparameterised", (6, 2): "exact"}
+
+
+def test_periodic_items(spark):
+    """A short period is no reason to miss a copy, in a text or as one."""
+    steps = "go left go right " * 6
+    docs = [(1, f"he said {steps}and stopped at the gate"), (2, steps), (3, "go left go right"), (4, "turn " * 300 + "back home now please and wait there"), (5, "go left go right go left then rest")]
+    got = found(spark, docs, [(0, steps), (1, "turn " * 40 + "back home now please and wait there")])
+    assert {k: r.kind for k, r in got.items()} == {(1, 0): "exact", (2, 0): "exact", (4, 1): "exact"}
+
+
+def test_rows_of_placeholders_with_other_values(spark):
+    items = [(0, "the vector 1 2 3 4 times the vector 5 6 7 8 gives which value in total"), (1, "the mean of values 3 5 8 13 21 34 is what number"), (2, "3 + 4 + 5 + 6"), (3, "then Anna Maria Lopez Garcia went to the mill with her old friends")]
+    docs = [(0, "say the vector 9 2 7 1 times the vector 6 5 3 4 gives which value in total now"), (1, "the mean of values 2 9 4 1 7 30 is what number"), (2, "7 + 1 + 9 + 2"), (3, "then Berta Julia Perez Ruiz went to the mill with her old friends")]
+    docs += [(i + 10, t) for i, t in items] + [(20, "a list 7 1 9 2 of figures in some text"), (21, "a list 3 4 5 6 of figures in some text"), (22, "the mean of values 2 9 4 1 is what they see")]
+    got = {k: r.kind for k, r in found(spark, docs, items).items()}
+    assert got == {(i, i): "reparameterised" for i in range(4)} | {(i + 10, i): "exact" for i in range(4)} | {(21, 2): "exact"}
 
 
 def test_many_items_by_shuffle(spark, monkeypatch):
