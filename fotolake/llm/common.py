@@ -33,10 +33,15 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+#: Paths of the tables written in this application that are still there.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a table in the shared folder, read again: it cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{_tables(spark)}/{tag}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +52,14 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of `written` by their paths; nothing may read them later."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(name)
+
+
 def pointed(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
@@ -76,6 +89,18 @@ def texts(batches: Iterable[pa.RecordBatch], rows: int = 512, chars: int = 4_000
             at = end
 
 
+def parts(batch: pa.RecordBatch, at: int, rows: int = 512, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and, but for single rows, about `chars` bytes of the texts in column `at`."""
+    text, start = batch.column(at), 0
+    while start < batch.num_rows:
+        end, size = start, 0
+        while end < batch.num_rows and end - start < rows and (end == start or size < chars):
+            size += len(text[end].as_buffer()) if text[end].is_valid else 0
+            end += 1
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int, most: int, id_col: str = "doc_id", text_col: str = "text", value: int | None = None) -> DataFrame:
     """(id, text, label) of at most `most` labelled ids, outside fold `held` of `parts`, the first in a hashed order; a row an id.
 

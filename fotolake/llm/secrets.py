@@ -20,8 +20,10 @@ kind as listed. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolake.llm.common import col, texts
+from fotolake.llm.common import col, parts, texts
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the base scan.
@@ -186,8 +188,8 @@ def tested(token: str, fit: float = 0.001) -> tuple[float, float]:
     The p of language is taken times the number of candidates. Letters alone are tested by `letters`.
     """
     body = token.rstrip("=")
-    parts = {token, *(x for joiners in ("[_-]", "/", "[_/-]") for x in re.split(joiners, body) if LEAST <= len(x) < len(body))}
-    found = [letters(x.rstrip("=")) if x.rstrip("=").isalpha() else battery(x) for x in sorted(parts)]
+    pieces = {token, *(x for joiners in ("[_-]", "/", "[_/-]") for x in re.split(joiners, body) if LEAST <= len(x) < len(body))}
+    found = [letters(x.rstrip("=")) if x.rstrip("=").isalpha() else battery(x) for x in sorted(pieces)]
     random = [x for x in found if x[1] >= fit]
     language, best = min(random) if random else max(found, key=lambda x: x[1])
     return min(1.0, language * len(found)), best
@@ -221,7 +223,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str, rate: float = 0.001, fit: float = 0.001) -> list[tuple[int, int, int]]:
     """Base spans and random tokens, by start, then kind. `rate`: false discoveries; `fit`: least p of randomness."""
     found = base_spans(text)
-    tokens = [m for m in TOKEN.finditer(text) if (len(m.group()) >= LEAST_DIGITS or not m.group().isdigit()) and not any(m.start() < e and s < m.end() for s, _, e in found)]
+    # Base spans that start before a token's end overlap it if the farthest of their ends is beyond its start.
+    starts, farthest = [s for s, _, _ in found], [*itertools.accumulate((e for _, _, e in found), max)]
+    clear = lambda m: not (i := bisect.bisect_left(starts, m.end())) or farthest[i - 1] <= m.start()
+    tokens = [m for m in TOKEN.finditer(text) if (len(m.group()) >= LEAST_DIGITS or not m.group().isdigit()) and clear(m)]
     if tokens:
         scores = [tested(m.group(), fit) for m in tokens]
         picked = discoveries([p for p, _ in scores], [len(m.group()) for m in tokens], rate)
@@ -263,7 +268,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _redact(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, at)):
         old = batch.column(at)
         new = pa.array([t if t is None else redacted(t, spans(t)) for t in (x.as_py() for x in old)], old.type)
         yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
