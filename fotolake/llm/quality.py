@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolake.llm.common import col, labelled_sample, sigmoid, texts, written
+from fotolake.llm.common import col, labelled_sample, parts, sigmoid, texts, written
 
 STEPS, RATE, DECAY = 200, 0.05, 1e-3
 BINS = 6
@@ -34,8 +34,8 @@ CLASSES, MARKS = 8, ".,;:?'\"-()’“”"
 
 @functools.cache
 def _classes() -> np.ndarray:
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
         ch = chr(c)
         out[c] = 4 if ch.isspace() else 3 if ch.isdigit() else 2 if ch.isupper() else 1 if ch.isalpha() else 5 if ch in MARKS else 6 if ch == "|" else 7 if ch == "!" else 0
     return out
@@ -48,7 +48,7 @@ def lines_of(text: str) -> list[str]:
 def measures(lines: list[str]) -> np.ndarray:
     """A row of raw measures for each line."""
     points = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    cls = _classes()[np.minimum(points, 0xFFFF)]
+    cls = _classes()[points]
     length = np.array([len(x) for x in lines])
     starts = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
     share = np.stack([np.add.reduceat(cls == k, starts, dtype=np.int64) for k in range(CLASSES)], axis=1).astype(np.float64)
@@ -202,8 +202,7 @@ def score(docs: DataFrame, field: Field | None, share: float, id_col: str = "doc
 
 def _keep(batches: Iterable[pa.RecordBatch], at: int, field: Field | None, share: float, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
+        for part in parts(batch, at):
             s = score_texts(field, [t or "" for t in part.column(at).to_pylist()], share)
             yield part.filter(pa.array(s >= threshold))
 
