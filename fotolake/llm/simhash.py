@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolake.llm.common import col, texts, without_keys, written
+from fotolake.llm.common import col, parts, texts, without_keys, written
 from fotolake.llm.components import components
 
 SEED = 42
@@ -49,13 +49,13 @@ BROADCAST_CANDIDATES = 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
         return np.empty(0, np.uint64)
-    whole, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    if len(parts) <= words:
+    whole, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    if len(tokens) <= words:
         return np.array([digest(whole, SEED)], np.uint64)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    ends = np.cumsum([len(p) + 1 for p in tokens])
     starts = [0, *ends[:-words].tolist()]
     stops = (ends[words - 1 :] - 1).tolist()
     return np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
@@ -195,9 +195,9 @@ def _shingles(batches: Iterable[pa.RecordBatch], words: int, width: int) -> Iter
     """Rows (node, root, k, text, f0, ...) whose text has that fingerprint, with the sorted distinct hashes as bytes."""
     names = ["node", "root", "k", "hashes"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
+        for part in parts(batch, 3, rows=256):
             rows = []
-            for node, root, k, text, *f in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+            for node, root, k, text, *f in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if fingerprint(text or "", words, width, distinct=True) == f:
                     rows.append((node, root, k, np.unique(shingle_hashes(text or "", words)).tobytes()))
             if rows:
