@@ -13,10 +13,12 @@ seen. Rules of style sheets are not applied, only `style` attributes.
 
 Layout: white space collapses except in preformatted text and textareas; options and labels of
 SVG are lines; blocks start lines, and paragraphs, headings, lists, tables
-and the like are set off by one blank line; list items get `-` or their number and are indented by depth; table cells are
+and the like are set off by one blank line; list items get `-` or their number and are indented by depth, to INDENTS levels (deeper ones keep that indent, and all of their text); table cells are
 padded to their columns' widths and joined by ` | `, with column and row spans, and nested tables laid out in their cells.
 
-Nulls: null or empty html gives an empty text; other columns than the id are not read; ids may be null or repeat. Nesting
+Buttons show their text, `input` buttons their value.
+
+Nulls: null or empty html gives an empty text, very long pages are read whole, an empty table gives an empty result; other columns than the id are not read; ids may be null or repeat. Nesting
 may be of any depth: nothing recurses.
 """
 
@@ -37,7 +39,7 @@ from fotolake.llm.common import col, texts
 #: Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noembed noframes iframe audio video canvas datalist input area defs desc metadata symbol clippath lineargradient radialgradient annotation annotation-xml".split())
+UNSEEN = frozenset("head script style template title noembed noframes iframe audio video canvas datalist area defs desc metadata symbol clippath lineargradient radialgradient annotation annotation-xml".split())
 IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 FORMAT = frozenset("a b big code em font i nobr s small span strike strong tt u mark sub sup abbr cite q label".split())
@@ -303,6 +305,8 @@ class Page:
                 payload = "open" in got
             elif tag == "q":
                 flow.text('"', False)
+            elif tag == "input" and visible and got.get("type", "").lower() in ("submit", "button", "reset") and got.get("value"):
+                flow.text(got["value"], False)
         closed = attributes.endswith("/") and bool(self.places.get("svg") or self.places.get("math"))
         if tag not in VOID and not closed:
             self.push((tag, shown, visible, pre, payload))
