@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fotolake.llm import quality
-from fotolake.llm.common import table, written
+from fotolake.llm.common import MADE, drop, table, written
 from fotolake.llm.decontaminate import without_leaks
 from fotolake.llm.packing import pack
 from fotolake.llm.queries import TOKENIZER
@@ -62,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's tables, and its predecessor's result, go when its own result is written."""
     docs = table(spark, sf_dir, "documents")
+    last: list[str] = []
     for name, stage in STAGES[:-1]:
+        before = len(MADE)
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = [*last, *MADE[before:-1]]
+        last = MADE[-1:]
+        drop(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
