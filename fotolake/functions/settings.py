@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-#: Fields that change together.
+#: Fixed names of the stored document. Fields that change together:
 WHITE_BALANCE = ("wb_custom", "temp_k", "tint_k", "temp", "tint")
-#: Fields of each group that can be copied.
+#: fields of each group that can be copied;
 GROUPS = {
     "white_balance": WHITE_BALANCE,
     "basic_tone": ("exposure", "contrast", "highlights", "shadows", "whites", "blacks"),
@@ -29,7 +29,7 @@ GROUPS = {
     "calibration": ("calibration",),
     "masks": ("masks",),
 }
-#: Sections of the editor, as groups.
+#: sections of the editor, as groups.
 SECTIONS = {"basic": ("white_balance", "basic_tone", "presence", "treatment"), "curve": ("tone_curve",), "color": ("hsl", "point_color"), "grading": ("color_grading",), "detail": ("detail",), "lens": ("lens",), "geometry": ("crop",), "effects": ("effects",), "calibration": ("calibration",), "masks": ("masks",)}
 
 
@@ -105,6 +105,45 @@ def json_changes(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([sorted("/".join(map(str, p)) for p, _ in diff(a, b)) for a, b in docs], dtype=object)
 
 
+@pandas_udf(StringType())
+def json_copied(target: pd.Series, source: pd.Series, groups: pd.Series) -> pd.Series:
+    """Arrow-batched `copied` on JSON texts, groups joined by commas; null if one does not parse."""
+    docs = [(_load(a), _load(b), g.split(",") if g else []) for a, b, g in zip(target, source, groups, strict=True)]
+    return pd.Series([None if not isinstance(a, dict) or not isinstance(b, dict) else json.dumps(copied(a, b, g), sort_keys=True) for a, b, g in docs], dtype=object)
+
+
+def edited(develop: Column, raw: Column, defaults: dict[bool, dict]) -> Column:
+    """Whether a settings document (JSON) says anything else than the default of its kind of file (`defaults` by raw or not).
+
+    Documents are compared by value: the order of keys and the form of numbers do not matter, a missing field is at its default,
+    unknown fields say nothing. Kelvin and tint do not count while `as_shot` is true. No document is no edit; neither is one that does not parse.
+    """
+    doc = F.try_parse_json(develop)
+
+    def leaves(d: dict, path: str = "$") -> list[tuple[str, object]]:
+        return [x for k, v in d.items() for x in (leaves(v, f"{path}.{k}") if isinstance(v, dict) and v else [(f"{path}.{k}", v)])]
+
+    def differs(path: str, value) -> Column:
+        if isinstance(value, bool):
+            return F.coalesce(F.try_variant_get(doc, path, "boolean"), F.lit(value)) != value
+        if isinstance(value, (int, float)):
+            return F.coalesce(F.try_variant_get(doc, path, "double"), F.lit(float(value))) != float(value)
+        if isinstance(value, str):
+            return F.coalesce(F.try_variant_get(doc, path, "string"), F.lit(value)) != value
+        text = F.to_json(F.try_variant_get(doc, path, "variant"))
+        return F.coalesce(F.nullif(text, F.lit("null")), F.lit(json.dumps(value))) != json.dumps(value, separators=(",", ":"))
+
+    def any_of(default: dict) -> Column:
+        shot = F.coalesce(F.try_variant_get(doc, "$.as_shot", "boolean"), F.lit(bool(default.get("as_shot"))))
+        out = F.lit(False)
+        for path, value in leaves(default):
+            one = differs(path, value)
+            out = out | (~shot & one if path in ("$.temp_k", "$.tint_k") else one)
+        return out
+
+    return F.coalesce(F.when(raw, any_of(defaults[True])).otherwise(any_of(defaults[False])), F.lit(False))
+
+
 def copy_groups(target: Column, source: Column, fields: list[str], groups: list[str]) -> Column:
     """Struct `target` with the fields of the groups from struct `source`, without leaving the JVM."""
     wanted = {f for g in groups for f in GROUPS[g]}

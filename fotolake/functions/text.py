@@ -122,15 +122,48 @@ def rational(v: Column) -> Column:
     return F.when(v <= 0, none).when((v < 1) & (F.abs(1 / d - v) < v * 0.01), part).otherwise(whole)
 
 
-def signed_number(v: Column) -> Column:
-    """Integer text within 1e-4 of an integer, else two decimals; a plus sign before positive values."""
+def _hundredths(a: Column) -> Column:
+    """A non-negative double's hundredths, to the nearest of its exact value, ties to even.
+
+    t, the double nearest to the tie above k, parts all doubles but itself; on which side of the tie t lies is told by 200 t - (2 k + 1),
+    with t in two halves whose products are exact.
+    """
+    k = F.floor(a * 100)
+    t = (k + 0.5) / 100
+    c = t * 134217729.0
+    high = c - (c - t)
+    side = (high * 200 - (2 * k + 1)) + (t - high) * 200
+    up = (a > t) | ((a == t) & ((side > 0) | ((side == 0) & (k % 2 == 1))))
+    return k + up.cast("long")
+
+
+def _two_decimals(h: Column) -> Column:
+    return F.concat(F.floor(h / 100).cast("string"), F.lit("."), F.lpad((h % 100).cast("string"), 2, "0"))
+
+
+def unsigned_number(v: Column) -> Column:
+    """Integer text within 1e-4 of an integer, else two decimals of the exact value."""
     r = F.round(v)
-    body = F.when(F.abs(v - r) < 1e-4, r.cast("long").cast("string")).otherwise(F.format_string("%.2f", v))
-    return F.when(v > 0, F.concat(F.lit("+"), body)).otherwise(body)
+    body = F.concat(F.when(v < 0, "-").otherwise(""), _two_decimals(_hundredths(F.abs(v))))
+    return F.when(F.abs(v - r) < 1e-4, r.cast("long").cast("string")).otherwise(body)
+
+
+def signed_number(v: Column) -> Column:
+    """`unsigned_number` with a plus sign before positive values."""
+    return F.when(v > 0, F.concat(F.lit("+"), unsigned_number(v))).otherwise(unsigned_number(v))
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2)).otherwise(F.format_string("%.2f GB", n / 1024**3))
+    """Bytes, or KB and MB with one decimal and GB with two, of the exact quotient, ties to even."""
+    n = n.cast("long")
+
+    def parts(unit: int, scale: int) -> Column:
+        q, r = F.call_function("div", n * scale, F.lit(unit)), (n * scale) % unit
+        return q + ((r * 2 > unit) | ((r * 2 == unit) & (q % 2 == 1))).cast("long")
+
+    one = lambda unit: (lambda t: F.concat(F.call_function("div", t, F.lit(10)).cast("string"), F.lit("."), (t % 10).cast("string")))(parts(unit, 10))
+    kb, mb = F.concat(one(1024), F.lit(" KB")), F.concat(one(1024**2), F.lit(" MB"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, kb).when(n < 1024**3, mb).otherwise(F.concat(_two_decimals(parts(1024**3, 100)), F.lit(" GB")))
 
 
 def caption(kind: str) -> Column:

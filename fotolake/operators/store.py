@@ -132,8 +132,9 @@ def set_text(photos: DataFrame, ids: DataFrame, title: str | None = None, captio
 
 
 def set_develop(photos: DataFrame, new: DataFrame, now: int, quiet: bool = False) -> DataFrame:
-    """Settings (id, develop) put in with the time of the edit; the picture's version rises unless `quiet`."""
-    put = photos.join(new.select("id", F.col("develop").alias("__new"), F.lit(True).alias("__hit")), "id", "left")
+    """Settings (id, develop; of several for an id the largest text) put in with the time of the edit; the picture's version rises unless `quiet`."""
+    once = new.groupBy("id").agg(F.max("develop").alias("__new"), F.lit(True).alias("__hit"))
+    put = photos.join(once, "id", "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     rise = F.lit(0) if quiet else hit.cast("int")
     return put.withColumns({"develop": F.when(hit, F.col("__new")).otherwise(F.col("develop")), "thumb_ver": F.col("thumb_ver") + rise, "edited_at": F.when(hit, F.lit(now)).otherwise(F.col("edited_at"))}).select(photos.columns)
@@ -154,7 +155,7 @@ def create_collection(table: DataFrame, new: DataFrame) -> DataFrame:
 
 def update_smart(table: DataFrame, changes: DataFrame) -> DataFrame:
     """Name and rules of collections (id, name, smart)."""
-    new = changes.select("id", F.col("name").alias("__n"), F.col("smart").alias("__s"), F.lit(True).alias("__hit"))
+    new = changes.groupBy("id").agg(F.max(F.struct("name", "smart")).alias("__c")).select("id", F.col("__c.name").alias("__n"), F.col("__c.smart").alias("__s"), F.lit(True).alias("__hit"))
     return table.join(new, "id", "left").withColumns({"name": F.when(F.col("__hit"), F.col("__n")).otherwise(F.col("name")), "smart": F.when(F.col("__hit"), F.col("__s")).otherwise(F.col("smart"))}).select(table.columns)
 
 
@@ -276,7 +277,9 @@ def new_presets(table: DataFrame, new: DataFrame) -> DataFrame:
 
 def put_metadata(photos: DataFrame, new: DataFrame) -> DataFrame:
     """Foreign metadata (id, rating, flag, label, title, caption, touched): values always, texts if either is not empty, the time of the edit if there is one."""
-    put = photos.join(new.select("id", *(F.col(c).alias(f"__{c}") for c in ("rating", "flag", "label", "title", "caption", "touched")), F.lit(True).alias("__hit")), "id", "left")
+    names = ("rating", "flag", "label", "title", "caption", "touched")
+    once = new.groupBy("id").agg(F.max(F.struct("touched", *names[:-1])).alias("__m")).select("id", *(F.col(f"__m.{c}").alias(f"__{c}") for c in names), F.lit(True).alias("__hit"))
+    put = photos.join(once, "id", "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     texts = hit & ((F.col("__title") != "") | (F.col("__caption") != ""))
     cols = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("rating", "flag", "label")} | {c: F.when(texts, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("title", "caption")}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions import color, text, vector
-from fotolake.operators import catalog, lens, people, planning, sensor, session, stacks, stats, views
+from fotolake.operators import catalog, edits, lens, people, planning, sensor, session, stacks, stats, views
 from fotolake.operators.predicates import Filter, Rule, Rules, count_rules, kind_of, of_source
 from fotolake.plans.shapes import FACES_SQL, HISTORY_SQL, PHOTOS_SQL, faces, history, photos, table
 
@@ -145,10 +145,11 @@ def range_selection(spark, sf):
     return ranked.where("rank between 20 and 120").select("id", "rank")
 
 
-@query(f"{P} SELECT id, folder, lag(rating) OVER (PARTITION BY folder ORDER BY {KEY}, id) AS previous FROM p")
+@query(f"{P} SELECT id, lag(concat('{{\"exposure\":', CAST(rating AS STRING), '}}')) OVER (ORDER BY {KEY}, file_name, id) AS previous FROM p")
 def paste_previous(spark, sf):
-    w = Window.partitionBy("folder").orderBy(F.coalesce("capture_time", F.lit("")), "id")
-    return photos(spark, sf).select("id", "folder", F.lag("rating").over(w).alias("previous"))
+    """The settings of the photo before each in the view's order."""
+    view = photos(spark, sf).withColumn("develop", F.concat(F.lit('{"exposure":'), F.col("rating").cast("string"), F.lit("}")))
+    return edits.previous_settings(view, [F.coalesce("capture_time", F.lit("")), F.col("file_name"), F.col("id")])
 
 
 # Stacks -------------------------------------------------------------------------------------------------------------------
@@ -445,11 +446,15 @@ def export_names(spark, sf):
     return photos(spark, sf).select("id", text.file_stem("{date}_{seq:5}_{name}-{camera}-r{rating}", F.col("id")).alias("stem"))
 
 
-@query(f"""{P}, i AS (SELECT id, concat('/out/', folder[9:]) AS dir, concat('s', id % 40) AS stem, 'jpg' AS ext FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY id) AS rn FROM i)
-SELECT id, concat(dir, '/', stem, CASE WHEN rn > 1 THEN concat('-', CAST(rn AS STRING)) ELSE '' END, '.', ext) AS out_path FROM r""")
+@query(f"""{P}, i AS (SELECT id, concat('/out/', folder[9:]) AS dir, concat('s', id % 40) AS stem, 'jpg' AS ext FROM p), r AS (SELECT *, id % 40 AS n, row_number() OVER (PARTITION BY dir, stem ORDER BY id) AS rn FROM i),
+f AS (SELECT *, list_filter(range(1, rn + 5), lambda x: NOT ((x = 1 AND n % 3 = 0) OR (x = 2 AND n % 5 = 0) OR (x = 3 AND n % 4 = 0)))[rn] AS free FROM r)
+SELECT id, concat(dir, '/', stem, CASE WHEN free > 1 THEN concat('-', CAST(free AS STRING)) ELSE '' END, '.', ext) AS out_path FROM f""")
 def export_paths(spark, sf):
     items = photos(spark, sf).select("id", F.concat(F.lit("/out/"), F.substr("folder", F.lit(9))).alias("dir"), F.concat(F.lit("s"), (F.col("id") % 40).cast("string")).alias("stem"), F.lit("jpg").alias("ext"), F.col("id").alias("seq"))
-    return planning.export_paths(items, spark.createDataFrame([], "path string"))
+    n = F.regexp_extract("stem", r"(\d+)", 1).cast("int")
+    there = F.array_compact(F.array(F.when(n % 3 == 0, ".jpg"), F.when(n % 5 == 0, "-2.jpg"), F.when(n % 4 == 0, "-3.jpg")))
+    files = items.select("dir", "stem").distinct().select("dir", "stem", F.explode(there).alias("end")).select(F.concat("dir", F.lit("/"), "stem", "end").alias("path"))
+    return planning.export_paths(items, files)
 
 
 @query(f"""{P}, i AS (SELECT id, concat(folder, '/', {STEM}, '.jpg') AS f FROM p) SELECT id, f AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS rn FROM i) WHERE rn = 1 AND f NOT IN (SELECT path FROM p)""")
@@ -479,10 +484,10 @@ def rationals(spark, sf):
     return table(spark, sf, "events").select("event_id", text.rational(v).alias("r")).select("event_id", "r.num", "r.den")
 
 
-@query("SELECT doc_id, substr(sha256(text), 1, 24) AS key, regexp_replace(replace(substr(text, 1, 40), '\n', '_'), '[<>:\"/\\\\|?*]', '_', 'g') AS name FROM documents WHERE NOT regexp_matches(substr(text, 1, 40), '(^\\s|\\s$|\\.$)')")
+@query(r"""SELECT doc_id, substr(sha256(text), 1, 24) AS key, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f\x7f-\x{9f}]', '_', 'g'), '^\s+|\s+$', '', 'g'), '\.+$', '')) AS name FROM documents""")
 def content_keys(spark, sf):
-    df = table(spark, sf, "documents").where(~F.substring("text", 1, 40).rlike(r"(^\s|\s$|\.$)"))
-    return df.select("doc_id", text.content_key(F.col("text")).alias("key"), text.sanitize(F.substring("text", 1, 40)).alias("name"))
+    """Keys of contents, and whole texts made names."""
+    return table(spark, sf, "documents").select("doc_id", text.content_key(F.col("text")).alias("key"), F.sha2(text.sanitize(F.col("text")), 256).alias("name"))
 
 
 # Numbers ------------------------------------------------------------------------------------------------------------------

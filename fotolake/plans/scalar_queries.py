@@ -26,9 +26,9 @@ def quarter_turns(spark, sf):
     return table(spark, sf, "events").select("event_id", text.orientation_steps(code).alias("corner"), text.exif_steps(c("event_id") % 9).alias("exif"))
 
 
-@query("SELECT l_orderkey, l_linenumber, concat(CASE WHEN v > 0 THEN '+' ELSE '' END, CASE WHEN abs(v - round(v)) < 1e-4 THEN CAST(CAST(round(v) AS BIGINT) AS STRING) ELSE format('{:.2f}', v) END) AS s FROM (SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 25 - l_orderkey % 200 AS DOUBLE) / 4 AS v FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, concat(CASE WHEN v > 0 THEN '+' ELSE '' END, CASE WHEN abs(v - round(v)) < 1e-4 THEN CAST(CAST(round(v) AS BIGINT) AS STRING) ELSE format('{:.2f}', v) END) AS s FROM (SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 25 - l_orderkey % 200 AS DOUBLE) / 8 + CAST(l_orderkey % 9 AS DOUBLE) / 1000 AS v FROM lineitem)")
 def numbers_signed(spark, sf):
-    v = (c("l_linenumber") * 25 - c("l_orderkey") % 200).cast("double") / 4
+    v = (c("l_linenumber") * 25 - c("l_orderkey") % 200).cast("double") / 8 + (c("l_orderkey") % 9).cast("double") / 1000
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.signed_number(v).alias("s"))
 
 

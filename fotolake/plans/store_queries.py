@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from fotolake.operators import session, store, views
 from fotolake.plans.queries import query
@@ -23,6 +27,11 @@ W = {"p": PHOTOS, "c": COLLECTIONS, "m": MEMBERS, "s": STEPS, "r": PRESETS, "f":
 SOURCE = {"p": "orders", "c": "customer", "m": "orders", "s": "events", "r": "part", "f": "embeddings", "n": "nation"}
 
 
+@pandas_udf(BinaryType())
+def _packed(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda x: np.asarray(x, "<f4").tobytes())
+
+
 def of(spark, sf, key):
     name = SOURCE[key]
     text = W[key].replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", "FROM {" + name + "}")
@@ -58,14 +67,11 @@ def collections_first_by_name(spark, sf):
     return store.by_name(of(spark, sf, "c"), "name").select("name", "id").limit(40)
 
 
-@query("SELECT vec_id, i, round(CAST(embedding[i] AS DOUBLE), 7) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS i FROM embeddings)")
+@query("SELECT vec_id, i, round(CAST(embedding[i] AS DOUBLE), 7) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE embedding IS NOT NULL)")
 def embeddings_decoded(spark, sf):
     """Embeddings packed as bytes, read back."""
-    import struct
-
-    pack = F.udf(lambda v: struct.pack(f"<{len(v)}f", *v), "binary")
-    raw = table(spark, sf, "embeddings").select("vec_id", pack("embedding").alias("raw"))
-    return raw.select("vec_id", F.posexplode(F.slice(store.embedding(F.col("raw")), 1, 4)).alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("v", 7).alias("v"))
+    raw = table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", _packed("embedding").alias("raw"))
+    return raw.select("vec_id", F.posexplode(store.embedding(F.col("raw"))).alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("v", 7).alias("v"))
 
 
 @query(sql("fn", "SELECT n.id, n.name, coalesce(k, 0) AS photos, row_number() OVER (ORDER BY n.name = '', coalesce(k, 0) DESC, n.name, n.id) - 1 AS place FROM n LEFT JOIN (SELECT person_id, count(DISTINCT photo_id) AS k FROM f WHERE person_id > 0 GROUP BY 1) ON person_id = n.id"))

@@ -16,7 +16,8 @@ from pyspark.sql.types import StringType
 
 from fotolake.functions.text import exif_steps, history_name, orientation_steps, xmp_title
 from fotolake.operators.catalog import keep_newest
-from fotolake.sources.lua import LABEL_WORDS, smart_rules, to_json
+from fotolake.sources.files import lua_json
+from fotolake.sources.lua import LABEL_WORDS, smart_rules
 from fotolake.sources.sqlite import opened, read, tables
 
 IMAGES, FILES, FOLDERS, ROOTS = "Adobe_images", "AgLibraryFile", "AgLibraryFolder", "AgLibraryRootFolder"
@@ -99,7 +100,7 @@ def read_catalogue(spark: SparkSession, path: str) -> Foreign:
         out.captions = c.where("caption <> ''").select(F.col("image").alias("id"), "caption")
     if (x := some("Adobe_AdditionalMetadata")) is not None:
         out.titles = x.select(F.col("image").alias("id"), xmp_title(F.col("xmp")).alias("title")).where("title is not null")
-    lua = F.udf(to_json, "string")
+    lua = lua_json
     if (d := some("Adobe_imageDevelopSettings")) is not None:
         adj = F.col("hasDevelopAdjustmentsEx") if "hasDevelopAdjustmentsEx" in d.columns else F.col("hasDevelopAdjustments")
         real = (F.coalesce(adj.cast("double"), F.lit(1.0)) > 0) | F.contains("text", F.lit("HasCrop = true"))
