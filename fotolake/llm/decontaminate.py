@@ -5,7 +5,7 @@ typed placeholders; other words are lower-cased and stripped of all but letters
 words does not matter. Half a `window` of placeholders or more in a row, such as figures of a table, are read twice: as their values, so that any
 part of a list is found, and as placeholders that tell their place and the row's length, so that a row of as many other values is found too.
 A third template has names as plain words, for texts in other case. Beside the templates stands the
-sequence of values, word for word. Words that repeat with a period of at most four are cut to REPEATS periods, in items and documents alike, so
+sequence of values, word for word. Words that repeat with a period of at most four are cut to REPEATS periods in items, and in documents if any item is cut, so
 that longer repetitions count as that long. Runs of half a `window` of template words of the benchmark are hashed and joined to those
 of all documents; two runs that match at one offset and span `window` words are a matched window.
 
@@ -42,14 +42,15 @@ SLOT = NAME + NUMBER + UNIT
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|in|yd|l|ml|litre|litres|liter|liters|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|secs|second|seconds|ms|day|days|week|weeks|month|months|year|years|mph|kmh|kph|w|kw|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb|j|kj|cal|kcal|n|pa|kpa|usd|eur|gbp|dollar|dollars|euro|euros|cent|cents|percent|degrees"
 #: Periods that are left of words that repeat.
 REPEATS = 16
+REPETITION = rf"(?<!\S)((?:\S++\s++){{1,4}}?)\1{{{REPEATS - 1},}}+"
 #: At most so many benchmark windows, of about 200 bytes, are broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def template(text: Column) -> tuple[Column, Column]:
-    """(template words, values) of a text, each joined by single spaces and equally many."""
+def template(text: Column, cut: bool = True) -> tuple[Column, Column]:
+    """(template words, values) of a text, each joined by single spaces and equally many; `cut`: repetitions are cut to REPEATS periods."""
     clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
-    clean = F.regexp_replace(clean, rf"(?<!\S)((?:\S++\s++){{1,4}}?)\1{{{REPEATS - 1},}}+", "$1" * REPEATS)
+    clean = F.regexp_replace(clean, REPETITION, "$1" * REPEATS) if cut else clean
     # Each pattern starts with what is rare, and looks behind only from there.
     typed = F.regexp_replace(clean, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+", NAME)
     typed = F.regexp_replace(typed, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*", NUMBER)
@@ -83,14 +84,14 @@ def _placed(seed: int) -> Column:
     return F.flatten(F.transform(rows, told))
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, seed: int, slots: bool = False) -> DataFrame:
+def windows(df: DataFrame, id_col: str, text_col: str, seed: int, slots: bool = False, cut: bool = True) -> DataFrame:
     """(id, text_hash, words, typed, plain, placed, values, at, h): a row for each run of `seed` template words, in each template it differs in.
 
     A text of fewer words is one run. `plain` is the template with names as lower-case words, `placed` that of rows (null without any);
     with `slots`, the places of placeholders, null if there is nothing else.
     """
     src = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    typed, values = template(F.col("text"))
+    typed, values = template(F.col("text"), cut)
     src = _bound(src, "s", F.xxhash64("text").alias("text_hash"), typed.alias("typed"), values.alias("values")).select("id", "s.*").where("typed <> ''")
     row = F.col("typed").rlike(rf"[{SLOT}](?: [{SLOT}]+){{{seed - 1}}}") | (F.length("typed") < 40)
     placed = F.when(row & (F.col("typed").contains(" ")), _placed(seed))
@@ -134,25 +135,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, item_col, n_windows, n_matched, coverage, word_coverage, kind): the best match of each document and item."""
     seed = (window + 1) // 2
     sizes = windows(benchmark, item_col, item_text_col, seed).where("at = 0").select(F.least("words", F.lit(seed)).alias("n")).distinct()
+    # Only items that repeat so long need documents cut like them: against others, a repetition matches wherever it is as long as the item's.
+    cut = not benchmark.where(F.coalesce(col(item_text_col).cast("string"), F.lit("")).rlike(REPETITION)).isEmpty()
     found = None
     # Items of half a window and more, and those of each shorter length that there is.
     for n in sorted((r["n"] for r in sizes.collect()), reverse=True):
-        part = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window if n == seed else n, n, n == seed, coverage, word_coverage)
+        part = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window if n == seed else n, n, n == seed, cut, coverage, word_coverage)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window, seed, True, coverage, word_coverage)
+        found = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window, seed, True, cut, coverage, word_coverage)
     best = found.groupBy("id", "item", "n_windows").agg(F.max(F.struct("n_matched", "exact", (F.col("n_words") / F.col("item_words")).alias("words"))).alias("best"))
     kind = F.when(F.col("best.exact"), "exact").otherwise("reparameterised")
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("long").alias("n_windows"), F.col("best.n_matched").cast("long").alias("n_matched"), F.round(F.col("best.n_matched") / F.col("n_windows"), 6).alias("coverage"), F.round("best.words", 6).alias("word_coverage"), kind.alias("kind"))
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, seed: int, longer: bool, coverage: float, word_coverage: float) -> DataFrame:
+def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, seed: int, longer: bool, cut: bool, coverage: float, word_coverage: float) -> DataFrame:
     """Matches (id, text_hash, item, item_hash, item_words, n_windows, n_matched, n_words, exact) of items of `seed` words, or, `longer`, of more too."""
     # A row of each template; where they have the same words, one stays.
     items = _runs(windows(benchmark, item_col, item_text_col, seed, slots=True).where(F.col("words") >= seed if longer else F.col("words") == seed).drop("h"), seed)
     items = items.select("*", F.explode(F.array_compact(F.array("typed_run", "plain_run", "placed_run"))).alias("item_run"))
     items = items.select(F.col("id").alias("item"), F.col("text_hash").alias("item_hash"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"), F.col("at").alias("item_at"), "item_run", F.col("value_run").alias("item_values"), F.xxhash64(*(F.get("item_run", F.lit(i)) for i in range(seed))).alias("h")).distinct()
-    found = windows(docs, id_col, text_col, seed)
+    found = windows(docs, id_col, text_col, seed, cut=cut)
     if items.count() <= BROADCAST_ROWS:
         found = _runs(found.join(F.broadcast(items), "h"), seed)
     else:
