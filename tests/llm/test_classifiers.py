@@ -196,3 +196,10 @@ def test_language_against_plain_distances(spark):
         far = {k: sum(abs(v.index(g) - i) if g in v else 60 for i, g in enumerate(own)) for k, v in learned.items()}
         assert r.lang_pred == (min(sorted(far), key=far.get) if own else "und"), tests[r.doc_id]
     assert found[-2].lang_pred == "c" and found[-1].lang_pred == "und"
+
+
+def test_letters_of_all_planes_are_letters():
+    from fotolake.llm.quality import measures
+
+    near, far, digit = measures(["\u4e00" * 20]), measures(["\U00020000" * 20]), measures(["\U0001d7d8" * 20])
+    assert (near[0] == far[0]).all() and near[0][1] == 1 and digit[0][3] == 1

@@ -20,6 +20,7 @@ CASES = {
     "<p style='visibility:hidden'>a<b style='visibility:visible'>b</b></p>": "b",
     "<details><summary>s</summary>gone</details><details open><summary>s</summary>here</details>": "s\ns\nhere",
     "a<br>b<br><br>c": "a\nb\n\nc",
+    "<form>a <input type=submit value=Go> <input value=typed><input type=BUTTON value='x &amp; y' hidden><input type=reset value=No></form>": "a Go No",
     "<ul><li>a<li>b<ol start=3><li>c<li>d</ol><li>e</ul>f": "- a\n- b\n  3. c\n  4. d\n- e\n\nf",
     "<pre>\na\n  b\n\nc</pre>": "a\n  b\n\nc",
     "<table><tr><th>n<th>value<tr><td>long name<td>1</table>": "n         | value\nlong name | 1",

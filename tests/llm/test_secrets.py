@@ -106,3 +106,23 @@ def test_serial_correlation_takes_part():
     assert secrets.letters("qxjzwvkbfypgaeiouyaeiou")[0] > 0
     words, lumps = "xaqezijowuvakebif", "xqzjwvkbfaeiouaei"
     assert secrets.letters(words)[0] > 10 * secrets.letters(lumps)[0]
+
+
+def test_thousands_of_spans_in_one_text():
+    """Tokens and fixed patterns are swept together, so time follows their number."""
+    import random
+    import time
+
+    from fotolake.llm.secrets import spans
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = []
+    for _ in range(10_000):
+        parts += ["%032x" % rng.getrandbits(128), "word", "".join(rng.choices(letters, k=24))]
+    text = " ".join(parts)
+    start = time.process_time()
+    found = spans(text)
+    assert time.process_time() - start < 20
+    assert sum(k == 2 for _, k, _ in found) == 10_000 and sum(k == 3 for _, k, _ in found) > 9_000
+    assert all(a[2] <= b[0] for a, b in zip(found, found[1:]))
