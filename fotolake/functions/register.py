@@ -26,13 +26,13 @@ SQL = {
 def register(spark: SparkSession) -> list[str]:
     """Registers the functions, SQL ones and Arrow-batched ones, and returns their names."""
     from fotolake.functions.settings import json_changes, json_patch
-    from fotolake.sources.lua import to_json
+    from fotolake.sources.files import lua_json
     from fotolake.sources.migration import compose_hangul
 
     for head, body in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udf.register("json_patch", json_patch)
     spark.udf.register("json_changes", json_changes)
-    spark.udf.register("lua_to_json", to_json, "string")
+    spark.udf.register("lua_to_json", lua_json)
     spark.udf.register("compose_hangul", compose_hangul)
     return [h.split("(")[0] for h in SQL] + ["json_patch", "json_changes", "lua_to_json", "compose_hangul"]

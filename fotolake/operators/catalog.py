@@ -149,7 +149,7 @@ def known_paths(photos: DataFrame) -> DataFrame:
     return photos.where("master is null").select(F.lower("path").alias("path")).distinct()
 
 
-def hierarchy(spark, nodes: DataFrame, most: int = 10_000) -> DataFrame:
+def hierarchy(spark, nodes: DataFrame, most: int = 10_000, joiner: str = "/") -> DataFrame:
     """(id, name, path, depth) of nodes (id, name, parent), by a join for each level below the roots.
 
     Levels are checkpointed, so plans do not grow. It raises beyond `most` levels; nodes that no root reaches are left out.
@@ -160,6 +160,6 @@ def hierarchy(spark, nodes: DataFrame, most: int = 10_000) -> DataFrame:
         if len(levels) > most:
             raise ValueError(f"hierarchy: more than {most} levels")
         above = level.select(F.col("id").alias("parent"), F.col("path").alias("__above"), (F.col("depth") + 1).alias("depth"))
-        level = settled(nodes.join(above, "parent").select("id", "name", F.concat("__above", F.lit("/"), "name").alias("path"), "depth"))
+        level = settled(nodes.join(above, "parent").select("id", "name", F.concat("__above", F.lit(joiner), "name").alias("path"), "depth"))
         levels.append(level)
     return functools.reduce(DataFrame.unionByName, levels)

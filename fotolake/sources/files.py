@@ -1,7 +1,8 @@
 """Folders as tables: photo files with what their heads say, and preset files with a status row each.
 
 Listings never read contents: Spark's file source is asked for paths, lengths and times only. Where contents are read, their first bytes go
-to Python in Arrow batches, and a file that cannot be read is a row with an error, not the end of a job.
+to Python in Arrow batches, and a file that cannot be read is a row with an error, not the end of a job. Files of no bytes are not listed, as
+Spark's source has it.
 """
 
 from __future__ import annotations

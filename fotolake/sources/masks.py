@@ -108,7 +108,8 @@ def masks(packets: DataFrame, id_col: str = "photo", packet_col: str = "xmp") ->
     text = F.trim(F.regexp_replace(packet_col, r"(?s)<\?.*?\?>", ""))
     root = F.from_xml(text, F.lit(PACKET), {"attributePrefix": "_", "ignoreNamespace": "true", "mode": "PERMISSIVE"})["RDF"]["Description"]
     first = F.get(root, F.lit(0))
-    entries = F.concat(*(F.coalesce(F.transform(first[name]["Seq"]["li"], lambda x, name=name: F.struct(F.lit(name).alias("list"), x.alias("x"))), F.array()) for name in LISTS))
+    tagged = lambda name: F.transform(first[name]["Seq"]["li"], lambda x: F.struct(F.lit(name).alias("list"), x.alias("x")))
+    entries = F.concat(*(F.coalesce(tagged(name), F.array()) for name in LISTS))
     df = packets.select(F.col(id_col).alias("photo"), F.posexplode(entries).alias("mask", "e")).select("photo", "mask", "e.list", F.col("e.x").alias("x"))
     x = F.col("x")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fotolake.functions.text import exif_steps, history_name, orientation_steps, xmp_title
-from fotolake.operators.catalog import keep_newest
+from fotolake.operators.catalog import hierarchy, keep_newest
 from fotolake.sources.files import lua_json
 from fotolake.sources.lua import LABEL_WORDS, smart_rules
 from fotolake.sources.sqlite import opened, read, tables
@@ -47,6 +47,12 @@ def compose_hangul(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else JAMO.sub(lambda m: unicodedata.normalize("NFC", m[0]), v))
 
 
+@F.pandas_udf(StringType())
+def _rules(sources: pd.Series) -> pd.Series:
+    """Rules of smart collections as text, in Arrow batches."""
+    return sources.map(lambda text: repr(smart_rules(text)) if isinstance(text, str) else None)
+
+
 def composed(s: Column) -> Column:
     """Decomposed Hangul composed, everything else as it is."""
     return compose_hangul(s)
@@ -115,14 +121,14 @@ def read_catalogue(spark: SparkSession, path: str) -> Foreign:
         out.snapshots = s.where("text is not null").select(F.col("image").alias("id"), name.alias("name"), lua("text").alias("settings"))
     if (c := some("AgLibraryCollection")) is not None:
         nodes = c.select(F.col("id_local").alias("id"), "name", "parent", "creationId")
-        sql = """WITH RECURSIVE t(id, at, path, depth) AS (SELECT id, parent, CAST('' AS STRING), 0 FROM {nodes}
-          UNION ALL SELECT t.id, n.parent, CASE WHEN t.path = '' THEN n.name ELSE concat(n.name, ' / ', t.path) END, t.depth + 1 FROM t JOIN {nodes} n ON n.id = t.at WHERE t.depth < 33)
-          SELECT id, max_by(path, depth) AS group FROM t GROUP BY id"""
-        out.collections = nodes.join(spark.sql(sql, nodes=nodes), "id").select("id", "name", "group", "creationId")
+        paths = hierarchy(spark, nodes.select("id", "name", "parent"), joiner=" / ")
+        above = F.when(F.col("depth") > 1, F.substr("path", F.lit(1), F.length("path") - F.length("name") - 3)).otherwise("")
+        paths = paths.select("id", above.alias("group"))
+        out.collections = nodes.join(paths, "id", "left").select("id", "name", F.coalesce("group", F.lit("")).alias("group"), "creationId")
         if (m := some("AgLibraryCollectionImage")) is not None:
             out.members = m.select(F.col("collection").alias("collection_id"), F.col("image").alias("photo_id"))
         if (t := some("AgLibraryCollectionContent")) is not None:
-            rules = F.udf(lambda text: None if text is None else repr(smart_rules(text)), "string")
+            rules = _rules
             out.collections = out.collections.join(t.where("owningModule is not null").select(F.col("collection").alias("id"), rules("content").alias("rules")), "id", "left")
     if (t := some("AgLibraryFolderStackImage")) is not None:
         w = Window.partitionBy("stack").orderBy("position", "image")
