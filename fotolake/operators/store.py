@@ -323,3 +323,46 @@ def overridden(own: DataFrame, bundled: DataFrame, name: str = "file") -> DataFr
 def sizes_by_import(photos: DataFrame) -> DataFrame:
     """(import_id, photos, bytes) of each import, of originals."""
     return photos.where("master is null").groupBy("import_id").agg(F.count("*").alias("photos"), F.sum("file_size").alias("bytes"))
+
+
+def add_snapshot(table: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Snapshots with new ones (photo_id, name, settings), numbered in that order."""
+    return inserted(table, new.withColumn("ts", F.lit(now).cast(table.schema["ts"].dataType)), "photo_id", "name", "settings")
+
+
+def delete_snapshots(table: DataFrame, ids: DataFrame) -> DataFrame:
+    return without(table, ids.select("id"), "id")
+
+
+def save_presets(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Presets with new ones (grp, name, settings and groups as JSON), whether their names are there or not."""
+    data = F.concat(F.lit('{"settings":'), "settings", F.lit(',"groups":'), "groups", F.lit("}"))
+    return inserted(table, new.select("grp", "name", data.alias("data")), "grp", "name", "data")
+
+
+def delete_presets(table: DataFrame, ids: DataFrame) -> DataFrame:
+    return without(table, ids.select("id"), "id")
+
+
+def delete_preset_group(table: DataFrame, groups: DataFrame) -> DataFrame:
+    return without(table, groups.select("grp"), "grp")
+
+
+def face_thumbs(faces: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, thumb) of faces that have one."""
+    return faces.join(ids.select("id").distinct(), "id", "left_semi").where("thumb is not null and length(thumb) > 0").select("id", "thumb")
+
+
+def select_all(view: DataFrame) -> DataFrame:
+    """The selection (id, seq) of all photos in a ranked view (id, rank), in its order."""
+    return view.select("id", F.col("rank").cast("long").alias("seq"))
+
+
+def folder_sizes(spark, folders: dict[str, str]) -> DataFrame:
+    """(folder, files, bytes) of each named folder and all below it, from listings alone."""
+    out = None
+    for name, path in folders.items():
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        part = listed.select(F.lit(name).alias("folder"), "files", "bytes")
+        out = part if out is None else out.unionByName(part)
+    return out

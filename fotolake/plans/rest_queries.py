@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fotolake.functions import settings, text
-from fotolake.operators import people, planning, stats, store
+from fotolake.functions.session import new_path
+from fotolake.operators import export, people, planning, sidecars, stats, store
 from fotolake.plans.queries import query
 from fotolake.plans.shapes import table
-from fotolake.sources import masks, migration, xmp
+from fotolake.sources import masks, migration, presets, xmp
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('$$$/a/b=', p_name) WHEN 1 THEN concat(p_name, '=x') ELSE '$$$no' END AS raw,
@@ -146,3 +147,59 @@ def mask_subjects_read(spark, sf):
     packet = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/"><crs:MaskGroupBasedCorrections><rdf:Seq><rdf:li><rdf:Description crs:CorrectionName="m"><crs:CorrectionMasks><rdf:Seq><rdf:li crs:What="Mask/Image" '), kind, F.lit("/>"), other, F.lit("</rdf:Seq></crs:CorrectionMasks></rdf:Description></rdf:li></rdf:Seq></crs:MaskGroupBasedCorrections></rdf:Description></rdf:RDF></x:xmpmeta>"))
     found = masks.masks(table(spark, sf, "part").select(k.alias("photo"), packet.alias("xmp")))
     return found.select("photo", F.get("components", F.lit(0))["shape"]["subject"].alias("subject"), F.col("left").alias("left_out"))
+
+
+SIDES = "SELECT c_custkey AS id, concat('d', CAST(c_custkey % 7 AS STRING), '/', c_name, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.cr3' ELSE '.a.jpg' END) AS path, CASE WHEN c_custkey % 5 = 0 THEN c_custkey - 1 END AS master, CAST(c_custkey % 6 AS INT) AS rating, c_custkey % 90 AS e FROM customer"
+
+
+def _sides(spark, sf):
+    return spark.sql(SIDES.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer"))
+
+
+@query(f"""WITH s AS ({SIDES}) SELECT id, CAST(CASE WHEN id % 4 > 0 THEN e END AS DOUBLE) AS exposure, rating FROM s WHERE master IS NULL""")
+def sidecars_saved_and_loaded(spark, sf):
+    """Sidecars of originals written as files and read back: settings where they say any, ratings always."""
+    root = new_path(spark, "sidecars")
+    photos = _sides(spark, sf)
+    m = F.create_map(F.lit("Exposure2012"), F.when(F.col("id") % 4 > 0, F.col("e").cast("string")))
+    made = photos.withColumns({"m": m, "title": F.lit(""), "caption": F.lit(""), "keywords": F.array(F.lit("k"))}).withColumn("settings", presets.settings(F.col("m")))
+    sidecars.save(made, xmp.packet(), root, new_path(spark, "status"))
+    return sidecars.load(photos, root).select("id", "settings.exposure", "rating")
+
+
+@query(f"""WITH s AS ({SIDES}) SELECT 'a' AS folder, count(*) AS files, CAST(sum(length(path)) AS BIGINT) AS bytes FROM s UNION ALL SELECT 'b', count(*), CAST(sum(length(path)) AS BIGINT) FROM s WHERE id % 7 = 3""")
+def folders_measured(spark, sf):
+    """Files and bytes of a folder, and of one inside it."""
+    root = new_path(spark, "sizes")
+    export.export(_sides(spark, sf).select("id", F.col("path").alias("dest"), F.col("path").alias("content")), root, new_path(spark, "status"))
+    return store.folder_sizes(spark, {"a": root, "b": f"{root}/d3"})
+
+
+PRESETS = "SELECT CAST(p_partkey AS BIGINT) AS id, p_brand AS grp, p_name AS name, '{}' AS data FROM part"
+
+
+@query(f"""WITH t AS ({PRESETS}), g AS (SELECT min(grp) AS grp FROM t), k AS (SELECT * FROM t WHERE id % 10 <> 0 AND grp <> (SELECT grp FROM g)),
+n AS (SELECT c_mktsegment AS grp, c_name AS name, concat('{{"settings":{{"a":', c_custkey, '}},"groups":{{}}}}') AS data FROM customer)
+SELECT * FROM k UNION ALL SELECT (SELECT max(id) FROM k) + row_number() OVER (ORDER BY grp, name, data), grp, name, data FROM n""")
+def presets_saved_and_deleted(spark, sf):
+    """Presets deleted by id and by group, and new ones saved after them."""
+    t = spark.sql(PRESETS.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    first = t.agg(F.min("grp").alias("grp"))
+    t = store.delete_preset_group(store.delete_presets(t, t.where("id % 10 = 0")), first)
+    new = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_name").alias("name"), F.concat(F.lit('{"a":'), F.col("c_custkey").cast("string"), F.lit("}")).alias("settings"), F.lit("{}").alias("groups"))
+    return store.save_presets(t, new)
+
+
+@query("""WITH t AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey AS BIGINT) AS photo_id, 'old' AS name, '{}' AS settings, CAST(1 AS BIGINT) AS ts FROM orders WHERE o_orderkey % 3 > 0)
+SELECT * FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY c_custkey), CAST(c_custkey AS BIGINT), c_name, '{"x":1}', 9 FROM customer""")
+def snapshots_added_and_deleted(spark, sf):
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("photo_id"), F.lit("old").alias("name"), F.lit("{}").alias("settings"), F.lit(1).cast("long").alias("ts"))
+    t = store.delete_snapshots(t, t.where("id % 3 = 0"))
+    return store.add_snapshot(t, table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("photo_id"), F.col("c_name").alias("name"), F.lit('{"x":1}').alias("settings")), 9)
+
+
+@query("SELECT vec_id AS id, CAST(vec_id AS VARCHAR) AS thumb FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 3 > 0")
+def face_thumbs_looked_up(spark, sf):
+    e = table(spark, sf, "embeddings")
+    faces = e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 > 0, F.col("vec_id").cast("string").cast("binary")).alias("thumb"))
+    return store.face_thumbs(faces, faces.where("id % 4 = 0")).select("id", F.col("thumb").cast("string").alias("thumb"))
