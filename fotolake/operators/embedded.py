@@ -56,13 +56,11 @@ def sony(tags: DataFrame) -> DataFrame:
     )
 
 
-def inverted(knots: Column, values: Column, r: Column, b: Column, n: int = RESAMPLED) -> Column:
-    """Tables over source radii as tables over output radii: struct(kd, r, g, b) at n even source radii; `values` must not fold."""
-    reach = F.greatest(F.element_at(knots, -1), F.lit(1.0))
-    at = F.transform(_range(n), lambda i: reach * i / (n - 1))
-    g = F.transform(at, lambda x: interp(x, knots, values))
-    side = lambda v: F.zip_with(at, g, lambda x, m: m * (interp(x, knots, v) + 1))
-    return F.struct(F.zip_with(at, g, lambda x, m: x / m).alias("kd"), side(r).alias("r"), g.alias("g"), side(b).alias("b"))
+def inverted(at: str, ratio: str, knots: Column, r: Column, b: Column) -> tuple[Column, Column, Column]:
+    """(kd, r, b) over output radii of tables over source radii: `at` are source radii and `ratio` their ratios to output radii, which must
+    not fold; `r` and `b` are offsets at `knots`."""
+    side = lambda v: F.zip_with(at, ratio, lambda x, m: m * (interp(x, knots, v) + 1))
+    return F.zip_with(at, ratio, lambda x, m: x / m), side(r), side(b)
 
 
 def fuji(tags: DataFrame) -> DataFrame:
@@ -82,9 +80,12 @@ def fuji(tags: DataFrame) -> DataFrame:
     led = lambda a, first: F.when(_at("k", 0) > 0, F.concat(F.array(F.lit(first)), a)).otherwise(a)
     k, m = led(F.col("k"), 0.0), led(F.transform("dist", lambda x: x / 100 + 1), 1.0)
     t = t.withColumns({"kv": k, "m": m, "r0": led(F.col("cr"), 0.0), "b0": led(F.col("cb"), 0.0), "vig": led(F.transform("light", lambda x: F.greatest(x / 100, F.lit(DARKEST))), 1.0)})
-    t = t.withColumn("o", inverted(F.col("kv"), F.col("m"), F.col("r0"), F.col("b0")))
+    # Each array is a column of its own, so that none is computed more than once.
+    t = t.withColumn("at", F.transform(_range(RESAMPLED), lambda i: F.greatest(F.element_at("kv", -1), F.lit(1.0)) * i / (RESAMPLED - 1)))
+    t = t.withColumn("g", F.transform("at", lambda x: interp(x, F.col("kv"), F.col("m"))))
+    kd, r, b = inverted("at", "g", F.col("kv"), F.col("r0"), F.col("b0"))
     dark = F.exists("light", lambda x: (x != 100) & (x != 0))
-    return t.select("photo", F.lit("Fujifilm").alias("maker"), "o.kd", "o.r", "o.g", "o.b", "kv", "vig", _any(F.col("dist")).alias("has_dist"), (_any(F.col("cr")) | _any(F.col("cb"))).alias("has_ca"), dark.alias("has_vig"))
+    return t.select("photo", F.lit("Fujifilm").alias("maker"), kd.alias("kd"), r.alias("r"), "g", b.alias("b"), "kv", "vig", _any(F.col("dist")).alias("has_dist"), (_any(F.col("cr")) | _any(F.col("cb"))).alias("has_ca"), dark.alias("has_vig"))
 
 
 def sampled(t: DataFrame, maker: str, g, r=None, b=None, vig=None, dist: Column | bool = True, ca: Column | bool = False, has_vig: Column | None = None) -> DataFrame:

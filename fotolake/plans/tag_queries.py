@@ -43,8 +43,8 @@ def _file(root: list[tuple[int, int, list[Column]]], pointer: int | None = None,
     return F.unhex(F.concat(head, first, _directory(sub, end)[0]))
 
 
-def _orders(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("photo"), F.col("o_custkey").cast("long").alias("c"))
+def _files_of(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("photo"), (F.col("c_custkey") * 7 + F.col("c_nationkey") * 31).cast("long").alias("c"))
 
 
 KNOTS = 11
@@ -56,10 +56,10 @@ def _sony(spark, sf):
     value = lambda i: (c * (i + 1)) % 2001 - 1000
     ca = [F.when(c % 5 == 0, 20).otherwise(22), *(value(i) * 3 for i in range(2 * KNOTS))]
     sub = [(0x7032, 8, [F.lit(7), *((c * (i + 2)) % 3000 for i in range(7))]), (0x7035, 8, ca), (0x7037, 8, [F.lit(KNOTS), *map(value, range(KNOTS))])]
-    return _orders(spark, sf).select("photo", F.lit("arw").alias("ext"), _file([], 0x14A, sub).alias("content"))
+    return _files_of(spark, sf).select("photo", F.lit("arw").alias("ext"), _file([], 0x14A, sub).alias("content"))
 
 
-O = "o AS (SELECT o_orderkey AS photo, CAST(o_custkey AS BIGINT) AS c FROM orders)"
+O = "o AS (SELECT c_custkey AS photo, CAST(c_custkey * 7 + c_nationkey * 31 AS BIGINT) AS c FROM customer)"
 
 
 @query(f"""WITH {O}, n AS (SELECT unnest(range(22)) AS i) SELECT photo, i, tag, value FROM (
@@ -90,7 +90,7 @@ def corrections_inverted(spark, sf):
     zero = F.lit(0)
     v = [zero, zero, zero, zero, c % 3001 - 1500, c % 2000, zero, F.lit(1), c % 4000, zero, zero, c % 501, zero, zero, zero, zero]
     bytes_ = [x for y in v for x in (F.floor(F.pmod(y, F.lit(65536)) / 256), F.pmod(y, F.lit(256)))]
-    files = _orders(spark, sf).select("photo", F.lit("rw2").alias("ext"), _file([(0x0119, 7, bytes_)]).alias("content"))
+    files = _files_of(spark, sf).select("photo", F.lit("rw2").alias("ext"), _file([(0x0119, 7, bytes_)]).alias("content"))
     found = embedded.corrections(tags.tag_rows(files))
     return found.select("photo", F.posexplode("g").alias("i", "g")).where("i > 0").select("photo", "i", F.round("g", 9).alias("g"))
 
@@ -118,7 +118,7 @@ def corrections_resampled(spark, sf):
         data.append(F.concat(*(_hex(x, 4) for x in pairs(values))))
         place += 8 * len(values)
     content = F.unhex(F.concat(F.lit("46554A49" + "00" * 96 + f"{first:08X}" + "00" * 8 + "4D4D002A00000008"), root, *heads, F.lit("00000000"), *data))
-    files = _orders(spark, sf).select("photo", F.lit("raf").alias("ext"), content.alias("content"))
+    files = _files_of(spark, sf).select("photo", F.lit("raf").alias("ext"), content.alias("content"))
     found = embedded.fuji(tags.tag_rows(files))
     rows = found.select("photo", F.posexplode("kd").alias("i", "kd"), "g", "r")
     return rows.select("photo", "i", F.round("kd", 9).alias("kd"), *(F.round(F.get(x, F.col("i")), 9).alias(x) for x in ("g", "r")))
@@ -134,7 +134,7 @@ def aspects_of_cameras(spark, sf):
     note_at = exif_at + 2 + 12 + 4
     exif = F.concat(F.lit(f"0001927C0007{64:08X}{note_at:08X}00000000"))
     canon = F.unhex(F.concat(F.lit(f"4D4D002A00000008000187690004{1:08X}{exif_at:08X}00000000"), exif, _directory([(0x9A, 4, [c % 2, F.lit(16), F.lit(9)])], note_at)[0]))
-    files = _orders(spark, sf).select("photo", F.when(c % 3 == 0, "arw").when(c % 3 == 1, "rw2").otherwise("cr2").alias("ext"), F.when(c % 3 == 0, sony).when(c % 3 == 1, pana).otherwise(canon).alias("content"))
+    files = _files_of(spark, sf).select("photo", F.when(c % 3 == 0, "arw").when(c % 3 == 1, "rw2").otherwise("cr2").alias("ext"), F.when(c % 3 == 0, sony).when(c % 3 == 1, pana).otherwise(canon).alias("content"))
     return embedded.aspects(tags.tag_rows(files))
 
 
