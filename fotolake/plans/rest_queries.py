@@ -106,13 +106,14 @@ def face_groups_applied(spark, sf):
     return out.select(F.lit("face").alias("kind"), F.col("face_id").alias("id"), F.col("person").cast("long").alias("person")).unionByName(left.select(F.lit("person").alias("kind"), "id", F.lit(None).cast("long").alias("person")))
 
 
-@query("""WITH d AS (SELECT CAST(l_orderkey AS BIGINT) AS photo_id, CAST(l_linenumber AS BIGINT) AS det_id, CAST(floor((l_linenumber - 1) / 2.0) * 100 AS DOUBLE) AS x, CAST(l_linenumber % 2 * (1 + l_orderkey % 3 * 4) AS DOUBLE) AS y, CAST((l_linenumber * 7 + l_orderkey) % 11 AS DOUBLE) AS score FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
-p AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY photo_id, x ORDER BY score DESC, det_id) AS place FROM d WINDOW w AS (PARTITION BY photo_id, x))
-SELECT photo_id, det_id FROM p WHERE place = 1 OR photo_id % 3 > 0""")
+@query("""WITH d AS (SELECT CAST(floor(l_orderkey / 16.0) AS BIGINT) AS photo_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS det_id, (l_orderkey % 16) * 1000 + floor((l_linenumber - 1) / 2.0) * 100 AS x, l_orderkey % 3 AS apart, CAST((l_linenumber * 7 + l_orderkey) % 11 AS DOUBLE) AS score
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), p AS (SELECT *, row_number() OVER (PARTITION BY photo_id, x ORDER BY score DESC, det_id) AS place FROM d)
+SELECT photo_id, det_id FROM p WHERE place = 1 OR apart > 0""")
 def boxes_suppressed(spark, sf):
     """Of boxes that overlap the best stays: pairs of boxes of 10 by 10 that lie 1, 5 or 9 apart, with overlaps of 0.82, 0.33 and 0.05; the most allowed is 0.4."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    boxes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct().select(k.cast("long").alias("photo_id"), n.cast("long").alias("det_id"), (F.floor((n - 1) / 2) * 100).cast("double").alias("x"), (n % 2 * (1 + k % 3 * 4)).cast("double").alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), ((n * 7 + k) % 11).cast("double").alias("score"))
+    boxes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    boxes = boxes.select(F.floor(k / 16).alias("photo_id"), (k * 10 + n).cast("long").alias("det_id"), ((k % 16) * 1000 + F.floor((n - 1) / 2) * 100).cast("double").alias("x"), (n % 2 * (1 + k % 3 * 4)).cast("double").alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), ((n * 7 + k) % 11).cast("double").alias("score"))
     return people.suppress(boxes, 0.4).select("photo_id", "det_id")
 
 
