@@ -4,13 +4,13 @@ Confirmed toxic texts are the positives, at most `most_positive` labelled ids ou
 the id; all texts outside that fold, whatever they are, are the unlabelled. The class prior is the toxic
 share of the labelled ids there. A text's features are the distinct words it holds; the vocabulary is the at most
 `size` words whose document frequencies differ most between positives and unlabelled, by APART deviations at least. Candidates
-are the words of two or more positives; their frequencies are counted over all unlabelled texts.
+are the words of two or more positives, the `most_words` most frequent of them; their frequencies are counted over all unlabelled texts.
 
-A linear model is
-trained in numpy by the logistic loss under the non-negative risk: prior * positive risk + max(0, unlabelled negative risk
-- prior * positives' negative risk); where the bracket is negative, the step goes against it. It starts from a fit to about
-`start` unlabelled texts, drawn by a hash of id and text, and then takes PASSES steps whose risk and gradient are summed over all
-unlabelled texts on the executors; only sums of `size` numbers come to the driver. Its sigmoid is the score.
+A linear model is trained in numpy by the logistic loss under the non-negative risk: prior * positive risk + max(0, unlabelled
+negative risk - prior * positives' negative risk); where the bracket is negative, the step goes against it. Each of PASSES steps sees all
+unlabelled texts, at every size of the table alike: their sums are taken on the executors over distinct sets of features with
+their numbers of texts, and only sums of `size` numbers come to the driver. The steps are few on purpose: the logistic loss has no
+bound, and steps until the risk no longer falls fit the positives alone (see the README for figures). The model's sigmoid is the score.
 
 Nulls and ties: a null text counts as empty and scores as a text without known words; rows repeat as they come, and of
 labelled rows that share an id the least text is taken. Very long texts are read whole, columns other than those named are
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from fotolake.llm.common import col, fold, labelled_sample, sigmoid, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
-STEPS, PASSES, RATE, DECAY, SLACK, AGAINST = 300, 12, 0.05, 1e-4, 0.0, 1.0
+PASSES, RATE, DECAY, SLACK, AGAINST = 60, 0.25, 1e-4, 0.0, 1.0
 #: A word is taken only from so many deviations on, about 5 % of false ones among 10,000 words.
 APART = 4.5
 
@@ -67,19 +67,23 @@ def _vectors(batches: Iterable[pa.RecordBatch], vocabulary: dict[str, int]) -> I
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["drawn", "at"])
 
 
-def sums(lengths: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of log(1 + exp(f)) over texts of so many features each: its gradient by weights and bias, its sum, and the number of texts."""
+def sums(lengths: np.ndarray, at: np.ndarray, w: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Of log(1 + exp(f)) over texts of so many features each: its gradient by weights and bias, its sum, and the number of texts.
+
+    `times`: how many texts each row stands for, one if not given.
+    """
+    times = np.ones(len(lengths)) if times is None else times
     owner = np.repeat(np.arange(len(lengths)), lengths)
     f = np.bincount(owner, weights=w[at], minlength=len(lengths)) + w[-1]
-    s = sigmoid(f)
-    return np.concatenate([np.bincount(at, weights=s[owner], minlength=len(w) - 1), [s.sum(), np.logaddexp(0, f).sum(), len(lengths)]])
+    s = sigmoid(f) * times
+    return np.concatenate([np.bincount(at, weights=s[owner], minlength=len(w) - 1), [s.sum(), (np.logaddexp(0, f) * times).sum(), times.sum()]])
 
 
 def _sums(batches: Iterable[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(w) + 2)
     for batch in batches:
         lists = batch.column(0)
-        total += sums(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(np.int64), w)
+        total += sums(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(np.int64), w, batch.column(1).to_numpy().astype(float))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["i", "x"])
 
 
@@ -97,21 +101,21 @@ def risk_step(positive: np.ndarray, seen: np.ndarray, unlabelled: np.ndarray, w:
     return g
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior: float, over_all: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias under the non-negative risk, by Adam; `over_all`, if given, yields the unlabelled sums of the last PASSES steps."""
-    p, u = _flat(positive), _flat(unlabelled)
+def fit(positive: list[list[int]], over_all: Callable[[np.ndarray], np.ndarray], size: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias under the non-negative risk, by Adam; `over_all` yields the unlabelled `sums` of all texts."""
+    p = _flat(positive)
     seen = np.append(np.bincount(p[1], minlength=size), float(len(positive)))
     w = np.zeros(size + 1)
     w[-1] = math.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1 + (PASSES if over_all else 0)):
-        grad = risk_step(sums(*p, w), seen, sums(*u, w) if step <= STEPS else over_all(w), w, prior)
+    for step in range(1, PASSES + 1):
+        grad = risk_step(sums(*p, w), seen, over_all(w), w, prior)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_positive: int = 4000, start: int = 8000, size: int = 1000) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_positive: int = 4000, size: int = 1000, most_words: int = 200_000) -> tuple[dict[str, float], float]:
     """Words' weights, and the bias."""
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("double").alias("y")).where(fold(F.col("id"), parts) != held)
     share = known.agg(F.avg("y")).first()[0]
@@ -124,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col:
     if not n or not m:
         return {}, math.log(prior / (1 - prior))
     counted = lambda df, among: df.select(F.lit(0), "text").mapInArrow(functools.partial(_frequencies, among=among), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    in_positive = {r["word"]: r["n"] for r in counted(toxic, None).where("n >= 2").collect()}
+    in_positive = {r["word"]: r["n"] for r in counted(toxic, None).where("n >= 2").orderBy(F.desc("n"), "word").limit(most_words).collect()}
     in_all = {r["word"]: r["n"] for r in counted(src, frozenset(in_positive)).collect()}
     apart = {}
     for word, k in in_positive.items():
@@ -137,16 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, parts: int, held: int, label_col:
     at = {w: i for i, w in enumerate(vocabulary)}
     vectors = functools.partial(_vectors, vocabulary=at)
     positive = sorted(tuple(r["at"]) for r in toxic.mapInArrow(vectors, "drawn int, at array<int>").collect())
-    draw = F.pmod(F.xxhash64("id", "text", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0 < min(1.0, start / m)
-    unlabelled = written(src.select(F.when(draw, F.abs(F.hash("id", "text")) + 1).otherwise(0).alias("drawn"), "text").mapInArrow(vectors, "drawn int, at array<int>"), "toxicity")
-    # Rows alike are drawn alike, so each counts once: the draw stays near `start`.
-    drawn = sorted(tuple(r["at"]) for r in unlabelled.where("drawn > 0").distinct().collect())
+    # Texts alike have one row of few numbers, however many they are.
+    unlabelled = written(src.select(F.lit(0), "text").mapInArrow(vectors, "drawn int, at array<int>").groupBy("at").agg(F.count("*").alias("n")), "toxicity")
 
     def over_all(w: np.ndarray) -> np.ndarray:
-        total = unlabelled.select("at").mapInArrow(functools.partial(_sums, w=w), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        total = unlabelled.mapInArrow(functools.partial(_sums, w=w), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
         return np.array([r["x"] for r in total])
 
-    w, b = fit([list(x) for x in positive], [list(x) for x in drawn] or [[]], len(vocabulary), prior, over_all)
+    w, b = fit([list(x) for x in positive], over_all, len(vocabulary), prior)
     return dict(zip(vocabulary, w.tolist(), strict=True)), b
 
 

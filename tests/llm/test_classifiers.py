@@ -80,7 +80,7 @@ def test_non_negative_risk_prefers_positive_words():
     background = lambda: sorted(set(rng.integers(1, 30, 8).tolist()))
     positive = [[0, *background()] for _ in range(200)]
     unlabelled = [[0, *background()] if rng.random() < 0.1 else background() for _ in range(800)]
-    w, b = toxicity.fit(positive, unlabelled, 30, 0.1)
+    w, b = toxicity.fit(positive, lambda v: toxicity.sums(*toxicity._flat(unlabelled), v), 30, 0.1)
     assert w[0] + b > 0 > w[1:].max() + b
 
 
@@ -149,10 +149,23 @@ def test_risk_against_finite_differences():
 def test_unlabelled_sums_cover_all_rows(spark):
     docs = spark.createDataFrame([(i, ("vile words here " if i % 10 == 0 else "mild words there ") + f"filler{i % 7}") for i in range(900)] + [(5, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 400, 5)], "doc_id long, toxic int")
-    weights, bias = toxicity.train(docs, labels, 4, 2, start=50)
+    weights, bias = toxicity.train(docs, labels, 4, 2)
     found = {r.doc_id: r.score for r in toxicity.score(docs, weights, bias).collect()}
     assert min(found[i] for i in range(0, 900, 10)) > max(found[i] for i in range(1, 900) if i % 10)
     assert "vile" in weights and weights["vile"] > 0
+    # Every unlabelled text counts, and as often as it is there: the same by a plain trainer over the texts themselves.
+    rows = [(r.doc_id, r.text or "") for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    at = {x: i for i, x in enumerate(sorted(weights))}
+    features = lambda t: sorted(at[x] for x in toxicity.words(t) & at.keys())
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    share = np.mean([r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    known = {i: min(t for j, t in rows if j == i) for i, _ in rows if i in toxic}
+    flat = toxicity._flat([features(t) for _, t in rows])
+    w, b = toxicity.fit([features(t) for t in known.values()], lambda v: toxicity.sums(*flat, v), len(at), share)
+    assert np.allclose([weights[x] for x in sorted(at)], w, atol=1e-6) and abs(bias - b) < 1e-6
+    times = np.array([3.0, 1.0])
+    some = toxicity._flat([[0], [0, 1]])
+    assert np.allclose(toxicity.sums(*some, np.array([0.5, -1.0, 0.2]), times), toxicity.sums(*toxicity._flat([[0]] * 3 + [[0, 1]]), np.array([0.5, -1.0, 0.2])))
 
 
 def plain_grams(text, size):
