@@ -13,10 +13,11 @@ that a group of thousands of copies gives thousands of rows. The number of compa
 the distinct fingerprints, as the method has it; see the README for figures.
 
 With a `similarity`, fingerprints count each distinct shingle once, as that similarity does, and a bit set in just half the
-hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates: within each candidate component, cut by hash into blocks of
-bounded number and size, the
-texts' shingle sets are compared as incidence matrices, pair of blocks by pair of blocks, and pairs of that Jaccard
-similarity or more are the links. Texts of equal fingerprints count as equal.
+hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates. Each candidate component is
+cut by hash into blocks of bounded number and size, and the texts' shingle sets are compared as incidence matrices; pairs of that
+Jaccard similarity or more are the links. A component of several blocks is first compared within its blocks and with REPRESENTATIVES of its texts.
+What that links needs no more comparison, so then only the texts outside the largest linked part are compared, pair of blocks by pair
+of blocks, with all others: no pair of texts that are not linked yet is left out. Texts of equal fingerprints count as equal.
 
 Nulls and ties: a null text counts as empty, and its fingerprint is zero, linked like any other. A row with a null id
 takes part, but a component is named by its smallest non-null id (null if it has none). Repeated rows are all returned.
@@ -31,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,8 @@ BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 24, 1024, 1 << 19
 TILE = 512
 #: Texts and shingles of a candidate component in a block of exact comparison, on average, and columns of an incidence matrix at a time.
 TEXTS, SHINGLES, COLUMNS = 512, 500_000, 8192
+#: Texts of a candidate component of several blocks that all of its texts are compared with first.
+REPRESENTATIVES = 8
 #: At most so many candidates, of about 64 bytes, are broadcast to the texts; more are joined by shuffle.
 BROADCAST_CANDIDATES = 500_000
 
@@ -192,16 +195,16 @@ def _compare(pdf: pd.DataFrame, width: int, radius: int) -> pd.DataFrame:
 
 
 def _shingles(batches: Iterable[pa.RecordBatch], words: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, root, k, text, f0, ...) whose text has that fingerprint, with the sorted distinct hashes as bytes."""
-    names = ["node", "root", "k", "hashes"]
+    """Rows (node, root, k, rep, text, f0, ...) whose text has that fingerprint, with the sorted distinct hashes as bytes."""
+    names = ["node", "root", "k", "rep", "hashes"]
     for batch in batches:
-        for part in parts(batch, 3, rows=256):
+        for part in parts(batch, 4, rows=256):
             rows = []
-            for node, root, k, text, *f in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for node, root, k, rep, text, *f in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if fingerprint(text or "", words, width, distinct=True) == f:
-                    rows.append((node, root, k, np.unique(shingle_hashes(text or "", words)).tobytes()))
+                    rows.append((node, root, k, rep, np.unique(shingle_hashes(text or "", words)).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names)
 
 
 def _similar(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -230,18 +233,40 @@ def _similar(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": node[apart], "b": node[forest.root[apart]]})
 
 
+def _blocks(n: Column, size: Column) -> Column:
+    """Blocks of so many texts with so many shingles."""
+    return F.greatest(F.ceil(n / TEXTS), F.ceil(size / SHINGLES), F.lit(1)).cast("int")
+
+
 def _verified(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, found: DataFrame, words: int, width: int, similarity: float) -> DataFrame:
-    """Links of similar texts within candidate components (node, root)."""
+    """Links of similar texts within candidate components (node, root), enough of them to join all that are similar."""
     f = [f"f{k}" for k in range(width)]
-    found = found.join(reps, "node")
-    count = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("size") / SHINGLES), F.lit(1)).cast("int").alias("k"))
-    wanted = written(found.join(count, "root").where("first is not null").select(F.col("first").alias("id"), "node", "root", "k", *f), "simhash-candidates")
+    found = found.join(reps, "node").where("first is not null")
+    count = found.groupBy("root").agg(_blocks(F.count("*"), F.sum("size")).alias("k"))
+    wanted = written(found.join(count, "root").select(F.col("first").alias("id"), "node", "root", "k", "size", *f), "simhash-candidates")
+    several = wanted.where("k > 1")
+    first = several.groupBy("root", F.pmod(F.xxhash64("node", F.lit("first")), F.lit(REPRESENTATIVES))).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("rep"))
+    wanted = written(wanted.join(first, "node", "left").withColumn("rep", F.coalesce("rep", F.lit(False))), "simhash-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CANDIDATES else wanted
-    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(few, "id").select("node", "root", "k", "text", *f)
-    sets = rows.mapInArrow(functools.partial(_shingles, words=words, width=width), "node long, root long, k int, hashes binary")
-    sets = sets.withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    sets = sets.select("node", "root", "hashes", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"))
-    return sets.groupBy("root", "lo", "hi").applyInPandas(functools.partial(_similar, similarity=similarity), "a long, b long")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(few, "id").select("node", "root", "k", "rep", "text", *f)
+    sets = written(rows.mapInArrow(functools.partial(_shingles, words=words, width=width), "node long, root long, k int, rep boolean, hashes binary"), "simhash-sets")
+    similar = lambda pairs: pairs.select("root", "node", "hashes", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")).groupBy("root", "lo", "hi").applyInPandas(functools.partial(_similar, similarity=similarity), "a long, b long")
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    links = written(similar(sets.withColumn("b", F.explode(F.when(F.col("rep"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(own)))).withColumn("j", F.col("b"))), "simhash-links")
+    if several.isEmpty():
+        return links
+    # Parts of components of several blocks that are linked so far, and the largest of each.
+    linked_so_far = components(links.join(several.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("root", "part")
+    members = written(several.select("node", "root", "size").join(linked_so_far, "node", "left").withColumn("part", F.coalesce("part", "node")), "simhash-parts")
+    sizes = members.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = sizes.groupBy("root").agg(F.max(F.struct("n", "part", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("n") > F.col("most.n"))
+    most = most.select("root", F.col("most.part").alias("largest"), _blocks(F.col("most.n"), F.col("most.size")).alias("inner"), _blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("outer"))
+    # Blocks of the texts outside the largest part come first and meet all blocks; those of the part meet only them.
+    inside = F.col("part") == F.col("largest")
+    h = F.xxhash64("node")
+    at = members.join(most, "root").select("node", F.when(inside, F.col("outer") + F.pmod(h, F.col("inner"))).otherwise(F.pmod(h, F.col("outer"))).cast("int").alias("b"), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")).alias("to"))
+    rest = sets.select("root", "node", "hashes").join(at, "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("to") - 1)))
+    return links.unionByName(similar(rest))
 
 
 def blocks(sizes: dict[int, int], bits: int, radius: int) -> tuple[list[int], list[int], list[int], list[int]]:

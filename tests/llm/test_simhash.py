@@ -103,6 +103,42 @@ def test_blocks_of_one_group(spark, monkeypatch):
     assert {r.component_id for r in simhash_components(docs, width=4, radius=52, similarity=0.8).collect()} == {0}
 
 
+def test_parts_of_one_group(spark, monkeypatch):
+    """A candidate component of many blocks, of copies around one text, chains away from it and texts only nearly like them."""
+    import fotolake.llm.simhash as module
+
+    monkeypatch.setattr(module, "TEXTS", 4)
+    monkeypatch.setattr(module, "REPRESENTATIVES", 2)
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for _ in range(30):
+        copy = base[:]
+        copy[rng.randrange(160)] = f"e{rng.randrange(10**6)}"
+        texts.append(copy)
+    for chain in range(3):
+        at = base[:]
+        for step in range(12):
+            for k in range(3 if chain < 2 else 5):
+                at = at[:]
+                at[(chain * 50 + step * 12 + k * 5) % 160] = f"c{chain}-{step}-{k}"
+            texts.append(at)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_components(docs, width=4, radius=80, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(rows))] == root and 1 < len(set(root)) < len(rows)
+    monkeypatch.setattr(module, "TEXTS", 512)
+    assert got == {r.doc_id: r.component_id for r in simhash_components(docs, width=4, radius=80, similarity=0.8).collect()}
+
+
 def test_blocks_cover_the_radius():
     from fotolake.llm.simhash import blocks
 
