@@ -46,8 +46,8 @@ def toggled(selection: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def restored(saved: DataFrame, view: DataFrame, most: int = 5000) -> DataFrame:
-    """A saved selection (id, seq) without ids that are not in view, the first `most`."""
-    return saved.join(view.select("id"), "id", "left_semi").orderBy("seq").limit(most)
+    """A saved selection (id, seq) without ids that are not in view, the first `most` by place, then id."""
+    return saved.join(view.select("id"), "id", "left_semi").orderBy("seq", "id").limit(most)
 
 
 def stepped(view: DataFrame, current: DataFrame, delta: int) -> DataFrame:
