@@ -574,7 +574,7 @@ def lens_focals(spark, sf):
 @query("""WITH c AS (SELECT s_nationkey AS lens, s_suppkey, CAST(20 + s_suppkey % 60 AS DOUBLE) AS focal, CAST(2 + s_suppkey % 5 AS DOUBLE) AS aperture, CAST(1 + s_suppkey % 90 AS DOUBLE) AS distance, s_acctbal / 10000 AS k FROM supplier),
 q AS (SELECT c_custkey AS shot, c_nationkey AS lens, CAST(20 + c_custkey % 61 AS DOUBLE) AS focal, CAST(2 + c_custkey % 6 AS DOUBLE) AS aperture, 10.0::DOUBLE AS distance FROM customer),
 d AS (SELECT q.shot, c.s_suppkey, c.k, sqrt(pow((c.focal - q.focal) / 60, 2) + pow(4 / c.aperture - 4 / q.aperture, 2) + pow(0.1 / c.distance - 0.1 / q.distance, 2)) AS d FROM q JOIN c USING (lens)),
-a AS (SELECT shot, min(d) AS least, arg_min(k, d) AS hit, sum(k * pow(greatest(d, 1e-9), -3.5)) / sum(pow(greatest(d, 1e-9), -3.5)) AS mean FROM d GROUP BY 1) SELECT shot, round(CASE WHEN least < 1e-4 THEN hit ELSE mean END, 6) AS k FROM a WHERE least <= 1""")
+a AS (SELECT shot, min(d) AS least, arg_min(k, (d, k)) AS hit, sum(k * pow(greatest(d, 1e-9), -3.5)) / sum(pow(greatest(d, 1e-9), -3.5)) AS mean FROM d GROUP BY 1) SELECT shot, round(CASE WHEN least < 1e-4 THEN hit ELSE mean END, 6) AS k FROM a WHERE least <= 1""")
 def vignetting_interpolated(spark, sf):
     points = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("lens"), F.lit(20.0).alias("low"), F.lit(80.0).alias("high"), (20 + F.col("s_suppkey") % 60).cast("double").alias("focal"), (2 + F.col("s_suppkey") % 5).cast("double").alias("aperture"), (1 + F.col("s_suppkey") % 90).cast("double").alias("distance"), F.array(*[F.col("s_acctbal") / 10000] * 3).alias("k"))
     shots = table(spark, sf, "customer").select(F.col("c_custkey").alias("shot"), F.col("c_nationkey").alias("lens"), (20 + F.col("c_custkey") % 61).cast("double").alias("focal"), (2 + F.col("c_custkey") % 6).cast("double").alias("aperture"), F.lit(10.0).alias("distance"))
