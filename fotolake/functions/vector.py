@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The rows of `df`, with a generator between: filters and projections that follow use its columns and never compute them again."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,12 +32,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def interp(x: Column, knots: Column, values: Column) -> Column:
     """Piecewise-linear look-up in ascending knots, clamped at the ends."""
-    n = F.size(knots)
-    at = F.aggregate(knots, F.lit(0), lambda s, k: s + (k <= x).cast("int"))
-    left, right = F.get(knots, at - 1), F.get(knots, at)
-    u = (x - left) / (right - left)
-    inner = F.get(values, at - 1) * (1 - u) + F.get(values, at) * u
-    return F.when(at == 0, F.get(values, F.lit(0))).when(at >= n, F.get(values, n - 1)).otherwise(inner)
+
+    def found(x: Column, knots: Column, values: Column, at: Column) -> Column:
+        left, right = F.get(knots, at - 1), F.get(knots, at)
+        inner = let((x - left) / (right - left), lambda u: F.get(values, at - 1) * (1 - u) + F.get(values, at) * u)
+        return F.when(at == 0, F.get(values, F.lit(0))).when(at >= F.size(knots), F.get(values, F.size(knots) - 1)).otherwise(inner)
+
+    count = lambda s: F.aggregate(s["k"], F.lit(0), lambda n, k: n + (k <= s["x"]).cast("int"))
+    return let(F.struct(x.alias("x"), knots.alias("k"), values.alias("v")), lambda s: let(count(s), lambda at: found(s["x"], s["k"], s["v"], at)))
 
 
 def hermite(y1: Column, y2: Column, y3: Column, y4: Column, t: Column) -> Column:

@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a small file over all tasks, for work that takes much longer a row than reading it."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def _query(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {name}", "FROM {" + name + "}"), **{name: table(spark, sf_dir, name)})
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fotolake.functions.vector import held
 from fotolake.operators import embedded
 from fotolake.plans.queries import query
-from fotolake.plans.shapes import table
+from fotolake.plans.shapes import spread, table
 from fotolake.sources import tags
 
 SIZES = {1: 1, 3: 2, 4: 4, 7: 1, 8: 2, 10: 8}
@@ -44,7 +45,7 @@ def _file(root: list[tuple[int, int, list[Column]]], pointer: int | None = None,
 
 
 def _files_of(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("photo"), (F.col("c_custkey") * 7 + F.col("c_nationkey") * 31).cast("long").alias("c"))
+    return spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("photo"), (F.col("c_custkey") * 7 + F.col("c_nationkey") * 31).cast("long").alias("c")), "photo")
 
 
 KNOTS = 11
@@ -148,7 +149,9 @@ def side_colours_read(spark, sf):
     knots = F.array(F.lit(0.0), F.lit(1.0))
     rg, amount = (F.col("p_partkey") % 97 + 1) / 90.0, (F.col("p_partkey") % 3) / 2.0
     s = embedded.side_ratios(rg, knots, lines(1.5), lines(1.0), lines(0.75), amount)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(s["red"], 9).alias("red"), F.round(s["blue"], 9).alias("blue"))
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("id"), s.alias("s"))
+    s = F.col("s")
+    return held(rows).select("id", F.round(s["red"], 9).alias("red"), F.round(s["blue"], 9).alias("blue"))
 
 
 @query("""SELECT p_partkey AS id, round(CASE WHEN p_partkey % 3 < 2 AND p_size * 40 <= 1000 AND p_partkey % 16000 + 3000 >= 4000 THEN log2((p_partkey % 16000 + 3000 - p_size * 40) / (p_partkey % 16000 + 3000 - 2048.0)) ELSE 0 END, 9) AS ev FROM part""")
