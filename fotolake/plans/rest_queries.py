@@ -8,7 +8,7 @@ from fotolake.functions import settings, text
 from fotolake.functions.session import new_path
 from fotolake.operators import export, people, planning, sidecars, stats, store
 from fotolake.plans.queries import query
-from fotolake.plans.shapes import table
+from fotolake.plans.shapes import spread, table
 from fotolake.sources import masks, migration, presets, xmp
 
 
@@ -146,7 +146,7 @@ def mask_subjects_read(spark, sf):
     kind = F.when(k % 4 == 0, 'crs:MaskSubType="1"').when(k % 4 == 1, 'crs:MaskSubType="2"').when(k % 4 == 2, 'crs:MaskSubType="0" crs:MaskSubCategoryID="22"').otherwise('crs:MaskSubType="0" crs:MaskSubCategoryID="3"')
     other = F.when(k % 2 == 1, '<rdf:li><rdf:Description crs:What="Mask/Unknown"/></rdf:li>').otherwise("")
     packet = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/"><crs:MaskGroupBasedCorrections><rdf:Seq><rdf:li><rdf:Description crs:CorrectionName="m"><crs:CorrectionMasks><rdf:Seq><rdf:li crs:What="Mask/Image" '), kind, F.lit("/>"), other, F.lit("</rdf:Seq></crs:CorrectionMasks></rdf:Description></rdf:li></rdf:Seq></crs:MaskGroupBasedCorrections></rdf:Description></rdf:RDF></x:xmpmeta>"))
-    found = masks.masks(table(spark, sf, "part").select(k.alias("photo"), packet.alias("xmp")))
+    found = masks.masks(spread(table(spark, sf, "part"), "p_partkey").select(k.alias("photo"), packet.alias("xmp")))
     return found.select("photo", F.get("components", F.lit(0))["shape"]["subject"].alias("subject"), F.col("left").alias("left_out"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions.text import escape
+from fotolake.functions.vector import held
 
 #: Fixed values of the format: the lists of corrections, in the order they are read.
 LISTS = ("MaskGroupBasedCorrections", "GradientBasedCorrections", "CircularGradientBasedCorrections", "PaintBasedCorrections")
@@ -107,10 +108,11 @@ def masks(packets: DataFrame, id_col: str = "photo", packet_col: str = "xmp") ->
     """
     text = F.trim(F.regexp_replace(packet_col, r"(?s)<\?.*?\?>", ""))
     root = F.from_xml(text, F.lit(PACKET), {"attributePrefix": "_", "ignoreNamespace": "true", "mode": "PERMISSIVE"})["RDF"]["Description"]
-    first = F.get(root, F.lit(0))
+    packets = held(packets.select(F.col(id_col).alias("photo"), F.get(root, F.lit(0)).alias("first")))  # a packet is parsed once
+    first = F.col("first")
     tagged = lambda name: F.transform(first[name]["Seq"]["li"], lambda x: F.struct(F.lit(name).alias("list"), x.alias("x")))
     entries = F.concat(*(F.coalesce(tagged(name), F.array()) for name in LISTS))
-    df = packets.select(F.col(id_col).alias("photo"), F.posexplode(entries).alias("mask", "e")).select("photo", "mask", "e.list", F.col("e.x").alias("x"))
+    df = packets.select("photo", F.posexplode(entries).alias("mask", "e")).select("photo", "mask", "e.list", F.col("e.x").alias("x"))
     x = F.col("x")
 
     def component(c: Column) -> Column:
@@ -121,9 +123,10 @@ def masks(packets: DataFrame, id_col: str = "photo", packet_col: str = "xmp") ->
 
     found = F.transform(_part(x, "CorrectionMasks")["Seq"]["li"], component)
     local = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), (F.coalesce(*(_number(_of(x, n)) for n in names), F.lit(0.0)) * factor).alias("v")) for k, (names, factor) in LOCAL.items())), lambda e: e["v"] != 0))
-    df = df.select("photo", "mask", "list", F.coalesce(_of(x, "CorrectionName"), F.lit("")).alias("name"), (F.lower(F.coalesce(_of(x, "CorrectionActive"), F.lit("true"))) != "false").alias("active"), F.coalesce(_number(_of(x, "CorrectionAmount")), F.lit(1.0)).alias("amount"), local.alias("local"), F.coalesce(found, F.array()).alias("found"))
+    df = held(df).select("photo", "mask", "list", F.coalesce(_of(x, "CorrectionName"), F.lit("")).alias("name"), (F.lower(F.coalesce(_of(x, "CorrectionActive"), F.lit("true"))) != "false").alias("active"), F.coalesce(_number(_of(x, "CorrectionAmount")), F.lit(1.0)).alias("amount"), local.alias("local"), F.coalesce(found, F.array()).alias("found"))
     whole = F.filter("found", lambda c: c["shape"].isNotNull())
-    return df.select("photo", "mask", "list", "name", "active", "amount", "local", (F.size("found") - F.size(whole)).alias("left"), whole.alias("components")).where("active and size(components) > 0").drop("active")
+    df = held(held(df).withColumn("components", whole))
+    return df.select("photo", "mask", "list", "name", "active", "amount", "local", (F.size("found") - F.size("components")).alias("left"), "components").where("active and size(components) > 0").drop("active")
 
 
 def components(mask_rows: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fotolake.functions.vector import let
+
 #: The eight colour bands of the format.
 BANDS = ("Red", "Orange", "Yellow", "Green", "Aqua", "Blue", "Purple", "Magenta")
 
@@ -143,8 +145,12 @@ def curve(points: Column) -> Column:
 
 def written(s: Column) -> Column:
     """map of names to texts of a settings struct; `settings` of it gives the struct again."""
+    return let(s, _written)
+
+
+def _written(s: Column) -> Column:
     back = {"curve_split_0": 100.0, "curve_split_1": 100.0, "curve_split_2": 100.0}
-    text = lambda v: F.when(v == F.round(v), F.round(v).cast("long").cast("string")).otherwise(v.cast("string"))
+    text = lambda v: let(v, lambda v: F.when(v == F.round(v), F.round(v).cast("long").cast("string")).otherwise(v.cast("string")))
     entry = lambda name, v: F.struct(F.lit(name).alias("k"), v.alias("v"))
     said = lambda c: F.when(c, "True").otherwise("False")
     out = [entry(names[0][0], text(s[f] * back.get(f, 1.0))) for f, (_, names) in NUMBERS.items()]

@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import MapType, StringType
 
 from fotolake.functions.text import escape
+from fotolake.functions.vector import held
 from fotolake.sources import masks as local
 from fotolake.sources import presets
 
@@ -59,9 +60,9 @@ def settings(packets: DataFrame, packet_col: str = "xmp", photo_col: str | None
     A packet with masks also has the group `masks`; masks are an array as `masks.masks` has them.
     """
     m = F.col("__m")
-    df = packets.withColumn("__m", crs_map(F.col(packet_col))).withColumn("settings", presets.settings(m))
+    df = held(held(packets.withColumn("__m", crs_map(F.col(packet_col)))).withColumn("settings", presets.settings(m)))
     curves = F.array(*(presets.curve(F.try_element_at(m, F.lit(c))) for c in CURVES))
-    df = df.withColumns({"groups": F.when(m.isNotNull(), presets.groups(F.col("settings"), m)), "curves": curves}).drop("__m")
+    df = held(df.withColumns({"groups": F.when(m.isNotNull(), presets.groups(F.col("settings"), m)), "curves": curves}).drop("__m"))
     if photo_col is None:
         return df
     found = local.masks(packets, photo_col, packet_col)
@@ -89,7 +90,7 @@ def packet(curves: Column | None = None, masks: Column | None = None) -> Column:
     and of curves and masks as `settings` gives them."""
     alt = lambda tag, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"<dc:{tag}><rdf:Alt><rdf:li xml:lang=\"x-default\">"), escape(F.col(c)), F.lit(f"</rdf:li></rdf:Alt></dc:{tag}>"))).otherwise("")
     words = F.when(F.size("keywords") > 0, F.concat(F.lit("<dc:subject><rdf:Bag>"), F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("<rdf:li>"), escape(k), F.lit("</rdf:li>"))), ""), F.lit("</rdf:Bag></dc:subject>"))).otherwise("")
-    crs = F.array_join(F.transform(F.array_sort(F.map_entries(presets.written(F.col("settings")))), lambda e: F.concat(F.lit(" crs:"), e["key"], F.lit('="'), escape(e["value"]), F.lit('"'))), "")
+    crs = F.array_join(F.transform(F.sort_array(F.map_entries(presets.written(F.col("settings")))), lambda e: F.concat(F.lit(" crs:"), e["key"], F.lit('="'), escape(e["value"]), F.lit('"'))), "")
     lines = F.concat(*(curve_xml(name, F.get(curves, F.lit(i))) for i, name in enumerate(CURVES))) if curves is not None else F.lit("")
     parts = local.xml(masks) if masks is not None else F.lit("")
     head = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/" xmp:Rating="'
