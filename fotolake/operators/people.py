@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from fotolake.operators.views import numbered
 
 NEW_BASE = 1 << 40  # temporary ids of new people start here
 BLOCK = 2000  # centroids in one array
+BOXES = 512  # boxes compared at once
 
 
 def centroids(faces: DataFrame) -> DataFrame:
@@ -107,18 +110,59 @@ def iou(a, b):
     return both / F.greatest(a["w"] * a["h"] + b["w"] * b["h"] - both, F.lit(1e-6))
 
 
-def _suppress(pdf: pd.DataFrame, most: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True])
-    box, kept = pdf[["x", "y", "w", "h"]].to_numpy(float), []
-    for i in range(len(box)):
-        x, y, w, h = box[i]
-        k = box[kept]
-        over = np.maximum(0, np.minimum(x + w, k[:, 0] + k[:, 2]) - np.maximum(x, k[:, 0])) * np.maximum(0, np.minimum(y + h, k[:, 1] + k[:, 3]) - np.maximum(y, k[:, 1]))
-        if (over / np.maximum(w * h + k[:, 2] * k[:, 3] - over, 1e-6) < most).all():
-            kept.append(i)
-    return pdf.iloc[kept]
+def _clash(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Which boxes of `a` and of `b` (x, y, w, h) overlap by `most` or more."""
+    a, b = a[:, None, :], b[None, :, :]
+    both = np.maximum(0, np.minimum(a[..., 0] + a[..., 2], b[..., 0] + b[..., 2]) - np.maximum(a[..., 0], b[..., 0])) * np.maximum(0, np.minimum(a[..., 1] + a[..., 3], b[..., 1] + b[..., 3]) - np.maximum(a[..., 1], b[..., 1]))
+    return ~(both / np.maximum(a[..., 2] * a[..., 3] + b[..., 2] * b[..., 3] - both, 1e-6) < most)
+
+
+def _kept(box: np.ndarray, most: float) -> np.ndarray:
+    """Which of a photo's boxes, best first, stay: blocks of BOXES meet the kept ones of earlier blocks, then each other."""
+    kept = np.ones(len(box), bool)
+    for at in range(0, len(box), BOXES):
+        here, stay = box[at : at + BOXES], kept[at : at + BOXES]
+        for before in range(0, at, BOXES):
+            stay &= ~_clash(here, box[before : before + BOXES][kept[before : before + BOXES]], most).any(1)
+        clash = np.triu(_clash(here, here, most), 1)
+        for i in np.flatnonzero(clash.any(1)):  # boxes that clash with a later one
+            if stay[i]:
+                stay[clash[i]] = False
+    return kept
+
+
+def _runs(ids: pa.Array) -> np.ndarray:
+    """Numbers that rise by one where the id changes; nulls are equal."""
+    codes = ids.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(codes[1:] != codes[:-1])]) if len(codes) else codes
+
+
+def _suppress(batches: Iterable[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """Batches in order of photos, best boxes first; a photo that goes on in the next batch waits for it."""
+    waiting: list[pa.RecordBatch] = []
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        photo = _runs(table.column("photo_id").combine_chunks())
+        box = np.column_stack([table.column(c).to_numpy().astype(float) for c in "xywh"])
+        edges = [0, *(np.flatnonzero(photo[1:] != photo[:-1]) + 1), len(photo)] if len(photo) else [0]
+        keep = np.concatenate([_kept(box[a:b], most) for a, b in zip(edges[:-1], edges[1:], strict=True)]) if len(photo) else np.ones(0, bool)
+        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        photo = batch.column("photo_id")
+        runs = _runs(photo)
+        last = int(np.searchsorted(runs, runs[-1]))
+        if last or (waiting and waiting[-1].column("photo_id")[-1].as_py() != photo[0].as_py()):
+            yield from done(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield from done(pa.Table.from_batches(waiting))
 
 
 def suppress(detections: DataFrame, most: float = 0.3) -> DataFrame:
     """Greedy non-maximum suppression within each photo (photo_id, det_id, x, y, w, h, score)."""
-    return detections.groupBy("photo_id").applyInPandas(functools.partial(_suppress, most=most), detections.schema)
+    ordered = detections.repartition("photo_id").sortWithinPartitions("photo_id", F.desc("score"), "det_id")
+    return ordered.mapInArrow(functools.partial(_suppress, most=most), detections.schema)
