@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fotolake.functions import color, text, vector
 from fotolake.operators import catalog, edits, lens, people, planning, sensor, session, stacks, stats, views
 from fotolake.operators.predicates import Filter, Rule, Rules, count_rules, kind_of, of_source
-from fotolake.plans.shapes import FACES_SQL, HISTORY_SQL, PHOTOS_SQL, faces, history, photos, table
+from fotolake.plans.shapes import FACES_SQL, HISTORY_SQL, PHOTOS_SQL, faces, history, photos, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -585,7 +585,7 @@ def vignetting_interpolated(spark, sf):
 def distortion_interpolated(spark, sf):
     """Hermite terms between calibration points; tests hold it against the formulas in numpy."""
     points = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("lens"), (10 + F.col("s_suppkey") % 7 * 10).cast("double").alias("focal")).agg(F.avg("s_acctbal").alias("a")).select("lens", "focal", F.array(F.col("a") / 1e5, F.col("a") / 2e5, F.lit(0.0)).alias("t"))
-    shots = table(spark, sf, "customer").select(F.col("c_custkey").alias("shot"), F.col("c_nationkey").alias("lens"), (5 + F.col("c_custkey") % 80).cast("double").alias("focal"))
+    shots = spread(table(spark, sf, "customer"), "c_custkey").select(F.col("c_custkey").alias("shot"), F.col("c_nationkey").alias("lens"), (5 + F.col("c_custkey") % 80).cast("double").alias("focal"))
     out = lens.interpolated(shots, points, [True, True, True])
     return out.select("shot", F.round(lens.dist_ratio("ptlens", F.col("t"), F.lit(0.7)), 9).alias("ratio"))
 
