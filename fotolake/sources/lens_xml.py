@@ -16,6 +16,8 @@ DISTORTION = {"ptlens": [("a", 0.0), ("b", 0.0), ("c", 0.0)], "poly3": [("k1", 0
 TCA = {"poly3": [("vr", 1.0), ("vb", 1.0), ("cr", 0.0), ("cb", 0.0), ("br", 0.0), ("bb", 0.0)], "linear": [("kr", 1.0), ("kb", 1.0), *[(None, 0.0)] * 4]}
 VIGNETTING = {"pa": [("k1", 0.0), ("k2", 0.0), ("k3", 0.0)]}
 CROP, ASPECT, DISTANCE = 1.0, 1.5, 1000.0
+#: Most lenses or cameras in a file that is written: a file is read by one task.
+PER_FILE = 10_000
 
 _text = "array<struct<_VALUE: string, _lang: string>>"
 _points = lambda models, *more: "array<struct<" + ", ".join(f"_{a}: string" for a in ["model", "focal", *more, *dict.fromkeys(a for m in models.values() for a, _ in m if a)]) + ">>"
@@ -116,7 +118,7 @@ def write(lens_rows: DataFrame, camera_rows: DataFrame, path: str) -> None:
         F.struct(attributes("distortion", DISTORTION), attributes("tca", TCA), attributes("vignetting", VIGNETTING, "aperture", "distance")).alias("calibration"),
     )
     for df, tag in ((lens, "lens"), (camera_rows.select("model", F.col("crop").alias("cropfactor")), "camera")):
-        df.write.format("xml").options(rootTag="lensdatabase", rowTag=tag, attributePrefix="_").mode("append").save(path)
+        df.write.format("xml").options(rootTag="lensdatabase", rowTag=tag, attributePrefix="_", maxRecordsPerFile=PER_FILE).mode("append").save(path)
 
 
 def database(spark: SparkSession, bundled: str, own: str | None = None) -> tuple[DataFrame, DataFrame]:

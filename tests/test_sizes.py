@@ -1,8 +1,12 @@
 """What larger tables showed: ties, and work that is done more than once."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fotolake.operators import lens, session
+from fotolake.functions.vector import interp
+from fotolake.operators import embedded, lens, people, session
+from fotolake.sources import lens_xml, masks, tags
 
 
 def test_restored_ties_go_to_smaller_ids(spark):
@@ -18,3 +22,79 @@ def test_vignetting_ties_go_to_the_least_k(spark):
     for ks in ([0.3, 0.1, 0.2], [0.1, 0.2, 0.3], [0.2, 0.3, 0.1]):
         points = spark.createDataFrame([at(k) for k in ks], schema).coalesce(1)
         assert lens.vignetting(shots, points).first().k == [0.1, 0.0, 0.0]
+
+
+def _times(df, word):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_a_packet_is_parsed_once(spark):
+    """Filters and generators above must not parse it again."""
+    rows = masks.components(masks.masks(spark.createDataFrame([(1, "<x/>")], "photo int, xmp string")))
+    assert _times(rows, "from_xml") + _times(rows, "XmlToStructs") <= 1
+
+
+def test_suppression_by_brute_force(spark, monkeypatch):
+    """Small blocks, photos over several batches, null photos: the boxes that the plain rule keeps, and no Python group a photo."""
+    rng = np.random.default_rng(3)
+    rows = [(None if p == 5 else p, 1000 * p + i, *map(float, rng.uniform(0, 30, 2)), 10.0, 10.0, float(i % 7)) for p in range(8) for i in range(40 if p else 700)]
+    df = spark.createDataFrame(rows, "photo_id long, det_id long, x double, y double, w double, h double, score double").repartition(5)
+    want = set()
+    for p in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[6], r[1])):
+            if all(_overlap(r, k) < 0.3 for k in kept):
+                kept.append(r)
+        want |= {k[1] for k in kept}
+    out = people.suppress(df, 0.3)
+    assert {r.det_id for r in out.collect()} == want
+    assert _times(out, "FlatMapGroups") == 0
+
+
+def _overlap(a, b):
+    x, y = (max(0.0, min(a[i] + 10, b[i] + 10) - max(a[i], b[i])) for i in (2, 3))
+    return x * y / max(200 - x * y, 1e-6)
+
+
+def test_matches_by_brute_force_in_blocks(spark):
+    """Groups of more rows than a block, equal vectors among them; no row for each pair."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(1300, 4)), rng.normal(size=(1200, 4))
+    b[:600] = a[:600] + 0.01
+    b[1] = b[0]
+    frame = lambda v: spark.createDataFrame([(i % 2, i, x.tolist()) for i, x in enumerate(v)], "g int, id long, v array<double>")
+    got = {(r.g, r.a, r.b) for r in lens.nearest_mutual(frame(a), frame(b), ratio=0.9).collect()}
+    want = set()
+    for g in (0, 1):
+        d = ((a[g::2, None] - b[None, g::2]) ** 2).sum(2)
+        near = lambda m: (m.argmin(1), np.sort(m, 1))
+        (fa, sa), (fb, sb) = near(d), near(d.T)
+        want |= {(g, g + 2 * i, g + 2 * int(j)) for i, j in enumerate(fa) if fb[j] == i and sa[i][0] < 0.9 * sa[i][1] and sb[j][0] < 0.9 * sb[j][1]}
+    assert got == want and len(want) > 400
+
+
+def test_lens_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lens_xml, "PER_FILE", 10)
+    lenses = spark.range(35).coalesce(1).selectExpr("concat('L', id) AS lens", "1.0D AS crop", "1.5D AS aspect", "1.0D AS low", "2.0D AS high", "array(named_struct('model', 'poly3', 'focal', 1.0D, 't', array(0.5D, 0.0D, 0.0D))) AS distortion", "CAST(array() AS array<struct<model: string, focal: double, t: array<double>>>) AS tca", "CAST(array() AS array<struct<model: string, focal: double, t: array<double>, aperture: double, distance: double>>) AS vignetting")
+    lens_xml.write(lenses, spark.range(25).coalesce(1).selectExpr("concat('C', id) AS model", "1.0D AS crop"), str(tmp_path / "db"))
+    assert len(list((tmp_path / "db").glob("*.xml"))) == 4 + 3
+    found, cameras = lens_xml.database(spark, str(tmp_path / "db"))
+    assert found.select("lens").distinct().count() == 35 and cameras.select("model").distinct().count() == 25
+
+
+def test_tags_come_in_batches(spark):
+    """Not a batch a file, and each maker's rule over stored tags, not over another walk."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["rw2"] * 3), pa.array([bytes.fromhex("4D4D002A00000008000100300003000000010005000000000000")] * 3)], ["photo", "ext", "content"])
+    assert [b.num_rows for b in tags._rows([batch], pa.int64())] == [3]
+    files = spark.createDataFrame([(1, "rw2", bytearray(b""))], "photo int, ext string, content binary")
+    assert _times(embedded.corrections(tags.tag_rows(files)), "MapInArrow") == 0
+
+
+def test_looked_up_values_are_computed_once(spark):
+    """A value that is itself a look-up is named once in the plan of what is looked up by it."""
+    k = F.array(F.lit(0.0), F.lit(1.0))
+    slow = F.aggregate(F.sequence(F.lit(1), F.col("id")), F.lit(0.0), lambda s, x: s + x * 0.125)
+    out = spark.range(5).select(interp(slow, k, k).alias("v"))
+    assert _times(out, "0.125") == 1 and [r.v for r in out.collect()][1] == 0.125
+    points = F.array(*(F.struct(F.lit(float(f)).alias("focal"), F.array(F.lit(f / 10)).alias("t")) for f in (1, 2, 3)))
+    assert _times(spark.range(5).select(lens.at_focal(points, slow, [True]).alias("t")), "0.125") == 1
