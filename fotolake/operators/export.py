@@ -39,7 +39,9 @@ def _outside(dest: str) -> bool:
 def _write(batches: Iterable[pa.RecordBatch], target: str, folder: str, render: Callable[[dict], bytes] | None, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     store, base = _store(target)
     store.create_dir(f"{base}/{folder}", recursive=True)
+    types = [kind, pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
+        rows = []
         for i in range(batch.num_rows):  # one item's bytes at a time
             row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
             dest, content, name, size, digest, error = row["dest"], row.get("content"), None, None, None, None
@@ -58,9 +60,9 @@ def _write(batches: Iterable[pa.RecordBatch], target: str, folder: str, render:
                     status = OK
                 except Exception as e:  # noqa: BLE001 (an item's failure is its status)
                     name, size, digest, error = None, None, None, f"{type(e).__name__}: {e}"[:500]
-            values = [row["id"], dest, status, error, size, digest, name]
-            types = [kind, pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["id", "dest", "status", "error", "bytes", "sha256", "attempt"])
+            rows.append((row["id"], dest, status, error, size, digest, name))
+        if rows:  # status rows hold no bytes
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "dest", "status", "error", "bytes", "sha256", "attempt"])
 
 
 def attempted(items: DataFrame, target: str, job: str, render: Callable[[dict], bytes] | None = None, done: DataFrame | None = None) -> DataFrame:
@@ -84,12 +86,16 @@ def _move(batches: Iterable[pa.RecordBatch], target: str) -> Iterator[pa.RecordB
     from pyarrow import fs
 
     store, base = _store(target)
+    made: set[str] = set()  # folders known to be there
     for batch in batches:
         states = []
         for name, dest, size in zip(*(batch.column(c).to_pylist() for c in ("attempt", "dest", "bytes")), strict=True):
             new, there = store.get_file_info([f"{base}/{name}", f"{base}/{dest}"])
             if new.type == fs.FileType.File:
-                store.create_dir(f"{base}/{dest}".rpartition("/")[0], recursive=True)
+                folder = f"{base}/{dest}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 store.move(f"{base}/{name}", f"{base}/{dest}")
                 states.append(True)
             else:

@@ -360,9 +360,11 @@ def select_all(view: DataFrame) -> DataFrame:
 
 def folder_sizes(spark, folders: dict[str, str]) -> DataFrame:
     """(folder, files, bytes) of each named folder and all below it, from listings alone."""
+    from fotolake.sources.files import walked
+
     out = None
     for name, path in folders.items():
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        listed = walked(spark, path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
         part = listed.select(F.lit(name).alias("folder"), "files", "bytes")
         out = part if out is None else out.unionByName(part)
     return out

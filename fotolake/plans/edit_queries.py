@@ -9,7 +9,7 @@ from fotolake.functions.session import new_path
 from fotolake.operators import edits, export, snapshots
 from fotolake.operators.predicates import Rule
 from fotolake.plans.queries import query
-from fotolake.plans.shapes import table
+from fotolake.plans.shapes import spread, table
 from fotolake.plans.tag_queries import _directory
 from fotolake.sources import files
 
@@ -100,7 +100,7 @@ FILES = "SELECT c_custkey AS k, concat('IMG_', CAST(c_custkey AS STRING), '.', C
 def _photo_files(spark, sf):
     """TIFF heads with a maker, an orientation and a time, of which some are missing; every seventh file is damaged."""
     k = F.col("k")
-    rows = spark.sql(FILES.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer"))
+    rows = spark.sql(FILES.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, sf, "customer"), "c_custkey"))
     text = lambda s: [F.lit(b) for b in s.encode() + b"\0"]
     maker = (0x10F, 1, text("Maker"))
     at = 8 + 2 + 12 * 3 + 4 + 6
@@ -143,7 +143,7 @@ CASE WHEN error IS NULL THEN CAST(size AS DOUBLE) END AS exposure, CASE WHEN err
 def presets_from_files(spark, sf):
     """Packets and templates of a folder as one table; files that are none have a status and an error."""
     k, text = F.col("k"), lambda c: c.cast("string")
-    rows = spark.sql(PRESETS.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    rows = spark.sql(PRESETS.replace("FROM part", "FROM {part}"), part=spread(table(spark, sf, "part"), "p_partkey"))
     named = F.when(k % 10 == 4, F.concat(F.lit('<crs:Name><rdf:Alt><rdf:li xml:lang="x-default">N &amp; '), text(k), F.lit("</rdf:li></rdf:Alt></crs:Name>"))).otherwise("")
     packet = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:crs="http://ns.adobe.com/camera-raw-settings/1.0/" crs:Exposure2012="'), text(F.col("size")), F.lit('"'), F.when(k % 10 == 2, ' crs:HasSettings="False"').otherwise(""), F.lit(">"), named, F.lit("<crs:ToneCurvePV2012><rdf:Seq><rdf:li>0, 0</rdf:li><rdf:li>255, "), text(k % 256), F.lit('</rdf:li></rdf:Seq></crs:ToneCurvePV2012><crs:Look><rdf:Description crs:Name="Look '), text(k), F.lit('" crs:Amount="1"><crs:Parameters><rdf:Description crs:Exposure2012="99"/></crs:Parameters></rdf:Description></crs:Look></rdf:Description></rdf:RDF></x:xmpmeta>'))
     packet = F.when(k % 10 == 0, "<broken").otherwise(packet)
@@ -164,7 +164,7 @@ def presets_from_files(spark, sf):
 CASE WHEN p_partkey % 5 > 0 THEN CAST(CASE WHEN p_size * 20 > 900 THEN p_size * 20 - 1080 WHEN p_size * 20 > 540 THEN p_size * 20 - 720 WHEN p_size * 20 > 180 THEN p_size * 20 - 360 ELSE p_size * 20 END AS DOUBLE) END AS shadow_angle, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS text_shown, CASE WHEN p_partkey % 5 > 0 THEN 'arial' END AS font FROM part""")
 def watermarks_from_files(spark, sf):
     """Watermarks of a folder of templates, limits and choices applied."""
-    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    part, k = spread(table(spark, sf, "part"), "p_partkey"), F.col("p_partkey")
     anchor = F.get(F.array(*map(F.lit, files.ANCHORS)), (k % 9).cast("int"))
     text = F.concat(F.lit('s = { type = "'), F.when(k % 5 == 0, "Develop").otherwise("WatermarkingPreset"), F.lit('", value = { items = { { kind = "text", text = "'), F.col("p_name"), F.lit('", textFontName = "Arial-Bold", opacity = '), (F.col("p_size") * 4 / 100).cast("string"), F.lit(", textShadowAngle = "), (F.col("p_size") * 20).cast("string"), F.lit(', anchor = "'), anchor, F.lit('" } } } }'))
     target = new_path(spark, "watermarks")

@@ -154,7 +154,7 @@ SIDES = "SELECT c_custkey AS id, concat('d', CAST(c_custkey % 7 AS STRING), '/',
 
 
 def _sides(spark, sf):
-    return spark.sql(SIDES.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer"))
+    return spark.sql(SIDES.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, sf, "customer"), "c_custkey"))
 
 
 @query(f"""WITH s AS ({SIDES}) SELECT id, CAST(CASE WHEN id % 4 > 0 THEN e END AS DOUBLE) AS exposure, rating FROM s WHERE master IS NULL""")

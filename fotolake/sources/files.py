@@ -1,13 +1,13 @@
 """Folders as tables: photo files with what their heads say, and preset files with a status row each.
 
-Listings never read contents: Spark's file source is asked for paths, lengths and times only. Where contents are read, their first bytes go
-to Python in Arrow batches, and a file that cannot be read is a row with an error, not the end of a job. Files of no bytes are not listed, as
-Spark's source has it.
+Listings never read contents: folders are walked for paths, lengths and times only. Where contents are read, their first bytes go
+to Python in Arrow batches, and a file that cannot be read is a row with an error, not the end of a job. Files of no bytes are not listed.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from fotolake.functions.text import unescape
+from fotolake.functions.vector import held
 from fotolake.operators.predicates import kind_of
 from fotolake.sources import presets, xmp
 from fotolake.sources.images import read_exif
@@ -28,6 +29,93 @@ from fotolake.sources.lua import to_json
 HEAD = 1 << 20
 
 
+#: Rows, and bytes of contents, after which a batch is passed on.
+SHARE, BYTES = 4096, 16 << 20
+_LISTED = "path string, length long, modificationTime timestamp"
+
+
+def _entries(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, whether a folder, bytes, time in milliseconds) of a folder's entries, one after the other where the store can."""
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for e in entries:
+                at = e.stat()
+                yield e.path, e.is_dir(), at.st_size, at.st_mtime_ns // 1_000_000
+    else:
+        for e in store.get_file_info(fs.FileSelector(folder)):
+            yield e.path, e.type == fs.FileType.Directory, e.size or 0, (e.mtime_ns or 0) // 1_000_000
+
+
+def _listing(batches: Iterable[pa.RecordBatch], recursive: bool) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        path, size, time = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path), pa.array(size, pa.int64()), pa.array([t * 1000 for t in time], pa.timestamp("us", "UTC"))], ["path", "length", "modificationTime"])
+
+    for roots in batches:
+        for root in roots.column("root").to_pylist():
+            store, base = fs.FileSystem.from_uri(root)
+            head = "file:" if isinstance(store, fs.LocalFileSystem) else root[: root.index("://") + 3]
+            folders, rows = [base.rstrip("/")], []
+            while folders:
+                for path, folder, size, time in _entries(store, folders.pop()):
+                    if path.rpartition("/")[2].startswith((".", "_")):
+                        continue
+                    if folder:
+                        folders += [path] * recursive
+                    elif size:
+                        rows.append((head + path, size, time))
+                    if len(rows) >= SHARE:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
+
+
+def walked(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, length, modificationTime) of the files below a folder.
+
+    A task walks the folders, one after the other; nothing goes through the driver, and files are shared out by number. Spark's own source
+    lists on the driver and takes a file for at least 4 MB, so that thirty small files make a task. Like there, names that start
+    with `.` or `_` are skipped.
+    """
+    return spark.createDataFrame([(root,)], "root string").coalesce(1).mapInArrow(functools.partial(_listing, recursive=recursive), _LISTED)
+
+
+def listed(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """`walked` in order of paths and over all tasks."""
+    found = walked(spark, root, recursive)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return found.repartitionByRange(tasks, "path").sortWithinPartitions("path")
+
+
+def _read(batches: Iterable[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    store = None
+    for batch in batches:
+        rows, size = [], 0
+        for path in batch.column("path").to_pylist():
+            if store is None:
+                store = fs.LocalFileSystem() if path.startswith("file:") else fs.FileSystem.from_uri(path)[0]
+            with store.open_input_stream(path.partition(":")[2] if path.startswith("file:") else path.partition("://")[2], compression=None) as f:
+                rows.append((path, f.read(most)))
+            size += len(rows[-1][1])
+            if size >= BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+
+
+def contents(files: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, content) of files (path), in their order; at most the first `most` bytes."""
+    return files.select("path").mapInArrow(functools.partial(_read, most=most), "path string, content binary")
+
+
 def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -41,13 +129,13 @@ def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
 
     Names that start with `.` or `$`, of files or folders below the root, are skipped.
     """
-    listed = spark.read.format("binaryFile").options(recursiveFileLookup=recursive).load(root).select("path", "length", "modificationTime")
+    found = listed(spark, root, recursive)
     base = F.regexp_replace(F.lit(root), r"^[a-z]+:/+|/+$|^/+", "")
     below = F.split(F.call_function("substring_index", F.col("path"), F.concat(base, F.lit("/")), F.lit(-1)), "/")
     hidden = F.exists(below, lambda x: x.startswith(".") | x.startswith("$"))
-    rows = listed.where(~hidden).select("path", _name(F.col("path")).alias("name"), _extension(F.col("path")).alias("ext"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    rows = found.where(~hidden).select("path", _name(F.col("path")).alias("name"), _extension(F.col("path")).alias("ext"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     rows = rows.withColumn("kind", kind_of(F.col("ext"))).where("kind is not null")
-    return rows.select("path", "name", "ext", "kind", "bytes", "modified").orderBy("path")
+    return rows.select("path", "name", "ext", "kind", "bytes", "modified")
 
 
 def _exif_block(data: bytes) -> bytes | None:
@@ -84,8 +172,7 @@ def _meta(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def metadata(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """`scan` with metadata: capture_time is what the head says, else the file's time in UTC; orientation 1 if none is said."""
     files = scan(spark, root, recursive)
-    heads = spark.read.format("binaryFile").options(recursiveFileLookup=recursive).load(root).select("path", F.substring("content", 1, HEAD).alias("head"))
-    heads = heads.join(files.select("path"), "path", "left_semi").mapInArrow(_meta, "path string, " + _META)
+    heads = contents(files, HEAD).mapInArrow(_meta, "path string, " + _META)
     taken = F.regexp_replace(F.regexp_replace("taken", r"^(\d{4}):(\d\d):(\d\d)", "$1-$2-$3"), r"\.\d+$", "")
     taken = F.when(taken.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), taken)
     out = files.join(heads, "path").withColumn("from_file", taken.isNull())
@@ -94,13 +181,13 @@ def metadata(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
 
 def texts(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
     """(path, folder, stem, ext, text) of the files below a folder that have one of the extensions, in either case; UTF-8, or UTF-16 with its mark."""
-    glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
-    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(root)
+    ends = F.lower(F.element_at(F.split(_name(F.col("path")), r"\."), -1)).isin(extensions) & F.contains(_name(F.col("path")), F.lit("."))
+    files = held(contents(listed(spark, root).where(ends)))
     wide = F.hex(F.substring("content", 1, 2)) == "FFFE"
     plain = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(wide, F.decode(F.when(wide, F.expr("substring(content, 3, 2 * ((length(content) - 2) div 2))")), "UTF-16LE")).otherwise(F.regexp_replace(plain, "^\ufeff", ""))
     parts = F.split("path", "/")
-    return files.select("path", F.element_at(parts, -2).alias("folder"), F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("stem"), _extension(F.col("path")).alias("ext"), text.alias("text")).orderBy("path")
+    return files.select("path", F.element_at(parts, -2).alias("folder"), F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("stem"), _extension(F.col("path")).alias("ext"), text.alias("text"))
 
 
 @pandas_udf(StringType())

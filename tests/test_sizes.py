@@ -5,8 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fotolake.functions.vector import interp
-from fotolake.operators import embedded, lens, people, session
-from fotolake.sources import lens_xml, masks, tags
+from fotolake.operators import embedded, export, lens, people, session
+from fotolake.sources import files, lens_xml, masks, tags
 
 
 def test_restored_ties_go_to_smaller_ids(spark):
@@ -98,3 +98,19 @@ def test_looked_up_values_are_computed_once(spark):
     assert _times(out, "0.125") == 1 and [r.v for r in out.collect()][1] == 0.125
     points = F.array(*(F.struct(F.lit(float(f)).alias("focal"), F.array(F.lit(f / 10)).alias("t")) for f in (1, 2, 3)))
     assert _times(spark.range(5).select(lens.at_focal(points, slow, [True]).alias("t")), "0.125") == 1
+
+
+def test_many_small_files(spark, tmp_path):
+    """Listed and read by as many tasks as there are, with nested, hidden and empty files; export passes rows on by the batch."""
+    for i in range(700):
+        folder = tmp_path / "r" / f"d{i % 7}" / ("x" if i % 3 else ".h")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f {i}.txt").write_bytes(b"" if i % 50 == 1 else b"%d" % i)
+    root = str(tmp_path / "r")
+    spark_own = {(r.path, r.length, r.modificationTime) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime").collect()}
+    found = files.listed(spark, root)
+    assert set(map(tuple, found.collect())) == spark_own and found.rdd.getNumPartitions() <= 8
+    read = files.contents(found).collect()
+    assert [r.path for r in read] == sorted(r.path for r in read) and {(r.path, len(r.content)) for r in read} == {x[:2] for x in spark_own}
+    items = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([f"a/{i}" for i in range(50)]), pa.array([b"x"] * 50), pa.array([False] * 50)], ["id", "dest", "content", "__done"])
+    assert [b.num_rows for b in export._write([items], str(tmp_path / "t"), ".a", None, pa.int64())] == [50]
