@@ -19,100 +19,187 @@ import functools
 import heapq
 import json
 import os
-import struct
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fotolake.llm.common import col, texts
+from fotolake.llm.common import col, parts
 
-#: Remainder pieces packed together; distinct parts and words whose ids a worker keeps, about 120 MB, before it starts afresh.
-RUN, CACHE, WORD_CACHE = 1024, 200_000, 400_000
+#: Remainder pieces packed together; parts whose ids a worker keeps, in two generations of this number, about 75 MB together;
+#: the longest part that is kept; parts the library is given in one text; rows and bytes of texts encoded together.
+RUN, CACHE, LONGEST, JOINED, BATCH, CHARS = 1024, 250_000, 64, 1000, 4096, 2_000_000
 
+#: Signs that are cut off the end of letters, at most so many, and how many such ends are kept.
+SIGNS, MOST_SIGNS, MOST_TAILS = string.punctuation, 8, 10_000
 
-#: Fixed values of byte-level BPE files: how the library cuts a text into words, and the bytes that stand for themselves.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The letters that stand for bytes in byte-level BPE files; the bytes that stand for themselves come first.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-class Odd(Exception):  # noqa: N818
-    """A part that cannot be encoded apart from its neighbours."""
-
-
-class Words(dict):
-    """Ids of a word as the pattern cuts it, learnt when first asked for."""
-
-    def __init__(self, model) -> None:
-        others = (b for b in range(256) if b not in PLAIN_BYTES)
-        self.tokenize = model.tokenize
-        self.letters = {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def __missing__(self, word: str) -> bytes:
-        found = [t.id for t in self.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = out = struct.pack(f"<{len(found)}I", *found)
-        return out
-
-
-class Parts(dict):
-    """Ids of a space and a part, learnt when first asked for."""
-
-    def __init__(self, model) -> None:
-        self.words, self.cut = Words(model), regex.compile(WORDS).findall
-
-    def __missing__(self, part: str) -> bytes:
-        if part.isalpha():
-            out = self.words[" " + part]
-        elif not part or part[-1].isspace():
-            raise Odd
-        else:
-            out = b"".join(map(self.words.__getitem__, self.cut(" " + part)))
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = out
-        return out
+LETTERS = np.zeros(256, "<u4")
+LETTERS[PLAIN_BYTES] = PLAIN_BYTES
+LETTERS[LETTERS == 0] = 256 + np.arange(256 - len(PLAIN_BYTES))
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, by a tokenizer file of the tokenizers library.
 
     A byte-level file starts a word at each space that no white space precedes, so a text can be cut there and the parts
-    encoded apart by the file's model. Parts repeat, so their ids are kept. Other files, and texts that hold one of the file's
-    added tokens (such as an end mark), are encoded whole by the library.
+    encoded apart. Parts repeat: the distinct ones of a batch are looked up, and the unknown ones go to the library joined by
+    spaces, many in a text; each id stands for a known number of bytes, which tells the parts apart again. A space and letters
+    are one word, so such parts go to the file's model at once, and signs after letters are a word of their own. A text's
+    first part, other files, and texts that hold one of the file's added tokens (such as an end mark) or white space next to
+    a space go to the library as they are.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept or CACHE
         form = json.loads(self.tokenizer.to_str())
         pre = form["pre_tokenizer"] or {}
-        self.apart = form["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.added = [t["content"] for t in form["added_tokens"]]
-        self.parts = Parts(self.tokenizer.model)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.apart = self.apart and not any(form[k] for k in ("normalizer", "truncation", "padding")) and not any(" " in t for t in self.added)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(t) for t in vocab]  # a letter a byte
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if not self.apart or " " not in text or any(t in text for t in self.added):
-            return self.whole(text)
-        first, *middle, last = text.split(" ")
-        if first[-1:].isspace():
-            return self.whole(text)
-        try:
-            inner = b"".join(map(self.parts.__getitem__, middle))
-        except Odd:
-            return self.whole(text)
-        return self.whole(first) + inner + (self.whole(" " + last) if not last or last[-1].isspace() else self.parts[last])
+        return next(self.many(pa.array([text], pa.string())))
+
+    def whole(self, text: str, by=None) -> np.ndarray:
+        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def keep(self, part: str, ids: bytes) -> None:
+        if len(self.new) >= self.kept:
+            self.old, self.new = self.new, {}
+        self.new[part] = ids
+
+    def tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) >= MOST_TAILS:
+                self.tails.clear()
+            self.tails[signs] = self.whole(signs).tobytes()
+        return self.tails[signs]
+
+    def learn(self, parts: list[str], letters: bool) -> list[bytes]:
+        """The ids of a space and each part, all of letters or not; no part is empty or ends in white space."""
+        out = []
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            text = " " + " ".join(some)
+            raw = np.frombuffer(text.encode(), "u1")
+            starts = np.flatnonzero(raw == 32)
+            if letters:
+                ids = self.whole(np.insert(LETTERS[raw], starts[1:], 32).tobytes().decode("utf-32-le"), self.model)
+            else:
+                ids = self.whole(text)
+            want, ends = np.append(starts[1:], len(raw)), np.cumsum(self.bytes[ids])
+            cuts = np.searchsorted(ends, want)
+            if ends[-1:].tolist() != [len(raw)] or not np.array_equal(ends[cuts], want):  # a file whose ids do not stand for bytes
+                out += [self.whole(" " + p).tobytes() for p in some]
+                continue
+            flat, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+            out += [flat[i:j] for i, j in zip([0, *stops], stops)]
+        for part, ids in zip(parts, out, strict=True):
+            if len(part) <= LONGEST:
+                self.keep(part, ids)
+        return out
+
+    def found(self, words: list[str], needed: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of a space and each needed word; which of them cannot be cut off because they are empty or end in white space."""
+        values, bad = list(map(self.new.get, words)), np.zeros(len(words), bool)
+        letters, others, ended = [], [], []  # places of words: of letters alone, any other, and letters with signs after them
+        for i in np.flatnonzero(needed & np.array([ids is None for ids in values], bool)).tolist():
+            word = words[i]
+            if (ids := self.old.get(word)) is not None:
+                values[i] = ids
+                self.keep(word, ids)
+            elif word.isalpha():
+                letters.append(i)
+            elif (stem := word.rstrip(SIGNS)).isalpha() and len(word) - len(stem) <= MOST_SIGNS:
+                ended.append((i, stem))
+            elif not word or word[-1].isspace():
+                bad[i] = True
+            else:
+                others.append(i)
+        for group, known in ((letters, True), (others, False)):
+            for i, ids in zip(group, self.learn([words[i] for i in group], known), strict=True):
+                values[i] = ids
+        stems = {stem: self.new.get(stem) or self.old.get(stem) for _, stem in ended}
+        unknown = [stem for stem, ids in stems.items() if ids is None]
+        stems.update(zip(unknown, self.learn(unknown, True), strict=True))
+        for i, stem in ended:
+            values[i] = ids = stems[stem] + self.tail(words[i][len(stem) :])
+            if len(words[i]) <= LONGEST:
+                self.keep(words[i], ids)
+        return [ids or b"" for ids in values], bad
+
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; there are no nulls."""
+        if not self.apart:
+            yield from (self.whole(t).tobytes() for t in texts.to_pylist())
+            return
+        if not len(texts):
+            return
+        odd = np.zeros(len(texts), bool)
+        for mark in self.added:
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        listed = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        words = pc.binary_join(listed, pa.scalar(" ", coded.dictionary.type))[0].as_py().split(" ")  # faster than one by one
+        count = pc.list_value_length(split).to_numpy().astype(np.int64)
+        first = np.cumsum(count) - count
+        last = first + count - 1
+
+        needed, inner = np.zeros(len(words), bool), np.ones(len(code), bool)
+        inner[first] = False
+        needed[code[inner]] = True
+        values, bad = self.found(words, needed)
+        uncut = bad[code]
+        spoilt = uncut.copy()
+        spoilt[last] = False
+        spoilt[first] = np.array([w[-1:].isspace() for w in words], bool)[code[first]]
+        odd |= (count == 1) | np.logical_or.reduceat(spoilt, first)
+
+        # The first place of a text stands for its first part or, if it cannot be cut, for the whole; so do some last parts.
+        heads = [text.as_py() if o else words[c] for text, o, c in zip(texts, odd.tolist(), code[first].tolist(), strict=True)]
+        tails = last[uncut[last] & ~odd]
+        values += [self.whole(t).tobytes() for t in [*heads, *(" " + words[c] for c in code[tails].tolist())]]
+        code[first] = len(words) + np.arange(len(first))
+        code[tails] = len(words) + len(first) + np.arange(len(tails))
+        kept = ~np.repeat(odd, count)
+        kept[first] = True
+        code = code[kept]
+
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        size, start = sizes[code], (np.cumsum(sizes) - sizes)[code]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(np.where(odd, 1, count)) - 1].tolist()
+        for i, j in zip([0, *stops], stops):
+            yield ids[i:j].tobytes()
+
+
+@functools.lru_cache(2)
+def encoder(path: str, kept: int | None = None) -> Encoder:
+    """The encoder of a file, kept while the Python worker lives, so that later tasks find the parts of earlier ones."""
+    return Encoder(path, kept)
 
 
 def differencing(sizes: list[int], k: int) -> list[int]:
@@ -177,10 +264,10 @@ def _run(pieces: list[tuple], capacity: int, first: int) -> tuple[list[tuple], i
     return out, first + len(names)
 
 
-def _pack(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: int, kind: pa.DataType, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: int, kind: pa.DataType, keep_ids: bool, kept: int = CACHE, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     seq = (context.partitionId() if context else 0) << 40
-    encode, end, waiting = Encoder(path), np.array([end_id], "<u4").tobytes(), []
+    encode, end, waiting = encoder(path, kept), np.array([end_id], "<u4").tobytes(), []
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
@@ -188,9 +275,9 @@ def _pack(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: i
         arrays = [pa.array([np.frombuffer(x, "<i4") for x in c] if t == types[5] else c, t) for c, t in zip(cols, types, strict=True) if t != types[5] or keep_ids]
         return pa.RecordBatch.from_arrays(arrays, [c for c in COLUMNS if c != "ids" or keep_ids])
 
-    for ids, docs in texts(batches):
+    for some in (x for b in batches for x in parts(b, 1, BATCH, chars)):
         ready = []
-        for doc, tokens in zip(ids, map(encode, docs), strict=True):
+        for doc, tokens in zip(some.column(0).to_pylist(), encode.many(some.column(1).fill_null("")), strict=True):
             tokens += end
             total = len(tokens) // 4
             for start in range(0, total, capacity):
@@ -214,12 +301,15 @@ def _pack(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: i
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset)."""
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, keep_ids: bool = False, kept: int = CACHE, chars: int = CHARS) -> DataFrame:
+    """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset).
+
+    `kept` parts in two generations and texts of `chars` bytes at once are what a worker holds; more is faster, the rows are the same.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType
     fields = [T.StructField(c, id_type if c == "doc_id" else T.ArrayType(T.IntegerType()) if c == "ids" else T.LongType()) for c in COLUMNS if c != "ids" or keep_ids]
-    run = functools.partial(_pack, path=tokenizer_path, capacity=capacity, end_id=end_id, kind=to_arrow_type(id_type), keep_ids=keep_ids)
+    run = functools.partial(_pack, path=tokenizer_path, capacity=capacity, end_id=end_id, kind=to_arrow_type(id_type), keep_ids=keep_ids, kept=kept, chars=chars)
     return src.mapInArrow(run, T.StructType(fields)).withColumnRenamed("doc_id", id_col)

@@ -33,7 +33,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), kept=400_000, chars=8_000_000)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
