@@ -13,11 +13,13 @@ that a group of thousands of copies gives thousands of rows. The number of compa
 the distinct fingerprints, as the method has it; see the README for figures.
 
 With a `similarity`, fingerprints count each distinct shingle once, as that similarity does, and a bit set in just half the
-hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates. Each candidate component is
+hashes is that of their sum, so that bits of few shingles are not mostly zero. Linked fingerprints are only candidates. Sets of
+a Jaccard similarity s have sizes of a ratio of s or more, so blocks and tiles go by the number of shingles in place of the
+population count, and only pairs of such a ratio are compared: none that could be similar is left out. Each candidate component is
 cut by hash into blocks of bounded number and size, and the texts' shingle sets are compared as incidence matrices; pairs of that
 Jaccard similarity or more are the links. A component of several blocks is first compared within its blocks and with REPRESENTATIVES of its texts.
 What that links needs no more comparison, so then only the texts outside the largest linked part are compared, pair of blocks by pair
-of blocks, with all others: no pair of texts that are not linked yet is left out. Texts of equal fingerprints count as equal.
+of blocks, with all others: no pair of texts that are not linked yet is left out. Texts of equal fingerprints and sizes count as equal.
 
 Nulls and ties: a null text counts as empty, and its fingerprint is zero, linked like any other. A row with a null id
 takes part, but a component is named by its smallest non-null id (null if it has none). Repeated rows are all returned.
@@ -26,6 +28,7 @@ takes part, but a component is named by its smallest non-null id (null if it has
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from fotolake.llm.components import components
 SEED = 42
 #: A block holds a 24th of the distinct fingerprints, within these bounds; two blocks of the upper one take 17 MB a word.
 BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 24, 1024, 1 << 19
+#: Where sizes bound what is compared: the share of a block, as a block meets few others, and steps of sizes within the ratio.
+SIZED_SHARE, STEPS = 64, 8
 TILE = 512
 #: Texts and shingles of a candidate component in a block of exact comparison, on average, and columns of an incidence matrix at a time.
 TEXTS, SHINGLES, COLUMNS = 512, 500_000, 8192
@@ -146,63 +151,77 @@ def _segments(f: np.ndarray) -> np.ndarray:
     return np.bitwise_count(parts.reshape(len(f), 4, -1)).sum(axis=2, dtype=np.int16)
 
 
-def _tiles(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The order of rows by segment counts, the tiles' starts, and their least and largest counts."""
+def _tiles(f: np.ndarray, size: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by segment counts, or by size and then these; the tiles' starts, and their least and largest counts, or sizes."""
     seg = _segments(f)
-    order = np.lexsort(seg.T[::-1])
+    order = np.lexsort(seg.T[::-1] if size is None else (*seg.T[::-1], size))
     starts = np.arange(0, len(f), TILE)
-    seg = seg[order]
+    seg = (seg if size is None else size[:, None])[order]
     return order, starts, np.minimum.reduceat(seg, starts, axis=0), np.maximum.reduceat(seg, starts, axis=0)
 
 
-def linked(f: np.ndarray, g: np.ndarray | None, radius: int) -> np.ndarray:
-    """Roots of the rows of f and g (rows of uint64 words) under links between f and g, or within f if g is None."""
+def linked(f: np.ndarray, g: np.ndarray | None, radius: int, size: np.ndarray | None = None, other: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
+    """Roots of the rows of f and g (rows of uint64 words) under links between f and g, or within f if g is None.
+
+    With `size` (and `other`, of g), only rows whose sizes have that ratio or more are linked.
+    """
     same = g is None
-    g = f if same else g
+    g, other = (f, size) if same else (g, other)
     forest = Forest(len(f) if same else len(f) + len(g))
-    fo, fs, flo, fhi = _tiles(f)
-    go, gs, glo, ghi = (fo, fs, flo, fhi) if same else _tiles(g)
-    a, b, shift = f[fo], g[go], 0 if same else len(f)
+    fo, fs, flo, fhi = _tiles(f, size)
+    go, gs, glo, ghi = (fo, fs, flo, fhi) if same else _tiles(g, other)
+    a, b, shift = np.ascontiguousarray(f[fo].T), np.ascontiguousarray(g[go].T), 0 if same else len(f)
+    m, n = (None, None) if size is None else (size[fo], other[go])
     for i, at in enumerate(fs):
-        least = np.maximum(0, np.maximum(glo - fhi[i], flo[i] - ghi)).sum(axis=1)
-        near = np.flatnonzero(least <= radius)
+        if size is None:
+            near = np.flatnonzero(np.maximum(0, np.maximum(glo - fhi[i], flo[i] - ghi)).sum(axis=1) <= radius)
+        else:
+            near = np.flatnonzero((ghi[:, 0] >= ratio * flo[i, 0] - 1e-6) & (fhi[i, 0] >= ratio * glo[:, 0] - 1e-6))
         for j in near[near >= i] if same else near:
-            x, y = a[at : at + TILE], b[gs[j] : gs[j] + TILE]
-            apart = np.bitwise_count(x[:, 0, None] ^ y[None, :, 0]).astype(np.uint16 if f.shape[1] > 1 else np.uint8, copy=False)
-            for k in range(1, f.shape[1]):
-                apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-            u, v = np.divmod(np.flatnonzero(apart <= radius), len(y))
+            x, y = a[:, at : at + TILE], b[:, gs[j] : gs[j] + TILE]
+            bits = x[0, :, None] ^ y[0, None, :]
+            apart = np.bitwise_count(bits).astype(np.uint16 if len(a) > 1 else np.uint8, copy=False)
+            for k in range(1, len(a)):
+                apart += np.bitwise_count(np.bitwise_xor(x[k, :, None], y[k, None, :], out=bits))
+            u, v = np.divmod(np.flatnonzero(apart <= radius), y.shape[1])
             if same and i == j:
                 u, v = u[u < v], v[u < v]
+            if size is not None and len(u):
+                p, q = m[at + u], n[gs[j] + v]
+                alike = np.minimum(p, q) >= ratio * np.maximum(p, q) - 1e-6
+                u, v = u[alike], v[alike]
             if len(u):
                 forest.join(fo[at + u], go[gs[j] + v] + shift)
     return forest.root
 
 
-def _compare(pdf: pd.DataFrame, width: int, radius: int) -> pd.DataFrame:
+def _compare(pdf: pd.DataFrame, width: int, radius: int, ratio: float | None = None) -> pd.DataFrame:
     f = np.ascontiguousarray(pdf[[f"f{k}" for k in range(width)]].to_numpy(np.int64)).view(np.uint64)
     node, left = pdf["node"].to_numpy(), (pdf["block"] == pdf["ka"]).to_numpy()
+    size = None if ratio is None else pdf["size"].to_numpy(np.int64)
     if pdf["ka"].iat[0] == pdf["kb"].iat[0]:
-        root = linked(f, None, radius)
+        root = linked(f, None, radius, size, ratio=ratio or 0.0)
     elif left.all() or not left.any():
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     else:
         order = np.argsort(~left, kind="stable")
         f, node, n = f[order], node[order], int(left.sum())
-        root = linked(f[:n], f[n:], radius)
+        own, other = (None, None) if size is None else (size[order][:n], size[order][n:])
+        root = linked(f[:n], f[n:], radius, own, other, ratio or 0.0)
     apart = np.flatnonzero(root != np.arange(len(root)))
     return pd.DataFrame({"a": node[apart], "b": node[root[apart]]})
 
 
 def _shingles(batches: Iterable[pa.RecordBatch], words: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, root, k, rep, text, f0, ...) whose text has that fingerprint, with the sorted distinct hashes as bytes."""
+    """Rows (node, root, k, rep, text, size, f0, ...) whose text has that size and fingerprint, with the sorted distinct hashes as bytes."""
     names = ["node", "root", "k", "rep", "hashes"]
     for batch in batches:
         for part in parts(batch, 4, rows=256):
             rows = []
-            for node, root, k, rep, text, *f in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if fingerprint(text or "", words, width, distinct=True) == f:
-                    rows.append((node, root, k, rep, np.unique(shingle_hashes(text or "", words)).tobytes()))
+            for node, root, k, rep, text, size, *f in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                h = np.unique(shingle_hashes(text or "", words))
+                if len(h) == size and bits(h, width, distinct=True) == f:
+                    rows.append((node, root, k, rep, h.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names)
 
@@ -248,7 +267,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, foun
     first = several.groupBy("root", F.pmod(F.xxhash64("node", F.lit("first")), F.lit(REPRESENTATIVES))).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("rep"))
     wanted = written(wanted.join(first, "node", "left").withColumn("rep", F.coalesce("rep", F.lit(False))), "simhash-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CANDIDATES else wanted
-    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(few, "id").select("node", "root", "k", "rep", "text", *f)
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(few, "id").select("node", "root", "k", "rep", "text", "size", *f)
     sets = written(rows.mapInArrow(functools.partial(_shingles, words=words, width=width), "node long, root long, k int, rep boolean, hashes binary"), "simhash-sets")
     similar = lambda pairs: pairs.select("root", "node", "hashes", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")).groupBy("root", "lo", "hi").applyInPandas(functools.partial(_similar, similarity=similarity), "a long, b long")
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
@@ -269,12 +288,12 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, foun
     return links.unionByName(similar(rest))
 
 
-def blocks(sizes: dict[int, int], bits: int, radius: int) -> tuple[list[int], list[int], list[int], list[int]]:
+def blocks(sizes: dict[int, int], bits: int, radius: int, share: int = BLOCK_SHARE) -> tuple[list[int], list[int], list[int], list[int]]:
     """For each population count: its first block, its number of blocks, and the first and last block within the radius.
 
     Consecutive counts share a block until it is full; a count with more fingerprints than a block has several.
     """
-    block = min(BLOCK_MOST, max(BLOCK_LEAST, sum(sizes.values()) // BLOCK_SHARE))
+    block = min(BLOCK_MOST, max(BLOCK_LEAST, sum(sizes.values()) // share))
     first, splits, ranges, fill = [0] * (bits + 1), [1] * (bits + 1), [], 0
     for p in range(bits + 1):
         n = sizes.get(p, 0)
@@ -288,27 +307,34 @@ def blocks(sizes: dict[int, int], bits: int, radius: int) -> tuple[list[int], li
     return first, splits, [x[0] for x in near], [x[-1] for x in near]
 
 
-def near(prints: DataFrame, width: int, radius: int, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ..., size).
+def near(prints: DataFrame, width: int, radius: int, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, ratio: float | None = None) -> DataFrame:
+    """(f0, ..., component_id) of each distinct fingerprint of `prints` (id, f0, ..., size); with a `ratio`, of each fingerprint and size.
 
-    `verify`, given distinct fingerprints and candidate components (node, root), returns the links that hold.
+    `verify`, given distinct fingerprints and candidate components (node, root), returns the links that hold. With a `ratio`, only
+    fingerprints whose sizes have that ratio or more are linked, and blocks go by steps of size, STEPS of them within the ratio.
     """
     f = [f"f{k}" for k in range(width)]
-    reps = written(prints.groupBy(*f).agg(F.min("id").alias("first"), F.max("size").alias("size")).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
-    ones = functools.reduce(lambda x, y: x + y, (F.bit_count(x) for x in f))
-    sizes = {r["p"]: r["count"] for r in reps.groupBy(ones.alias("p")).count().collect()}  # at most 64 * width + 1 rows
-    block_of, splits, first, last = blocks(sizes, 64 * width, radius)
+    if ratio is None:
+        keys, size, share, reach = f, [F.max("size").alias("size")], BLOCK_SHARE, radius
+        place = functools.reduce(lambda x, y: x + y, (F.bit_count(x) for x in f))
+    else:
+        step = max(-math.log(ratio), 0.05) / STEPS
+        keys, size, share, reach = [*f, "size"], [], SIZED_SHARE, math.ceil(-math.log(ratio) / step) + 1
+        place = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step).cast("int")
+    reps = written(prints.groupBy(*keys).agg(F.min("id").alias("first"), *size).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
+    sizes = {r["p"]: r["count"] for r in reps.groupBy(place.alias("p")).count().collect()}  # at most 64 * width + 1 rows, or 44 / step
+    block_of, splits, first, last = blocks(sizes, 64 * width if ratio is None else max(sizes, default=0), reach, share)
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("p"))
-    at = reps.withColumn("p", ones).select(*f, "node", (of(block_of) + F.pmod(F.xxhash64("node"), of(splits))).cast("int").alias("block"), F.explode(F.sequence(of(first), of(last))).alias("to"))
-    pairs = at.select(*f, "node", "block", F.least("block", "to").alias("ka"), F.greatest("block", "to").alias("kb"))
-    links = pairs.groupBy("ka", "kb").applyInPandas(functools.partial(_compare, width=width, radius=radius), "a long, b long")
+    at = reps.withColumn("p", place).select(*f, "size", "node", (of(block_of) + F.pmod(F.xxhash64("node"), of(splits))).cast("int").alias("block"), F.explode(F.sequence(of(first), of(last))).alias("to"))
+    pairs = at.select(*f, *keys[width:], "node", "block", F.least("block", "to").alias("ka"), F.greatest("block", "to").alias("kb"))
+    links = pairs.groupBy("ka", "kb").applyInPandas(functools.partial(_compare, width=width, radius=radius, ratio=ratio), "a long, b long")
     found = components(links)
     if verify is not None:
         found = components(verify(reps, found))
-    named = reps.join(found, "node", "left").select(*f, "first", F.coalesce("root", "node").alias("root"))
+    named = reps.join(found, "node", "left").select(*keys, "first", F.coalesce("root", "node").alias("root"))
     named = written(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select(*f, "component_id")
+    return named.join(least, "root").select(*keys, "component_id")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, width: int = 1, similarity: float | None = None) -> DataFrame:
@@ -319,9 +345,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col, text_col, words, width, similarity is not None), "simhash-prints")
     f = [f"f{k}" for k in range(width)]
     verify = None if similarity is None else lambda reps, found: _verified(docs, id_col, text_col, reps, found, words, width, similarity)
-    named = near(prints, width, radius, verify)
+    named = near(prints, width, radius, verify, similarity or None)
     digits = F.concat(*(F.lower(F.lpad(F.hex(x), 16, "0")) for x in reversed(f)))
-    return prints.join(named, f).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return prints.join(named, f if not similarity else [*f, "size"]).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
 def without_near_copies(docs: DataFrame, words: int, radius: int, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
