@@ -30,6 +30,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{_shared(spark).rstrip('/')}/files-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """`df` as Parquet in the shared folder, read again: of large rows less disk than a checkpoint, and later reads take only their columns."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_files(spark: SparkSession, path: str) -> None:
+    """Deletes a path of `new_path`; nothing may read it later."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_files(spark: SparkSession) -> None:
     """Deletes what was written to paths of `new_path` in this application."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark).rstrip('/')}/files-{spark.sparkContext.applicationId}")
