@@ -1,11 +1,15 @@
 """What larger tables showed: ties, and work that is done more than once."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from fotolake.functions.session import new_path
 from fotolake.functions.vector import interp
 from fotolake.operators import embedded, export, lens, people, session
+from fotolake.plans.all import QUERIES
 from fotolake.sources import files, lens_xml, masks, tags
 
 
@@ -138,3 +142,31 @@ def test_vignetting_of_equal_settings_and_places(spark, monkeypatch):
     assert set(got) == set(want) and all(np.allclose(got[s], want[s], rtol=1e-9, atol=0) for s in want) and len(want) > 100
     pairs = lens._in_blocks(asked.select("lens", "focal").distinct(), ["lens", "focal"], spark.createDataFrame(points, "lens int, low double, high double, pf double, a double, d double, k array<double>").select("lens", "pf").distinct(), ["lens", "pf"])
     assert pairs.count() == pairs.distinct().count() == 2 * 5 * 4
+
+
+def test_lens_files_are_read_once_and_deleted(spark):
+    """Shots, look-ups and models read what was stored; own tables are joined before calibrations, which are dealt once."""
+    out = QUERIES["lens_source_decided"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "] xml" not in plan and out.count() > 0
+    wide = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Project") and "distortion#" in line and " AS " not in line]
+    assert len(wide) <= 1
+    folder = new_path(spark, "x").rsplit("/", 1)[0]
+    assert not [name for name in os.listdir(folder) if name.startswith("lenses-")]
+
+
+def test_ranges_of_lenses_by_brute_force(spark, monkeypatch):
+    """Names of figures alone find the only lens within the tolerance, wherever ranges lie in their cells; one row a lens and token, not nine."""
+    rng = np.random.default_rng(13)
+    around = lambda: [round(float(c + rng.integers(-12, 13) / 100), 2) for c in (rng.choice([20.25, 20.5, 20.75, 21.0]), rng.choice([70.25, 70.6, 71.0]))]
+    lenses = [(f"L{i} {low}-{high}mm", float(rng.choice([1.0, 1.5])), low, high) for i, (low, high) in enumerate(around() for _ in range(60))]
+    shots = [(i, f"{low}-{high}mm", 1.0, low, high) for i, (low, high) in enumerate(around() for _ in range(300))]
+    want = {}
+    for shot, _, _, low, high in shots:
+        near = [x[0] for x in lenses if abs(x[2] - low) <= lens.FOCAL and abs(x[3] - high) <= lens.FOCAL and 1 / x[1] >= lens.CIRCLE]
+        if len(near) == 1:
+            want[shot] = near[0]
+    table = spark.createDataFrame([x[:2] for x in lenses], "lens string, crop double")
+    out = lens.find(spark.createDataFrame([x[:3] for x in shots], "shot int, name string, crop double"), table)
+    assert {r.shot: r.lens for r in out.collect()} == want and len(want) > 30
+    assert "named_struct(i, -1" not in out._jdf.queryExecution().optimizedPlan().toString() and _times(out, "[-1,-1]") == 0
